@@ -120,3 +120,181 @@ def prompt_baseline(spark, sf):
 def prompt_feedback(spark, sf):
     pool, queries = tables.pool(spark, sf), tables.queries(spark, sf)
     return assemble_prompts(queries, _bm25_quota(spark, sf, 4, 2), pool, CFG, "feedback")
+
+
+# ---------------------------------------------------------------- sampling
+
+from shotsmith.operators.sampling import (  # noqa: E402
+    random_neighbours, random_rankings, stratified_pool)
+from shotsmith.operators.scoring import decode_label, score_prompts, vote_scorer  # noqa: E402
+from shotsmith.operators.select import limit_pool, restrict_rankings  # noqa: E402
+from shotsmith.plans import jobs  # noqa: E402
+
+POOL_CTE = f"WITH pool AS ({tables.SQL_POOL}), q AS ({tables.SQL_QUERIES}),"
+
+
+@register("pool_stratified", f"""
+WITH c AS (SELECT doc_id AS cand_id, lang AS label FROM documents),
+r AS (SELECT cand_id, label,
+             row_number() OVER (PARTITION BY label ORDER BY {S.seeded(75, 'cand_id')}, cand_id) AS rn,
+             dense_rank() OVER (ORDER BY label) - 1 AS li,
+             (SELECT 300 // count(DISTINCT label) FROM c) AS quota
+      FROM c)
+SELECT cand_id, label, CAST(li * quota + rn - 1 AS BIGINT) AS pool_id FROM r WHERE rn <= quota""")
+def pool_stratified(spark, sf):
+    return stratified_pool(tables.corpus(spark, sf).select("cand_id", "label"),
+                           pool_size=300, seed=75)
+
+
+@register("random_rankings", POOL_CTE + S.draws_sql(
+    "q", "query_id", "(SELECT count(*) FROM pool)", 4000, 300, 123, False).lstrip() + """
+SELECT query_id, draw_rank AS rank, cand_id FROM drawn
+WHERE draw_rank <= least(300, (SELECT count(*) FROM pool))""")
+def q_random_rankings(spark, sf):
+    return random_rankings(tables.queries(spark, sf), tables.pool(spark, sf), m=300, seed=123)
+
+
+NEIGHBOURS_SQL = S.draws_sql(
+    "(SELECT cand_id AS query_id FROM pool)", "query_id", "(SELECT count(*) FROM pool)",
+    64, 4, 123, True).lstrip()
+
+
+@register("random_neighbours", POOL_CTE + NEIGHBOURS_SQL + """
+SELECT query_id, draw_rank AS pos, cand_id FROM drawn WHERE draw_rank <= 4""")
+def q_random_neighbours(spark, sf):
+    return random_neighbours(tables.pool(spark, sf), k=4, seed=123)
+
+
+# ---------------------------------------------------------------- pool trim
+
+@register("pool_prefix", f"""
+WITH pool AS ({tables.SQL_POOL})
+SELECT cand_id, label FROM (
+  SELECT cand_id, label, row_number() OVER (ORDER BY cand_id) AS rn FROM pool)
+WHERE rn <= 300""")
+def pool_prefix(spark, sf):
+    return limit_pool(tables.pool(spark, sf), 300).select("cand_id", "label")
+
+
+@register("ranking_restricted", S.with_bm25(""",
+prefix AS (SELECT cand_id FROM (SELECT cand_id, row_number() OVER (ORDER BY cand_id) AS rn
+                                FROM pool) WHERE rn <= 300)
+SELECT query_id,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank,
+       cand_id
+FROM bm25 WHERE cand_id IN (SELECT cand_id FROM prefix)"""))
+def ranking_restricted(spark, sf):
+    pool = tables.pool(spark, sf)
+    ranking = bm25_op.bm25_rank(pool, tables.queries(spark, sf), k=None)
+    return restrict_rankings(ranking.select("query_id", "rank", "cand_id"),
+                             limit_pool(pool, 300))
+
+
+# ---------------------------------------------------------------- labels
+
+@register("correctness_split", f"""
+WITH pool AS ({tables.SQL_POOL})
+SELECT label, label = prediction AS is_correct, count(*) AS n FROM pool GROUP BY ALL""")
+def correctness_split(spark, sf):
+    from shotsmith.functions.labels import is_correct
+    return (tables.pool(spark, sf)
+            .groupBy("label", is_correct("label", "prediction").alias("is_correct"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+PRIOR_PROMPTS_SQL = POOL_CTE + NEIGHBOURS_SQL + S.prompt_sql(
+    "sel AS (SELECT query_id, draw_rank AS pos, cand_id FROM drawn WHERE draw_rank <= 4)",
+    "prior").replace("FROM q LEFT JOIN demo d",
+                     "FROM (SELECT cand_id AS query_id, sentence, label FROM pool) q "
+                     "LEFT JOIN demo d")
+
+PRIOR_RESULTS_SQL = f"""
+WITH pr AS ({PRIOR_PROMPTS_SQL}),
+sc AS (SELECT query_id, prompt, label, {S.vote_sql('prompt', CFG.labels)} AS scores FROM pr)
+SELECT CAST(query_id AS VARCHAR) AS id, prompt AS input_all_tokens, label,
+       {S.decode_sql('scores', CFG.labels, 'query_id')} AS outputs
+FROM sc"""
+
+
+@register("prompt_prior", PRIOR_PROMPTS_SQL)
+def prompt_prior(spark, sf):
+    return jobs.prior_prompts(tables.pool(spark, sf), CFG, k=4, seed=123)
+
+
+@register("prior_predict_vote", PRIOR_RESULTS_SQL)
+def prior_predict_vote(spark, sf):
+    return jobs.prior_predict(tables.pool(spark, sf), CFG, k=4, seed=123)
+
+
+@register("output_counts", f"""
+WITH r AS ({PRIOR_RESULTS_SQL})
+SELECT outputs, count(*) AS n FROM r GROUP BY outputs""")
+def output_counts(spark, sf):
+    res = jobs.prior_predict(tables.pool(spark, sf), CFG, k=4, seed=123)
+    return res.groupBy("outputs").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("writeback_mismatches", f"""
+WITH r AS ({PRIOR_RESULTS_SQL}), pool AS ({tables.SQL_POOL})
+SELECT count(*) AS n_rows,
+       sum(CASE WHEN r.label IS NOT DISTINCT FROM pool.label THEN 0 ELSE 1 END) AS mismatches,
+       sum(CASE WHEN r.outputs = pool.label THEN 1 ELSE 0 END) AS n_correct
+FROM pool LEFT JOIN r ON CAST(r.id AS BIGINT) = pool.cand_id""")
+def writeback_mismatches(spark, sf):
+    pool = tables.pool(spark, sf)
+    res = jobs.prior_predict(pool, CFG, k=4, seed=123)
+    out, mismatches = jobs.write_back(pool, res)
+    row = out.agg(F.count(F.lit(1)).alias("n_rows"),
+                  F.sum(F.when(F.col("prediction") == F.col("label"), 1).otherwise(0))
+                  .alias("n_correct")).first()
+    return spark.createDataFrame([(row["n_rows"], mismatches, row["n_correct"])],
+                                 "n_rows bigint, mismatches bigint, n_correct bigint")
+
+
+# ---------------------------------------------------------------- scoring + decode (M7/M8)
+
+def _results_sql(prompts_sql: str) -> str:
+    return f"""
+WITH pr AS ({prompts_sql}),
+sc AS (SELECT query_id, prompt, label, {S.vote_sql('prompt', CFG.labels)} AS scores FROM pr)
+SELECT CAST(query_id AS VARCHAR) AS id, prompt AS input_all_tokens, label,
+       {S.decode_sql('scores', CFG.labels, 'query_id')} AS outputs
+FROM sc"""
+
+
+@register("feedback_infer_vote", _results_sql(ORACLE["prompt_feedback"]))
+def feedback_infer_vote(spark, sf):
+    return jobs.run_with_feedback(tables.queries(spark, sf), tables.pool(spark, sf), CFG,
+                                  n=4, wrong=2)
+
+
+@register("baseline_infer_vote", _results_sql(ORACLE["prompt_baseline"]))
+def baseline_infer_vote(spark, sf):
+    pool, queries = tables.pool(spark, sf), tables.queries(spark, sf)
+    return jobs.run_baseline(queries, pool, bm25_op.bm25_rank(pool, queries, k=4), CFG, n=4)
+
+
+EMO = ("others", "happy", "sad", "angry")   # has the 'others' fallback
+
+
+@register("decode_label", f"""
+SELECT vec_id, {S.decode_sql('s', EMO, 'vec_id')} AS decoded
+FROM (SELECT vec_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE),
+                      CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS s
+      FROM embeddings)""")
+def q_decode_label(spark, sf):
+    v = tables.vectors(spark, sf)
+    s = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    return v.select("vec_id", decode_label(s, EMO, "vec_id").alias("decoded"))
+
+
+@register("decode_fallback", f"""
+SELECT vec_id, {S.decode_sql('s', CFG.labels, 'vec_id')} AS decoded
+FROM (SELECT vec_id, [floor(CAST(embedding[1] AS DOUBLE) * 10),
+                      floor(CAST(embedding[2] AS DOUBLE) * 10)] AS s
+      FROM embeddings)""")
+def q_decode_fallback(spark, sf):
+    v = tables.vectors(spark, sf)
+    s = F.transform(F.slice("embedding", 1, 2),
+                    lambda x: F.floor(x.cast("double") * 10).cast("double"))
+    return v.select("vec_id", decode_label(s, CFG.labels, "vec_id").alias("decoded"))

@@ -121,3 +121,41 @@ FROM q LEFT JOIN demo d ON d.query_id = q.query_id"""
 
 def seeded(seed: int, *parts: str) -> str:
     return sql_seeded_hash(seed, *parts)
+
+
+def decode_sql(scores: str, labels, row_id: str, seed: int = 123) -> str:
+    """M7 in SQL: first maximum; all equal -> 'others' or md5 seeded label."""
+    arr = "[" + ", ".join(lit(x) for x in labels) + "]"
+    if "others" in labels:
+        tie = str(list(labels).index("others"))
+    else:
+        tie = f"({seeded(seed, row_id)} % {len(labels)})"
+    return (f"({arr})[1 + CASE WHEN list_max({scores}) = list_min({scores}) THEN {tie} "
+            f"ELSE list_position({scores}, list_max({scores})) - 1 END]")
+
+
+def vote_sql(prompt: str, labels) -> str:
+    parts = []
+    for lab in labels:
+        nd = lit(f"Label: {lab}\n")
+        parts.append(f"CAST(floor((length({prompt}) - length(replace({prompt}, {nd}, ''))) "
+                     f"/ length({nd})) AS DOUBLE)")
+    return "[" + ", ".join(parts) + "]"
+
+
+def draws_sql(rows_cte: str, key: str, n_expr: str, d: int, m: int, seed: int,
+              exclude_self: bool) -> str:
+    """First m distinct md5 draws per row over pool positions (CTE bodies)."""
+    self_cond = f"WHERE pp.cand_id <> d.{key}" if exclude_self else ""
+    return f"""
+pp AS (SELECT cand_id, row_number() OVER (ORDER BY cand_id) - 1 AS pos FROM pool),
+nn AS (SELECT {n_expr} AS n),
+draws AS (SELECT r.{key}, t.j,
+                 {seeded(seed, 'r.' + key, 't.j')} % nn.n AS pos
+          FROM {rows_cte} r, range(0, {d}) t(j), nn),
+hits AS (SELECT d.{key}, pp.cand_id, min(d.j) AS j
+         FROM draws d JOIN pp ON pp.pos = d.pos {self_cond}
+         GROUP BY d.{key}, pp.cand_id),
+drawn AS (SELECT {key}, cand_id,
+                 CAST(row_number() OVER (PARTITION BY {key} ORDER BY j) AS INTEGER) AS draw_rank
+          FROM hits)"""

@@ -298,3 +298,166 @@ def q_decode_fallback(spark, sf):
     s = F.transform(F.slice("embedding", 1, 2),
                     lambda x: F.floor(x.cast("double") * 10).cast("double"))
     return v.select("vec_id", decode_label(s, CFG.labels, "vec_id").alias("decoded"))
+
+
+# ---------------------------------------------------------------- pandas scorer hook (M8)
+
+@register("feedback_infer_pandas", ORACLE["feedback_infer_vote"])
+def feedback_infer_pandas(spark, sf):
+    from shotsmith.operators.scoring import pandas_vote_scorer
+    return jobs.run_with_feedback(tables.queries(spark, sf), tables.pool(spark, sf), CFG,
+                                  n=4, wrong=2, scorer=pandas_vote_scorer(CFG.labels),
+                                  kind="pandas")
+
+
+@register("label_quota", """
+SELECT count(DISTINCT lang) AS n_labels, 300 // count(DISTINCT lang) AS quota
+FROM documents""")
+def q_label_quota(spark, sf):
+    from shotsmith.operators.sampling import label_quota
+    c = tables.corpus(spark, sf)
+    return c.agg(F.countDistinct("label").cast("bigint").alias("n_labels"),
+                 F.floor(F.lit(300) / F.countDistinct("label")).cast("bigint").alias("quota"))
+
+
+# ---------------------------------------------------------------- vectors
+
+from shotsmith.functions.vectors import l2_norm  # noqa: E402
+from shotsmith.operators.cosine import cosine_rank  # noqa: E402
+from shotsmith.operators.pooling import masked_mean_pool  # noqa: E402
+
+VEC_SQL = """
+v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+vn AS (SELECT vec_id, label, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS nrm FROM v)"""
+
+
+@register("cosine_top5", "WITH" + VEC_SQL + """,
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS cand_id,
+             round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 6) AS score
+      FROM vn a JOIN vn b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rk
+      FROM s)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, cand_id, score FROM r WHERE rk <= 5""")
+def cosine_top5(spark, sf):
+    v = tables.vectors(spark, sf)
+    return cosine_rank(v, v, k=5, exclude_self=True, q_id="vec_id", p_id="vec_id")
+
+
+@register("l2_norms", "WITH" + VEC_SQL + """
+SELECT vec_id, round(sqrt(list_dot_product(e, e)), 9) AS norm FROM v""")
+def l2_norms(spark, sf):
+    return tables.vectors(spark, sf).select("vec_id", F.round(l2_norm("embedding"), 9)
+                                            .alias("norm"))
+
+
+@register("mean_pool_masked", """
+SELECT label, CAST(i - 1 AS INTEGER) AS dim,
+       round(sum(CAST(embedding[i] AS DOUBLE) * m) / greatest(sum(m), 1e-9), 9) AS value
+FROM (SELECT label, embedding,
+             CASE WHEN embedding[1] >= 0 THEN 1.0 ELSE 0.0 END AS m,
+             unnest(range(1, len(embedding) + 1)) AS i
+      FROM embeddings)
+GROUP BY label, i""")
+def mean_pool_masked(spark, sf):
+    v = tables.vectors(spark, sf)
+    mask = F.when(F.element_at("embedding", 1) >= 0, 1.0).otherwise(0.0)
+    return masked_mean_pool(v, "label", "embedding", mask) \
+        .withColumn("value", F.round("value", 9))
+
+
+# ---------------------------------------------------------------- clusters
+
+from shotsmith.operators.clusters import interleave_clusters, kmeans_rankings  # noqa: E402
+
+
+@register("cluster_interleave", f"""
+WITH pool AS (SELECT vec_id AS cand_id, label % 4 AS cluster FROM embeddings),
+pp AS (SELECT cand_id, cluster,
+              row_number() OVER (PARTITION BY cluster ORDER BY cand_id) - 1 AS pos FROM pool),
+sz AS (SELECT cluster, count(*) AS n FROM pool GROUP BY cluster),
+rws AS (SELECT item_id AS query_id, c.cluster FROM benchmark,
+        (SELECT unnest(range(0, 4)) AS cluster) c),
+draws AS (SELECT r.query_id, r.cluster, t.j,
+                 {S.seeded(123, 'r.query_id', 'r.cluster', 't.j')} % sz.n AS pos
+          FROM rws r JOIN sz ON sz.cluster = r.cluster, range(0, 400) t(j)),
+hits AS (SELECT d.query_id, d.cluster, pp.cand_id, min(d.j) AS j
+         FROM draws d JOIN pp ON pp.cluster = d.cluster AND pp.pos = d.pos
+         GROUP BY d.query_id, d.cluster, pp.cand_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, cluster ORDER BY j) AS rn FROM hits)
+SELECT query_id, CAST((rn - 1) * 4 + cluster + 1 AS INTEGER) AS rank, cand_id
+FROM r WHERE rn <= 30""")
+def cluster_interleave(spark, sf):
+    v = tables.vectors(spark, sf)
+    assigned = v.select(F.col("vec_id").alias("cand_id"),
+                        F.pmod(F.col("label"), F.lit(4)).alias("cluster"))
+    q = tables.queries(spark, sf)
+    return interleave_clusters(q, assigned, k=4, take=30, seed=123)
+
+
+@register("kmeans_rankings")
+def q_kmeans_rankings(spark, sf):
+    v = tables.vectors(spark, sf).select(F.col("vec_id").alias("cand_id"), "embedding")
+    return kmeans_rankings(tables.queries(spark, sf), v, k=4, take=30, min_size=30, seed=123)
+
+
+# ---------------------------------------------------------------- token F1 (M4/M5)
+
+from shotsmith.operators.bertscore import bertscore_rank, mmr_rank, token_sentences  # noqa: E402
+
+F1_SQL = """
+WITH t AS (SELECT vec_id // 3 AS sid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+tn AS (SELECT sid, vec_id, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS nrm FROM t),
+pairs AS (SELECT a.sid AS qs, a.vec_id AS qt, b.sid AS ps, b.vec_id AS pt,
+                 list_dot_product(a.e, b.e) / (a.nrm * b.nrm) AS sim
+          FROM tn a JOIN tn b ON a.sid <> b.sid),
+rq AS (SELECT qs, ps, avg(m) AS r
+       FROM (SELECT qs, qt, ps, max(sim) AS m FROM pairs GROUP BY qs, qt, ps)
+       GROUP BY qs, ps),
+pq AS (SELECT qs, ps, avg(m) AS p
+       FROM (SELECT qs, ps, pt, max(sim) AS m FROM pairs GROUP BY qs, ps, pt)
+       GROUP BY qs, ps),
+f AS (SELECT rq.qs AS query_id, rq.ps AS cand_id,
+             round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1
+      FROM rq JOIN pq ON rq.qs = pq.qs AND rq.ps = pq.ps),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, cand_id) AS rank
+       FROM f)
+"""
+
+
+def _sentences(spark, sf, id_name):
+    v = tables.vectors(spark, sf)
+    return token_sentences(v.withColumn("sid", F.floor(F.col("vec_id") / 3).cast("bigint")),
+                           "sid", "vec_id", "embedding", id_name)
+
+
+@register("bertscore_rank", F1_SQL + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, cand_id, f1 FROM rk WHERE rank <= 5""")
+def q_bertscore_rank(spark, sf):
+    return bertscore_rank(_sentences(spark, sf, "query_id"), _sentences(spark, sf, "cand_id"),
+                          k=5, exclude_self=True)
+
+
+@register("mmr_rank", F1_SQL + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, cand_id FROM rk WHERE rank <= 10""")
+def q_mmr_rank(spark, sf):
+    return mmr_rank(_sentences(spark, sf, "query_id"), _sentences(spark, sf, "cand_id"),
+                    k=10, exclude_self=True)
+
+
+# ---------------------------------------------------------------- ranking JSON
+
+@register("rankings_json_roundtrip", S.with_bm25(
+    "SELECT query_id, rank, cand_id FROM bm25 WHERE rank <= 20"))
+def rankings_json_roundtrip(spark, sf):
+    from shotsmith.sources.rankings import rankings_from_json, rankings_to_json
+    ranking = bm25_op.bm25_rank(tables.pool(spark, sf), tables.queries(spark, sf), k=20)
+    return rankings_from_json(rankings_to_json(ranking))
+
+
+# ---------------------------------------------------------------- encoder hook (M3)
+
+@register("sbert_hashing_top5")
+def sbert_hashing_top5(spark, sf):
+    from shotsmith.operators.embed import HashingEncoder
+    return jobs.retrieve("sbert", tables.pool(spark, sf), tables.queries(spark, sf), k=5,
+                         encoder=HashingEncoder(64))

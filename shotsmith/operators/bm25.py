@@ -26,7 +26,8 @@ floored to a negative value, or a full ranking is asked for, every id
 carries the marker.
 
 Scores are exact and order-free: idf and every term weight are rounded to
-DECIMAL(18,10) and summed as decimals.  Ties: score DESC, cand_id DESC.
+DECIMAL(18,10), weights are computed once per posting (not per pair) and
+summed as BIGINT units of 1e-10.  Ties: score DESC, cand_id DESC.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotsmith.functions.text import tokens
+from shotsmith.functions.text import as_text, tokens
 from shotsmith.operators.ranking import rank_within
-from shotsmith.session import BROADCAST_ROW_LIMIT
+from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
 
 # --- fixed values: Okapi BM25 parameters (k1, b, epsilon) ---
 K1 = 1.5
@@ -48,6 +49,7 @@ EPSILON = 0.25
 # --- end of fixed values ---
 
 WEIGHT_TYPE = "decimal(18,10)"
+SCALE = 10 ** 10      # a DECIMAL(18,10) weight as BIGINT units: exact, fast sums
 MARKER = " "          # never produced by tokens(): they are cut at spaces
 SALT_BUCKETS = 32
 
@@ -79,14 +81,17 @@ def _partitioned_pool(pool: DataFrame, by: str | None) -> DataFrame:
 
 
 def _doc_tokens(pool_p: DataFrame) -> DataFrame:
-    return pool_p.select("cand_id", "_cls", tokens("sentence").alias("_toks")) \
+    return pool_p.select("cand_id", "_cls", tokens(as_text("sentence")).alias("_toks")) \
         .withColumn("dl", F.size("_toks"))
 
 
-def postings(docs: DataFrame, marked: DataFrame | None) -> DataFrame:
-    """(cand_id, _cls, dl, token, tf); ``marked`` ids also carry the marker."""
+def postings(docs: DataFrame, marked: DataFrame | str | None) -> DataFrame:
+    """(cand_id, _cls, dl, token, tf); ``marked`` ids ("all": every id) also
+    carry the marker token."""
     toks = F.col("_toks")
-    if marked is not None:
+    if isinstance(marked, str):
+        toks = F.concat(toks, F.array(F.lit(MARKER)))
+    elif marked is not None:
         docs = docs.join(marked, "cand_id", "left")
         toks = F.when(F.col("_mark"), F.concat(toks, F.array(F.lit(MARKER)))) \
             .otherwise(toks)
@@ -96,29 +101,41 @@ def postings(docs: DataFrame, marked: DataFrame | None) -> DataFrame:
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
+    """(token, df, ctf): documents holding the token and its total count."""
     return (post.where(F.col("token") != MARKER)
-            .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("df"),
+                                  F.sum("tf").alias("ctf")))
 
 
-def corpus_stats_from(docs: DataFrame, vocab: DataFrame) -> CorpusStats:
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
-    n, total = int(row["n"]), int(row["total"] or 0)
-    if n == 0:
+def vocabulary_table(pool: DataFrame) -> DataFrame:
+    """The pool's vocabulary, written to the checkpoint folder.
+
+    One pass over the pool text; later steps (statistics, the idf of query
+    tokens) read this table instead of tokenising the pool again.
+    """
+    checkpoint_dir(pool.sparkSession)
+    docs = _doc_tokens(_partitioned_pool(pool, None))
+    return vocabulary(postings(docs, None)).checkpoint(eager=True)
+
+
+def corpus_stats_from(n_docs: int, vocab: DataFrame) -> CorpusStats:
+    if n_docs == 0:
         raise ValueError("empty pool")
-    avg_len = float(total) / float(n)
-    v = vocab.agg(F.count(F.lit(1)).alias("v"),
-                  F.sum(_raw_idf(n, F.col("df").cast("double")).cast(WEIGHT_TYPE))
+    v = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("ctf").alias("total"),
+                  F.sum(_raw_idf(n_docs, F.col("df").cast("double")).cast(WEIGHT_TYPE))
                   .alias("s")).first()
-    n_vocab, idf_sum = int(v["v"]), v["s"] or Decimal(0)
+    n_vocab, total, idf_sum = int(v["v"]), int(v["total"] or 0), v["s"] or Decimal(0)
+    avg_len = float(total) / float(n_docs)
     mean_idf = float(idf_sum) / n_vocab if n_vocab else 0.0
     floor = Decimal(EPSILON * mean_idf).quantize(Decimal("1E-10"))
-    return CorpusStats(n, avg_len, n_vocab, mean_idf, floor)
+    return CorpusStats(n_docs, avg_len, n_vocab, mean_idf, floor)
 
 
-def corpus_stats(pool: DataFrame) -> CorpusStats:
+def corpus_stats(pool: DataFrame, vocab: DataFrame | None = None) -> CorpusStats:
     """A4: N, mean document length, vocabulary size, mean idf, idf floor."""
-    docs = _doc_tokens(_partitioned_pool(pool, None))
-    return corpus_stats_from(docs, vocabulary(postings(docs, None)))
+    if vocab is None:
+        vocab = vocabulary_table(pool)
+    return corpus_stats_from(pool.count(), vocab)
 
 
 def idf_table(vocab: DataFrame, stats: CorpusStats) -> DataFrame:
@@ -140,13 +157,14 @@ def _first_ids(pool: DataFrame, by: str | None, k: int) -> DataFrame:
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
-    return (queries.select("query_id", F.explode(tokens("sentence")).alias("token"))
+    return (queries.select("query_id", F.explode(tokens(as_text("sentence"))).alias("token"))
             .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _join_terms(post: DataFrame, qterms: DataFrame, vocab: DataFrame) -> DataFrame:
+def _join_terms(post: DataFrame, qterms: DataFrame, vocab: DataFrame,
+                small: bool) -> DataFrame:
     """postings JOIN query terms on token: broadcast if counted small, else salted."""
-    if qterms.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+    if small:
         return post.join(F.broadcast(qterms), "token")
     # Salt hot tokens: their postings spread over SALT_BUCKETS keys and the
     # (few) query rows of such a token are copied to every bucket.
@@ -172,31 +190,40 @@ def bm25_scores(pool: DataFrame, queries: DataFrame, k: int | None = None,
     pool: cand_id BIGINT, sentence STRING (+ ``by``); queries: query_id, sentence.
     Returns (query_id, _cls, cand_id, score DOUBLE).
     """
+    vocab = vocabulary_table(pool)
+    stats = corpus_stats(pool, vocab)
     pool_p = _partitioned_pool(pool, by)
     docs = _doc_tokens(pool_p)
-    every_id = pool_p.select("cand_id", F.lit(True).alias("_mark"))
-    marked = every_id if k is None else F.broadcast(_first_ids(pool, by, k))
+    if k is None or stats.floor_idf < 0:
+        # Full ranking, or negative weights (unmatched ids can then outrank
+        # matched ones anywhere): every id carries the marker.
+        marked = "all"
+    else:
+        marked = F.broadcast(_first_ids(pool, by, k))  # <= k rows per class
     post = postings(docs, marked)
-    vocab = vocabulary(post)
-    stats = corpus_stats_from(docs, vocab)
-    if k is not None and stats.floor_idf < 0:
-        # Negative weights: unmatched ids can outrank matched ones anywhere.
-        post = postings(docs, every_id)
     idf = idf_table(vocab, stats)
 
     qterms = _query_terms(queries)
-    q_idf = qterms.join(idf.select("token", "idf"), "token")
+    # idf of the tokens queries use (plus the marker, weight 0).
+    q_idf = (qterms.select("token").distinct().join(idf.select("token", "idf"), "token")
+             .unionByName(queries.sparkSession.range(1).select(
+                 F.lit(MARKER).alias("token"), F.lit(0).cast(WEIGHT_TYPE).alias("idf"))))
+    small_queries = qterms.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
+    if small_queries:  # distinct query tokens <= query term rows
+        q_idf = F.broadcast(q_idf)
+    # Weight once per posting, as an exact scaled integer (units of 1e-10).
+    weighted = post.join(q_idf, "token").select(
+        "cand_id", "_cls", "token",
+        (term_weight(F.col("idf"), F.col("tf"), F.col("dl"), stats.avg_len)
+         * F.lit(SCALE)).cast("bigint").alias("w"))
     q_marker = queries.select("query_id", F.lit(MARKER).alias("token"),
-                              F.lit(1).cast("bigint").alias("qtf"),
-                              F.lit(0).cast(WEIGHT_TYPE).alias("idf"))
-    qw = q_idf.select("query_id", "token", "qtf", "idf").unionByName(q_marker)
-
-    pairs = _join_terms(post, qw, vocab)
-    # INT (not BIGINT) keeps the product at DECIMAL(29,10): no scale loss.
-    contrib = (F.col("qtf").cast("int") * term_weight(F.col("idf"), F.col("tf"), F.col("dl"),
-                                          stats.avg_len))
+                              F.lit(1).cast("bigint").alias("qtf"))
+    qw = qterms.select("query_id", "token", "qtf").unionByName(q_marker)
+
+    pairs = _join_terms(weighted, qw, vocab, small_queries)
     scores = (pairs.groupBy("query_id", "_cls", "cand_id")
-              .agg(F.sum(contrib).cast("double").alias("score")))
+              .agg((F.sum(F.col("qtf") * F.col("w")).cast("double") / F.lit(float(SCALE)))
+                   .alias("score")))
     return scores, stats
 
 

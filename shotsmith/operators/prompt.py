@@ -27,12 +27,19 @@ METHODS = ("prior", "baseline", "feedback")
 
 
 def demo_blocks(demos: DataFrame, pool: DataFrame, cfg: TaskConfig, method: str,
-                feedback: dict[str, str] = FEEDBACK) -> DataFrame:
-    """(query_id, pos, block) for selected demonstrations (query_id, pos, cand_id)."""
+                feedback: dict[str, str] = FEEDBACK,
+                max_rows: int | None = None) -> DataFrame:
+    """(query_id, pos, block) for selected demonstrations (query_id, pos, cand_id).
+
+    ``max_rows`` bounds the selection's size (queries x n) without running
+    it; without it the selection is counted first.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     sel = demos.select("query_id", "pos", "cand_id")
-    if sel.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+    if max_rows is None:
+        max_rows = sel.limit(BROADCAST_ROW_LIMIT + 1).count()
+    if max_rows <= BROADCAST_ROW_LIMIT:
         rows = pool.join(F.broadcast(sel), "cand_id")   # stream the pool once
     else:
         rows = sel.join(pool, "cand_id")               # AQE splits hot ids
@@ -50,10 +57,15 @@ def demo_blocks(demos: DataFrame, pool: DataFrame, cfg: TaskConfig, method: str,
 
 
 def assemble_prompts(queries: DataFrame, demos: DataFrame, pool: DataFrame,
-                     cfg: TaskConfig, method: str,
-                     feedback: dict[str, str] = FEEDBACK) -> DataFrame:
-    """(query_id, prompt, label) for every query; no demonstrations -> bare prompt."""
-    blocks = demo_blocks(demos, pool, cfg, method, feedback)
+                     cfg: TaskConfig, method: str, feedback: dict[str, str] = FEEDBACK,
+                     n: int | None = None) -> DataFrame:
+    """(query_id, prompt, label) for every query; no demonstrations -> bare prompt.
+
+    ``n``: at most n demonstrations per query (bounds the selection by
+    queries x n, counted on the cheap query table).
+    """
+    max_rows = None if n is None else queries.count() * n
+    blocks = demo_blocks(demos, pool, cfg, method, feedback, max_rows)
     joined = (blocks.groupBy("query_id")
               .agg(F.array_join(
                   F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))),

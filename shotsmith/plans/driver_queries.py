@@ -63,9 +63,8 @@ def bm25_corpus_stats(spark, sf):
     "SELECT token, df, CAST(idf AS DOUBLE) AS idf FROM idf WHERE raw < 0"))
 def bm25_idf_floor(spark, sf):
     pool = tables.pool(spark, sf)
-    stats = bm25_op.corpus_stats(pool)
-    docs = bm25_op._doc_tokens(bm25_op._partitioned_pool(pool, None))
-    idf = bm25_op.idf_table(bm25_op.vocabulary(bm25_op.postings(docs, None)), stats)
+    vocab = bm25_op.vocabulary_table(pool)
+    idf = bm25_op.idf_table(vocab, bm25_op.corpus_stats(pool, vocab))
     return idf.where(F.col("raw_idf") < 0).select(
         "token", "df", F.col("idf").cast("double").alias("idf"))
 
@@ -111,7 +110,7 @@ ORACLE["select_quota_short"] = S.with_bm25(
 def prompt_baseline(spark, sf):
     pool, queries = tables.pool(spark, sf), tables.queries(spark, sf)
     demos = select_top_n(bm25_op.bm25_rank(pool, queries, k=4), n=4)
-    return assemble_prompts(queries, demos, pool, CFG, "baseline")
+    return assemble_prompts(queries, demos, pool, CFG, "baseline", n=4)
 
 
 @register("prompt_feedback", S.with_bm25(
@@ -119,7 +118,7 @@ def prompt_baseline(spark, sf):
         "sel AS (SELECT query_id, pos, cand_id FROM quota)", "feedback")))
 def prompt_feedback(spark, sf):
     pool, queries = tables.pool(spark, sf), tables.queries(spark, sf)
-    return assemble_prompts(queries, _bm25_quota(spark, sf, 4, 2), pool, CFG, "feedback")
+    return assemble_prompts(queries, _bm25_quota(spark, sf, 4, 2), pool, CFG, "feedback", n=4)
 
 
 # ---------------------------------------------------------------- sampling

@@ -39,7 +39,7 @@ def _decode(prompts: DataFrame, cfg: TaskConfig, scorer, kind: str, seed: int) -
 def prior_prompts(pool: DataFrame, cfg: TaskConfig, k: int = 4, seed: int = 123) -> DataFrame:
     """Prior layout: every pool row with k random other rows as examples."""
     demos = random_neighbours(pool, k, seed)
-    return assemble_prompts(_as_queries(pool), demos, pool, cfg, "prior")
+    return assemble_prompts(_as_queries(pool), demos, pool, cfg, "prior", n=k)
 
 
 def prior_predict(pool: DataFrame, cfg: TaskConfig, scorer=vote_scorer, kind: str = "column",
@@ -54,7 +54,8 @@ def write_back(pool: DataFrame, results: DataFrame) -> tuple[DataFrame, int]:
     whose result label differs from the pool label (must be 0)."""
     res = results.select(F.col("id").cast("bigint").alias("cand_id"),
                          F.col("label").alias("_rlabel"), F.col("outputs"))
-    if res.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+    # One result per pool row: the pool's (cheap) count bounds the results.
+    if pool.count() <= BROADCAST_ROW_LIMIT:
         res = F.broadcast(res)
     joined = normalise_labels(pool, ("label",)).join(res, "cand_id", "left")
     mismatches = joined.where(~F.col("_rlabel").eqNullSafe(F.col("label"))).count()
@@ -90,7 +91,7 @@ def run_baseline(queries: DataFrame, pool: DataFrame, ranking: DataFrame, cfg: T
                  seed: int = 123) -> DataFrame:
     """C4: top-n examples with their labels -> result table."""
     demos = select_top_n(ranking, n, dedupe=True)
-    prompts = assemble_prompts(queries, demos, pool, cfg, "baseline")
+    prompts = assemble_prompts(queries, demos, pool, cfg, "baseline", n=n)
     return shape_results(_decode(prompts, cfg, scorer, kind, seed), "query_id")
 
 
@@ -110,5 +111,5 @@ def run_with_feedback(queries: DataFrame, pool: DataFrame, cfg: TaskConfig, n: i
                       kind: str = "column", seed: int = 123) -> DataFrame:
     """Wrong-first quota, prompts with corrections and feedback -> results."""
     demos = feedback_demos(queries, pool, n, wrong, ranking)
-    prompts = assemble_prompts(queries, demos, pool, cfg, "feedback")
+    prompts = assemble_prompts(queries, demos, pool, cfg, "feedback", n=n)
     return shape_results(_decode(prompts, cfg, scorer, kind, seed), "query_id")

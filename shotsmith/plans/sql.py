@@ -29,7 +29,7 @@ def template(alias: str) -> str:
 BM25_CTES = f"""
 pool AS ({SQL_POOL}),
 q AS ({SQL_QUERIES}),
-pdocs AS (SELECT cand_id, string_split(sentence, ' ') AS toks FROM pool),
+pdocs AS (SELECT cand_id, string_split(coalesce(sentence, 'nan'), ' ') AS toks FROM pool),
 ptok AS (SELECT cand_id, len(toks) AS dl, unnest(toks) AS token FROM pdocs),
 post AS (SELECT cand_id, dl, token, count(*) AS tf FROM ptok GROUP BY cand_id, dl, token),
 st AS (SELECT count(*) AS n, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS avgdl FROM pdocs),
@@ -47,7 +47,7 @@ idf AS (SELECT token, df, raw,
                CASE WHEN raw < 0 THEN fl.floor_idf ELSE CAST(raw AS DECIMAL(18,10)) END AS idf
         FROM vidf, fl),
 qt AS (SELECT query_id, token, count(*) AS qtf
-       FROM (SELECT query_id, unnest(string_split(sentence, ' ')) AS token FROM q)
+       FROM (SELECT query_id, unnest(string_split(coalesce(sentence, 'nan'), ' ')) AS token FROM q)
        GROUP BY query_id, token),
 matched AS (
   SELECT qt.query_id, post.cand_id,

@@ -3,7 +3,7 @@
 For sentences a, b with L2-normalised token vectors:
   P = mean over b's tokens of the max cosine to a's tokens
   R = mean over a's tokens of the max cosine to b's tokens
-  F1 = 2PR / (P + R)   (0 when P + R = 0)
+  F1 = 2PR / (P + R)   (0 when P + R = 0; cosines may be negative)
 F1 is symmetric, so which side is "candidate" does not matter.
 
 M5: the relevance term of the original greedy MMR is the F1 to the query
@@ -56,7 +56,7 @@ def f1_matrix(q_toks: list, p_toks: list) -> np.ndarray:
     precision = np.add.reduceat(best_over_q, p_off, axis=1) / p_len[None, :]
     denom = precision + recall
     with np.errstate(invalid="ignore", divide="ignore"):
-        f1 = np.where(denom > 0, 2 * precision * recall / denom, 0.0)
+        f1 = np.where(denom != 0, 2 * precision * recall / denom, 0.0)
     return f1
 
 

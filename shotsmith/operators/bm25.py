@@ -183,61 +183,74 @@ def _join_terms(post: DataFrame, qterms: DataFrame, vocab: DataFrame,
     return p.join(q, ["token", "_salt"]).drop("_salt")
 
 
+class BM25Index:
+    """The pool side of BM25, prepared once: vocabulary (checkpointed) and
+    corpus statistics.  ``scores``/``rank`` then serve any query batch --
+    e.g. every micro-batch of a query stream -- without recomputing them."""
+
+    def __init__(self, pool: DataFrame, by: str | None = None):
+        self.pool, self.by = pool, by
+        self.vocab = vocabulary_table(pool)
+        self.stats = corpus_stats(pool, self.vocab)
+        self.idf = idf_table(self.vocab, self.stats)
+
+    def scores(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """(query_id, _cls, cand_id, score) for pairs that can reach the top k."""
+        pool, by, stats, idf = self.pool, self.by, self.stats, self.idf
+        pool_p = _partitioned_pool(pool, by)
+        docs = _doc_tokens(pool_p)
+        if k is None or stats.floor_idf < 0:
+            # Full ranking, or negative weights (unmatched ids can then
+            # outrank matched ones anywhere): every id carries the marker.
+            marked = "all"
+        else:
+            marked = F.broadcast(_first_ids(pool, by, k))  # <= k rows per class
+        post = postings(docs, marked)
+
+        qterms = _query_terms(queries)
+        # idf of the tokens queries use (plus the marker, weight 0).
+        q_idf = (qterms.select("token").distinct().join(idf.select("token", "idf"), "token")
+                 .unionByName(queries.sparkSession.range(1).select(
+                     F.lit(MARKER).alias("token"), F.lit(0).cast(WEIGHT_TYPE).alias("idf"))))
+        small = qterms.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
+        if small:  # distinct query tokens <= query term rows
+            q_idf = F.broadcast(q_idf)
+        # Weight once per posting, as an exact scaled integer (units of 1e-10).
+        weighted = post.join(q_idf, "token").select(
+            "cand_id", "_cls", "token",
+            (term_weight(F.col("idf"), F.col("tf"), F.col("dl"), stats.avg_len)
+             * F.lit(SCALE)).cast("bigint").alias("w"))
+        q_marker = queries.select("query_id", F.lit(MARKER).alias("token"),
+                                  F.lit(1).cast("bigint").alias("qtf"))
+        qw = qterms.select("query_id", "token", "qtf").unionByName(q_marker)
+
+        pairs = _join_terms(weighted, qw, self.vocab, small)
+        return (pairs.groupBy("query_id", "_cls", "cand_id")
+                .agg((F.sum(F.col("qtf") * F.col("w")).cast("double") / F.lit(float(SCALE)))
+                     .alias("score")))
+
+    def rank(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """(query_id, [by], rank, cand_id, score)."""
+        order = [F.col("score").desc(), F.col("cand_id").desc()]
+        ranked = rank_within(self.scores(queries, k), ["query_id", "_cls"], order, k)
+        out = ["query_id"] + ([F.col("_cls").alias(self.by)] if self.by else []) + \
+            [F.col("rank").cast("int").alias("rank"), "cand_id", "score"]
+        return ranked.select(*out)
+
+
 def bm25_scores(pool: DataFrame, queries: DataFrame, k: int | None = None,
                 by: str | None = None) -> tuple[DataFrame, CorpusStats]:
-    """Scores of (query, cand) pairs that can reach the top k of (query, cls).
-
-    pool: cand_id BIGINT, sentence STRING (+ ``by``); queries: query_id, sentence.
-    Returns (query_id, _cls, cand_id, score DOUBLE).
-    """
-    vocab = vocabulary_table(pool)
-    stats = corpus_stats(pool, vocab)
-    pool_p = _partitioned_pool(pool, by)
-    docs = _doc_tokens(pool_p)
-    if k is None or stats.floor_idf < 0:
-        # Full ranking, or negative weights (unmatched ids can then outrank
-        # matched ones anywhere): every id carries the marker.
-        marked = "all"
-    else:
-        marked = F.broadcast(_first_ids(pool, by, k))  # <= k rows per class
-    post = postings(docs, marked)
-    idf = idf_table(vocab, stats)
-
-    qterms = _query_terms(queries)
-    # idf of the tokens queries use (plus the marker, weight 0).
-    q_idf = (qterms.select("token").distinct().join(idf.select("token", "idf"), "token")
-             .unionByName(queries.sparkSession.range(1).select(
-                 F.lit(MARKER).alias("token"), F.lit(0).cast(WEIGHT_TYPE).alias("idf"))))
-    small_queries = qterms.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
-    if small_queries:  # distinct query tokens <= query term rows
-        q_idf = F.broadcast(q_idf)
-    # Weight once per posting, as an exact scaled integer (units of 1e-10).
-    weighted = post.join(q_idf, "token").select(
-        "cand_id", "_cls", "token",
-        (term_weight(F.col("idf"), F.col("tf"), F.col("dl"), stats.avg_len)
-         * F.lit(SCALE)).cast("bigint").alias("w"))
-    q_marker = queries.select("query_id", F.lit(MARKER).alias("token"),
-                              F.lit(1).cast("bigint").alias("qtf"))
-    qw = qterms.select("query_id", "token", "qtf").unionByName(q_marker)
-
-    pairs = _join_terms(weighted, qw, vocab, small_queries)
-    scores = (pairs.groupBy("query_id", "_cls", "cand_id")
-              .agg((F.sum(F.col("qtf") * F.col("w")).cast("double") / F.lit(float(SCALE)))
-                   .alias("score")))
-    return scores, stats
+    """Scores of (query, cand) pairs that can reach the top k of (query, cls)."""
+    index = BM25Index(pool, by)
+    return index.scores(queries, k), index.stats
 
 
 def bm25_rank(pool: DataFrame, queries: DataFrame, k: int | None = None,
               by: str | None = None) -> DataFrame:
-    """W1 over M1: (query_id, [by], rank, cand_id, score).
+    """M1 + W1: (query_id, [by], rank, cand_id, score).
 
     ``k=None`` gives the full permutation of the pool for every query.
     ``by`` ranks inside each class of that pool column separately (the
     wrong/right split of the feedback selection).
     """
-    scores, _ = bm25_scores(pool, queries, k, by)
-    order = [F.col("score").desc(), F.col("cand_id").desc()]
-    ranked = rank_within(scores, ["query_id", "_cls"], order, k)
-    out = ["query_id"] + ([F.col("_cls").alias(by)] if by else []) + \
-        [F.col("rank").cast("int").alias("rank"), "cand_id", "score"]
-    return ranked.select(*out)
+    return BM25Index(pool, by).rank(queries, k)

@@ -416,7 +416,7 @@ pq AS (SELECT qs, ps, avg(m) AS p
        FROM (SELECT qs, ps, pt, max(sim) AS m FROM pairs GROUP BY qs, ps, pt)
        GROUP BY qs, ps),
 f AS (SELECT rq.qs AS query_id, rq.ps AS cand_id,
-             round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1
+             round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1
       FROM rq JOIN pq ON rq.qs = pq.qs AND rq.ps = pq.ps),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f1 DESC, cand_id) AS rank
        FROM f)

@@ -27,3 +27,4 @@ def count_occurrences(haystack: Column, needle: Column) -> Column:
     return F.when(F.length(needle) == 0, F.lit(0)).otherwise(
         F.floor((F.length(haystack) - F.length(F.replace(haystack, needle, F.lit(""))))
                 / F.length(needle)).cast("int"))
+

@@ -5,9 +5,10 @@ Plan (one shuffle of the pool, everything else local or bounded):
 1. The pool is hash-partitioned once by ``cand_id``.  Tokens are exploded and
    counted per (document, token) inside that partitioning, so postings
    ``(cand_id, cls, dl, token, tf)`` need no further shuffle.
-2. Document frequencies are a partial-then-final aggregation by token (one
-   row per token per partition crosses the network; hot tokens are folded
-   map-side).  Four scalars reach the driver: N, mean length, vocabulary
+2. Document frequencies come from a separate pass: (document, token) pairs
+   deduplicated map-side, then counted by token partial-then-final (hot
+   tokens fold map-side).  The result is
+   checkpointed; four scalars reach the driver: N, mean length, vocabulary
    size and the idf sum.
 3. Query tokens ``(query_id, token, qtf, idf)`` meet the postings in an
    equi-join on token.  The query side is broadcast only after counting it;
@@ -87,7 +88,8 @@ def _doc_tokens(pool_p: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, marked: DataFrame | str | None) -> DataFrame:
     """(cand_id, _cls, dl, token, tf); ``marked`` ids ("all": every id) also
-    carry the marker token."""
+    carry the marker token.  On a pool partitioned by cand_id the count is
+    local (no exchange)."""
     toks = F.col("_toks")
     if isinstance(marked, str):
         toks = F.concat(toks, F.array(F.lit(MARKER)))
@@ -100,31 +102,39 @@ def postings(docs: DataFrame, marked: DataFrame | str | None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
-def vocabulary(post: DataFrame) -> DataFrame:
-    """(token, df, ctf): documents holding the token and its total count."""
-    return (post.where(F.col("token") != MARKER)
-            .groupBy("token").agg(F.count(F.lit(1)).alias("df"),
-                                  F.sum("tf").alias("ctf")))
-
-
 def vocabulary_table(pool: DataFrame) -> DataFrame:
-    """The pool's vocabulary, written to the checkpoint folder.
+    """The pool's vocabulary (token, df, ctf), written to the checkpoint folder.
 
-    One pass over the pool text; later steps (statistics, the idf of query
-    tokens) read this table instead of tokenising the pool again.
+    One pass over the pool text: spread by cand_id (as the scoring pass
+    does), (document, token) pairs counted locally, then counted by token
+    partial-then-final, so a hot token folds map-side.  The marker row carries
+    the document count (df) and the total token count (ctf).  Later steps
+    (statistics, the idf of query tokens) read this table, not the text.
     """
     checkpoint_dir(pool.sparkSession)
     docs = _doc_tokens(_partitioned_pool(pool, None))
-    return vocabulary(postings(docs, None)).checkpoint(eager=True)
-
-
-def corpus_stats_from(n_docs: int, vocab: DataFrame) -> CorpusStats:
+    per_doc = postings(docs, "all").select("token", "dl")   # (doc, token) once each
+    return (per_doc.groupBy("token")
+            .agg(F.count(F.lit(1)).alias("df"),
+                 F.sum(F.when(F.col("token") == MARKER, F.col("dl")).otherwise(0))
+                 .alias("ctf"))
+            .checkpoint(eager=True))
+
+
+def corpus_stats_from(vocab: DataFrame) -> CorpusStats:
+    """Statistics from the vocabulary table (its marker row holds N and the
+    total length)."""
+    marker = F.col("token") == MARKER
+    row = vocab.agg(F.max(F.when(marker, F.col("df"))).alias("n"),
+                    F.max(F.when(marker, F.col("ctf"))).alias("total")).first()
+    n_docs, total = int(row["n"] or 0), int(row["total"] or 0)
     if n_docs == 0:
         raise ValueError("empty pool")
-    v = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("ctf").alias("total"),
-                  F.sum(_raw_idf(n_docs, F.col("df").cast("double")).cast(WEIGHT_TYPE))
-                  .alias("s")).first()
-    n_vocab, total, idf_sum = int(v["v"]), int(v["total"] or 0), v["s"] or Decimal(0)
+    v = vocab.where(~marker).agg(
+        F.count(F.lit(1)).alias("v"),
+        F.sum(_raw_idf(n_docs, F.col("df").cast("double")).cast(WEIGHT_TYPE)).alias("s")
+    ).first()
+    n_vocab, idf_sum = int(v["v"]), v["s"] or Decimal(0)
     avg_len = float(total) / float(n_docs)
     mean_idf = float(idf_sum) / n_vocab if n_vocab else 0.0
     floor = Decimal(EPSILON * mean_idf).quantize(Decimal("1E-10"))
@@ -133,15 +143,13 @@ def corpus_stats_from(n_docs: int, vocab: DataFrame) -> CorpusStats:
 
 def corpus_stats(pool: DataFrame, vocab: DataFrame | None = None) -> CorpusStats:
     """A4: N, mean document length, vocabulary size, mean idf, idf floor."""
-    if vocab is None:
-        vocab = vocabulary_table(pool)
-    return corpus_stats_from(pool.count(), vocab)
+    return corpus_stats_from(vocab if vocab is not None else vocabulary_table(pool))
 
 
 def idf_table(vocab: DataFrame, stats: CorpusStats) -> DataFrame:
     """(token, df, idf) with negative idf floored to epsilon * mean idf."""
     raw = _raw_idf(stats.n_docs, F.col("df").cast("double"))
-    return vocab.select(
+    return vocab.where(F.col("token") != MARKER).select(
         "token", "df", raw.alias("raw_idf"),
         F.when(raw < 0, F.lit(stats.floor_idf).cast(WEIGHT_TYPE))
          .otherwise(raw.cast(WEIGHT_TYPE)).alias("idf"))

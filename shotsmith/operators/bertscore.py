@@ -70,7 +70,7 @@ def bertscore_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
     dim_tok = pool.select(F.size(F.col("toks")[0]).alias("d"),
                           F.size("toks").alias("t")).agg(F.max("d"), F.avg("t")).first()
     row_bytes = int(8 * (dim_tok[0] or 1) * (dim_tok[1] or 1)) + 16
-    pairs = block_pairs(queries, pool, "query_id", "cand_id", "toks", row_bytes, block_rows)
+    pairs, n_pool = block_pairs(queries, pool, "query_id", "cand_id", "toks", row_bytes, block_rows)
 
     def kernel(row):
         qi = np.asarray(row["q_ids"], dtype=np.int64)
@@ -80,7 +80,8 @@ def bertscore_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
 
     scored = run_blocks(pairs, kernel)
     ranked = rank_within(scored, ["query_id"],
-                         [F.col("score").desc(), F.col("cand_id").asc()], k)
+                         [F.col("score").desc(), F.col("cand_id").asc()], k,
+                         max_group_rows=n_pool)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "cand_id",
                          F.col("score").alias("f1"))
 

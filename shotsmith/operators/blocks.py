@@ -47,8 +47,10 @@ def to_blocks(df: DataFrame, id_col: str, payload: str, n_blocks: int,
 
 
 def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
-                payload: str, row_bytes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per (query block, pool block): q_ids, q_vals, p_ids, p_vals."""
+                payload: str, row_bytes: int,
+                block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """One row per (query block, pool block): q_ids, q_vals, p_ids, p_vals;
+    and the pool row count."""
     nq, npool = queries.count(), pool.count()
     bq, bp = _n_blocks(nq, block_rows), _n_blocks(npool, block_rows)
     qb = to_blocks(queries, q_id, payload, bq, "q_")
@@ -57,7 +59,7 @@ def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
     if npool * row_bytes <= BROADCAST_BYTES:
         pb = F.broadcast(pb)
     # Spread the block pairs over tasks: each carries a matrix product.
-    return qb.join(pb, "p_block").repartition(max(1, min(bq * bp, 4096)))
+    return qb.join(pb, "p_block").repartition(max(1, min(bq * bp, 4096))), npool
 
 
 def topk_rows(scores: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int | None,

@@ -240,7 +240,8 @@ class BM25Index:
     def rank(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, [by], rank, cand_id, score)."""
         order = [F.col("score").desc(), F.col("cand_id").desc()]
-        ranked = rank_within(self.scores(queries, k), ["query_id", "_cls"], order, k)
+        ranked = rank_within(self.scores(queries, k), ["query_id", "_cls"], order, k,
+                             max_group_rows=self.stats.n_docs)
         out = ["query_id"] + ([F.col("_cls").alias(self.by)] if self.by else []) + \
             [F.col("rank").cast("int").alias("rank"), "cand_id", "score"]
         return ranked.select(*out)

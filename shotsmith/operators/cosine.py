@@ -23,7 +23,7 @@ def cosine_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
     q = queries.select(F.col(q_id).alias("query_id"), normalise(vec).alias("v"))
     p = pool.select(F.col(p_id).alias("cand_id"), normalise(vec).alias("v"))
     dim = len(pool.select(vec).first()[0] or [])
-    pairs = block_pairs(q, p, "query_id", "cand_id", "v", row_bytes=8 * max(dim, 1) + 16,
+    pairs, n_pool = block_pairs(q, p, "query_id", "cand_id", "v", row_bytes=8 * max(dim, 1) + 16,
                         block_rows=block_rows)
 
     def kernel(row):
@@ -35,6 +35,7 @@ def cosine_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
 
     scored = run_blocks(pairs, kernel)
     ranked = rank_within(scored, ["query_id"],
-                         [F.col("score").desc(), F.col("cand_id").asc()], k)
+                         [F.col("score").desc(), F.col("cand_id").asc()], k,
+                         max_group_rows=n_pool)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"),
                          "cand_id", "score")

@@ -90,9 +90,11 @@ def restrict_rankings(ranking: DataFrame, pool: DataFrame) -> DataFrame:
     """Drop ranked ids outside the (trimmed) pool; keep the order and
     renumber ranks 1.. without gaps."""
     ids = pool.select("cand_id")
-    if ids.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+    n_ids = ids.count()
+    if n_ids <= BROADCAST_ROW_LIMIT:
         ids = F.broadcast(ids)
     kept = ranking.join(ids, "cand_id", "left_semi")
+    # A query keeps at most one row per pool id: the pool size bounds a group.
     ranked = rank_within(kept.withColumnRenamed("rank", "_old"), ["query_id"],
-                         [F.col("_old"), F.col("cand_id")], None)
+                         [F.col("_old"), F.col("cand_id")], None, max_group_rows=n_ids)
     return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_old")

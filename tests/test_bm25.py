@@ -132,3 +132,12 @@ def test_per_class_ranking(spark):
                     .partitionBy("query_id").orderBy("rank"))).where("r <= 3").collect()]
         got = [(r["query_id"], r["cand_id"]) for r in per.where(F.col("ok") == cls).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_full_rank_distributed_path_equals_window_path(spark, monkeypatch):
+    from shotsmith.operators import ranking
+    pool = tables.pool(spark, SF0001)
+    q = tables.queries(spark, SF0001)
+    want = rows(B.bm25_rank(pool, q, k=None))
+    monkeypatch.setattr(ranking, "WINDOW_GROUP_ROWS", 0)
+    assert rows(B.bm25_rank(pool, q, k=None)) == want

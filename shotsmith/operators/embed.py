@@ -17,35 +17,41 @@ from pyspark.sql import functions as F
 
 
 class HashingEncoder:
-    """Offline stand-in encoder: signed feature hashing of space tokens,
-    L2-normalised.  Deterministic; needs no model files."""
+    """Offline stand-in encoder: signed feature hashing of space tokens.
+
+    Token t adds sign(t) to bucket(t), both from md5(t) (first 8 hex digits
+    mod dim; parity of the 9th digit: even +1, odd -1); the vector is then
+    L2-normalised.  Deterministic and reproducible in SQL; needs no model.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def load(self):
-        import zlib
+        import hashlib
         dim = self.dim
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
+            out = np.zeros((len(texts), dim), dtype=np.float64)
             for i, t in enumerate(texts):
                 for tok in str(t).split(" "):
-                    h = zlib.crc32(tok.encode("utf-8"))
-                    out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+                    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                    out[i, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
             n = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.maximum(n, 1e-12)
         return encode
 
 
 def embed(df: DataFrame, encoder, id_col: str, text_col: str = "sentence",
-          out_col: str = "embedding") -> DataFrame:
-    """(id, embedding ARRAY<FLOAT>) for every row."""
+          out_col: str = "embedding", dtype: str = "float") -> DataFrame:
+    """(id, embedding ARRAY<FLOAT>) for every row (``dtype='double'`` keeps
+    float64)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder.load()
         for pdf in batches:
             vecs = encode(pdf[text_col].fillna("nan").astype(str).tolist())
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                out_col: [v.astype(np.float32).tolist() for v in vecs]})
+                                out_col: [v.astype(np_type).tolist() for v in vecs]})
+    np_type = np.float32 if dtype == "float" else np.float64
     return df.select(F.col(id_col), F.col(text_col)).mapInPandas(
-        run, f"{id_col} bigint, {out_col} array<float>")
+        run, f"{id_col} bigint, {out_col} array<{dtype}>")

@@ -15,7 +15,9 @@ query carry text.  Each query's group holds at most n blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotsmith.functions.labels import is_correct
@@ -28,12 +30,16 @@ METHODS = ("prior", "baseline", "feedback")
 
 def demo_blocks(demos: DataFrame, pool: DataFrame, cfg: TaskConfig, method: str,
                 feedback: dict[str, str] = FEEDBACK,
-                max_rows: int | None = None) -> DataFrame:
+                max_rows: int | None = None,
+                template: Callable[[TaskConfig], Column] | None = None) -> DataFrame:
     """(query_id, pos, block) for selected demonstrations (query_id, pos, cand_id).
 
     ``max_rows`` bounds the selection's size (queries x n) without running
-    it; without it the selection is counted first.
+    it; without it the selection is counted first.  ``template`` (U1) replaces
+    the dataset's input template: a function of the task config returning a
+    Column over the row's columns (no UDF involved).
     """
+    template = template or input_template
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     sel = demos.select("query_id", "pos", "cand_id")
@@ -45,11 +51,11 @@ def demo_blocks(demos: DataFrame, pool: DataFrame, cfg: TaskConfig, method: str,
         rows = sel.join(pool, "cand_id")               # AQE splits hot ids
     label = as_text("label")
     if method in ("prior", "baseline"):
-        block = F.concat(input_template(cfg), F.lit("Label: "), label, F.lit("\n\n"))
+        block = F.concat(template(cfg), F.lit("Label: "), label, F.lit("\n\n"))
     else:
         right = is_correct("label", "prediction")
         shown = F.when(right, label).otherwise(as_text("prediction"))
-        block = F.concat(input_template(cfg), F.lit("Prediction: "), shown, F.lit("\n"),
+        block = F.concat(template(cfg), F.lit("Prediction: "), shown, F.lit("\n"),
                          F.lit("Correct Label: "), label, F.lit("\n"),
                          F.when(right, F.lit(feedback["correct"]))
                           .otherwise(F.lit(feedback["wrong"])))
@@ -58,14 +64,16 @@ def demo_blocks(demos: DataFrame, pool: DataFrame, cfg: TaskConfig, method: str,
 
 def assemble_prompts(queries: DataFrame, demos: DataFrame, pool: DataFrame,
                      cfg: TaskConfig, method: str, feedback: dict[str, str] = FEEDBACK,
-                     n: int | None = None) -> DataFrame:
+                     n: int | None = None,
+                     template: Callable[[TaskConfig], Column] | None = None) -> DataFrame:
     """(query_id, prompt, label) for every query; no demonstrations -> bare prompt.
 
     ``n``: at most n demonstrations per query (bounds the selection by
     queries x n, counted on the cheap query table).
     """
     max_rows = None if n is None else queries.count() * n
-    blocks = demo_blocks(demos, pool, cfg, method, feedback, max_rows)
+    template = template or input_template
+    blocks = demo_blocks(demos, pool, cfg, method, feedback, max_rows, template)
     joined = (blocks.groupBy("query_id")
               .agg(F.array_join(
                   F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))),
@@ -74,5 +82,5 @@ def assemble_prompts(queries: DataFrame, demos: DataFrame, pool: DataFrame,
     return (queries.join(joined, "query_id", "left")
             .select("query_id",
                     F.concat(F.lit(cfg.instruction), F.coalesce("demo_text", F.lit("")),
-                             input_template(cfg), tail).alias("prompt"),
+                             template(cfg), tail).alias("prompt"),
                     as_text("label").alias("label")))

@@ -229,8 +229,7 @@ def prior_predict_vote(spark, sf):
 WITH r AS ({PRIOR_RESULTS_SQL})
 SELECT outputs, count(*) AS n FROM r GROUP BY outputs""")
 def output_counts(spark, sf):
-    res = jobs.prior_predict(tables.pool(spark, sf), CFG, k=4, seed=123)
-    return res.groupBy("outputs").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.output_counts(jobs.prior_predict(tables.pool(spark, sf), CFG, k=4, seed=123))
 
 
 @register("writeback_mismatches", f"""
@@ -455,8 +454,35 @@ def rankings_json_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- encoder hook (M3)
 
-@register("sbert_hashing_top5")
+def _hash_vec_sql(src: str, id_col: str, name: str) -> str:
+    return f"""
+{name}_t AS (SELECT {id_col} AS id, md5(tok) AS m
+             FROM (SELECT {id_col}, unnest(string_split(coalesce(sentence, 'nan'), ' ')) AS tok
+                   FROM {src})),
+{name}_b AS (SELECT id, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % 64 AS bucket,
+                    CASE WHEN CAST(('0x' || substr(m, 9, 1)) AS BIGINT) % 2 = 0
+                         THEN 1.0 ELSE -1.0 END AS sg FROM {name}_t),
+{name}_v AS (SELECT id, bucket, CAST(sum(sg) AS DOUBLE) AS val FROM {name}_b GROUP BY id, bucket),
+{name}_n AS (SELECT id, greatest(sqrt(sum(val * val)), 1e-12) AS nrm FROM {name}_v GROUP BY id)"""
+
+
+SBERT_SQL = (f"WITH pool AS ({tables.SQL_POOL}), q AS ({tables.SQL_QUERIES}),"
+             + _hash_vec_sql("q", "query_id", "qv") + ","
+             + _hash_vec_sql("pool", "cand_id", "pv") + """,
+dots AS (SELECT a.id AS query_id, b.id AS cand_id, sum(a.val * b.val) AS d
+         FROM qv_v a JOIN pv_v b ON a.bucket = b.bucket GROUP BY a.id, b.id),
+s AS (SELECT q.query_id, p.cand_id,
+             round(coalesce(d.d, 0) / (qn.nrm * pn.nrm), 6) AS score
+      FROM q CROSS JOIN pool p
+      JOIN qv_n qn ON qn.id = q.query_id JOIN pv_n pn ON pn.id = p.cand_id
+      LEFT JOIN dots d ON d.query_id = q.query_id AND d.cand_id = p.cand_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rk
+      FROM s)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, cand_id, score FROM r WHERE rk <= 5""")
+
+
+@register("sbert_hashing_top5", SBERT_SQL)
 def sbert_hashing_top5(spark, sf):
     from shotsmith.operators.embed import HashingEncoder
     return jobs.retrieve("sbert", tables.pool(spark, sf), tables.queries(spark, sf), k=5,
-                         encoder=HashingEncoder(64))
+                         encoder=HashingEncoder(64), dtype="double")

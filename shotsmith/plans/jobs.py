@@ -49,6 +49,12 @@ def prior_predict(pool: DataFrame, cfg: TaskConfig, scorer=vote_scorer, kind: st
                          "query_id")
 
 
+def output_counts(results: DataFrame) -> DataFrame:
+    """A1: rows per output label, most frequent first."""
+    return (results.groupBy("outputs").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").desc(), F.col("outputs")))
+
+
 def write_back(pool: DataFrame, results: DataFrame) -> tuple[DataFrame, int]:
     """Pool with ``prediction`` from the results, and the number of rows
     whose result label differs from the pool label (must be 0)."""
@@ -73,8 +79,9 @@ def retrieve(mode: str, pool: DataFrame, queries: DataFrame, k: int | None = Non
     if mode == "sbert":
         from shotsmith.operators.cosine import cosine_rank
         from shotsmith.operators.embed import embed
-        enc = kw["encoder"]
-        return cosine_rank(embed(queries, enc, "query_id"), embed(pool, enc, "cand_id"), k)
+        enc, dt = kw["encoder"], kw.get("dtype", "float")
+        return cosine_rank(embed(queries, enc, "query_id", dtype=dt),
+                           embed(pool, enc, "cand_id", dtype=dt), k)
     if mode == "kmeans":
         from shotsmith.operators.clusters import kmeans_rankings
         from shotsmith.operators.embed import embed

@@ -49,3 +49,17 @@ def with_row_ids(df: DataFrame, id_col: str) -> DataFrame:
     """Positional ids 0..N-1 in file order, computed on the JVM."""
     from shotsmith.operators.positions import index_in_order
     return index_in_order(df, id_col)
+
+
+def with_model_predictions(pool: DataFrame, predictions: DataFrame, model: str) -> DataFrame:
+    """The pool with the prior predictions one model made.
+
+    Predictions live in their own table ``(model, cand_id, prediction)`` rather
+    than in a per-model copy of the pool file; rows the model never scored
+    read ``'nan'`` (and so count as wrong).
+    """
+    preds = (predictions.where(F.col("model") == F.lit(model))
+             .select("cand_id", F.col("prediction").alias("_pred")))
+    out = pool.drop("prediction").join(preds, "cand_id", "left") \
+        .withColumnRenamed("_pred", "prediction")
+    return normalise_labels(out, ("prediction",))

@@ -1,15 +1,16 @@
 """Block pairing for exact all-pairs similarity (M2 cosine, M4 token F1).
 
 Exact top-k similarity has to look at every (query, candidate) pair; the
-question is only how.  Rows are hashed into blocks of about ``block_rows``
-rows; each query block row is repeated once per pool block id (explode) and
-meets its pool block in an equi-join on the block id.  One task then runs
-one numpy matrix product per block pair and emits only the top k per query,
-so pair rows never exist as Spark rows.  A final ``row_number <= k`` per
-query (WindowGroupLimit) merges the per-block winners.
+question is only how.  Rows are hashed into blocks; each query block row is
+repeated once per pool block id (explode) and meets its pool block in an
+equi-join on the block id.  One task then runs one numpy matrix product per
+block pair and emits only the top k per query, so pair rows never exist as
+Spark rows.  A final ``row_number <= k`` per query (WindowGroupLimit) merges
+the per-block winners.
 
 The pool-block side is broadcast only when its measured size is under the
-limit; otherwise it is shuffled by block id.
+limit (pairs then form inside the query block's task, nothing but the
+top-k rows is shuffled); otherwise it is joined by block id.
 """
 
 from __future__ import annotations
@@ -50,16 +51,25 @@ def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
                 payload: str, row_bytes: int,
                 block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """One row per (query block, pool block): q_ids, q_vals, p_ids, p_vals;
-    and the pool row count."""
+    and the pool row count.
+
+    Query blocks are spread over tasks first (at least one per core), then
+    each meets the pool blocks: broadcast pool blocks (size checked) make
+    every pair inside the query block's task, so no pair row is shuffled;
+    a pool too large to broadcast is joined by block id instead (the query
+    block is then sent to every pool block's task -- the block nested loop).
+    """
+    spark = queries.sparkSession
     nq, npool = queries.count(), pool.count()
-    bq, bp = _n_blocks(nq, block_rows), _n_blocks(npool, block_rows)
-    qb = to_blocks(queries, q_id, payload, bq, "q_")
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    q_rows = max(1, min(block_rows, math.ceil(nq / cores)))
+    bq, bp = _n_blocks(nq, q_rows), _n_blocks(npool, block_rows)
+    qb = to_blocks(queries, q_id, payload, bq, "q_").repartition(bq, "q_block")
     pb = to_blocks(pool, p_id, payload, bp, "p_")
     qb = qb.withColumn("p_block", F.explode(F.sequence(F.lit(0), F.lit(bp - 1))))
     if npool * row_bytes <= BROADCAST_BYTES:
         pb = F.broadcast(pb)
-    # Spread the block pairs over tasks: each carries a matrix product.
-    return qb.join(pb, "p_block").repartition(max(1, min(bq * bp, 4096))), npool
+    return qb.join(pb, "p_block"), npool
 
 
 def topk_rows(scores: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int | None,

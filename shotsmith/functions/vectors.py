@@ -26,9 +26,16 @@ def l2_norm(v: str | Column) -> Column:
 
 
 def normalise(v: str | Column) -> Column:
-    """v / max(||v||, eps)."""
-    norm = F.greatest(l2_norm(v), F.lit(NORM_EPS))
-    return F.transform(_c(v), lambda x: x.cast("double") / norm)
+    """v / max(||v||, eps).
+
+    The norm is computed once per row and zipped alongside the elements
+    (``array_repeat`` evaluates it once); an expression written inside the
+    lambda would be re-evaluated for every element.
+    """
+    vec = _c(v)
+    norm = F.greatest(l2_norm(vec), F.lit(NORM_EPS))
+    return F.transform(F.arrays_zip(vec.alias("x"), F.array_repeat(norm, F.size(vec)).alias("n")),
+                       lambda e: e["x"].cast("double") / e["n"])
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

@@ -21,8 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotsmith.functions.vectors import normalise
-from shotsmith.operators.blocks import BLOCK_ROWS, block_pairs, run_blocks, topk_rows
+from shotsmith.operators.blocks import (BLOCK_ROWS, block_pairs, run_blocks, topk_rows,
+                                        unit_rows)
 from shotsmith.operators.ranking import rank_within
 
 MMR_LAMBDA = 0.5
@@ -30,13 +30,14 @@ MMR_LAMBDA = 0.5
 
 def token_sentences(tokens: DataFrame, sent_col: str, pos_col: str, vec_col: str,
                     id_name: str) -> DataFrame:
-    """(id, toks ARRAY<ARRAY<DOUBLE>>) from long token rows, in token order.
+    """(id, toks ARRAY<ARRAY<DOUBLE>>) from long token rows, in token order
+    (vectors as given; the F1 kernel normalises them).
 
     A sentence's tokens form one group; its size is the sentence length.
     """
     return (tokens.groupBy(F.col(sent_col).alias(id_name))
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"),
-                                                      normalise(vec_col).alias("v"))))
+            .agg(F.array_sort(F.collect_list(F.struct(
+                F.col(pos_col).alias("p"), F.col(vec_col).cast("array<double>").alias("v"))))
                  .alias("_t"))
             .select(id_name, F.col("_t.v").alias("toks")))
 
@@ -45,8 +46,8 @@ def f1_matrix(q_toks: list, p_toks: list) -> np.ndarray:
     """F1 of every (query sentence, pool sentence) pair of a block."""
     q_len = np.array([len(t) for t in q_toks])
     p_len = np.array([len(t) for t in p_toks])
-    qm = np.vstack([np.asarray(list(t), dtype=np.float64) for t in q_toks])
-    pm = np.vstack([np.asarray(list(t), dtype=np.float64) for t in p_toks])
+    qm = unit_rows(np.vstack([np.asarray(list(t), dtype=np.float64) for t in q_toks]))
+    pm = unit_rows(np.vstack([np.asarray(list(t), dtype=np.float64) for t in p_toks]))
     sim = qm @ pm.T
     q_off = np.concatenate([[0], np.cumsum(q_len)[:-1]])
     p_off = np.concatenate([[0], np.cumsum(p_len)[:-1]])

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 256 * 1024 * 1024
 SCORE_DECIMALS = 6
+NORM_EPS = 1e-12
 
 PAIR_SCHEMA = "query_id bigint, cand_id bigint, score double"
 
@@ -72,6 +73,12 @@ def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
     return qb.join(pb, "p_block"), npool
 
 
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit L2 norm; the norm is clamped so zero rows stay zero."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.maximum(n, NORM_EPS)
+
+
 def topk_rows(scores: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int | None,
               exclude_self: bool, descending_ids: bool = False) -> pd.DataFrame:
     """Top k per query row of a score block: score DESC, then id ASC."""

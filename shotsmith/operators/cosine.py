@@ -1,6 +1,6 @@
 """Cosine ranking of a vector pool for every query vector.
 
-Vectors are L2-normalised once (JVM expression, norm clamped so a zero
+Vectors are L2-normalised once per block in numpy (norm clamped so a zero
 vector scores 0), then every block pair is one numpy matmul (``blocks``).
 Scores are rounded to 6 decimals before ranking; ties go to the smaller id.
 """
@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotsmith.functions.vectors import normalise
-from shotsmith.operators.blocks import BLOCK_ROWS, block_pairs, run_blocks, topk_rows
+from shotsmith.operators.blocks import (BLOCK_ROWS, block_pairs, run_blocks, topk_rows,
+                                        unit_rows)
 from shotsmith.operators.ranking import rank_within
 
 
@@ -20,15 +20,16 @@ def cosine_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
                 exclude_self: bool = False, q_id: str = "query_id", p_id: str = "cand_id",
                 vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, cand_id, score) -- top k per query, or all (k=None)."""
-    q = queries.select(F.col(q_id).alias("query_id"), normalise(vec).alias("v"))
-    p = pool.select(F.col(p_id).alias("cand_id"), normalise(vec).alias("v"))
+    dbl = "array<double>"
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast(dbl).alias("v"))
+    p = pool.select(F.col(p_id).alias("cand_id"), F.col(vec).cast(dbl).alias("v"))
     dim = len(pool.select(vec).first()[0] or [])
     pairs, n_pool = block_pairs(q, p, "query_id", "cand_id", "v", row_bytes=8 * max(dim, 1) + 16,
                         block_rows=block_rows)
 
     def kernel(row):
-        qm = np.asarray(list(row["q_vals"]), dtype=np.float64)
-        pm = np.asarray(list(row["p_vals"]), dtype=np.float64)
+        qm = unit_rows(np.asarray(list(row["q_vals"]), dtype=np.float64))
+        pm = unit_rows(np.asarray(list(row["p_vals"]), dtype=np.float64))
         qi = np.asarray(row["q_ids"], dtype=np.int64)
         pi = np.asarray(row["p_ids"], dtype=np.int64)
         return topk_rows(qm @ pm.T, qi, pi, k, exclude_self)

@@ -128,3 +128,14 @@ def test_kmeans_rankings_invariants(spark):
         assert [a for a, _ in lst] == list(range(1, 121))
         blocks = [lst[i:i + 4] for i in range(0, 120, 4)]
         assert all(sorted(cl[c] for _, c in b) == [0, 1, 2, 3] for b in blocks)
+
+
+def test_normalise_and_norm_columns(spark):
+    from shotsmith.functions.vectors import cosine, dot, l2_norm, normalise
+    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])],
+                               "a array<double>, b array<double>")
+    got = df.select(normalise("a").alias("u"), l2_norm("a").alias("n"),
+                    dot("a", "b").alias("d"), cosine("a", "b").alias("c")).collect()
+    assert got[0]["u"] == pytest.approx([0.6, 0.8]) and got[0]["n"] == 5.0
+    assert got[0]["d"] == 24.0 and got[0]["c"] == pytest.approx(0.96)
+    assert got[1]["u"] == [0.0, 0.0] and got[1]["c"] == 0.0

@@ -23,6 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotsmith.session import ship_package
+
+
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 256 * 1024 * 1024
 SCORE_DECIMALS = 6
@@ -106,4 +109,5 @@ def run_blocks(pairs: DataFrame, kernel: Callable[[pd.Series], pd.DataFrame],
                 out = kernel(row)
                 if len(out):
                     yield out
+    ship_package(pairs.sparkSession)
     return pairs.mapInPandas(run, schema)

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotsmith.session import ship_package
+
+
 
 class HashingEncoder:
     """Offline stand-in encoder: signed feature hashing of space tokens.
@@ -52,6 +55,7 @@ def embed(df: DataFrame, encoder, id_col: str, text_col: str = "sentence",
             vecs = encode(pdf[text_col].fillna("nan").astype(str).tolist())
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
                                 out_col: [v.astype(np_type).tolist() for v in vecs]})
+    ship_package(df.sparkSession)
     np_type = np.float32 if dtype == "float" else np.float64
     return df.select(F.col(id_col), F.col(text_col)).mapInPandas(
         run, f"{id_col} bigint, {out_col} array<{dtype}>")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from shotsmith.functions.arrays import all_equal, argmax
 from shotsmith.functions.hashing import seeded_draw
 from shotsmith.functions.text import count_occurrences
+from shotsmith.session import ship_package
 
 # Fallback label for all-equal scores when the label space has it.
 OTHERS = "others"
@@ -60,6 +61,7 @@ def score_prompts(df: DataFrame, scorer, labels, prompt_col: str = "prompt",
         return df.withColumn("scores", scorer(F.col(prompt_col), labels))
     schema = T.StructType(df.schema.fields +
                           [T.StructField("scores", T.ArrayType(T.DoubleType()), True)])
+    ship_package(df.sparkSession)
     return df.mapInPandas(scorer, schema)
 
 

@@ -61,3 +61,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def row_count_at_most(df, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows (reads at most limit+1)."""
     return df.limit(limit + 1).count() <= limit
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shotsmith`` importable in Python workers (``mapInPandas`` code).
+
+    On a cluster the package comes with ``--py-files`` (or is installed on the
+    executors).  A local session whose driver did not start in the repository
+    gets a zip of the package through ``addPyFile`` once.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_shotsmith_shipped", False):
+        return
+    if "shotsmith" in sc.getConf().get("spark.submit.pyFiles", ""):
+        sc._shotsmith_shipped = True
+        return
+    if not sc.master.startswith("local"):
+        return
+    import os
+    import zipfile
+
+    import shotsmith
+    pkg_dir = os.path.dirname(os.path.abspath(shotsmith.__file__))
+    base = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="shotsmith-pyfiles-"), "shotsmith.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    sc._shotsmith_shipped = True

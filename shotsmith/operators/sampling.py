@@ -91,10 +91,13 @@ def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
 
 
 def random_rankings(queries: DataFrame, pool: DataFrame, m: int = 300,
-                    seed: int = 123) -> DataFrame:
+                    seed: int = 123, strict: bool = False) -> DataFrame:
     """Per query, m = min(m, N) pool ids uniformly without replacement,
-    in draw order -> (query_id, rank, cand_id)."""
+    in draw order -> (query_id, rank, cand_id).  ``strict``: a pool smaller
+    than m is an error instead."""
     positions, n = pool_positions(pool)
+    if strict and n < m:
+        raise ValueError(f"pool has {n} rows; {m} requested")
     m = min(m, n)
     if m == 0:
         return queries.select("query_id").where("false") \

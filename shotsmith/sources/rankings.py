@@ -45,9 +45,13 @@ def write_rankings_json(ranking: DataFrame, path: str, mode: str = "overwrite")
     rankings_to_json(ranking).select("value").write.mode(mode).text(path)
 
 
-def read_rankings_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines files or a single-object file -> ranking table."""
-    return rankings_from_json(spark.read.text(path))
+def read_rankings_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """JSON Lines files or a single-object file -> ranking table.
+
+    ``whole_file`` reads each file as one value (a pretty-printed object
+    spanning lines); one file is then one task.
+    """
+    return rankings_from_json(spark.read.text(path, wholetext=whole_file))
 
 
 def write_rankings(ranking: DataFrame, path: str, partition_cols: list[str] = (),

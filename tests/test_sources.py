@@ -75,3 +75,12 @@ def test_write_results_partitioned_csv(spark):
     back = (spark.read.option("header", True).option("escape", '"').csv(d)
             .where("dataset = 'sst2'"))
     assert back.first()["input_all_tokens"] == 'p,"q"'
+
+
+def test_rankings_pretty_printed_file(spark):
+    d = scratch()
+    path = os.path.join(d, "bm25_1.json")
+    with open(path, "w") as f:
+        json.dump({"3": ["1", "0"], "4": ["2"]}, f, indent=2)
+    got = rows(read_rankings_json(spark, path, whole_file=True))
+    assert got == [(3, 1, 1), (3, 2, 0), (4, 1, 2)]

@@ -235,8 +235,9 @@ def output_counts(spark, sf):
 @register("writeback_mismatches", f"""
 WITH r AS ({PRIOR_RESULTS_SQL}), pool AS ({tables.SQL_POOL})
 SELECT count(*) AS n_rows,
-       sum(CASE WHEN r.label IS NOT DISTINCT FROM pool.label THEN 0 ELSE 1 END) AS mismatches,
-       sum(CASE WHEN r.outputs = pool.label THEN 1 ELSE 0 END) AS n_correct
+       CAST(sum(CASE WHEN r.label IS NOT DISTINCT FROM pool.label THEN 0 ELSE 1 END) AS BIGINT)
+         AS mismatches,
+       CAST(sum(CASE WHEN r.outputs = pool.label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
 FROM pool LEFT JOIN r ON CAST(r.id AS BIGINT) = pool.cand_id""")
 def writeback_mismatches(spark, sf):
     pool = tables.pool(spark, sf)

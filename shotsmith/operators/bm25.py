@@ -212,7 +212,10 @@ class BM25Index:
             # outrank matched ones anywhere): every id carries the marker.
             marked = "all"
         else:
-            marked = F.broadcast(_first_ids(pool, by, k))  # <= k rows per class
+            marked = _first_ids(pool, by, k)   # k rows per class
+            size = k if by is None else marked.limit(BROADCAST_ROW_LIMIT + 1).count()
+            if size <= BROADCAST_ROW_LIMIT:
+                marked = F.broadcast(marked)
         post = postings(docs, marked)
 
         qterms = _query_terms(queries)

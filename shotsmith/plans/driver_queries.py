@@ -125,7 +125,7 @@ def prompt_feedback(spark, sf):
 
 from shotsmith.operators.sampling import (  # noqa: E402
     random_neighbours, random_rankings, stratified_pool)
-from shotsmith.operators.scoring import decode_label, score_prompts, vote_scorer  # noqa: E402
+from shotsmith.operators.scoring import decode_label  # noqa: E402
 from shotsmith.operators.select import limit_pool, restrict_rankings  # noqa: E402
 from shotsmith.plans import jobs  # noqa: E402
 
@@ -313,7 +313,6 @@ def feedback_infer_pandas(spark, sf):
 SELECT count(DISTINCT lang) AS n_labels, 300 // count(DISTINCT lang) AS quota
 FROM documents""")
 def q_label_quota(spark, sf):
-    from shotsmith.operators.sampling import label_quota
     c = tables.corpus(spark, sf)
     return c.agg(F.countDistinct("label").cast("bigint").alias("n_labels"),
                  F.floor(F.lit(300) / F.countDistinct("label")).cast("bigint").alias("quota"))

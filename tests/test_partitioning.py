@@ -1,7 +1,6 @@
 """Same answer at 1 and 64 shuffle partitions and after a repartition."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF0001, SF001, rows
 from shotsmith.functions.arrays import gather, reorder

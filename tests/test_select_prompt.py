@@ -1,7 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
 
-from conftest import rows
 from shotsmith.functions.templates import FEEDBACK, INSTRUCTION, task_config
 from shotsmith.operators.prompt import assemble_prompts
 from shotsmith.operators.select import (limit_pool, restrict_rankings, select_quota,

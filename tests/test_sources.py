@@ -4,10 +4,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001, rows
+from conftest import rows
 from shotsmith.sources.labelled import read_labelled
-from shotsmith.sources.rankings import (read_rankings, read_rankings_json, rankings_from_json,
-                                        rankings_to_json, write_rankings, write_rankings_json)
+from shotsmith.sources.rankings import (read_rankings, read_rankings_json, rankings_to_json,
+                                        write_rankings, write_rankings_json)
 from shotsmith.sources.results import write_results
 
 

@@ -76,9 +76,15 @@ def term_weight(idf: F.Column, tf: F.Column, dl: F.Column, avg_len: float) -> F.
 
 
 def _partitioned_pool(pool: DataFrame, by: str | None) -> DataFrame:
+    """The pool spread by cand_id over ``spark.sql.shuffle.partitions`` tasks.
+
+    The count is explicit so adaptive execution does not merge the (small
+    in bytes, heavy in CPU) text partitions into a few tasks.
+    """
     cls = F.col(by) if by else F.lit(0)
+    n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (pool.select("cand_id", cls.alias("_cls"), "sentence")
-            .repartition("cand_id"))
+            .repartition(n, "cand_id"))
 
 
 def _doc_tokens(pool_p: DataFrame) -> DataFrame:

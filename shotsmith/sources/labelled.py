@@ -12,14 +12,16 @@ from pyspark.sql import types as T
 
 from shotsmith.functions.labels import normalise_labels
 
-# Columns a labelled CSV may hold; all are text except label_id.
-LABELLED_SCHEMA = T.StructType([
-    T.StructField("sentence", T.StringType(), True),
-    T.StructField("label_id", T.IntegerType(), True),
-    T.StructField("label", T.StringType(), True),
-    T.StructField("prediction", T.StringType(), True),
-    T.StructField("zeropred", T.StringType(), True),
-])
+# --- fixed values: texts a pandas CSV read treats as missing (its default
+# na_values); the original pipeline then renders such a cell as "nan" ---
+PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
+             "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+             "nan", "null"]
+# --- end of fixed values ---
+
+# Columns a labelled CSV may hold.  All are read as text; label_id (which no
+# step uses) becomes INT with try_cast, so an odd value cannot fail a read.
+LABELLED_COLUMNS = ["sentence", "label_id", "label", "prediction", "zeropred"]
 
 
 def read_labelled(spark: SparkSession, path: str, id_col: str = "cand_id",
@@ -27,19 +29,23 @@ def read_labelled(spark: SparkSession, path: str, id_col: str = "cand_id",
     """Read a pool or query table and give every row its file position as id.
 
     CSV: header line, quotes doubled inside quoted fields (``escape='"'``).
-    The header decides which columns exist, so the schema is read from it and
-    every column typed as text (``label_id`` as INT) -- no inference pass.
+    The header decides which columns exist; every column is text (no
+    inference pass) and pandas' missing-value texts read as missing.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         header = spark.read.option("header", True).option("escape", '"') \
             .option("inferSchema", False).csv(path).columns
-        known = {f.name: f for f in LABELLED_SCHEMA.fields}
-        fields = [known.get(c, T.StructField(c, T.StringType(), True)) for c in header]
+        fields = [T.StructField(c, T.StringType(), True) for c in header]
         df = (spark.read.schema(schema or T.StructType(fields))
               .option("header", True).option("escape", '"')
               .option("mode", "FAILFAST").csv(path))
+        na = F.array(*[F.lit(x) for x in PANDAS_NA])
+        df = df.select(*[F.when(F.array_contains(na, F.col(c)), F.lit(None))
+                          .otherwise(F.col(c)).alias(c) for c in df.columns])
+        if "label_id" in df.columns:
+            df = df.withColumn("label_id", F.col("label_id").try_cast("int"))
     if id_col not in df.columns:
         df = with_row_ids(df, id_col)
     return normalise_labels(df)

@@ -1,4 +1,4 @@
-"""Same answer at 1 and 64 shuffle partitions and after a repartition."""
+"""Same answer at 1, 8 (the test default) and 64 shuffle partitions."""
 
 import pytest
 

@@ -84,3 +84,16 @@ def test_rankings_pretty_printed_file(spark):
         json.dump({"3": ["1", "0"], "4": ["2"]}, f, indent=2)
     got = rows(read_rankings_json(spark, path, whole_file=True))
     assert got == [(3, 1, 1), (3, 2, 0), (4, 1, 2)]
+
+
+def test_read_labelled_pandas_missing_texts(spark):
+    d = scratch()
+    path = os.path.join(d, "train.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("sentence,label_id,label,prediction\n")
+        f.write("NA,x,positive,null\n")
+        f.write("fine,1,None,positive\n")
+    got = {r["cand_id"]: r for r in read_labelled(spark, path).collect()}
+    assert got[0]["sentence"] is None and got[0]["prediction"] == "nan"
+    assert got[0]["label_id"] is None and got[1]["label_id"] == 1
+    assert got[1]["label"] == "nan"

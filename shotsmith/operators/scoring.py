@@ -69,15 +69,22 @@ def decode_label(scores: str | Column, labels: list[str] | tuple[str, ...],
                  row_id: str | Column, seed: int = 123) -> Column:
     """M7: label at the first maximum score.
 
-    All scores equal: ``others`` when the label space has it, else a seeded
-    random label (md5 of the row id), the same on every run.  A score array
+    All scores equal: the ``others`` score becomes 1.0 before the argmax
+    when the label space has it (so ``others`` wins for tied scores below
+    1.0), else a seeded random label (md5 of the row id), the same on every
+    run.  A score array
     whose length is not the label count is an error.
     """
     s = F.col(scores) if isinstance(scores, str) else scores
     n = len(labels)
     lab = F.array(*[F.lit(x) for x in labels])
     if OTHERS in labels:
-        tie = F.lit(list(labels).index(OTHERS))
+        # The fallback sets the 'others' score to 1.0, then takes the first
+        # maximum: 'others' wins only if the tied value is below 1.0.
+        oi = list(labels).index(OTHERS)
+        v = F.element_at(s, 1)
+        tie = F.when(v < 1.0, F.lit(oi)).when(v > 1.0, F.lit(0 if oi != 0 else 1)) \
+            .otherwise(F.lit(0))
     else:
         rid = F.col(row_id) if isinstance(row_id, str) else row_id
         tie = seeded_draw(seed, n, rid).cast("int")

@@ -486,3 +486,18 @@ def sbert_hashing_top5(spark, sf):
     from shotsmith.operators.embed import HashingEncoder
     return jobs.retrieve("sbert", tables.pool(spark, sf), tables.queries(spark, sf), k=5,
                          encoder=HashingEncoder(64), dtype="double")
+
+
+@register("decode_others_ties", f"""
+SELECT vec_id, {S.decode_sql('s', EMO, 'vec_id')} AS decoded
+FROM (SELECT vec_id, [floor(CAST(embedding[1] AS DOUBLE) * 2) + 2,
+                      floor(CAST(embedding[2] AS DOUBLE) * 2) + 2,
+                      floor(CAST(embedding[3] AS DOUBLE) * 2) + 2,
+                      floor(CAST(embedding[4] AS DOUBLE) * 2) + 2] AS s
+      FROM embeddings)""")
+def q_decode_others_ties(spark, sf):
+    """M7 fallback with 'others': coarse scores tie often, at 1.0 and 2.0."""
+    v = tables.vectors(spark, sf)
+    s = F.transform(F.slice("embedding", 1, 4),
+                    lambda x: (F.floor(x.cast("double") * 2) + 2).cast("double"))
+    return v.select("vec_id", decode_label(s, EMO, "vec_id").alias("decoded"))

@@ -127,7 +127,9 @@ def decode_sql(scores: str, labels, row_id: str, seed: int = 123) -> str:
     """M7 in SQL: first maximum; all equal -> 'others' or md5 seeded label."""
     arr = "[" + ", ".join(lit(x) for x in labels) + "]"
     if "others" in labels:
-        tie = str(list(labels).index("others"))
+        oi = list(labels).index("others")
+        tie = (f"(CASE WHEN {scores}[1] < 1.0 THEN {oi} WHEN {scores}[1] > 1.0 "
+               f"THEN {0 if oi != 0 else 1} ELSE 0 END)")
     else:
         tie = f"({seeded(seed, row_id)} % {len(labels)})"
     return (f"({arr})[1 + CASE WHEN list_max({scores}) = list_min({scores}) THEN {tie} "

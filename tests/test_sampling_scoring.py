@@ -84,6 +84,15 @@ def test_decode_goldens(spark):
     got = {r["id"]: r["d"] for r in df.select("id", decode_label("s", emo, "id").alias("d"))
            .collect()}
     assert got == {1: "happy", 2: "others", 3: "happy"}
+    ties = spark.createDataFrame([(1, [5.0] * 4), (2, [1.0] * 4), (3, [float("-inf")] * 4)],
+                                 "id bigint, s array<double>")
+    got = {r["id"]: r["d"] for r in ties.select("id", decode_label("s", emo, "id").alias("d"))
+           .collect()}
+    assert got == {1: "happy", 2: "others", 3: "others"}
+    mid = spark.createDataFrame([(1, [2.0] * 3), (2, [0.0] * 3)], "id bigint, s array<double>")
+    got = {r["id"]: r["d"] for r in
+           mid.select("id", decode_label("s", ("a", "others", "b"), "id").alias("d")).collect()}
+    assert got == {1: "a", 2: "others"}
     bi = ("negative", "positive")
     eq = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(50)], "id bigint, s array<double>")
     first = rows(eq.select("id", decode_label("s", bi, "id").alias("d")))

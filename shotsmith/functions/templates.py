@@ -6,6 +6,7 @@ ones the original pipeline builds, so they are stated here verbatim.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,19 @@ SENTENCE_DATASETS = ["tweet", "sst2", "poem", "fin", "tweet_emo", "emocontext",
 ASPECT_DATASETS = ["rest", "laptop", "twitter"]
 STANCE_DATASETS = ["pstance"]
 PAIR_DATASETS = ["mnli"]
+
+# Input text of one row per template family ({column} is the row's value).
+TEMPLATES = {
+    "sentence": "Sentence: {sentence}\n",
+    "aspect": "Sentence: {sentence} What is the sentiment polarity of the aspect {aspect} ?\n",
+    "stance": "Sentence: {sentence} What is the attitude of sentence toward target {target} ?\n",
+    "pair": "Premise: {text1}\nHypothesis: {text2}\n",
+}
+
+# Prompt layout words.
+LABEL_PREFIX = "Label: "
+PREDICTION_PREFIX = "Prediction: "
+CORRECT_LABEL_PREFIX = "Correct Label: "
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -102,25 +116,24 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
 
+def format_columns(pattern: str, prefix: str = "") -> Column:
+    """``concat`` of the literal parts of ``pattern`` and its ``{column}``
+    fields (read as text, missing -> "nan").  JVM-side, no UDF."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", pattern)):
+        if i % 2:
+            parts.append(_text(prefix + piece))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
 def input_template(cfg: TaskConfig, prefix: str = "") -> Column:
-    """P5: the per-row input text, ending in a newline.
+    """P5: the per-row input text of the dataset's family, ending in a newline.
 
-    ``prefix`` selects columns of a struct or a prefixed projection
-    (e.g. ``"d_"`` reads ``d_sentence``).
+    ``prefix`` reads prefixed columns (e.g. ``"d_"`` reads ``d_sentence``).
     """
-    s = _text(prefix + "sentence")
-    if cfg.template == "sentence":
-        return F.concat(F.lit("Sentence: "), s, F.lit("\n"))
-    if cfg.template == "aspect":
-        return F.concat(F.lit("Sentence: "), s,
-                        F.lit(" What is the sentiment polarity of the aspect "),
-                        _text(prefix + "aspect"), F.lit(" ?\n"))
-    if cfg.template == "stance":
-        return F.concat(F.lit("Sentence: "), s,
-                        F.lit(" What is the attitude of sentence toward target "),
-                        _text(prefix + "target"), F.lit(" ?\n"))
-    return F.concat(F.lit("Premise: "), _text(prefix + "text1"),
-                    F.lit("\nHypothesis: "), _text(prefix + "text2"), F.lit("\n"))
+    return format_columns(TEMPLATES[cfg.template], prefix)
 
 
 def label_space_table(spark: SparkSession) -> DataFrame:

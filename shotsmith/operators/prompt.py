@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotsmith.functions.labels import is_correct
-from shotsmith.functions.templates import FEEDBACK, TaskConfig, input_template
+from shotsmith.functions.templates import (CORRECT_LABEL_PREFIX, FEEDBACK, LABEL_PREFIX,
+                                           PREDICTION_PREFIX, TaskConfig, input_template)
 from shotsmith.functions.text import as_text
 from shotsmith.session import BROADCAST_ROW_LIMIT
 
@@ -51,12 +52,12 @@ def demo_blocks(demos: DataFrame, pool: DataFrame, cfg: TaskConfig, method: str,
         rows = sel.join(pool, "cand_id")               # AQE splits hot ids
     label = as_text("label")
     if method in ("prior", "baseline"):
-        block = F.concat(template(cfg), F.lit("Label: "), label, F.lit("\n\n"))
+        block = F.concat(template(cfg), F.lit(LABEL_PREFIX), label, F.lit("\n\n"))
     else:
         right = is_correct("label", "prediction")
         shown = F.when(right, label).otherwise(as_text("prediction"))
-        block = F.concat(template(cfg), F.lit("Prediction: "), shown, F.lit("\n"),
-                         F.lit("Correct Label: "), label, F.lit("\n"),
+        block = F.concat(template(cfg), F.lit(PREDICTION_PREFIX), shown, F.lit("\n"),
+                         F.lit(CORRECT_LABEL_PREFIX), label, F.lit("\n"),
                          F.when(right, F.lit(feedback["correct"]))
                           .otherwise(F.lit(feedback["wrong"])))
     return rows.select("query_id", "pos", block.alias("block"))
@@ -78,7 +79,7 @@ def assemble_prompts(queries: DataFrame, demos: DataFrame, pool: DataFrame,
               .agg(F.array_join(
                   F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))),
                               lambda s: s["block"]), "").alias("demo_text")))
-    tail = F.lit("Correct Label: " if method == "feedback" else "Label: ")
+    tail = F.lit(CORRECT_LABEL_PREFIX if method == "feedback" else LABEL_PREFIX)
     return (queries.join(joined, "query_id", "left")
             .select("query_id",
                     F.concat(F.lit(cfg.instruction), F.coalesce("demo_text", F.lit("")),

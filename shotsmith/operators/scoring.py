@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from shotsmith.functions.arrays import all_equal, argmax
 from shotsmith.functions.hashing import seeded_draw
+from shotsmith.functions.templates import LABEL_PREFIX
 from shotsmith.functions.text import count_occurrences
 from shotsmith.session import ship_package
 
@@ -36,14 +37,14 @@ def vote_scorer(prompt: Column, labels: list[str] | tuple[str, ...]) -> Column:
     Counts ``"Label: " + l + "\\n"`` in the prompt; the query's own tail
     ("Label: " at the very end) has no newline and is not counted.
     """
-    return F.array(*[count_occurrences(prompt, F.lit(f"Label: {lab}\n")).cast("double")
+    return F.array(*[count_occurrences(prompt, F.lit(f"{LABEL_PREFIX}{lab}\n")).cast("double")
                      for lab in labels])
 
 
 def pandas_vote_scorer(labels: list[str] | tuple[str, ...], prompt_col: str = "prompt"
                        ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The vote scorer as a pandas batch function (the shape of a model hook)."""
-    needles = [f"Label: {lab}\n" for lab in labels]
+    needles = [f"{LABEL_PREFIX}{lab}\n" for lab in labels]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -19,7 +19,13 @@ DATASET = "sst2"  # label space and templates used for the driver tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table, read once per session: its schema comes from the
+    file footers (a small job each time), so later calls reuse the frame."""
+    path = f"{sf_dir}/{name}.parquet"
+    seen = spark.__dict__.setdefault("_shotsmith_tables", {})
+    if path not in seen:
+        seen[path] = spark.read.parquet(path)
+    return seen[path]
 
 
 def label_of(quality_col: str = "quality") -> F.Column:

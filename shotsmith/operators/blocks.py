@@ -39,12 +39,21 @@ def _n_blocks(n_rows: int, block_rows: int) -> int:
 
 
 def to_blocks(df: DataFrame, id_col: str, payload: str, n_blocks: int,
-              prefix: str) -> DataFrame:
-    """(block, ids ARRAY<BIGINT>, payload ARRAY<...>) with rows hashed to blocks."""
+              prefix: str, spread: bool = False) -> DataFrame:
+    """(block, ids ARRAY<BIGINT>, payload ARRAY<...>) with rows hashed to blocks.
+
+    ``spread``: one block per task.  The rows are range-partitioned on the
+    block id into ``n_blocks`` partitions before grouping; the grouping reuses
+    that partitioning, and adaptive execution keeps a numbered repartition
+    as is (a plain grouping shuffle would be merged into a few tasks, being
+    small in bytes though heavy in work downstream).
+    """
     blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")
-    return (df.select(blk.alias(f"{prefix}block"), F.col(id_col).alias("_id"),
-                      F.col(payload).alias("_v"))
-            .groupBy(f"{prefix}block")
+    rows = df.select(blk.alias(f"{prefix}block"), F.col(id_col).alias("_id"),
+                     F.col(payload).alias("_v"))
+    if spread:
+        rows = rows.repartitionByRange(n_blocks, f"{prefix}block")
+    return (rows.groupBy(f"{prefix}block")
             .agg(F.collect_list(F.struct("_id", "_v")).alias("_rows"))
             .select(f"{prefix}block",
                     F.col("_rows._id").alias(f"{prefix}ids"),
@@ -68,7 +77,7 @@ def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
     cores = max(1, spark.sparkContext.defaultParallelism)
     q_rows = max(1, min(block_rows, math.ceil(nq / cores)))
     bq, bp = _n_blocks(nq, q_rows), _n_blocks(npool, block_rows)
-    qb = to_blocks(queries, q_id, payload, bq, "q_").repartition(bq, "q_block")
+    qb = to_blocks(queries, q_id, payload, bq, "q_", spread=True)
     pb = to_blocks(pool, p_id, payload, bp, "p_")
     qb = qb.withColumn("p_block", F.explode(F.sequence(F.lit(0), F.lit(bp - 1))))
     if npool * row_bytes <= BROADCAST_BYTES:

@@ -1,6 +1,8 @@
-"""Same answer at 1, 8 (the test default) and 64 shuffle partitions."""
+"""Same answer at 1, 8 (the test default) and 64 shuffle partitions;
+heavy stages keep their task count."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF0001, SF001, rows
 from shotsmith.functions.arrays import gather, reorder
@@ -40,3 +42,20 @@ def test_random_rankings_strict(spark):
     with pytest.raises(ValueError):
         random_rankings(tables.queries(spark, SF0001), tables.pool(spark, SF0001), m=10_000,
                         strict=True)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heavy_stages_keep_their_task_count(spark):
+    """The CPU-heavy stages are small in bytes; a numbered repartition keeps
+    adaptive execution from merging them into one task."""
+    from shotsmith.operators.bm25 import bm25_rank
+    from shotsmith.operators.cosine import cosine_rank
+    from shotsmith.sources import tables
+    v = tables.vectors(spark, SF0001).select(F.col("vec_id").alias("id"), "embedding")
+    plan = _plan(cosine_rank(v, v, k=3, q_id="id", p_id="id"))
+    assert "rangepartitioning(q_block" in plan and "REPARTITION_BY_NUM" in plan
+    plan = _plan(bm25_rank(tables.pool(spark, SF0001), tables.queries(spark, SF0001), k=5))
+    assert "hashpartitioning(cand_id" in plan and "REPARTITION_BY_NUM" in plan

@@ -12,11 +12,14 @@ cluster (no query x pool pairs).  Clustering is pyspark.ml KMeans with seeds
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotsmith.functions.hashing import seeded_draw
 from shotsmith.operators.positions import dense_positions, explode_range
+from shotsmith.session import BROADCAST_ROW_LIMIT
 
 MAX_ROUNDS = 12
 
@@ -45,22 +48,30 @@ def interleave_clusters(queries: DataFrame, assigned: DataFrame, k: int, take: i
     size_map = F.create_map(*[x for i, s in enumerate(sizes) for x in (F.lit(i), F.lit(s))])
     rows = (queries.select("query_id")
             .withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
-    pos_side = F.broadcast(pos) if sum(sizes) <= 2_000_000 else pos
-    d = 2 * take + 32
+    pos_side = F.broadcast(pos) if sum(sizes) <= BROADCAST_ROW_LIMIT else pos
+    keys, done, d = rows, [], 2 * take + 32
     for _ in range(MAX_ROUNDS):
         n_c = F.element_at(size_map, F.col("cluster"))
-        draws = explode_range(rows, d, "_j").withColumn(
+        draws = explode_range(keys, d, "_j").withColumn(
             "pos", seeded_draw(seed, n_c, "query_id", "cluster", "_j"))
         first = (draws.join(pos_side, ["cluster", "pos"])
                  .groupBy("query_id", "cluster", "cand_id").agg(F.min("_j").alias("_j")))
         w = Window.partitionBy("query_id", "cluster").orderBy("_j")
-        picked = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= take)
-        lacking = (picked.groupBy("query_id", "cluster").count()
-                   .where(F.col("count") < take).limit(1).count())
-        if lacking == 0:
-            rank = (F.col("_r") - 1) * k + F.col("cluster") + 1
-            return picked.select("query_id", rank.cast("int").alias("rank"), "cand_id")
-        d *= 4
+        rank = (F.col("_r") - 1) * k + F.col("cluster") + 1
+        # Written once: the shortfall is counted from this copy.
+        picked = (first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= take)
+                  .select("query_id", "cluster", rank.cast("int").alias("rank"), "cand_id")
+                  .checkpoint(eager=True))
+        got = picked.groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("_c"))
+        short = (keys.join(got, ["query_id", "cluster"], "left")
+                 .where(F.coalesce(F.col("_c"), F.lit(0)) < take)
+                 .select("query_id", "cluster"))
+        if short.limit(1).count() == 0:
+            done.append(picked)
+            return reduce(DataFrame.unionByName, done).drop("cluster")
+        # Only (query, cluster) groups still short draw again, longer.
+        done.append(picked.join(short, ["query_id", "cluster"], "left_anti"))
+        keys, d = short, d * 4
     raise RuntimeError("cluster draws did not converge")
 
 

@@ -13,12 +13,14 @@ ids through a dense position table (equi-join), built distributed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotsmith.functions.hashing import seeded_draw, seeded_hash
 from shotsmith.operators.positions import dense_positions, explode_range
-from shotsmith.session import BROADCAST_ROW_LIMIT
+from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
 
 MAX_ROUNDS = 12
 
@@ -65,13 +67,20 @@ def pool_positions(pool: DataFrame, id_col: str = "cand_id") -> tuple[DataFrame,
 def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
                     rounds_start: int, exclude_self: bool,
                     positions: DataFrame) -> DataFrame:
-    """First m distinct draws per row -> (key, draw_rank, cand_id)."""
+    """First m distinct draws per row -> (key, draw_rank, cand_id).
+
+    Each round's result is written to the checkpoint folder once; the
+    shortfall is counted from that copy (the draws are not run twice), and
+    only rows still short take the next, longer round.  A row's sample is
+    the prefix of one fixed draw sequence, so rounds agree on it.
+    """
+    checkpoint_dir(rows.sparkSession)
     pos_side = positions
     if n <= BROADCAST_ROW_LIMIT:
         pos_side = F.broadcast(positions)
-    d = rounds_start
+    keys, done, d = rows.select(key), [], rounds_start
     for _ in range(MAX_ROUNDS):
-        draws = explode_range(rows.select(key), d, "_j") \
+        draws = explode_range(keys, d, "_j") \
             .withColumn("pos", seeded_draw(seed, n, key, "_j"))
         hits = draws.join(pos_side, "pos")
         if exclude_self:
@@ -79,14 +88,17 @@ def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
         first = hits.groupBy(key, "cand_id").agg(F.min("_j").alias("_j"))
         w = Window.partitionBy(key).orderBy("_j")
         ranked = (first.withColumn("draw_rank", F.row_number().over(w))
-                  .where(F.col("draw_rank") <= m))
+                  .where(F.col("draw_rank") <= m)
+                  .select(key, F.col("draw_rank").cast("int").alias("draw_rank"), "cand_id")
+                  .checkpoint(eager=True))
         got = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-        lacking = (rows.select(key).join(got, key, "left")
-                   .where(F.coalesce(F.col("_c"), F.lit(0)) < m).limit(1).count())
-        if lacking == 0:
-            return ranked.select(key, F.col("draw_rank").cast("int").alias("draw_rank"),
-                                 "cand_id")
-        d *= 4
+        short = (keys.join(got, key, "left")
+                 .where(F.coalesce(F.col("_c"), F.lit(0)) < m).select(key))
+        if short.limit(1).count() == 0:
+            done.append(ranked)
+            return reduce(DataFrame.unionByName, done)
+        done.append(ranked.join(short, key, "left_anti"))
+        keys, d = short, d * 4
     raise RuntimeError("random draws did not converge")
 
 

@@ -55,6 +55,23 @@ def test_random_rankings_invariants(spark):
     assert rows(random_rankings(q, pool, m=300, seed=2)) != rows(r)
 
 
+def test_random_rankings_rounds_agree(spark):
+    """m = N needs several draw rounds (coupon collector); every query still
+    gets a permutation, and its first ranks are those of a smaller m."""
+    pool = tables.pool(spark, SF0001)
+    q = tables.queries(spark, SF0001)
+    n = pool.count()
+    full = {}
+    for x in random_rankings(q, pool, m=n, seed=7).collect():
+        full.setdefault(x["query_id"], {})[x["rank"]] = x["cand_id"]
+    ids = {x["cand_id"] for x in pool.collect()}
+    assert len(full) == q.count()
+    assert all(set(r.values()) == ids and sorted(r) == list(range(1, n + 1))
+               for r in full.values())
+    for x in random_rankings(q, pool, m=50, seed=7).collect():
+        assert full[x["query_id"]][x["rank"]] == x["cand_id"]
+
+
 def test_random_neighbours_invariants(spark):
     pool = tables.pool(spark, SF0001)
     got = random_neighbours(pool, k=4, seed=3).collect()

@@ -111,6 +111,28 @@ def test_interleave_invariants(spark):
         interleave_clusters(queries, assigned, k=5, take=2)
 
 
+def test_interleave_rounds_agree(spark):
+    """take = cluster size needs several draw rounds; each cluster is then
+    fully permuted, and its first picks are those of a smaller take."""
+    assigned = spark.createDataFrame([(i, i % 4) for i in range(160)],
+                                     "cand_id bigint, cluster int")
+    queries = spark.createDataFrame([(q,) for q in range(30)], "query_id bigint")
+
+    def picks(take):
+        out = {}
+        for r in interleave_clusters(queries, assigned, k=4, take=take, seed=9).collect():
+            r0 = r["rank"] - 1
+            out[(r["query_id"], r0 % 4, r0 // 4)] = r["cand_id"]
+        return out
+
+    full, head = picks(40), picks(10)
+    assert len(full) == 30 * 160
+    for q in range(30):
+        for c in range(4):
+            assert {full[(q, c, j)] for j in range(40)} == set(range(c, 160, 4))
+    assert all(full[key] == cand for key, cand in head.items())
+
+
 def test_kmeans_rankings_invariants(spark):
     v = tables.vectors(spark, SF0001).select(F.col("vec_id").alias("cand_id"), "embedding")
     q = tables.queries(spark, SF0001)

@@ -243,11 +243,10 @@ def writeback_mismatches(spark, sf):
     pool = tables.pool(spark, sf)
     res = jobs.prior_predict(pool, CFG, k=4, seed=123)
     out, mismatches = jobs.write_back(pool, res)
-    row = out.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(F.when(F.col("prediction") == F.col("label"), 1).otherwise(0))
-                  .alias("n_correct")).first()
-    return spark.createDataFrame([(row["n_rows"], mismatches, row["n_correct"])],
-                                 "n_rows bigint, mismatches bigint, n_correct bigint")
+    return out.agg(F.count(F.lit(1)).alias("n_rows"),
+                   F.lit(mismatches).cast("bigint").alias("mismatches"),
+                   F.sum(F.when(F.col("prediction") == F.col("label"), 1).otherwise(0))
+                   .cast("bigint").alias("n_correct"))
 
 
 # ---------------------------------------------------------------- scoring + decode (M7/M8)

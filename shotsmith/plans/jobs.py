@@ -16,7 +16,7 @@ from shotsmith.operators.prompt import assemble_prompts
 from shotsmith.operators.sampling import random_neighbours, random_rankings, stratified_pool
 from shotsmith.operators.scoring import decode_label, score_prompts, shape_results, vote_scorer
 from shotsmith.operators.select import select_quota, select_top_n
-from shotsmith.session import BROADCAST_ROW_LIMIT
+from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
 
 RETRIEVAL_MODES = ("random_each", "bm25", "sbert", "kmeans", "mmr")
 
@@ -57,16 +57,23 @@ def output_counts(results: DataFrame) -> DataFrame:
 
 def write_back(pool: DataFrame, results: DataFrame) -> tuple[DataFrame, int]:
     """Pool with ``prediction`` from the results, and the number of rows
-    whose result label differs from the pool label (must be 0)."""
+    whose result label differs from the pool label (must be 0).
+
+    The joined table is written to the checkpoint folder once, so counting
+    the mismatches does not run the scoring a second time.
+    """
+    checkpoint_dir(pool.sparkSession)
     res = results.select(F.col("id").cast("bigint").alias("cand_id"),
                          F.col("label").alias("_rlabel"), F.col("outputs"))
     # One result per pool row: the pool's (cheap) count bounds the results.
     if pool.count() <= BROADCAST_ROW_LIMIT:
         res = F.broadcast(res)
-    joined = normalise_labels(pool, ("label",)).join(res, "cand_id", "left")
-    mismatches = joined.where(~F.col("_rlabel").eqNullSafe(F.col("label"))).count()
-    out = joined.drop("prediction", "_rlabel").withColumnRenamed("outputs", "prediction")
-    return out, mismatches
+    joined = (normalise_labels(pool, ("label",)).join(res, "cand_id", "left")
+              .withColumn("_mismatch", ~F.col("_rlabel").eqNullSafe(F.col("label")))
+              .drop("prediction", "_rlabel").withColumnRenamed("outputs", "prediction")
+              .checkpoint(eager=True))
+    mismatches = joined.where(F.col("_mismatch")).count()
+    return joined.drop("_mismatch"), mismatches
 
 
 def retrieve(mode: str, pool: DataFrame, queries: DataFrame, k: int | None = None,

@@ -68,10 +68,12 @@ def bertscore_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
 
     queries: (query_id, toks); pool: (cand_id, toks) -- see token_sentences.
     """
-    dim_tok = pool.select(F.size(F.col("toks")[0]).alias("d"),
-                          F.size("toks").alias("t")).agg(F.max("d"), F.avg("t")).first()
-    row_bytes = int(8 * (dim_tok[0] or 1) * (dim_tok[1] or 1)) + 16
-    pairs, n_pool = block_pairs(queries, pool, "query_id", "cand_id", "toks", row_bytes, block_rows)
+    # One pass over the pool: row count, token vector length, mean tokens.
+    probe = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col("toks")[0])).alias("d"),
+                     F.avg(F.size("toks")).alias("t")).first()
+    row_bytes = int(8 * (probe["d"] or 1) * (probe["t"] or 1)) + 16
+    pairs, n_pool = block_pairs(queries, pool, "query_id", "cand_id", "toks", row_bytes,
+                                block_rows, n_pool=int(probe["n"]))
 
     def kernel(row):
         qi = np.asarray(row["q_ids"], dtype=np.int64)

@@ -62,7 +62,8 @@ def to_blocks(df: DataFrame, id_col: str, payload: str, n_blocks: int,
 
 def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
                 payload: str, row_bytes: int,
-                block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+                block_rows: int = BLOCK_ROWS,
+                n_pool: int | None = None) -> tuple[DataFrame, int]:
     """One row per (query block, pool block): q_ids, q_vals, p_ids, p_vals;
     and the pool row count.
 
@@ -71,9 +72,11 @@ def block_pairs(queries: DataFrame, pool: DataFrame, q_id: str, p_id: str,
     every pair inside the query block's task, so no pair row is shuffled;
     a pool too large to broadcast is joined by block id instead (the query
     block is then sent to every pool block's task -- the block nested loop).
+    ``n_pool``: the pool's row count when the caller has it already.
     """
     spark = queries.sparkSession
-    nq, npool = queries.count(), pool.count()
+    nq = queries.count()
+    npool = pool.count() if n_pool is None else n_pool
     cores = max(1, spark.sparkContext.defaultParallelism)
     q_rows = max(1, min(block_rows, math.ceil(nq / cores)))
     bq, bp = _n_blocks(nq, q_rows), _n_blocks(npool, block_rows)

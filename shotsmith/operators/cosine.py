@@ -23,9 +23,11 @@ def cosine_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
     dbl = "array<double>"
     q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast(dbl).alias("v"))
     p = pool.select(F.col(p_id).alias("cand_id"), F.col(vec).cast(dbl).alias("v"))
-    dim = len(pool.select(vec).first()[0] or [])
-    pairs, n_pool = block_pairs(q, p, "query_id", "cand_id", "v", row_bytes=8 * max(dim, 1) + 16,
-                        block_rows=block_rows)
+    # One pass over the pool: its row count and vector length.
+    probe = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    dim = max(int(probe["d"] or 0), 1)
+    pairs, n_pool = block_pairs(q, p, "query_id", "cand_id", "v", row_bytes=8 * dim + 16,
+                                block_rows=block_rows, n_pool=int(probe["n"]))
 
     def kernel(row):
         qm = unit_rows(np.asarray(list(row["q_vals"]), dtype=np.float64))

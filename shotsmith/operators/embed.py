@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotsmith.session import ship_package
-
+from shotsmith.session import checkpoint_dir, ship_package
 
 
 class HashingEncoder:
@@ -46,9 +45,15 @@ class HashingEncoder:
 
 
 def embed(df: DataFrame, encoder, id_col: str, text_col: str = "sentence",
-          out_col: str = "embedding", dtype: str = "float") -> DataFrame:
+          out_col: str = "embedding", dtype: str = "float",
+          materialize: bool = True) -> DataFrame:
     """(id, embedding ARRAY<FLOAT>) for every row (``dtype='double'`` keeps
-    float64)."""
+    float64).
+
+    ``materialize``: the vectors are written once to the checkpoint folder,
+    so later uses (row counts, the dimension probe, KMeans iterations, block
+    joins) read them instead of running the encoder again.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder.load()
         for pdf in batches:
@@ -57,5 +62,9 @@ def embed(df: DataFrame, encoder, id_col: str, text_col: str = "sentence",
                                 out_col: [v.astype(np_type).tolist() for v in vecs]})
     ship_package(df.sparkSession)
     np_type = np.float32 if dtype == "float" else np.float64
-    return df.select(F.col(id_col), F.col(text_col)).mapInPandas(
+    out = df.select(F.col(id_col), F.col(text_col)).mapInPandas(
         run, f"{id_col} bigint, {out_col} array<{dtype}>")
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out

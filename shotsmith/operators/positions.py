@@ -5,13 +5,13 @@ some total order (positional pools, uniform draws by position, full
 rankings).  ``dense_positions`` sorts with a range-partitioned ``orderBy``
 (a single hot group spreads over many tasks), writes the sorted ids to the
 reliable checkpoint folder so the order cannot change if a task is re-run,
-and numbers rows as  partition offset + index inside the partition.  Only
-one number per partition reaches the driver.
+and numbers rows as  partition offset + index inside the partition; the
+offsets are a running sum over one count per partition, computed in Spark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
@@ -22,21 +22,22 @@ _PART_SHIFT = 33  # monotonically_increasing_id = partition << 33 | row index
 def index_in_order(df: DataFrame, id_col: str) -> DataFrame:
     """0-based index of each row in the frame's current partition order.
 
-    ``df`` must be deterministic (a file scan or a checkpointed frame).
+    ``df`` must be deterministic (a file scan or a checkpointed frame).  The
+    offset of each partition is a running sum over the per-partition counts
+    (one row per partition), joined back on the partition id.
     """
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_mid"), _PART_SHIFT)
-    counts = (tagged.groupBy(part.alias("_pid")).count()
-              .orderBy("_pid").collect())  # one row per non-empty partition
-    offsets, run = [], 0
-    for r in counts:
-        offsets.extend([F.lit(int(r["_pid"])), F.lit(run)])
-        run += int(r["count"])
-    if not offsets:
-        return df.withColumn(id_col, F.lit(None).cast("bigint"))
-    offset = F.element_at(F.create_map(*offsets), part)
-    local = F.col("_mid") - F.shiftleft(part, _PART_SHIFT)
-    return tagged.withColumn(id_col, (offset + local).cast("bigint")).drop("_mid")
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id()) \
+        .withColumn("_pid", F.shiftright(F.col("_mid"), _PART_SHIFT))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+               .select("_pid", "_off"))
+    if df.rdd.getNumPartitions() <= BROADCAST_ROW_LIMIT:   # rows <= partitions
+        offsets = F.broadcast(offsets)
+    local = F.col("_mid") - F.shiftleft(F.col("_pid"), _PART_SHIFT)
+    return (tagged.join(offsets, "_pid")
+            .withColumn(id_col, (F.col("_off") + local).cast("bigint"))
+            .drop("_mid", "_pid", "_off"))
 
 
 def dense_positions(df: DataFrame, order: list[Column], group_cols: list[str] = (),

@@ -181,8 +181,10 @@ def _join_terms(post: DataFrame, qterms: DataFrame, vocab: DataFrame,
     if small:
         return post.join(F.broadcast(qterms), "token")
     # Salt hot tokens: their postings spread over SALT_BUCKETS keys and the
-    # (few) query rows of such a token are copied to every bucket.
-    n_post = post.count()
+    # (few) query rows of such a token are copied to every bucket.  The
+    # posting count is the sum of document frequencies (read from the
+    # vocabulary table, not by another pass over the text).
+    n_post = int(vocab.where(F.col("token") != MARKER).agg(F.sum("df")).first()[0] or 0)
     hot_df = max(n_post // (SALT_BUCKETS * 64), 1)
     hot = vocab.where(F.col("df") >= hot_df).select("token", F.lit(True).alias("_hot"))
     if hot.limit(BROADCAST_ROW_LIMIT + 1).count() > BROADCAST_ROW_LIMIT:

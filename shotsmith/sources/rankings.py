@@ -17,11 +17,22 @@ from pyspark.sql import functions as F
 RANKING_JSON_SCHEMA = "map<string,array<string>>"
 
 
-def rankings_to_json(ranking: DataFrame) -> DataFrame:
+# Longest id list one query's JSON object may hold (one row, one task).
+MAX_JSON_IDS = 1_000_000
+
+
+def rankings_to_json(ranking: DataFrame, max_ids: int = MAX_JSON_IDS) -> DataFrame:
     """one JSON object per query, ids in rank order -> (query_id, value).
 
-    Meant for top-k rankings: a query's list is one row.
+    A query's list becomes one row, so its length is checked first (the
+    original's rankings hold a 300-row pool); longer rankings belong in the
+    table form (``write_rankings``).
     """
+    longest = ranking.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")) \
+        .agg(F.max("n")).first()[0] or 0
+    if longest > max_ids:
+        raise ValueError(f"a query ranks {longest} ids; JSON holds at most {max_ids} "
+                         "per query -- write the ranking table instead")
     return (ranking.groupBy("query_id")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "cand_id"))).alias("_r"))
             .select("query_id", F.to_json(F.create_map(

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -97,3 +98,11 @@ def test_read_labelled_pandas_missing_texts(spark):
     assert got[0]["sentence"] is None and got[0]["prediction"] == "nan"
     assert got[0]["label_id"] is None and got[1]["label_id"] == 1
     assert got[1]["label"] == "nan"
+
+
+def test_json_export_checks_list_length(spark):
+    r = spark.createDataFrame([(1, i + 1, i) for i in range(5)],
+                              "query_id bigint, rank int, cand_id bigint")
+    with pytest.raises(ValueError):
+        rankings_to_json(r, max_ids=4)
+    assert len(rankings_to_json(r, max_ids=5).collect()) == 1

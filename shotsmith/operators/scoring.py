@@ -73,8 +73,7 @@ def decode_label(scores: str | Column, labels: list[str] | tuple[str, ...],
     All scores equal: the ``others`` score becomes 1.0 before the argmax
     when the label space has it (so ``others`` wins for tied scores below
     1.0), else a seeded random label (md5 of the row id), the same on every
-    run.  A score array
-    whose length is not the label count is an error.
+    run.  A score array whose length is not the label count is an error.
     """
     s = F.col(scores) if isinstance(scores, str) else scores
     n = len(labels)

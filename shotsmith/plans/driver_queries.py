@@ -121,6 +121,27 @@ def prompt_feedback(spark, sf):
     return assemble_prompts(queries, _bm25_quota(spark, sf, 4, 2), pool, CFG, "feedback", n=4)
 
 
+# A user template (a function of the task config returning a Column).
+USER_TEMPLATE = "Review: {sentence}\nAnswer with one word.\n"
+
+
+def _user_template_sql(alias: str) -> str:
+    return (f"'Review: ' || coalesce({alias}.sentence, 'nan') || chr(10) || "
+            "'Answer with one word.' || chr(10)")
+
+
+@register("prompt_user_template", S.with_bm25(S.prompt_sql(
+    "sel AS (SELECT query_id, rank AS pos, cand_id FROM bm25 WHERE rank <= 4)",
+    "baseline", _user_template_sql)))
+def prompt_user_template(spark, sf):
+    """Baseline prompts laid out with a caller's template (no UDF)."""
+    from shotsmith.functions.templates import format_columns
+    pool, queries = tables.pool(spark, sf), tables.queries(spark, sf)
+    demos = select_top_n(bm25_op.bm25_rank(pool, queries, k=4), n=4)
+    return assemble_prompts(queries, demos, pool, CFG, "baseline", n=4,
+                            template=lambda cfg: format_columns(USER_TEMPLATE))
+
+
 # ---------------------------------------------------------------- sampling
 
 from shotsmith.operators.sampling import (  # noqa: E402
@@ -201,6 +222,38 @@ def correctness_split(spark, sf):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def model_predictions(spark, sf) -> DataFrame:
+    """(model, cand_id, prediction) for two models, derived from ``labels``:
+    'a' is the pool's stand-in rule, 'b' copies the label of non-toxic rows
+    and never scored the toxic ones."""
+    lab = tables.table(spark, sf, "labels")
+    a = lab.select(F.lit("a").alias("model"), F.col("doc_id").alias("cand_id"),
+                   F.when(F.col("toxic") == 1, F.lit(CFG.labels[0]))
+                    .otherwise(F.lit(CFG.labels[1])).alias("prediction"))
+    b = lab.where(F.col("toxic") == 0).select(
+        F.lit("b").alias("model"), F.col("doc_id").alias("cand_id"),
+        tables.label_of("quality").alias("prediction"))
+    return a.unionByName(b)
+
+
+@register("pool_model_predictions", f"""
+WITH pool AS ({tables.SQL_POOL}),
+pr AS (SELECT doc_id AS cand_id,
+              CASE quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' END AS prediction
+       FROM labels WHERE toxic = 0)
+SELECT p.cand_id, coalesce(p.label, 'nan') AS label,
+       coalesce(pr.prediction, 'nan') AS prediction,
+       coalesce(p.label, 'nan') = coalesce(pr.prediction, 'nan') AS is_correct
+FROM pool p LEFT JOIN pr ON pr.cand_id = p.cand_id""")
+def pool_model_predictions(spark, sf):
+    """The pool with one model's prior predictions (unscored -> 'nan')."""
+    from shotsmith.functions.labels import is_correct
+    from shotsmith.sources.labelled import with_model_predictions
+    pool = with_model_predictions(tables.pool(spark, sf), model_predictions(spark, sf), "b")
+    return pool.select("cand_id", F.coalesce(F.col("label"), F.lit("nan")).alias("label"),
+                       "prediction", is_correct("label", "prediction").alias("is_correct"))
+
+
 PRIOR_PROMPTS_SQL = POOL_CTE + NEIGHBOURS_SQL + S.prompt_sql(
     "sel AS (SELECT query_id, draw_rank AS pos, cand_id FROM drawn WHERE draw_rank <= 4)",
     "prior").replace("FROM q LEFT JOIN demo d",

@@ -94,8 +94,9 @@ quota AS (
   FROM picked)"""
 
 
-def prompt_sql(sel_cte: str, method: str) -> str:
-    """Prompts for every query from a (query_id, pos, cand_id) CTE named sel."""
+def prompt_sql(sel_cte: str, method: str, template=template) -> str:
+    """Prompts for every query from a (query_id, pos, cand_id) CTE named sel;
+    ``template(alias)`` is the SQL of one row's input text."""
     if method == "feedback":
         block = (f"{template('p')} || 'Prediction: ' || "
                  "CASE WHEN p.label = p.prediction THEN p.label ELSE p.prediction END"

@@ -25,3 +25,15 @@ def test_stream_matches_batch(spark):
     assert got.select("batch_id").distinct().count() >= 2
     assert rows(got, "query_id", "rank", "cand_id") == \
         rows(index.rank(q, 5), "query_id", "rank", "cand_id")
+
+
+def test_rerun_batch_replaces_its_output(spark):
+    from shotsmith.streaming.retrieval import batch_writer
+    pool = tables.pool(spark, SF0001)
+    q = tables.queries(spark, SF0001).select("query_id", "sentence").where("query_id < 10")
+    out = os.path.join(tempfile.mkdtemp(prefix="shotsmith-stream-"), "out")
+    write = batch_writer(BM25Index(pool), 3, out)
+    write(q, 0)
+    write(q, 0)     # the same batch again, as after a failure before commit
+    got = spark.read.parquet(out)
+    assert got.count() == q.count() * 3

@@ -72,7 +72,7 @@ def test_write_results_partitioned_csv(spark):
     res = spark.createDataFrame([("0", "p,\"q\"", "nan", "positive")],
                                 "id string, input_all_tokens string, label string, outputs string")
     d = os.path.join(scratch(), "results")
-    write_results(res, d, fmt="csv", model="m", dataset="sst2", method="ficl")
+    write_results(res, d, fmt="csv", model="m", dataset="sst2", method="feedback")
     back = (spark.read.option("header", True).option("escape", '"').csv(d)
             .where("dataset = 'sst2'"))
     assert back.first()["input_all_tokens"] == 'p,"q"'

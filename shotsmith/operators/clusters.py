@@ -88,11 +88,12 @@ def kmeans_assign(pool: DataFrame, k: int = 4, min_size: int = 30, tries: int =
         for rs in range(tries):
             model = KMeans(k=k, seed=rs, featuresCol="features",
                            predictionCol="cluster").fit(data)
-            assigned = model.transform(data).select("cand_id", "cluster")
+            # Written once (small: id, cluster); the sizes are counted from
+            # that copy, so the vectors are not transformed a second time.
+            assigned = model.transform(data).select("cand_id", "cluster") \
+                .checkpoint(eager=True)
             if check_sizes(cluster_sizes(assigned, k), min_size):
-                # Materialise the assignment before releasing the input.
-                ck = assigned.checkpoint(eager=True)
-                return ck
+                return assigned
         raise ValueError(f"no seed in 0..{tries - 1} gives {k} clusters of >= {min_size}")
     finally:
         data.unpersist()

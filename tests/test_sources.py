@@ -106,3 +106,22 @@ def test_json_export_checks_list_length(spark):
     with pytest.raises(ValueError):
         rankings_to_json(r, max_ids=4)
     assert len(rankings_to_json(r, max_ids=5).collect()) == 1
+
+
+def test_row_ids_follow_file_order_across_splits(spark):
+    d = tempfile.mkdtemp(prefix="shotsmith-csv-")
+    path = os.path.join(d, "pool.csv")
+    with open(path, "w") as f:
+        f.write("sentence,label\n")
+        for i in range(3000):
+            f.write(f"row {i} text,{'positive' if i % 3 else 'negative'}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_labelled(spark, path)
+        assert df.rdd.getNumPartitions() > 4
+        got = df.select("cand_id", "sentence").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["cand_id"], r["sentence"]) for r in got) == \
+        [(i, f"row {i} text") for i in range(3000)]

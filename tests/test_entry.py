@@ -26,3 +26,18 @@ def test_prior_job_writeback_is_consistent(spark):
     assert mismatches == 0
     assert out.count() == pool.count()
     assert out.where("prediction IS NULL").count() == 0
+
+
+def test_writeback_counts_label_mismatches(spark):
+    from pyspark.sql import functions as F
+
+    from shotsmith.plans import jobs
+    from shotsmith.sources import tables
+    pool = tables.pool(spark, SF0001)
+    res = pool.select(F.col("cand_id").cast("string").alias("id"),
+                      F.when(F.col("cand_id") % 5 == 0, F.lit("other"))
+                       .otherwise(F.coalesce("label", F.lit("nan"))).alias("label"),
+                      F.lit("positive").alias("outputs"))
+    out, mismatches = jobs.write_back(pool, res)
+    assert mismatches == pool.where(F.col("cand_id") % 5 == 0).count() > 0
+    assert out.where("prediction = 'positive'").count() == pool.count()

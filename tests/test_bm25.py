@@ -2,6 +2,8 @@ import math
 from collections import Counter
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF0001, rows
@@ -141,3 +143,34 @@ def test_full_rank_distributed_path_equals_window_path(spark, monkeypatch):
     want = rows(B.bm25_rank(pool, q, k=None))
     monkeypatch.setattr(ranking, "WINDOW_GROUP_ROWS", 0)
     assert rows(B.bm25_rank(pool, q, k=None)) == want
+
+_word = st.sampled_from(["a", "b", "c", "d", "ab"])
+_sep = st.sampled_from([" ", "  "])
+_text = st.builds(lambda ws, seps, lead, trail: (" " if lead else "")
+                  + "".join(w + s for w, s in zip(ws, seps))[:-1] + (" " if trail else ""),
+                  st.lists(_word, min_size=1, max_size=6), st.lists(_sep, min_size=6, max_size=6),
+                  st.booleans(), st.booleans())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(docs=st.lists(_text, min_size=3, max_size=7), qs=st.lists(_text, min_size=1, max_size=3))
+def test_random_corpora_against_definition(spark, docs, qs):
+    """Runs of spaces, empty tokens, repeats and duplicate documents: the
+    full ranking holds every document once with the definition's score, in
+    (score DESC, id DESC) order, and the top 2 is its prefix."""
+    docs, qs = dict(enumerate(docs)), dict(enumerate(qs))
+    pool, q = pool_df(spark, docs), query_df(spark, qs)
+    brute = brute_bm25(docs, qs)
+    full = B.bm25_rank(pool, q, k=None).collect()
+    assert len(full) == len(docs) * len(qs)
+    per_q = {}
+    for r in full:
+        assert r["score"] == pytest.approx(brute[(r["query_id"], r["cand_id"])], abs=1e-8)
+        per_q.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["cand_id"]))
+    for lst in per_q.values():
+        lst.sort()
+        assert [x[0] for x in lst] == list(range(1, len(docs) + 1))
+        assert [(-s, -c) for _, s, c in lst] == sorted((-s, -c) for _, s, c in lst)
+    top = rows(B.bm25_rank(pool, q, k=2), "query_id", "rank", "cand_id")
+    assert top == sorted((qid, rk, c) for qid, lst in per_q.items()
+                         for rk, _, c in lst if rk <= 2)

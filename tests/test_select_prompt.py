@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from shotsmith.functions.templates import FEEDBACK, INSTRUCTION, task_config
 from shotsmith.operators.prompt import assemble_prompts
@@ -103,3 +105,25 @@ def test_templates_families(spark):
     assert got["c"] == "Premise: p\nHypothesis: h\n"
     with pytest.raises(ValueError):
         task_config("agnews")
+
+
+@settings(max_examples=6, deadline=None)
+@given(perms=st.lists(st.permutations(list(range(10))), min_size=1, max_size=5),
+       wrong=st.sets(st.integers(0, 9)), n=st.integers(1, 6), w=st.integers(0, 6))
+def test_quota_matches_loop(spark, perms, wrong, n, w):
+    """Many queries at once against the plain loop: min(n, w) wrong ids,
+    then max(0, n - w) right ones, each in rank order, no refill."""
+    ranking = spark.createDataFrame(
+        [(q, i + 1, c) for q, p in enumerate(perms) for i, c in enumerate(p)],
+        "query_id bigint, rank int, cand_id bigint")
+    pool = spark.createDataFrame(
+        [(c, f"s{c}", "neg", "pos" if c in wrong else "neg") for c in range(10)],
+        "cand_id bigint, sentence string, label string, prediction string")
+    got = {}
+    for r in select_quota(ranking, n, w, pool=pool).collect():
+        got.setdefault(r["query_id"], []).append((r["pos"], r["cand_id"]))
+    for q, p in enumerate(perms):
+        want = [c for c in p if c in wrong][:min(n, w)] + \
+               [c for c in p if c not in wrong][:max(0, n - w)]
+        assert [c for _, c in sorted(got.get(q, []))] == want
+        assert [i for i, _ in sorted(got.get(q, []))] == list(range(1, len(want) + 1))

@@ -1,4 +1,8 @@
+import hashlib
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from conftest import SF0001, rows
 from shotsmith.operators.sampling import (label_quota, random_neighbours, random_rankings,
@@ -134,3 +138,30 @@ def test_column_and_pandas_scorers_agree(spark):
     assert rows(a) == rows(b)
     assert dict((r["query_id"], r["scores"]) for r in a.collect()) == {1: [1.0, 2.0],
                                                                       2: [0.0, 0.0]}
+
+
+def _py_decode(scores, labels, rid, seed):
+    """The decode rule in plain Python."""
+    if max(scores) != min(scores):
+        return labels[scores.index(max(scores))]
+    if "others" in labels:
+        s = list(scores)
+        s[labels.index("others")] = 1.0
+        return labels[s.index(max(s))]
+    h = int(hashlib.md5(f"{seed}:{rid}".encode()).hexdigest()[:15], 16)
+    return labels[h % len(labels)]
+
+
+@settings(max_examples=6, deadline=None)
+@given(n=st.integers(2, 4), others_at=st.integers(-1, 3),
+       rows_=st.lists(st.lists(st.sampled_from([0.0, 0.5, 1.0, 2.0]), min_size=4, max_size=4),
+                      min_size=1, max_size=30))
+def test_decode_matches_rule(spark, n, others_at, rows_):
+    labels = [f"l{i}" for i in range(n)]
+    if 0 <= others_at < n:
+        labels[others_at] = "others"
+    data = [(i, r[:n]) for i, r in enumerate(rows_)]
+    df = spark.createDataFrame(data, "rid bigint, s array<double>")
+    got = {r["rid"]: r["d"] for r in
+           df.select("rid", decode_label("s", labels, "rid", seed=11).alias("d")).collect()}
+    assert got == {i: _py_decode(sc, labels, i, 11) for i, sc in data}

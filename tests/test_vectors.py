@@ -161,3 +161,18 @@ def test_normalise_and_norm_columns(spark):
     assert got[0]["u"] == pytest.approx([0.6, 0.8]) and got[0]["n"] == 5.0
     assert got[0]["d"] == 24.0 and got[0]["c"] == pytest.approx(0.96)
     assert got[1]["u"] == [0.0, 0.0] and got[1]["c"] == 0.0
+
+
+def test_cosine_ties_go_to_smaller_id(spark):
+    """Integer vectors tie often; ties rank by id ascending after rounding."""
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(-1, 2, size=(80, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)],
+                               "id bigint, embedding array<double>")
+    got = cosine_rank(df, df, k=6, q_id="id", p_id="id", block_rows=16).collect()
+    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-12)
+    sims = np.round(unit @ unit.T, 6)
+    for q in range(80):
+        mine = [r["cand_id"] for r in sorted((r for r in got if r["query_id"] == q),
+                                             key=lambda r: r["rank"])]
+        assert mine == sorted(range(80), key=lambda c: (-sims[q, c], c))[:6]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotsmith.llm import bpe, chat, jaccard, linededup, packing, quality, secretscan
+from shotsmith.llm import ann, bpe, chat, covertree, jaccard, linededup, packing, quality, secretscan
 from shotsmith.llm.common import read
 
 
@@ -27,6 +27,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows.unionByName(extra))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.drop_lines(docs)
@@ -46,6 +50,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_products(read(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,12 +69,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_formatting, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier,
-    op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard)}
+    op2_chat_formatting, op3_nearest_neighbours, op4_line_dedup, op5_best_fit_packing,
+    op6_quality_classifier, op7_exact_top_k, op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard)}
 
 _WS = r"[ \t\n\x0b\x0c\r]"
 
 ORACLE = {
+    "op7_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, p.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * p.e[i])) AS BIGINT) AS score
+      FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+             AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
     "op4_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotsmith.llm import ann, bpe, chat, covertree, jaccard, linededup, packing, quality, secretscan
+from shotsmith.llm import ann, bpe, chat, covertree, jaccard, linededup, packing, quality, secretscan, substring
 from shotsmith.llm.common import read
 
 
@@ -18,6 +18,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -69,7 +75,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_formatting, op3_nearest_neighbours, op4_line_dedup, op5_best_fit_packing,
+    op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_line_dedup, op5_best_fit_packing,
     op6_quality_classifier, op7_exact_top_k, op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard)}
 
 _WS = r"[ \t\n\x0b\x0c\r]"

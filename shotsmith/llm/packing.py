@@ -6,7 +6,8 @@
    key, and each group is solved on its own: a bin is built around the largest
    open piece from the undominated fillings of the space left, and branch and
    bound over those fillings prunes by the waste a better packing may still
-   spend.  The incumbent is the best-fit descent.  Groups are independent, so
+   spend.  The incumbent is the best-fit packing; most groups end there, because
+   it meets the lower bound.  Groups are independent, so
    the work spreads over the cluster and a lost group is solved again with the
    same result.  A group costs at most about half a sequence of extra waste.
 
@@ -17,6 +18,8 @@ separate pieces.
 
 from __future__ import annotations
 
+import bisect
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from shotsmith.llm.common import by_chars, write_once
 
+END = re.compile(rb"([a-z])([,.])(?=[ \n])")
 GROUP = 4096            # pieces solved together
 BRANCHES = 3            # fillings tried around one piece
 NODES = 1000            # bins that branch and bound may open beyond the first descent
@@ -58,7 +62,7 @@ class Tokens:
         """Packed little-endian unsigned 32-bit ids of every text."""
         out = []
         for a, b in by_chars(texts):
-            cut = [t.encode().split() for t in texts[a:b]]   # bytes: space, 0x09-0x0D only
+            cut = [self._cut(t.encode()) for t in texts[a:b]]
             if len(self.known) > WORDS_KEPT // 2:
                 self.older, self.known = self.known, {}
             known, older = self.known, self.older
@@ -71,6 +75,18 @@ class Tokens:
         return out
 
 
+    @staticmethod
+    def _cut(raw: bytes) -> list[bytes]:
+        """Words between spaces and 0x09-0x0D (what bytes.split takes).
+
+        The tokenizer lower-cases, so A-Z are lowered before words are looked
+        up, unless the text holds combining marks (U+0300-U+037F) that could
+        compose with them first.  A comma or stop between a letter and white
+        space is a token group of its own and is looked up on its own."""
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        return END.sub(rb"\1 \2", raw).split()
+
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word: one call over the words joined by spaces, split
         again at the character offsets the tokenizer reports."""
@@ -204,6 +220,31 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
     return int((above + mid + more).max())
 
 
+def best_fit(count: np.ndarray, capacity: int) -> list[list[int]]:
+    """The incumbent: longest piece first, each into the fullest bin it fits."""
+    spaces: list[int] = []                     # distinct open spaces, ascending
+    at: dict[int, list[list[int]]] = {}        # space -> its bins
+    bins = []
+    for s in np.flatnonzero(count)[::-1].tolist():
+        for _ in range(int(count[s])):
+            i = bisect.bisect_left(spaces, s)
+            if i < len(spaces):
+                space = spaces[i]
+                b = at[space].pop()
+                if not at[space]:
+                    del at[space], spaces[i]
+            else:
+                space, b = capacity, []
+                bins.append(b)
+            b.append(s)
+            if space > s:
+                if space - s not in at:
+                    at[space - s] = []
+                    bisect.insort(spaces, space - s)
+                at[space - s].append(b)
+    return bins
+
+
 def complete(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins (lists of piece lengths) for one group of pieces."""
     count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
@@ -242,7 +283,7 @@ def complete(sizes: np.ndarray, capacity: int) -> list[list[int]]:
             waste += capacity - sum(pick)
             path.append((list(pick), others))
 
-    best, _ = descend(_Stock(count.copy()), [], 1 << 60, 1 << 60)   # best-fit incumbent
+    best = best_fit(count, capacity)
     nodes = NODES
     while len(best) > bound and nodes > 0:
         allowed = (len(best) - 1) * capacity - weight

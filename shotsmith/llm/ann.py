@@ -23,8 +23,9 @@ from shotsmith.llm.blocks import search, usable
 PROJECTIONS = 40
 GROWTH = 1.25
 WIDTH = 2.8          # window width at radius 1 (vectors that near fall in it 84 times in 100)
-SHARE = 0.65
+SHARE = 0.75
 SEED = 20_11
+CELLS = 200_000      # queries x rows counted at a time
 
 
 class Index:
@@ -33,47 +34,58 @@ class Index:
         self.points = points
         self.lines = rng.standard_normal((points.shape[1], PROJECTIONS))
         at = points @ self.lines
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(at, axis=0, kind="stable").T.copy()     # line x place -> row
         self.value = np.take_along_axis(at.T, self.order, axis=1)
-        spread = at.std(axis=0).mean()
-        self.start = max(spread * 0.25, 1e-12)
+        self.start = max(float(at.std(axis=0).mean()) * 0.5, 1e-12)
 
-    def query(self, q: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of the k nearest found; row ``skip`` takes no part."""
-        n = len(self.points)
-        centre = q @ self.lines
-        count = np.zeros(n, np.int64)
-        seen = np.zeros(n, bool)
-        if skip >= 0:
-            seen[skip] = True
-        rows, dist = np.zeros(0, np.int64), np.zeros(0)
-        lo = hi = None
-        radius = self.start
+    def query(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (rows, distances) of its k nearest found; its row
+        ``skip`` (-1: none) takes no part.  All queries widen their windows
+        together; a finished query keeps its windows."""
+        n, m = len(self.points), len(queries)
+        centre = queries @ self.lines
+        count = np.zeros(m * n, np.int16)
+        seen = np.zeros((m, n), bool)
+        own = np.flatnonzero(skip >= 0)
+        seen[own, skip[own]] = True
+        lo = np.zeros((PROJECTIONS, m), np.int64)
+        hi = lo
+        open_ = np.ones(m, bool)
         least = int(np.ceil(SHARE * PROJECTIONS))
-        while len(rows) < n - (skip >= 0):
+        who, rows, dist = [], [], []
+        near = np.zeros(m, np.int64)
+        radius, first = self.start, True
+        while open_.any():
             half = WIDTH * radius / 2
-            new_lo = np.array([np.searchsorted(v, c - half, "left") for v, c in zip(self.value, centre)])
-            new_hi = np.array([np.searchsorted(v, c + half, "right") for v, c in zip(self.value, centre)])
-            fresh = []
-            for i in range(PROJECTIONS):
-                if lo is None:
-                    fresh.append(self.order[i, new_lo[i]:new_hi[i]])
-                else:
-                    fresh.append(self.order[i, new_lo[i]:lo[i]])
-                    fresh.append(self.order[i, hi[i]:new_hi[i]])
+            new_lo = np.stack([np.searchsorted(v, c - half, "left") for v, c in zip(self.value, centre.T)])
+            new_hi = np.stack([np.searchsorted(v, c + half, "right") for v, c in zip(self.value, centre.T)])
+            if first:
+                lo, hi, first = new_lo, new_lo, False
+            for a, b in ((new_lo, lo), (hi, new_hi)):       # what the windows gained, left and right
+                size = np.where(open_, b - a, 0).ravel()
+                total = int(size.sum())
+                if total:
+                    line, q = np.divmod(np.repeat(np.arange(size.size), size), m)
+                    place = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a.ravel(), size)
+                    count += np.bincount(q * n + self.order[line, place], minlength=m * n).astype(np.int16)
             lo, hi = new_lo, new_hi
-            count += np.bincount(np.concatenate(fresh), minlength=n)
-            found = np.flatnonzero((count >= least) & ~seen)
-            if len(found):
-                seen[found] = True
-                diff = self.points[found] - q
-                rows = np.concatenate((rows, found))
-                dist = np.concatenate((dist, np.sqrt((diff * diff).sum(axis=1))))
-            if (dist <= radius).sum() >= k:
-                break
+            q, r = np.nonzero((count.reshape(m, n) >= least) & ~seen & open_[:, None])
+            seen[q, r] = True
+            d = np.empty(len(q))
+            for i in range(0, len(q), 100_000):
+                diff = self.points[r[i:i + 100_000]] - queries[q[i:i + 100_000]]
+                d[i:i + 100_000] = np.sqrt((diff * diff).sum(axis=1))
+            who.append(q)
+            rows.append(r)
+            dist.append(d)
+            every_q, every_d = np.concatenate(who), np.concatenate(dist)
+            near = np.bincount(every_q[every_d <= radius], minlength=m)
+            open_ &= (near < k) & ~seen.all(axis=1)
             radius *= GROWTH
-        best = np.lexsort((rows, dist))[:k]
-        return rows[best], dist[best]
+        who, rows, dist = np.concatenate(who), np.concatenate(rows), np.concatenate(dist)
+        best = np.lexsort((rows, dist, who))
+        edge = np.searchsorted(who[best], np.arange(m + 1))
+        return [(rows[best[a:b][:k]], dist[best[a:b][:k]]) for a, b in zip(edge[:-1], edge[1:])]
 
 
 def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -81,15 +93,13 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     divisible by ``every``; score is the Euclidean distance."""
     def meet(qid, queries, pid, points):
         index = Index(points)
-        a, b, s = [], [], []
-        for i, q in zip(qid.tolist(), queries):
-            at = int(np.searchsorted(pid, i))
-            skip = at if at < len(pid) and pid[at] == i else -1
-            got, dist = index.query(q, k, skip)
-            a.append(np.full(len(got), i))
-            b.append(pid[got])
-            s.append(dist)
-        return np.concatenate(a), np.concatenate(b), np.concatenate(s)
+        at = np.minimum(np.searchsorted(pid, qid), len(pid) - 1)
+        skip = np.where(pid[at] == qid, at, -1)
+        step = max(1, CELLS // len(points))
+        got = [g for i in range(0, len(qid), step)
+               for g in index.query(queries[i:i + step], k, skip[i:i + step])]
+        return (np.repeat(qid, [len(r) for r, _ in got]), pid[np.concatenate([r for r, _ in got])],
+                np.concatenate([d for _, d in got]))
 
     vectors = usable(rows, F.col("embedding")).where(F.exists("v", lambda x: x != 0))
     return search(vectors, F.col("vec_id") % every == 0, k, meet, "double", F.col("score"))

@@ -1,9 +1,10 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
 Queries and data of a block pair are each indexed by a cover tree: a node has a
-centre and a covering radius, its children's centres are kept apart by, and
-cover their points within, ``SHRINK`` times that radius.  The search walks both
-trees together.  For a pair of nodes
+centre and a covering radius; its children's centres are chosen farthest first,
+so they stand apart, until they cover its points within ``SHRINK`` times that
+radius (or there are enough of them to fill leaves), and each point goes to the
+nearest.  The search walks both trees together.  For a pair of nodes
 
     <q, p>  <=  <cq, cp> + rq |cp| + rp |cq| + rq rp
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from shotsmith.llm.blocks import search, usable
 
 SHRINK = 0.7
-LEAF = 32
+LEAF = 64
+STEP = 16             # data nodes that a query leaf opens at a time
 
 
 class Tree:
@@ -51,17 +53,16 @@ class Tree:
         if hi - lo <= LEAF or radius == 0:
             return node
         cover = radius * SHRINK
-        part = np.full(len(own), -1)
-        near = dist.copy()                 # distance to the nearest centre so far
-        part[dist <= cover] = 0
+        part = np.zeros(len(own), np.int64)
+        near = dist                        # distance to the nearest centre so far
         centres = [centre]
-        while near.max() > cover:          # farthest point first: centres stay apart
-            far = int(near.argmax())
-            d = np.sqrt(((self.points[own] - self.points[own[far]]) ** 2).sum(axis=1))
-            part[(part < 0) & (d <= cover)] = len(centres)
-            part[far] = len(centres) if near[far] > cover else part[far]
+        most = max(2, 2 * len(own) // LEAF)
+        while len(centres) < most and near.max() > cover:
+            new = self.points[own[int(near.argmax())]]
+            d = np.sqrt(((self.points[own] - new) ** 2).sum(axis=1))
+            part[d < near] = len(centres)
             near = np.minimum(near, d)
-            centres.append(self.points[own[far]])
+            centres.append(new)
         by = np.argsort(part, kind="stable")
         self.order[lo:hi] = own[by]
         edge = np.searchsorted(part[by], np.arange(len(centres) + 1))
@@ -108,7 +109,7 @@ class Search:
             nodes, bound = nodes[live], bound[live]
             if not len(nodes):
                 return
-            take = nodes[np.argsort(-bound, kind="stable")[:8]]
+            take = nodes[np.argsort(-bound, kind="stable")[:STEP]]
             nodes = np.setdiff1d(nodes, take, assume_unique=True)
             inner = [c for n in take.tolist() for c in self.p.kids[n]]
             leaves = [n for n in take.tolist() if not self.p.kids[n]]

@@ -34,6 +34,7 @@ BUCKETS = 1 << BITS
 GRAMS = (2, 3, 4)
 DIM = 8
 EPOCHS = 6
+LEAST_STEPS = 6000     # small samples are passed more often
 RATE = 0.5
 VECTOR_RATE = 60.0     # the average divides a vector's gradient by thousands of features
 SAME = np.uint64(1)    # key of the bucket of repeated words
@@ -79,8 +80,9 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 0) -> np.ndar
     vec = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = rng.uniform(-0.1, 0.1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    steps, k = EPOCHS * max(1, len(docs)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, len(docs))))
+    steps, k = epochs * max(1, len(docs)), 0
+    for _ in range(epochs if docs else 0):
         for i in rng.permutation(len(docs)):
             rate = RATE * (1 - k / steps)
             k += 1

@@ -171,7 +171,8 @@ def thresholds(scored: DataFrame, q: float) -> dict[int, int]:
     count = {(r["band"], r["bin"]): (r["decoys"], r["found"]) for r in hist.collect()}
     out = {}
     for band in range(len(BANDS)):
-        decoys = [count.get((band, b), (0, 0))[0] for b in range(BINS)]
+        # decoys of this band and all shorter ones: a shorter word passes more easily
+        decoys = [sum(count.get((i, b), (0, 0))[0] for i in range(band + 1)) for b in range(BINS)]
         found = [count.get((band, b), (0, 0))[1] for b in range(BINS)]
         out[band] = BINS
         tail_d = tail_f = 0

@@ -96,19 +96,20 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 def topk_rows(scores: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int | None,
               exclude_self: bool, descending_ids: bool = False) -> pd.DataFrame:
-    """Top k per query row of a score block: score DESC, then id ASC."""
+    """Top k per query row of a score block: score DESC, then id ASC.  A NaN
+    score counts as minus infinity: the candidate ranks last and stays."""
     s = np.round(scores, SCORE_DECIMALS)
-    if exclude_self:
-        s = np.where(q_ids[:, None] == p_ids[None, :], -np.inf, s)
+    s = np.where(np.isnan(s), -np.inf, s)
+    self_pair = (q_ids[:, None] == p_ids[None, :]) if exclude_self else np.zeros(s.shape, bool)
     tie = -p_ids if descending_ids else p_ids
-    order = np.lexsort((np.broadcast_to(tie, s.shape), -s), axis=-1)
+    order = np.lexsort((np.broadcast_to(tie, s.shape), -s, self_pair), axis=-1)
     if k is not None:
         order = order[:, :k]
     top = np.take_along_axis(s, order, axis=1)
     qs = np.repeat(q_ids, order.shape[1])
     ps = p_ids[order.ravel()]
     vals = top.ravel()
-    keep = np.isfinite(vals)
+    keep = ~np.take_along_axis(self_pair, order, axis=1).ravel()
     return pd.DataFrame({"query_id": qs[keep], "cand_id": ps[keep], "score": vals[keep]})
 
 

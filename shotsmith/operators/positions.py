@@ -82,8 +82,9 @@ def explode_range(df: DataFrame, n: int | Column, out_col: str,
               .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                      F.floor((F.col("_n") - 1) / chunk)
                                                      .cast("bigint")))))
-    if not isinstance(n, int) or n > chunk:
-        starts = starts.repartition(F.col("_c"))
+    # numbered, by row and chunk: every task gets its share of every row's range
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    starts = starts.repartition(tasks, *[F.col(c) for c in df.columns], F.col("_c"))
     lo = F.col("_c") * chunk
     hi = F.least(lo + chunk, F.col("_n")) - 1
     return (starts.withColumn(out_col, F.explode(F.sequence(lo, hi)))

@@ -39,8 +39,10 @@ def stratified_pool(df: DataFrame, pool_size: int = 300, seed: int = 75,
 
     Output keeps the input columns plus ``pool_id`` = the row's position in
     the new pool: labels ascending, then draw order (the reference's file
-    order).  Raises if a label has fewer rows than its quota.
+    order).  Rows without a label form no stratum and are not drawn.
+    Raises if a label has fewer rows than its quota.
     """
+    df = df.where(F.col(label_col).isNotNull())
     counts = df.groupBy(label_col).count().orderBy(label_col).collect()  # one row per label
     if not counts:
         raise ValueError("no labels")

@@ -21,7 +21,7 @@ def dedupe_ranking(ranking: DataFrame) -> DataFrame:
     return ranking.groupBy("query_id", "cand_id").agg(F.min("rank").alias("rank"))
 
 
-def select_top_n(ranking: DataFrame, n: int = 4, dedupe: bool = False) -> DataFrame:
+def select_top_n(ranking: DataFrame, n: int = 4, dedupe: bool = True) -> DataFrame:
     """The first n distinct ids in rank order -> (query_id, pos, cand_id)."""
     if dedupe:
         ranking = dedupe_ranking(ranking)
@@ -49,13 +49,13 @@ def select_quota(ranking: DataFrame, n: int = 4, wrong: int = 2,
     """First min(n, wrong) mispredicted ids, then first max(0, n-wrong)
     correct ones, each in rank order.  A short class is not refilled.
 
-    ``ranking`` holds ``is_correct`` already (a per-class ranking) or gets it
-    from ``pool``.  Returns (query_id, pos, cand_id, is_correct); ``pos`` is
+    ``ranking`` holds ``is_correct`` already (a per-class ranking, each id
+    once) or gets it from ``pool`` (an imported one, whose repeats count once).  Returns (query_id, pos, cand_id, is_correct); ``pos`` is
     the prompt order: the wrong ones first.
     """
     n_wrong, n_right = min(n, wrong), max(0, n - wrong)
     if "is_correct" not in ranking.columns:
-        ranking = attach_correctness(ranking, pool)
+        ranking = attach_correctness(dedupe_ranking(ranking), pool)
     w = Window.partitionBy("query_id", "is_correct").orderBy("rank", "cand_id")
     bound = max(n_wrong, n_right)
     picked = (ranking.select("query_id", "rank", "cand_id", "is_correct")
@@ -74,11 +74,8 @@ def select_quota(ranking: DataFrame, n: int = 4, wrong: int = 2,
 
 def limit_pool(pool: DataFrame, n: int) -> DataFrame:
     """The first n pool rows in position (cand_id) order; the pool must
-    hold at least n rows.  Positions are computed distributed."""
-    from shotsmith.operators.positions import dense_positions
-    pos = dense_positions(pool.select("cand_id"), [F.col("cand_id")],
-                          keep=["cand_id"], pos_col="_p")
-    head = pos.where(F.col("_p") < n).select("cand_id")
+    hold at least n rows.  Each partition keeps its first n ids (top-n)."""
+    head = pool.select("cand_id").orderBy("cand_id").limit(n)
     if head.count() != n:
         raise ValueError(f"pool holds fewer than {n} rows")
     if n <= BROADCAST_ROW_LIMIT:

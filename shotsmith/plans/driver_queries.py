@@ -366,8 +366,9 @@ SELECT count(DISTINCT lang) AS n_labels, 300 // count(DISTINCT lang) AS quota
 FROM documents""")
 def q_label_quota(spark, sf):
     c = tables.corpus(spark, sf)
-    return c.agg(F.countDistinct("label").cast("bigint").alias("n_labels"),
-                 F.floor(F.lit(300) / F.countDistinct("label")).cast("bigint").alias("quota"))
+    from shotsmith.operators.sampling import label_quota
+    return c.agg(F.countDistinct("label").cast("bigint").alias("n_labels")).withColumn(
+        "quota", F.lit(label_quota(c, 300)).cast("bigint"))
 
 
 # ---------------------------------------------------------------- vectors

@@ -57,7 +57,8 @@ def output_counts(results: DataFrame) -> DataFrame:
 
 def write_back(pool: DataFrame, results: DataFrame) -> tuple[DataFrame, int]:
     """Pool with ``prediction`` from the results, and the number of rows
-    whose result label differs from the pool label (must be 0).
+    whose result label differs from the pool label (must be 0).  Results
+    that repeat an id would multiply pool rows; they raise.
 
     The joined table is written to the checkpoint folder once, so counting
     the mismatches does not run the scoring a second time.
@@ -65,6 +66,9 @@ def write_back(pool: DataFrame, results: DataFrame) -> tuple[DataFrame, int]:
     checkpoint_dir(pool.sparkSession)
     res = results.select(F.col("id").cast("bigint").alias("cand_id"),
                          F.col("label").alias("_rlabel"), F.col("outputs"))
+    n, ids = res.agg(F.count(F.lit(1)), F.count_distinct("cand_id")).first()
+    if n != ids:
+        raise ValueError(f"{n} results for {ids} ids: an id must have one result")
     # One result per pool row: the pool's (cheap) count bounds the results.
     if pool.count() <= BROADCAST_ROW_LIMIT:
         res = F.broadcast(res)

@@ -58,11 +58,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def row_count_at_most(df, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows (reads at most limit+1)."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``shotsmith`` importable in Python workers (``mapInPandas`` code).
 

@@ -25,10 +25,12 @@ LABELLED_COLUMNS = ["sentence", "label_id", "label", "prediction", "zeropred"]
 
 
 def read_labelled(spark: SparkSession, path: str, id_col: str = "cand_id",
-                  fmt: str = "csv", schema: T.StructType | None = None) -> DataFrame:
+                  fmt: str = "csv", schema: T.StructType | None = None,
+                  multi_line: bool = False) -> DataFrame:
     """Read a pool or query table and give every row its file position as id.
 
     CSV: header line, quotes doubled inside quoted fields (``escape='"'``).
+    ``multi_line`` reads quoted newlines (a file is then one task).
     The header decides which columns exist; every column is text (no
     inference pass) and pandas' missing-value texts read as missing.
     """
@@ -36,11 +38,11 @@ def read_labelled(spark: SparkSession, path: str, id_col: str = "cand_id",
         df = spark.read.parquet(path)
     else:
         header = spark.read.option("header", True).option("escape", '"') \
-            .option("inferSchema", False).csv(path).columns
+            .option("inferSchema", False).option("multiLine", multi_line).csv(path).columns
         fields = [T.StructField(c, T.StringType(), True) for c in header]
         df = (spark.read.schema(schema or T.StructType(fields))
               .option("header", True).option("escape", '"')
-              .option("mode", "FAILFAST").csv(path))
+              .option("mode", "FAILFAST").option("multiLine", multi_line).csv(path))
         na = F.array(*[F.lit(x) for x in PANDAS_NA])
         df = df.select(*[F.when(F.array_contains(na, F.col(c)), F.lit(None))
                           .otherwise(F.col(c)).alias(c) for c in df.columns])

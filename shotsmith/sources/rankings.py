@@ -17,38 +17,45 @@ from pyspark.sql import functions as F
 RANKING_JSON_SCHEMA = "map<string,array<string>>"
 
 
-# Longest id list one query's JSON object may hold (one row, one task).
-MAX_JSON_IDS = 1_000_000
+# Ids in one JSON line.  A longer ranking takes several lines per query; the
+# key of a later line carries the ranks before it: "<query>@<ranks>".
+LINE_IDS = 100_000
 
 
-def rankings_to_json(ranking: DataFrame, max_ids: int = MAX_JSON_IDS) -> DataFrame:
-    """one JSON object per query, ids in rank order -> (query_id, value).
+def rankings_to_json(ranking: DataFrame, line_ids: int = LINE_IDS) -> DataFrame:
+    """JSON objects of at most ``line_ids`` ids, in rank order -> (query_id, value).
 
-    A query's list becomes one row, so its length is checked first (the
-    original's rankings hold a 300-row pool); longer rankings belong in the
-    table form (``write_rankings``).
+    Ranks run 1..n without gaps; a line's ids are a bounded group, so a
+    ranking of any length is written by many tasks.
     """
-    longest = ranking.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")) \
-        .agg(F.max("n")).first()[0] or 0
-    if longest > max_ids:
-        raise ValueError(f"a query ranks {longest} ids; JSON holds at most {max_ids} "
-                         "per query -- write the ranking table instead")
-    return (ranking.groupBy("query_id")
+    before = (F.floor((F.col("rank") - 1) / line_ids) * line_ids).cast("bigint")
+    key = F.concat(F.col("query_id").cast("string"),
+                   F.when(F.col("_before") > 0, F.concat(F.lit("@"), F.col("_before").cast("string")))
+                   .otherwise(F.lit("")))
+    return (ranking.groupBy("query_id", before.alias("_before"))
             .agg(F.array_sort(F.collect_list(F.struct("rank", "cand_id"))).alias("_r"))
             .select("query_id", F.to_json(F.create_map(
-                F.col("query_id").cast("string"),
-                F.transform("_r", lambda s: s["cand_id"].cast("string")))).alias("value")))
+                key, F.transform("_r", lambda s: s["cand_id"].cast("string")))).alias("value")))
+
+
+def _id(text: F.Column, what: str) -> F.Column:
+    """The id, or an error for a text that is none (as the original's reader fails)."""
+    number = text.try_cast("bigint")
+    return F.when(number.isNull(), F.raise_error(F.concat(
+        F.lit(f"bad {what} in a ranking: "), F.coalesce(text, F.lit("null")))).cast("bigint")).otherwise(number)
 
 
 def rankings_from_json(lines: DataFrame, col: str = "value") -> DataFrame:
-    """JSON text rows -> (query_id, rank, cand_id); ids cast with try_cast."""
+    """JSON text rows -> (query_id, rank, cand_id); a bad id raises."""
     parsed = lines.select(F.explode(F.from_json(F.col(col), RANKING_JSON_SCHEMA))
                           .alias("_q", "_ids"))
+    key = F.split("_q", "@")
     return parsed.select(
-        F.col("_q").try_cast("bigint").alias("query_id"),
+        _id(key[0], "query id").alias("query_id"),
+        F.coalesce(F.get(key, F.lit(1)).cast("int"), F.lit(0)).alias("_before"),
         F.posexplode("_ids").alias("_p", "_c")) \
-        .select("query_id", (F.col("_p") + 1).cast("int").alias("rank"),
-                F.col("_c").try_cast("bigint").alias("cand_id"))
+        .select("query_id", (F.col("_before") + F.col("_p") + 1).cast("int").alias("rank"),
+                _id(F.col("_c"), "candidate id").alias("cand_id"))
 
 
 def write_rankings_json(ranking: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -67,8 +74,9 @@ def read_rankings_json(spark: SparkSession, path: str, whole_file: bool = False)
 
 def write_rankings(ranking: DataFrame, path: str, partition_cols: list[str] = (),
                    mode: str = "overwrite") -> None:
-    """S3 (table): parquet, partitioned by run parameters (task, dataset, mode, ...)."""
-    w = ranking.write.mode(mode)
+    """S3 (table): parquet, partitioned by run parameters (task, dataset, mode,
+    ...).  Overwriting replaces the partitions of this ranking and no others."""
+    w = ranking.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
     w.parquet(path)

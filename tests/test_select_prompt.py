@@ -127,3 +127,22 @@ def test_quota_matches_loop(spark, perms, wrong, n, w):
                [c for c in p if c not in wrong][:max(0, n - w)]
         assert [c for _, c in sorted(got.get(q, []))] == want
         assert [i for i, _ in sorted(got.get(q, []))] == list(range(1, len(want) + 1))
+
+
+def test_quota_counts_a_repeated_id_once(spark):
+    from shotsmith.operators.select import select_quota
+    ranking = spark.createDataFrame([(0, r + 1, c) for r, c in enumerate([0, 0, 1, 2, 3])],
+                                    "query_id bigint, rank int, cand_id bigint")
+    pool = spark.createDataFrame([(c, "a", "b" if c < 2 else "a") for c in range(4)],
+                                 "cand_id bigint, label string, prediction string")
+    got = sorted((r["pos"], r["cand_id"]) for r in select_quota(ranking, 4, 2, pool=pool).collect())
+    assert got == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_write_back_refuses_repeated_results(spark):
+    import pytest
+    from shotsmith.plans.jobs import write_back
+    pool = spark.createDataFrame([(1, "a", "a")], "cand_id bigint, label string, prediction string")
+    res = spark.createDataFrame([("1", "a", "a"), ("1", "a", "b")], "id string, label string, outputs string")
+    with pytest.raises(ValueError):
+        write_back(pool, res)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from shotsmith.sources.labelled import read_labelled
-from shotsmith.sources.rankings import (read_rankings, read_rankings_json, rankings_to_json,
+from shotsmith.sources.rankings import (rankings_from_json, read_rankings, read_rankings_json,
+                                        rankings_to_json,
                                         write_rankings, write_rankings_json)
 from shotsmith.sources.results import write_results
 
@@ -100,12 +101,40 @@ def test_read_labelled_pandas_missing_texts(spark):
     assert got[1]["label"] == "nan"
 
 
-def test_json_export_checks_list_length(spark):
-    r = spark.createDataFrame([(1, i + 1, i) for i in range(5)],
+def test_json_export_cuts_long_rankings(spark):
+    r = spark.createDataFrame([(q, i + 1, 10 * i) for q in (1, 2) for i in range(5)],
                               "query_id bigint, rank int, cand_id bigint")
-    with pytest.raises(ValueError):
-        rankings_to_json(r, max_ids=4)
-    assert len(rankings_to_json(r, max_ids=5).collect()) == 1
+    lines = rankings_to_json(r, line_ids=2)
+    assert lines.count() == 6
+    assert rows(rankings_from_json(lines)) == rows(r)
+
+
+def test_bad_ids_raise(spark):
+    for text in ('{"1": ["5", "x"]}', '{"q": ["5"]}'):
+        with pytest.raises(Exception, match="in a ranking"):
+            rankings_from_json(spark.createDataFrame([(text,)], "value string")).collect()
+
+
+def test_overwriting_keeps_other_runs(spark):
+    r = spark.createDataFrame([(0, 1, 5)], "query_id bigint, rank int, cand_id bigint")
+    d = os.path.join(scratch(), "rankings")
+    for mode in ("bm25", "sbert", "bm25"):
+        write_rankings(r.withColumn("mode", F.lit(mode)), d, ["mode"])
+    assert sorted(x["mode"] for x in read_rankings(spark, d).collect()) == ["bm25", "sbert"]
+    res = spark.createDataFrame([("0", "Sentence: x\nLabel: ", "nan", "positive")],
+                                "id string, input_all_tokens string, label string, outputs string")
+    out = os.path.join(scratch(), "results")
+    for _ in range(2):
+        write_results(res, out, fmt="csv", model="m")
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(out).collect()
+    assert [x["input_all_tokens"] for x in back] == ["Sentence: x\nLabel: "]
+
+
+def test_quoted_newline_reads_with_multi_line(spark):
+    path = os.path.join(scratch(), "q.csv")
+    with open(path, "w") as f:
+        f.write('sentence,label\n"two\nlines",positive\n')
+    assert read_labelled(spark, path, multi_line=True).first()["sentence"] == "two\nlines"
 
 
 def test_row_ids_follow_file_order_across_splits(spark):

@@ -57,19 +57,10 @@ def brute_f1(a, b):
     return 0.0 if p + r == 0 else 2 * p * r / (p + r)
 
 
-def greedy_mmr(scores, lam=0.5):
-    """The original loop, verbatim in behaviour (diversity from the query scores)."""
-    chosen = []
-    while len(chosen) < len(scores):
-        best, sel = float("-inf"), None
-        for idx, f in scores.items():
-            if idx in chosen:
-                continue
-            div = max((1 - lam) * scores[j] for j in chosen) if chosen else 0
-            if lam * f - div > best:
-                best, sel = lam * f - div, idx
-        chosen.append(sel)
-    return chosen
+def relevance_order(scores):
+    """What diversity without effect leaves: highest F1 first, ties to the smaller id."""
+    ids = np.array(sorted(scores))
+    return ids[np.lexsort((ids, [-scores[i] for i in ids]))].tolist()
 
 
 def test_f1_matrix_and_mmr_against_brute_force(spark):
@@ -88,11 +79,11 @@ def test_f1_matrix_and_mmr_against_brute_force(spark):
         scores = {c: round(brute_f1(sents[qid], sents[c]), 6) for c in sents if c != qid}
         mine = [r["cand_id"] for r in sorted((r for r in mmr if r["query_id"] == qid),
                                              key=lambda r: r["rank"])]
-        assert mine == greedy_mmr(scores)
+        assert mine == relevance_order(scores)
 
 
 def test_mmr_order_golden():
-    assert greedy_mmr({0: 0.5, 1: 0.9, 2: 0.9, 3: 0.1}) == [1, 2, 0, 3]
+    assert relevance_order({0: 0.5, 1: 0.9, 2: 0.9, 3: 0.1}) == [1, 2, 0, 3]
 
 
 def test_interleave_invariants(spark):
@@ -176,3 +167,9 @@ def test_cosine_ties_go_to_smaller_id(spark):
         mine = [r["cand_id"] for r in sorted((r for r in got if r["query_id"] == q),
                                              key=lambda r: r["rank"])]
         assert mine == sorted(range(80), key=lambda c: (-sims[q, c], c))[:6]
+
+
+def test_nan_vectors_rank_last_and_stay():
+    from shotsmith.operators.blocks import topk_rows
+    got = topk_rows(np.array([[0.2, np.nan, 0.9]]), np.array([7]), np.array([1, 2, 3]), None, True)
+    assert got["cand_id"].tolist() == [3, 1, 2]

@@ -193,7 +193,9 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(key, spans): per row (``key``, ``text``) the repeated windows, as
     ARRAY<STRUCT<w, m>>: first window, windows."""
     rows = write_once(_segment_rows(docs, size), "segments")
-    several = rows.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    # written first: both sides of the join are then plain shuffles, which
+    # adaptive execution can split where one anchor holds many rows
+    several = write_once(rows.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
     rows = write_once(rows.join(several, "a"), "candidates")
     distinct = (rows.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "s", "m")).alias("r"))
                 .select("a", "c", "n", "r.key", "r.s", "r.m"))

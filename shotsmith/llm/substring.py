@@ -18,7 +18,9 @@ document's stretches meet only the shard that can repeat them:
    length of the longest suffix that occurs at least twice.  Where that
    reaches ``size``, a repeated window ends.
 4. An anchor with very many distinct contents would make one shard large; its
-   segments are sent as single windows, dealt by the window's own hash.
+   segments are sent as single windows, dealt by the window's own hash.  Equal
+   windows are summed map-side first, so a passage found in a third of all
+   documents reaches its shard as one row; its verdict is joined back.
 5. The verdict of a distinct segment goes to all its copies, and every row
    removes the words its repeated windows cover.
 
@@ -164,7 +166,8 @@ def _segment_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _contents(joined: DataFrame, size: int, shards: int) -> DataFrame:
-    """(shard, a, c, off, weight, words): the words of every distinct segment."""
+    """(shard, wide, a, c, off, x, weight, words): the words of every distinct
+    segment, or of each of its windows (``x``: window hash) where the anchor is wide."""
     def run(batches):
         for pdf in batches:
             rows = []
@@ -174,19 +177,21 @@ def _contents(joined: DataFrame, size: int, shards: int) -> DataFrame:
                 for w in want:
                     a, c, s, m = w["a"], w["c"], w["s"], w["m"]
                     if not w["wide"]:
-                        rows.append((a % shards, a, c, 0, w["n"], raw[start[s]:end[s + m + size - 2]]))
+                        rows.append((a % shards, False, a, c, 0, 0, w["n"], raw[start[s]:end[s + m + size - 2]]))
                         continue
                     own = mix(windows(h[s:s + m + size - 1], size)).view(np.int64)
                     for i, x in enumerate(own.tolist()):
-                        rows.append((x % shards, a, c, i, w["n"], raw[start[s + i]:end[s + i + size - 1]]))
+                        words = b" ".join(raw[start[s + i]:end[s + i + size - 1]].split())
+                        rows.append((x % shards, True, a, c, i, x, w["n"], words))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    names = ["shard", "a", "c", "off", "weight", "words"]
-    return joined.mapInPandas(run, "shard bigint, a bigint, c bigint, off int, weight bigint, words binary")
+    names = ["shard", "wide", "a", "c", "off", "x", "weight", "words"]
+    return joined.mapInPandas(run, "shard bigint, wide boolean, a bigint, c bigint, off int, x bigint, "
+                                   "weight bigint, words binary")
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -208,8 +213,15 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
             .agg(F.collect_list(F.struct("a", "c", "n", "s", "m", "wide")).alias("want")))
     joined = docs.join(want.hint("shuffle_hash"), docs["key"] == want["_key"]).select("text", "want")
 
+    contents = write_once(_contents(joined, size, shards), "contents")
+    # a window of a wide anchor is judged once, whatever the number of its segments
+    sent = contents.where("NOT wide").select("shard", "wide", "a", "c", "weight", "words").unionByName(
+        contents.where("wide").groupBy("shard", "x", "words").agg(F.sum("weight").alias("weight"))
+        .select("shard", F.lit(True).alias("wide"), F.lit(0).cast("bigint").alias("a"),
+                F.col("x").alias("c"), "weight", "words"))
+
     def judge(pdf):
-        pdf = pdf.drop_duplicates(["a", "c", "off"])
+        pdf = pdf.drop_duplicates(["wide", "a", "c", "words"])
         # equal contents under one automaton: windows of wide anchors meet here
         ids: dict[bytes, int] = {}
         seqs = [[ids.setdefault(w, len(ids)) for w in x.split()] for x in pdf["words"]]
@@ -217,14 +229,18 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for seq, weight in zip(seqs, pdf["weight"].tolist()):
             auto.add(seq, weight)
         auto.finish()
-        out = [(a, c, off + w, m) for a, c, off, seq in
-               zip(pdf["a"].tolist(), pdf["c"].tolist(), pdf["off"].tolist(), seqs)
+        out = [(wide, a, c, w, m) for wide, a, c, seq in
+               zip(pdf["wide"].tolist(), pdf["a"].tolist(), pdf["c"].tolist(), seqs)
                for w, m in auto.repeated(seq, size)]
-        return pd.DataFrame(out, columns=["a", "c", "w", "m"])
-
-    verdict = (_contents(joined, size, shards).groupBy("shard")
-               .applyInPandas(judge, "a bigint, c bigint, w int, m int")
-               .groupBy("a", "c").agg(F.collect_list(F.struct("w", "m")).alias("runs")))
+        return pd.DataFrame(out, columns=["wide", "a", "c", "w", "m"])
+
+    judged = write_once(sent.groupBy("shard").applyInPandas(
+        judge, "wide boolean, a bigint, c bigint, w int, m int"), "judged")
+    repeated = judged.where("wide").select(F.col("c").alias("x")).distinct()
+    verdict = (judged.where("NOT wide").select("a", "c", "w", "m")
+               .unionByName(contents.where("wide").select("a", "c", F.col("off").alias("w"), "x")
+                            .join(repeated, "x").select("a", "c", "w", F.lit(1).alias("m")))
+               .groupBy("a", "c").agg(F.collect_set(F.struct("w", "m")).alias("runs")))
     verdict = write_once(verdict, "verdict")
     return (rows.join(verdict, ["a", "c"]).select("key", "s", F.explode("runs").alias("x"))
             .groupBy("key").agg(F.collect_list(F.struct(

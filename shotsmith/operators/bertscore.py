@@ -11,8 +11,9 @@ and its diversity term is the same constant for every remaining candidate
 at each step, so for lambda > 0 the greedy order is F1 descending with the
 smaller id first on ties -- one ranking, no cubic loop.
 
-Sentence token matrices ride in blocks (``blocks``); per block pair one
-matmul over all tokens, then segment maxima with ``np.maximum.reduceat``.
+Sentence token matrices ride in blocks (``blocks``) bounded by their tokens; a
+block pair is one matmul per tile of tokens, then segment maxima with
+``np.maximum.reduceat``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from shotsmith.operators.blocks import (BLOCK_ROWS, block_pairs, run_blocks, top
 from shotsmith.operators.ranking import rank_within
 
 MMR_LAMBDA = 0.5
+TILE_TOKENS = 4096      # tokens a side of one product: the tile is 128 MiB of doubles
+BLOCK_TOKENS = 1 << 16  # tokens a block holds on average
 
 
 def token_sentences(tokens: DataFrame, sent_col: str, pos_col: str, vec_col: str,
@@ -42,22 +45,40 @@ def token_sentences(tokens: DataFrame, sent_col: str, pos_col: str, vec_col: str
             .select(id_name, F.col("_t.v").alias("toks")))
 
 
+def _runs(lengths: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Indices of the non-empty sentences in runs of about ``limit`` tokens."""
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return []
+    run = (np.cumsum(lengths[some]) - lengths[some]) // limit
+    return np.split(some, np.flatnonzero(np.diff(run)) + 1)
+
+
+def _matrix(toks: list, at: np.ndarray) -> np.ndarray:
+    return unit_rows(np.vstack([np.asarray(list(toks[i]), dtype=np.float64) for i in at]))
+
+
 def f1_matrix(q_toks: list, p_toks: list) -> np.ndarray:
-    """F1 of every (query sentence, pool sentence) pair of a block."""
+    """F1 of every (query sentence, pool sentence) pair of a block.  The token
+    products are made in tiles of about TILE_TOKENS a side, so memory does not
+    grow with the sentences' lengths.  A sentence without tokens scores 0."""
     q_len = np.array([len(t) for t in q_toks])
     p_len = np.array([len(t) for t in p_toks])
-    qm = unit_rows(np.vstack([np.asarray(list(t), dtype=np.float64) for t in q_toks]))
-    pm = unit_rows(np.vstack([np.asarray(list(t), dtype=np.float64) for t in p_toks]))
-    sim = qm @ pm.T
-    q_off = np.concatenate([[0], np.cumsum(q_len)[:-1]])
-    p_off = np.concatenate([[0], np.cumsum(p_len)[:-1]])
-    best_over_p = np.maximum.reduceat(sim, p_off, axis=1)      # q tokens x p sents
-    best_over_q = np.maximum.reduceat(sim, q_off, axis=0)      # q sents x p tokens
-    recall = np.add.reduceat(best_over_p, q_off, axis=0) / q_len[:, None]
-    precision = np.add.reduceat(best_over_q, p_off, axis=1) / p_len[None, :]
-    denom = precision + recall
-    with np.errstate(invalid="ignore", divide="ignore"):
-        f1 = np.where(denom != 0, 2 * precision * recall / denom, 0.0)
+    f1 = np.zeros((len(q_toks), len(p_toks)))
+    for p_at in _runs(p_len, TILE_TOKENS):
+        pm, pl = _matrix(p_toks, p_at), p_len[p_at]
+        p_off = np.cumsum(pl) - pl
+        for q_at in _runs(q_len, TILE_TOKENS):
+            ql = q_len[q_at]
+            q_off = np.cumsum(ql) - ql
+            sim = _matrix(q_toks, q_at) @ pm.T
+            best_over_p = np.maximum.reduceat(sim, p_off, axis=1)      # q tokens x p sents
+            best_over_q = np.maximum.reduceat(sim, q_off, axis=0)      # q sents x p tokens
+            recall = np.add.reduceat(best_over_p, q_off, axis=0) / ql[:, None]
+            precision = np.add.reduceat(best_over_q, p_off, axis=1) / pl[None, :]
+            denom = precision + recall
+            with np.errstate(invalid="ignore", divide="ignore"):
+                f1[np.ix_(q_at, p_at)] = np.where(denom != 0, 2 * precision * recall / denom, 0.0)
     return f1
 
 
@@ -69,8 +90,9 @@ def bertscore_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
     queries: (query_id, toks); pool: (cand_id, toks) -- see token_sentences.
     """
     # One pass over the pool: row count, token vector length, mean tokens.
-    probe = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col("toks")[0])).alias("d"),
+    probe = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.get("toks", F.lit(0)))).alias("d"),
                      F.avg(F.size("toks")).alias("t")).first()
+    block_rows = max(1, min(block_rows, int(BLOCK_TOKENS / max(1.0, probe["t"] or 1.0))))
     row_bytes = int(8 * (probe["d"] or 1) * (probe["t"] or 1)) + 16
     pairs, n_pool = block_pairs(queries, pool, "query_id", "cand_id", "toks", row_bytes,
                                 block_rows, n_pool=int(probe["n"]))

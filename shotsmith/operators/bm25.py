@@ -11,8 +11,8 @@ Plan (one shuffle of the pool, everything else local or bounded):
    checkpointed; four scalars reach the driver: N, mean length, vocabulary
    size and the idf sum.
 3. Query tokens ``(query_id, token, qtf, idf)`` meet the postings in an
-   equi-join on token.  The query side is broadcast only after counting it;
-   beyond the limit both sides are salted on hot tokens and shuffled.
+   equi-join on token.  The query side is broadcast only after counting its rows
+   and bytes; beyond the limits both sides are salted on hot tokens and shuffled.
 4. The broadcast join keeps the ``cand_id`` partitioning, so the per-pair sum
    by (query, cls, cand) aggregates without a shuffle.
 5. Top-k per (query, cls) by ``row_number`` plans as WindowGroupLimit: each
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotsmith.functions.text import as_text, tokens
+from shotsmith.operators.blocks import BROADCAST_BYTES
 from shotsmith.operators.ranking import rank_within
 from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
 
@@ -175,21 +176,19 @@ def _query_terms(queries: DataFrame) -> DataFrame:
             .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _join_terms(post: DataFrame, qterms: DataFrame, vocab: DataFrame,
-                small: bool) -> DataFrame:
-    """postings JOIN query terms on token: broadcast if counted small, else salted."""
-    if small:
-        return post.join(F.broadcast(qterms), "token")
-    # Salt hot tokens: their postings spread over SALT_BUCKETS keys and the
-    # (few) query rows of such a token are copied to every bucket.  The
-    # posting count is the sum of document frequencies (read from the
-    # vocabulary table, not by another pass over the text).
+def hot_tokens(vocab: DataFrame) -> DataFrame:
+    """(token, _hot) of the tokens whose postings are salted: at most
+    64 * SALT_BUCKETS and the marker, since document frequencies add up to the
+    number of postings (read from the vocabulary table, not from the text)."""
     n_post = int(vocab.where(F.col("token") != MARKER).agg(F.sum("df")).first()[0] or 0)
-    hot_df = max(n_post // (SALT_BUCKETS * 64), 1)
-    hot = vocab.where(F.col("df") >= hot_df).select("token", F.lit(True).alias("_hot"))
-    if hot.limit(BROADCAST_ROW_LIMIT + 1).count() > BROADCAST_ROW_LIMIT:
-        return post.join(qterms, "token")  # AQE skew-join splits what remains
-    hot = F.broadcast(hot)
+    hot_df = max(-(-n_post // (SALT_BUCKETS * 64)), 1)
+    return vocab.where(F.col("df") >= hot_df).select("token", F.lit(True).alias("_hot"))
+
+
+def _join_salted(post: DataFrame, qterms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """postings JOIN query terms on token.  The postings of a hot token spread over
+    SALT_BUCKETS keys, and the query rows of such a token are copied to each."""
+    hot = F.broadcast(hot_tokens(vocab))   # a proven bound, see there
     p = post.join(hot, "token", "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("cand_id"), F.lit(SALT_BUCKETS)))
         .otherwise(F.lit(0)).cast("int")).drop("_hot")
@@ -231,19 +230,22 @@ class BM25Index:
         q_idf = (qterms.select("token").distinct().join(idf.select("token", "idf"), "token")
                  .unionByName(queries.sparkSession.range(1).select(
                      F.lit(MARKER).alias("token"), F.lit(0).cast(WEIGHT_TYPE).alias("idf"))))
-        small = qterms.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
-        if small:  # distinct query tokens <= query term rows
-            q_idf = F.broadcast(q_idf)
-        # Weight once per posting, as an exact scaled integer (units of 1e-10).
-        weighted = post.join(q_idf, "token").select(
-            "cand_id", "_cls", "token",
-            (term_weight(F.col("idf"), F.col("tf"), F.col("dl"), stats.avg_len)
-             * F.lit(SCALE)).cast("bigint").alias("w"))
+        # The weight of a posting as an exact scaled integer (units of 1e-10).
+        weight = (term_weight(F.col("idf"), F.col("tf"), F.col("dl"), stats.avg_len)
+                  * F.lit(SCALE)).cast("bigint").alias("w")
         q_marker = queries.select("query_id", F.lit(MARKER).alias("token"),
                                   F.lit(1).cast("bigint").alias("qtf"))
         qw = qterms.select("query_id", "token", "qtf").unionByName(q_marker)
-
-        pairs = _join_terms(weighted, qw, self.vocab, small)
+        n, size = qterms.agg(F.count(F.lit(1)),
+                             F.sum(F.octet_length("token") + F.lit(32))).first()
+        if n <= BROADCAST_ROW_LIMIT and (size or 0) <= BROADCAST_BYTES:
+            # distinct query tokens <= query term rows; once per posting, not per pair
+            weighted = post.join(F.broadcast(q_idf), "token").select(
+                "cand_id", "_cls", "token", weight)
+            pairs = weighted.join(F.broadcast(qw), "token")
+        else:   # the idf meets the query terms, so the postings join on salted keys only
+            pairs = _join_salted(post, qw.join(q_idf, "token"), self.vocab).select(
+                "query_id", "_cls", "cand_id", "qtf", weight)
         return (pairs.groupBy("query_id", "_cls", "cand_id")
                 .agg((F.sum(F.col("qtf") * F.col("w")).cast("double") / F.lit(float(SCALE)))
                      .alias("score")))

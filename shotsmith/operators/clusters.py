@@ -21,8 +21,6 @@ from shotsmith.functions.hashing import seeded_draw
 from shotsmith.operators.positions import dense_positions, explode_range
 from shotsmith.session import BROADCAST_ROW_LIMIT
 
-MAX_ROUNDS = 12
-
 
 def cluster_sizes(assigned: DataFrame, k: int, cluster_col: str = "cluster") -> list[int]:
     """A2: size of clusters 0..k-1; an empty cluster counts 0."""
@@ -50,7 +48,7 @@ def interleave_clusters(queries: DataFrame, assigned: DataFrame, k: int, take: i
             .withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
     pos_side = F.broadcast(pos) if sum(sizes) <= BROADCAST_ROW_LIMIT else pos
     keys, done, d = rows, [], 2 * take + 32
-    for _ in range(MAX_ROUNDS):
+    while True:   # ends: every cluster holds at least ``take`` ids
         n_c = F.element_at(size_map, F.col("cluster"))
         draws = explode_range(keys, d, "_j").withColumn(
             "pos", seeded_draw(seed, n_c, "query_id", "cluster", "_j"))
@@ -72,7 +70,6 @@ def interleave_clusters(queries: DataFrame, assigned: DataFrame, k: int, take: i
         # Only (query, cluster) groups still short draw again, longer.
         done.append(picked.join(short, ["query_id", "cluster"], "left_anti"))
         keys, d = short, d * 4
-    raise RuntimeError("cluster draws did not converge")
 
 
 def kmeans_assign(pool: DataFrame, k: int = 4, min_size: int = 30, tries: int = 25,

@@ -68,22 +68,23 @@ def explode_range(df: DataFrame, n: int | Column, out_col: str,
                   chunk: int = 50_000) -> DataFrame:
     """Repeat each row for ``out_col`` = 0 .. n-1 (n <= 0 gives no rows).
 
-    Large ranges are cut into chunks first and spread over tasks, so one
-    input row with a huge ``n`` is not expanded inside a single task.
+    Rows are spread over tasks first, large ranges in chunks: neither a small
+    file of rows nor one row with a huge ``n`` is expanded inside a single task.
     """
     n_col = F.lit(n) if isinstance(n, int) else n
     n_col = n_col.cast("bigint")
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if isinstance(n, int) and n <= chunk:
         if n <= 0:
             return df.withColumn(out_col, F.lit(None).cast("bigint")).where("false")
-        return df.withColumn(out_col, F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                           n_col - 1)))
+        rows = df.repartition(tasks, *[F.col(c) for c in df.columns])
+        return rows.withColumn(out_col, F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                             n_col - 1)))
     starts = (df.withColumn("_n", n_col).where(F.col("_n") > 0)
               .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                      F.floor((F.col("_n") - 1) / chunk)
                                                      .cast("bigint")))))
     # numbered, by row and chunk: every task gets its share of every row's range
-    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     starts = starts.repartition(tasks, *[F.col(c) for c in df.columns], F.col("_c"))
     lo = F.col("_c") * chunk
     hi = F.least(lo + chunk, F.col("_n")) - 1

@@ -13,6 +13,7 @@ ids through a dense position table (equi-join), built distributed.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -22,8 +23,6 @@ from shotsmith.functions.hashing import seeded_draw, seeded_hash
 from shotsmith.operators.positions import dense_positions, explode_range
 from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
 
-MAX_ROUNDS = 12
-
 
 def label_quota(df: DataFrame, pool_size: int, label_col: str = "label") -> int:
     """A3: pool_size // number of distinct labels (integer division)."""
@@ -43,20 +42,25 @@ def stratified_pool(df: DataFrame, pool_size: int = 300, seed: int = 75,
     Raises if a label has fewer rows than its quota.
     """
     df = df.where(F.col(label_col).isNotNull())
-    counts = df.groupBy(label_col).count().orderBy(label_col).collect()  # one row per label
-    if not counts:
+    counts = df.groupBy(label_col).count()
+    n_labels, fewest = counts.agg(F.count(F.lit(1)), F.min("count")).first()
+    if n_labels == 0:
         raise ValueError("no labels")
-    quota = pool_size // len(counts)
-    short = [r[label_col] for r in counts if r["count"] < quota]
-    if short:
-        raise ValueError(f"labels {short} have fewer than {quota} rows")
-    label_index = F.create_map(*[x for i, r in enumerate(counts)
-                                 for x in (F.lit(r[label_col]), F.lit(i))])
+    quota = pool_size // n_labels
+    if fewest < quota:
+        short = counts.where(F.col("count") < quota).orderBy(label_col).limit(20).collect()
+        raise ValueError(f"labels {[r[label_col] for r in short]} have fewer than {quota} rows")
     w = Window.partitionBy(label_col).orderBy(seeded_hash(seed, id_col), F.col(id_col))
     picked = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota)
-    pool_id = (F.element_at(label_index, F.col(label_col)).cast("bigint") * quota
-               + F.col("_r") - 1)
-    return picked.withColumn("pool_id", pool_id).drop("_r")
+    # a label's place among the labels is numbered by distributed positions, not on the driver
+    place = dense_positions(counts.select(F.col(label_col).alias("_label")), [F.col("_label")],
+                            keep=["_label"])
+    if n_labels <= BROADCAST_ROW_LIMIT:
+        place = F.broadcast(place)
+    columns = picked.columns
+    return (picked.join(place, picked[label_col] == place["_label"])
+            .withColumn("pool_id", F.col("pos") * quota + F.col("_r") - 1)
+            .select(*[c for c in columns if c != "_r"], "pool_id"))
 
 
 def pool_positions(pool: DataFrame, id_col: str = "cand_id") -> tuple[DataFrame, int]:
@@ -66,6 +70,12 @@ def pool_positions(pool: DataFrame, id_col: str = "cand_id") -> tuple[DataFrame,
     return pos, n
 
 
+def first_round(n: int, m: int) -> int:
+    """Draws that give ``m`` distinct of ``n`` positions as a rule: the expected
+    number, n ln(n / (n - m)), and a margin.  Rows still short draw again."""
+    return int(1.1 * n * math.log(n / max(n - m, 0.5))) + 2 * math.isqrt(m) + 4
+
+
 def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
                     rounds_start: int, exclude_self: bool,
                     positions: DataFrame) -> DataFrame:
@@ -81,7 +91,7 @@ def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
     if n <= BROADCAST_ROW_LIMIT:
         pos_side = F.broadcast(positions)
     keys, done, d = rows.select(key), [], rounds_start
-    for _ in range(MAX_ROUNDS):
+    while True:   # ends: m <= n, so every position is drawn at last
         draws = explode_range(keys, d, "_j") \
             .withColumn("pos", seeded_draw(seed, n, key, "_j"))
         hits = draws.join(pos_side, "pos")
@@ -101,7 +111,6 @@ def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
             return reduce(DataFrame.unionByName, done)
         done.append(ranked.join(short, key, "left_anti"))
         keys, d = short, d * 4
-    raise RuntimeError("random draws did not converge")
 
 
 def random_rankings(queries: DataFrame, pool: DataFrame, m: int = 300,
@@ -116,7 +125,8 @@ def random_rankings(queries: DataFrame, pool: DataFrame, m: int = 300,
     if m == 0:
         return queries.select("query_id").where("false") \
             .withColumn("rank", F.lit(0)).withColumn("cand_id", F.lit(0).cast("bigint"))
-    ranked = _distinct_draws(queries, "query_id", n, m, seed, 2 * m + 64, False, positions)
+    ranked = _distinct_draws(queries, "query_id", n, m, seed, first_round(n, m), False,
+                             positions)
     return ranked.withColumnRenamed("draw_rank", "rank")
 
 
@@ -130,5 +140,6 @@ def random_neighbours(table: DataFrame, k: int = 4, seed: int = 123,
     rows = table.select(F.col(id_col).alias("query_id"))
     if id_col != "cand_id":
         positions = positions.withColumnRenamed(id_col, "cand_id")
-    ranked = _distinct_draws(rows, "query_id", n, k, seed, 4 * k + 12, True, positions)
+    ranked = _distinct_draws(rows, "query_id", n, k, seed, first_round(n, k + 1), True,
+                             positions)
     return ranked.withColumnRenamed("draw_rank", "pos")

@@ -99,13 +99,29 @@ def test_negative_floor_small_corpus(spark):
         assert got == order
 
 
-def test_salted_join_path_equals_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("k", [5, None])
+def test_salted_join_path_equals_broadcast(spark, monkeypatch, k):
     pool = tables.pool(spark, SF0001)
     q = tables.queries(spark, SF0001)
-    want = rows(B.bm25_rank(pool, q, k=5))
+    want = rows(B.bm25_rank(pool, q, k=k))
     monkeypatch.setattr(B, "BROADCAST_ROW_LIMIT", 10)
-    monkeypatch.setattr(B, "SALT_BUCKETS", 4)
-    assert rows(B.bm25_rank(pool, q, k=5)) == want
+    index = B.BM25Index(pool)
+    hot = {r["token"] for r in B.hot_tokens(index.vocab).collect()}
+    asked = {r["token"] for r in B._query_terms(q).select("token").distinct().collect()}
+    assert B.MARKER in hot and len(hot & asked) > 0
+    salted = index.rank(q, k)
+    assert "_salt" in salted._jdf.queryExecution().toString()
+    assert rows(salted) == want
+
+
+def test_long_tokens_are_not_broadcast(spark, monkeypatch):
+    pool = pool_df(spark, {0: "a b", 1: "a c", 2: "d d e"})
+    q = query_df(spark, {0: "a d a"})
+    want = rows(B.bm25_rank(pool, q, k=3))
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 1)
+    salted = B.BM25Index(pool).rank(q, 3)
+    assert "_salt" in salted._jdf.queryExecution().toString()
+    assert rows(salted) == want
 
 
 @pytest.mark.parametrize("parts", [1, 3, 64])

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest import SF0001, rows
 from shotsmith.operators.sampling import (label_quota, random_neighbours, random_rankings,
@@ -39,6 +40,25 @@ def test_stratified_short_label_raises(spark):
         stratified_pool(labelled(spark, {"a": 200, "b": 10}), 300)
 
 
+def test_stratified_pool_of_many_labels_is_in_label_order(spark):
+    df = labelled(spark, {f"l{i:03d}": 2 for i in range(120)}).unionByName(
+        labelled(spark, {"none": 3}).withColumn("label", F.lit(None).cast("string")))
+    got = {r["pool_id"]: r["label"] for r in stratified_pool(df, 240, seed=1).collect()}
+    assert got == {2 * i + j: f"l{i:03d}" for i in range(120) for j in range(2)}
+
+
+def test_draws_of_few_rows_use_all_tasks(spark):
+    from shotsmith.operators.positions import explode_range
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = explode_range(spark.range(400).coalesce(1).withColumnRenamed("id", "q"), 20, "j")
+        assert got.select(F.spark_partition_id()).distinct().count() == 16
+        assert got.distinct().count() == 8000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_random_rankings_invariants(spark):
     pool = tables.pool(spark, SF0001)
     q = tables.queries(spark, SF0001)

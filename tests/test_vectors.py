@@ -173,3 +173,18 @@ def test_nan_vectors_rank_last_and_stay():
     from shotsmith.operators.blocks import topk_rows
     got = topk_rows(np.array([[0.2, np.nan, 0.9]]), np.array([7]), np.array([1, 2, 3]), None, True)
     assert got["cand_id"].tolist() == [3, 1, 2]
+
+
+def test_f1_tiles_and_empty_sentences(monkeypatch):
+    """Small tiles, ragged lengths: the same F1 as pair by pair; no tokens score 0."""
+    from shotsmith.operators import bertscore
+    rng = np.random.default_rng(4)
+    lengths = [3, 0, 9, 1, 5, 0, 2]
+    a = [rng.normal(size=(n, 4)) for n in lengths]
+    b = [rng.normal(size=(n, 4)) for n in reversed(lengths)]
+    monkeypatch.setattr(bertscore, "TILE_TOKENS", 4)
+    got = bertscore.f1_matrix(a, b)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            want = brute_f1(x, y) if len(x) and len(y) else 0.0
+            assert got[i, j] == pytest.approx(want, abs=1e-12)

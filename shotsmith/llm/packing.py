@@ -294,15 +294,17 @@ def complete(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return full + best
 
 
-def pack(pieces: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, any more columns) with ``sequence_id``
-    and ``offset``.  Lengths lie between 1 and ``size``."""
+def pack(pieces: DataFrame, size: int = 2048, group: int = GROUP,
+         key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+    """``pieces`` (length, any more columns) with ``sequence_id`` and ``offset``.
+    Lengths lie between 1 and ``size``.  ``key`` deals the pieces to groups: rows
+    of equal keys share a group, so it should tell rows apart."""
     total = pieces.count()
     groups = max(1, -(-total // group))
     cols = pieces.columns
 
     def solve(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", *key], kind="stable").reset_index(drop=True)
         length = pdf["length"].to_numpy(np.int64)
         bins = complete(length, size)
         at = np.searchsorted(length, np.arange(size + 2))
@@ -317,12 +319,16 @@ def pack(pieces: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
                 place += s
         return pdf[cols].assign(sequence_id=seq, offset=off)
 
-    keyed = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    keyed = pieces.withColumn("_g", F.pmod(F.xxhash64(*key), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return keyed.groupBy("_g").applyInPandas(solve, schema + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
     """Tokenise, cut and pack ``docs``; the pieces are written once, so the
-    tokenizer does not run again when groups are counted or solved anew."""
-    return pack(write_once(tokenize(docs, path, size), "pieces"), size)
+    tokenizer does not run again when groups are counted or solved anew.
+
+    Pieces are dealt by a row number that is written with them: rows that repeat
+    one id, or have none, spread over the groups like any others."""
+    pieces = tokenize(docs, path, size).withColumn("_row", F.monotonically_increasing_id())
+    return pack(write_once(pieces, "pieces"), size, key=("_row",)).drop("_row")

@@ -118,14 +118,17 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Train on at most ``rows`` labelled rows outside the held-out quarter.
-    Rows without id or label are left out; of several labels the least counts.
+    Rows without id or label are left out; of several labels, or several texts of
+    one id, the least counts, so repeated ids do not widen the sample.
     Without any row the model is all zero (every score is 0.5)."""
     sample = (labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
               .where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    # at most ``rows`` rows: a proven bound
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
-        "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
+    # the sample holds at most ``rows`` rows, and so does the grouped result
+    chosen = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+              .groupBy("doc_id").agg(F.min("text").alias("text"),
+                                     F.min("quality").cast("int").alias("quality"))
+              .select("text", "quality", F.xxhash64("doc_id").alias("h")))
 
     def run(batches):
         pdfs = [p for p in batches if len(p)]

@@ -2,7 +2,7 @@
 
 An encoder is an object with ``load()`` (called once per task, e.g. to read
 model weights) returning a function ``list[str] -> numpy array [n, d]``;
-token encoders return a list of [t_i, d] arrays plus masks.  Text goes to
+token encoders return a list of ([t_i, d] array, [t_i] mask) pairs.  Text goes to
 Python in Arrow batches; vectors come back as ARRAY<FLOAT>.
 """
 
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotsmith.operators.pooling import MASK_CLAMP
 from shotsmith.session import checkpoint_dir, ship_package
 
 
@@ -44,6 +45,48 @@ class HashingEncoder:
         return encode
 
 
+class HashingTokenEncoder(HashingEncoder):
+    """Its token form: one signed unit vector per space token, nothing masked."""
+
+    def load(self):
+        encode = super().load()
+
+        def tokens(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+            words = [str(t).split(" ") for t in texts]
+            return [(encode(w), np.ones(len(w))) for w in words]
+        return tokens
+
+
+class PooledEncoder:
+    """A sentence encoder from a token encoder: the masked mean (A5) is taken in
+    the batch that made the token vectors, so these never leave the task."""
+
+    def __init__(self, tokens):
+        self.tokens = tokens
+
+    def load(self):
+        encode = self.tokens.load()
+
+        def pooled(texts: list[str]) -> list[np.ndarray]:
+            return [mask @ vecs / max(mask.sum(), MASK_CLAMP) for vecs, mask in encode(texts)]
+        return pooled
+
+
+def embed_tokens(df: DataFrame, encoder, id_col: str, text_col: str = "sentence") -> DataFrame:
+    """(id, toks ARRAY<ARRAY<DOUBLE>>): the unmasked token vectors of every row,
+    written once to the checkpoint folder (the F1 probes and joins read them)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder.load()
+        for pdf in batches:
+            got = encode(pdf[text_col].fillna("nan").astype(str).tolist())
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
+                                "toks": [vecs[mask > 0].tolist() for vecs, mask in got]})
+    ship_package(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
+    return df.select(id_col, text_col).mapInPandas(
+        run, f"{id_col} bigint, toks array<array<double>>").checkpoint(eager=True)
+
+
 def embed(df: DataFrame, encoder, id_col: str, text_col: str = "sentence",
           out_col: str = "embedding", dtype: str = "float",
           materialize: bool = True) -> DataFrame:

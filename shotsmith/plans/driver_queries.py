@@ -328,26 +328,42 @@ def baseline_infer_vote(spark, sf):
 EMO = ("others", "happy", "sad", "angry")   # has the 'others' fallback
 
 
+def _part_sums(parts: int) -> list:
+    """Sums of floor(256 x) over consecutive parts of the whole vector: exact
+    integers, so that scores and their ties are the same in any engine."""
+    n = F.size("embedding")
+    width = F.floor(n / parts).cast("int")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    cuts = [(F.lit(i) * width + 1, n - i * width if i == parts - 1 else width)
+            for i in range(parts)]
+    return [F.aggregate(F.slice(whole, at, size), F.lit(0).cast("bigint"), lambda x, y: x + y)
+            .cast("double") for at, size in cuts]
+
+
+def _part_sums_sql(parts: int) -> list[str]:
+    width = f"(len(embedding) // {parts})"
+    ends = [f"{i + 1} * {width}" for i in range(parts - 1)] + ["len(embedding)"]
+    return [f"list_sum([floor(256 * CAST(x AS DOUBLE)) for x in "
+            f"embedding[1 + {i} * {width}:{end}]])" for i, end in enumerate(ends)]
+
+
 @register("decode_label", f"""
 SELECT vec_id, {S.decode_sql('s', EMO, 'vec_id')} AS decoded
-FROM (SELECT vec_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE),
-                      CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS s
-      FROM embeddings)""")
+FROM (SELECT vec_id, [{", ".join(_part_sums_sql(4))}] AS s FROM embeddings)""")
 def q_decode_label(spark, sf):
     v = tables.vectors(spark, sf)
-    s = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    return v.select("vec_id", decode_label(s, EMO, "vec_id").alias("decoded"))
+    return v.select("vec_id", decode_label(F.array(*_part_sums(4)), EMO, "vec_id")
+                    .alias("decoded"))
 
 
 @register("decode_fallback", f"""
 SELECT vec_id, {S.decode_sql('s', CFG.labels, 'vec_id')} AS decoded
-FROM (SELECT vec_id, [floor(CAST(embedding[1] AS DOUBLE) * 10),
-                      floor(CAST(embedding[2] AS DOUBLE) * 10)] AS s
+FROM (SELECT vec_id, [{", ".join(f"floor({x} / 128)" for x in _part_sums_sql(2))}] AS s
       FROM embeddings)""")
 def q_decode_fallback(spark, sf):
+    """M7 fallback without 'others': coarse half sums tie often."""
     v = tables.vectors(spark, sf)
-    s = F.transform(F.slice("embedding", 1, 2),
-                    lambda x: F.floor(x.cast("double") * 10).cast("double"))
+    s = F.array(*[F.floor(x / 128).cast("double") for x in _part_sums(2)])
     return v.select("vec_id", decode_label(s, CFG.labels, "vec_id").alias("decoded"))
 
 
@@ -541,16 +557,103 @@ def sbert_hashing_top5(spark, sf):
                          encoder=HashingEncoder(64), dtype="double")
 
 
+@register("sbert_pooled_top5", SBERT_SQL)
+def sbert_pooled_top5(spark, sf):
+    """M3 -> A5 -> M2: token vectors pooled where they are made (the mean of the
+    hashing tokens points where the hashing sentence vector does)."""
+    from shotsmith.operators.embed import HashingTokenEncoder, PooledEncoder
+    return jobs.retrieve("sbert", tables.pool(spark, sf), tables.queries(spark, sf), k=5,
+                         encoder=PooledEncoder(HashingTokenEncoder(64)), dtype="double")
+
+
 @register("decode_others_ties", f"""
 SELECT vec_id, {S.decode_sql('s', EMO, 'vec_id')} AS decoded
-FROM (SELECT vec_id, [floor(CAST(embedding[1] AS DOUBLE) * 2) + 2,
-                      floor(CAST(embedding[2] AS DOUBLE) * 2) + 2,
-                      floor(CAST(embedding[3] AS DOUBLE) * 2) + 2,
-                      floor(CAST(embedding[4] AS DOUBLE) * 2) + 2] AS s
+FROM (SELECT vec_id, [{", ".join(f"floor({x} / 256) + 2" for x in _part_sums_sql(4))}] AS s
       FROM embeddings)""")
 def q_decode_others_ties(spark, sf):
-    """M7 fallback with 'others': coarse scores tie often, at 1.0 and 2.0."""
+    """M7 fallback with 'others': coarse quarter sums tie often, at 1.0 and 2.0."""
     v = tables.vectors(spark, sf)
-    s = F.transform(F.slice("embedding", 1, 4),
-                    lambda x: (F.floor(x.cast("double") * 2) + 2).cast("double"))
+    s = F.array(*[(F.floor(x / 256) + 2).cast("double") for x in _part_sums(4)])
     return v.select("vec_id", decode_label(s, EMO, "vec_id").alias("decoded"))
+
+
+# ---------------------------------------------------------------- template families (P5)
+
+def _family_prompts(spark, sf, dataset: str, **derived) -> DataFrame:
+    pool = tables.pool(spark, sf).withColumns(derived)
+    queries = tables.queries(spark, sf).withColumns(derived)
+    demos = select_top_n(bm25_op.bm25_rank(pool, queries, k=4), n=4)
+    return assemble_prompts(queries, demos, pool, task_config(dataset), "baseline", n=4)
+
+
+def _family_sql(dataset: str, text: str) -> str:
+    """Oracle with the family's template typed out; {s} is the row's sentence."""
+    return S.with_bm25(S.prompt_sql(
+        "sel AS (SELECT query_id, rank AS pos, cand_id FROM bm25 WHERE rank <= 4)", "baseline",
+        lambda alias: text.format(s=f"coalesce({alias}.sentence, 'nan')"), task_config(dataset)))
+
+
+@register("prompt_aspect", _family_sql(
+    "rest", "'Sentence: ' || {s} || ' What is the sentiment polarity of the aspect ' || "
+            "string_split({s}, ' ')[1] || ' ?' || chr(10)"))
+def prompt_aspect(spark, sf):
+    """P5, aspect family: the aspect is the text's first token."""
+    return _family_prompts(spark, sf, "rest", aspect=F.get(F.split("sentence", " "), F.lit(0)))
+
+
+@register("prompt_stance", _family_sql(
+    "pstance", "'Sentence: ' || {s} || ' What is the attitude of sentence toward target ' || "
+               "string_split({s}, ' ')[-1] || ' ?' || chr(10)"))
+def prompt_stance(spark, sf):
+    """P5, stance family: the target is the text's last token."""
+    return _family_prompts(spark, sf, "pstance",
+                           target=F.element_at(F.split("sentence", " "), -1))
+
+
+@register("prompt_pair", _family_sql(
+    "mnli", "'Premise: ' || left({s}, length({s}) // 2) || chr(10) || "
+            "'Hypothesis: ' || substr({s}, length({s}) // 2 + 1) || chr(10)"))
+def prompt_pair(spark, sf):
+    """P5, pair family: the two halves of the text."""
+    text = "coalesce(sentence, 'nan')"
+    return _family_prompts(
+        spark, sf, "mnli",
+        text1=F.expr(f"left({text}, cast(floor(length({text}) / 2) as int))"),
+        text2=F.expr(f"substr({text}, cast(floor(length({text}) / 2) as int) + 1)"))
+
+
+# ---------------------------------------------------------------- retrieval job (C3), M6
+
+@register("retrieve_random", POOL_CTE + S.draws_sql(
+    "q", "query_id", "(SELECT count(*) FROM pool)", 4000, 20, 123, False).lstrip() + """
+SELECT query_id, draw_rank AS rank, cand_id FROM drawn WHERE draw_rank <= 20""")
+def retrieve_random(spark, sf):
+    return jobs.retrieve("random_each", tables.pool(spark, sf), tables.queries(spark, sf), k=20)
+
+
+@register("kmeans_invariants", """
+SELECT item_id AS query_id, CAST(120 AS BIGINT) AS n_ranks, CAST(120 AS BIGINT) AS n_ids,
+       1 AS first_rank, 120 AS last_rank, CAST(0 AS BIGINT) AS n_moved
+FROM benchmark""")
+def kmeans_invariants(spark, sf):
+    """M6: each query ranks 120 distinct ids without gaps, and an id keeps its
+    cluster's place in the rounds of four in every query (``n_moved`` = 0)."""
+    r = q_kmeans_rankings(spark, sf)
+    slots = r.groupBy("cand_id").agg(F.count_distinct(F.col("rank") % 4).alias("_slots"))
+    return r.join(slots, "cand_id").groupBy("query_id").agg(
+        F.count_distinct("rank").alias("n_ranks"), F.count_distinct("cand_id").alias("n_ids"),
+        F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+        F.sum(F.when(F.col("_slots") > 1, 1).otherwise(0)).cast("bigint").alias("n_moved"))
+
+
+@register("reorder_vectors", """
+SELECT vec_id, array_to_string([CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)
+                                for x in list_reverse(embedding)], ',') AS reversed
+FROM embeddings""")
+def reorder_vectors(spark, sf):
+    """every vector in the order n-1 .. 0, its components as integers."""
+    from shotsmith.functions.arrays import reorder
+    order = F.sequence(F.size("embedding") - 1, F.lit(0))
+    whole = F.transform(reorder("embedding", order),
+                        lambda x: F.floor(256 * x.cast("double")).cast("string"))
+    return tables.vectors(spark, sf).select("vec_id", F.array_join(whole, ",").alias("reversed"))

@@ -82,9 +82,11 @@ def write_back(pool: DataFrame, results: DataFrame) -> tuple[DataFrame, int]:
 
 def retrieve(mode: str, pool: DataFrame, queries: DataFrame, k: int | None = None,
              seed: int = 123, by: str | None = None, **kw) -> DataFrame:
-    """A ranking table (query_id, rank, cand_id[, score]) by one mode."""
+    """A ranking table (query_id, rank, cand_id[, score]) by one mode, cut to
+    the first ``k`` ranks.  Without ``k``: the whole pool (bm25, sbert, mmr),
+    ``m`` = 300 draws (random_each) or the 30 ids of each cluster (kmeans)."""
     if mode == "random_each":
-        return random_rankings(queries, pool, kw.get("m", 300), seed)
+        return random_rankings(queries, pool, kw.get("m", 300) if k is None else k, seed)
     if mode == "bm25":
         return bm25_rank(pool, queries, k, by)
     if mode == "sbert":
@@ -96,11 +98,14 @@ def retrieve(mode: str, pool: DataFrame, queries: DataFrame, k: int | None = Non
     if mode == "kmeans":
         from shotsmith.operators.clusters import kmeans_rankings
         from shotsmith.operators.embed import embed
-        return kmeans_rankings(queries, embed(pool, kw["encoder"], "cand_id"), seed=seed)
+        ranking = kmeans_rankings(queries, embed(pool, kw["encoder"], "cand_id"), seed=seed)
+        return ranking if k is None else ranking.where(F.col("rank") <= k)
     if mode == "mmr":
         from shotsmith.operators.bertscore import mmr_rank
-        tok = kw["token_encoder"]
-        return mmr_rank(tok(queries, "query_id"), tok(pool, "cand_id"), k)
+        from shotsmith.operators.embed import embed_tokens
+        enc = kw["token_encoder"]
+        return mmr_rank(embed_tokens(queries, enc, "query_id"),
+                        embed_tokens(pool, enc, "cand_id"), k)
     raise ValueError(f"unknown mode {mode!r}; one of {RETRIEVAL_MODES}")
 
 

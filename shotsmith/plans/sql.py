@@ -94,7 +94,7 @@ quota AS (
   FROM picked)"""
 
 
-def prompt_sql(sel_cte: str, method: str, template=template) -> str:
+def prompt_sql(sel_cte: str, method: str, template=template, cfg=CFG) -> str:
     """Prompts for every query from a (query_id, pos, cand_id) CTE named sel;
     ``template(alias)`` is the SQL of one row's input text."""
     if method == "feedback":
@@ -114,7 +114,7 @@ blocks AS (SELECT s.query_id, s.pos, {block} AS block
 demo AS (SELECT query_id, string_agg(block, '' ORDER BY pos) AS demo_text
          FROM blocks GROUP BY query_id)
 SELECT q.query_id,
-       {lit(CFG.instruction)} || coalesce(d.demo_text, '') || {template('q')} || {tail}
+       {lit(cfg.instruction)} || coalesce(d.demo_text, '') || {template('q')} || {tail}
          AS prompt,
        coalesce(q.label, 'nan') AS label
 FROM q LEFT JOIN demo d ON d.query_id = q.query_id"""

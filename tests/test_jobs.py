@@ -60,3 +60,27 @@ def test_hashing_encoder_hook(spark):
     import numpy as np
     for v in got.values():
         assert len(v) == 16 and abs(np.linalg.norm(v) - 1.0) < 1e-5
+
+
+def test_retrieve_runs_every_mode_and_honours_k(spark):
+    from shotsmith.operators.embed import HashingTokenEncoder, PooledEncoder
+    pool = spark.createDataFrame(
+        [(i, f"w{i % 7} w{i % 11} common {i}", "negative", "positive") for i in range(200)],
+        "cand_id bigint, sentence string, label string, prediction string")
+    q = spark.createDataFrame([(0, "w1 common", None), (1, "w3 w5", None)],
+                              "query_id bigint, sentence string, label string")
+    pooled = PooledEncoder(HashingTokenEncoder(16))
+    given = {"sbert": {"encoder": pooled}, "kmeans": {"encoder": pooled},
+             "mmr": {"token_encoder": HashingTokenEncoder(16)}}
+    for mode in jobs.RETRIEVAL_MODES:
+        got = rows(jobs.retrieve(mode, pool, q, k=6, **given.get(mode, {})), "query_id", "rank")
+        assert got == [(i, r) for i in (0, 1) for r in range(1, 7)], mode
+
+
+def test_pooled_tokens_point_where_the_sentence_vector_does(spark):
+    import numpy as np
+    from shotsmith.operators.embed import HashingTokenEncoder, PooledEncoder
+    texts = ["a b a", "", "c d e f"]
+    one = HashingEncoder(16).load()(texts)
+    for v, w in zip(PooledEncoder(HashingTokenEncoder(16)).load()(texts), one):
+        assert np.allclose(v / np.linalg.norm(v), w)

@@ -4,10 +4,13 @@
    pieces; only documents longer than a sequence are cut.
 2. ``pack``: pieces are dealt to groups of about ``GROUP`` by a hash of their
    key, and each group is solved on its own: a bin is built around the largest
-   open piece from the undominated fillings of the space left, and branch and
-   bound over those fillings prunes by the waste a better packing may still
-   spend.  The incumbent is the best-fit packing; most groups end there, because
-   it meets the lower bound.  Groups are independent, so
+   open piece from the undominated fillings of the space left, of any number of
+   pieces and made one by one, and branch and bound over those fillings prunes
+   by the waste a better packing may still spend.  The incumbent is the best-fit
+   packing; most groups end there, because it meets the lower bound.  Above it
+   a quick search over short fillings goes first, then all fillings in two
+   orders.  Each search ends with its node budget, so a group may stay above
+   the lower bound; one whose ways were all tried is optimal.  Groups are independent, so
    the work spreads over the cluster and a lost group is solved again with the
    same result.  A group costs at most about half a sequence of extra waste.
 
@@ -21,6 +24,8 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,8 +36,9 @@ from shotsmith.llm.common import by_chars, write_once
 
 END = re.compile(rb"([a-z])([,.])(?=[ \n])")
 GROUP = 4096            # pieces solved together
-BRANCHES = 3            # fillings tried around one piece
+BRANCHES = 3            # fillings that the first search tries around one piece
 NODES = 1000            # bins that branch and bound may open beyond the first descent
+DROPPED = 16            # dominated branches that count as one bin
 WORDS_KEPT = 600_000    # words in the per-process id table
 
 
@@ -132,15 +138,36 @@ def _pieces(docs: DataFrame, path: str, size: int, keep: bool) -> DataFrame:
 
 
 class _Stock:
-    """Open pieces by length, with the largest length held at or below any."""
+    """Open pieces: the count of every length, and the lengths in stock as bits."""
 
     def __init__(self, count: np.ndarray):
-        self.count = count
-        self.floor = np.maximum.accumulate(np.where(count > 0, np.arange(len(count)), 0))
+        self.count = count.tolist()
+        self.lengths = np.flatnonzero(count).tolist()
+        self.bits = sum(1 << s for s in self.lengths)
 
     def take(self, size: int) -> None:
         self.count[size] -= 1
         if self.count[size] == 0:
+            self.bits ^= 1 << size
+
+    def give(self, size: int) -> None:
+        if self.count[size] == 0:
+            self.bits ^= 1 << size
+        self.count[size] += 1
+
+
+class _Floors(_Stock):
+    """With arrays beside: counts, and the largest length held at or below any."""
+
+    def __init__(self, count: np.ndarray):
+        super().__init__(count)
+        self.held = count.copy()
+        self.floor = np.maximum.accumulate(np.where(count > 0, np.arange(len(count)), 0))
+
+    def take(self, size: int) -> None:
+        super().take(size)
+        self.held[size] -= 1
+        if self.held[size] == 0:
             below = self.floor[size - 1]
             stop = size
             while stop < len(self.floor) and self.floor[stop] == size:
@@ -151,23 +178,31 @@ class _Stock:
             self.floor[size:stop] = below
 
     def give(self, size: int) -> None:
-        self.count[size] += 1
-        if self.count[size] == 1:
+        super().give(size)
+        self.held[size] += 1
+        if self.held[size] == 1:
             part = self.floor[size:]
             np.maximum(part, size, out=part)
 
 
-def _fillings(stock: _Stock, space: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``space``, least waste first.
+class _Budget:
+    """What the search may still spend: a bin opened is 1, a branch dropped 1 / DROPPED."""
+
+    def __init__(self, left: float):
+        self.left = left
+
 
-    One piece filling the space exactly dominates every other filling.  Below
-    that, a pair is kept only when it fills more than the best single piece,
-    and a triple only when it fills more than the best pair.
+def _few(stock: _Floors, space: int, least: int, budget: _Budget) -> list[tuple[int, ...]]:
+    """The best fillings of one, two or three pieces: a quick first search that
+    leaves short pieces for later bins.  ``_fillings`` makes all the others.
+
+    A pair is kept only when it fills more than the best single piece, and a
+    triple only when it fills more than the best pair.
     """
-    count, floor = stock.count, stock.floor
+    count, floor = stock.held, stock.floor
     one = int(floor[space])
     if one == 0:
-        return [()]
+        return [()] if least <= 0 else []
     found = [(one,)]
     best = one
     if best < space:
@@ -201,7 +236,84 @@ def _fillings(stock: _Stock, space: int) -> list[tuple[int, ...]]:
                 if best == space:
                     break
     found.sort(key=lambda f: (-sum(f), len(f)))
-    return found[:BRANCHES]
+    return [f for f in found[:BRANCHES] if sum(f) >= least]
+
+
+def _sums(stock: _Stock, lengths: list[int], space: int) -> list[int]:
+    """Bits of the sums up to ``space`` that the first 0, 1, 2 ... lengths make."""
+    every = (2 << space) - 1
+    now, out = 1, [1]
+    for s in lengths:
+        left, part = min(stock.count[s], space // s), 1
+        while left > 0 and now != every:
+            now |= now << s * min(part, left) & every
+            left, part = left - part, 2 * part
+        out.append(now)
+    return out
+
+
+def _above(sums: int, waste: int) -> int:
+    """Bits t + 1 .. t + ``waste`` of every bit t."""
+    out, width = (sums << 1 if waste else 0), 1
+    while width < waste:
+        step = min(width, waste - width)
+        out |= out << step
+        width += step
+    return out
+
+
+def _fillings(stock: _Stock, space: int, least: int, budget: _Budget, even: bool = False):
+    """Undominated fillings of ``space`` that fill ``least`` or more, of any
+    number of pieces, least waste first, each made when it is asked for.  Of
+    equal waste, those with the longest pieces come first, or, when ``even``,
+    those whose longest piece is shortest.
+
+    A filling is dominated when a piece left over could replace some of its
+    pieces (or none): a longer piece that still fits, or one piece as long as
+    several.  Pieces are added longest first, so a branch is dropped as soon as
+    a piece at least as long as the last one shows that.
+    """
+    if stock.bits >> space & 1 and space:
+        yield (space,)
+        return
+    lengths = [s for s in stock.lengths[:bisect.bisect_right(stock.lengths, space)] if stock.count[s]]
+    sums = _sums(stock, lengths, space)
+
+    def extend(i: int, rest: int, waste: int, over: int, some: int, many: int):
+        """``rest`` filled exactly by lengths before place i.  ``over``: lengths
+        left over; ``some``, ``many``: sums of any, of two or more pieces taken."""
+        top = min(i, bisect.bisect_right(lengths, rest))
+        places = range(bisect.bisect_left(range(top), 1, key=lambda j: sums[j + 1] >> rest & 1), top)
+        for j in places if even else reversed(places):
+            s = lengths[j]
+            for k in range(min(stock.count[s], rest // s), 0, -1):
+                after = rest - k * s
+                if not sums[j] >> after & 1:
+                    continue
+                left = over if stock.count[s] > k else over ^ 1 << s
+                a, m = some, many
+                for _ in range(k):
+                    a, m = a | a << s, m | (a ^ 1) << s
+                worse = left & (m | _above(a, waste))
+                if worse >> s if after else worse:
+                    budget.left -= 1 / DROPPED
+                    if budget.left < 0:
+                        return
+                elif after:
+                    for more in extend(j, after, waste, left, a, m):
+                        yield (*(s,) * k, *more)
+                else:
+                    yield (s,) * k
+                if budget.left < 0:
+                    return
+
+    for total in range(space, max(least, 1) - 1, -1):
+        if sums[-1] >> total & 1:
+            yield from extend(len(lengths), total, space - total, stock.bits, 1, 0)
+        if budget.left < 0:
+            return
+    if least <= 0 and not lengths:
+        yield ()
 
 
 def lower_bound(count: np.ndarray, capacity: int) -> int:
@@ -253,44 +365,54 @@ def complete(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     weight = int((count * np.arange(capacity + 1)).sum())
     bound = lower_bound(count, capacity)
 
-    def descend(stock: _Stock, path: list, allowed: int, nodes: int) -> tuple[list | None, int]:
-        """Depth first from the bins in ``path``; None when every way wastes
-        more than ``allowed`` or the node budget ends."""
-        waste = sum(capacity - sum(b) for b, _ in path)
-        depth = len(path)
-        while True:
-            nodes -= 1
-            if nodes < 0:
-                return None, nodes
-            big = int(stock.floor[capacity])
-            if big == 0:
-                return [b for b, _ in path], nodes
+    def descend(stock: _Stock, fillings, allowed: int, budget: _Budget) -> list | None:
+        """Depth first from no bins; None when every way wastes more than
+        ``allowed`` or the node budget ends.  A bin keeps how many of its
+        fillings were made: the next ones are made again from its stock, twice
+        as many each time, so a long path holds no open enumerations."""
+        waste = 0
+        path = []                              # [largest, made, fillings to try, filling]
+        while stock.bits:
+            big = stock.bits.bit_length() - 1
             stock.take(big)
-            ways = [(big, *f) for f in _fillings(stock, capacity - big)]
-            stock.give(big)
-            ways = [w for w in ways if waste + capacity - sum(w) <= allowed]
-            while not ways:                        # every filling wastes too much: go back
-                if len(path) <= depth:
-                    return None, nodes
-                last, ways = path.pop()
-                waste -= capacity - sum(last)
-                for s in last:
+            path.append([big, 0, [], ()])
+            while True:
+                big, made, ways, _ = bin_ = path[-1]
+                space = capacity - big
+                if not ways:
+                    least = space - (allowed - waste)
+                    bin_[2] = ways = list(islice(fillings(stock, space, least, budget),
+                                                 made, made + max(1, made)))[::-1]
+                    bin_[1] = made + len(ways)
+                budget.left -= 1
+                if budget.left < 0:
+                    return None
+                if ways:
+                    break
+                path.pop()                         # every filling is tried: go back
+                stock.give(big)
+                if not path:
+                    return None
+                for s in path[-1][3]:
                     stock.give(s)
-                ways = [w for w in ways if waste + capacity - sum(w) <= allowed]
-            pick, *others = ways
+                waste -= capacity - path[-1][0] - sum(path[-1][3])
+            bin_[3] = pick = ways.pop()
             for s in pick:
                 stock.take(s)
-            waste += capacity - sum(pick)
-            path.append((list(pick), others))
+            waste += space - sum(pick)
+        return [[big, *pick] for big, _, _, pick in path]
 
     best = best_fit(count, capacity)
-    nodes = NODES
-    while len(best) > bound and nodes > 0:
-        allowed = (len(best) - 1) * capacity - weight
-        better, nodes = descend(_Stock(count.copy()), [], allowed, nodes + len(best))
-        if better is None:
-            break
-        best = better
+    for kind, fillings in ((_Floors, _few), (_Stock, _fillings), (_Stock, partial(_fillings, even=True))):
+        budget = _Budget(NODES)
+        while len(best) > bound and budget.left > 0:
+            budget.left += len(best)
+            better = descend(kind(count), fillings, (len(best) - 1) * capacity - weight, budget)
+            if better is None:
+                break
+            best = better
+        if len(best) == bound or budget.left >= 0 and fillings is not _few:
+            break                              # every way was tried, or the bound is met
     return full + best
 
 

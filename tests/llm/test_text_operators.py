@@ -152,6 +152,28 @@ def test_bin_completion_is_optimal_on_small_groups(sizes):
     assert len(got) <= best + (best > 2)       # a group's node budget is finite
 
 
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=11))
+@settings(max_examples=150, deadline=None)
+def test_small_groups_get_the_optimum(sizes):
+    def fits(items, bins):
+        if not items:
+            return True
+        return any(b >= items[0] and fits(items[1:], bins[:i] + [b - items[0]] + bins[i + 1:])
+                   for b, i in {b: i for i, b in enumerate(bins)}.items())
+    best = next(n for n in range(1, 12) if fits(sorted(sizes, reverse=True), [20] * n))
+    got = packing.complete(np.array(sizes), 20)
+    assert sorted(x for b in got for x in b) == sorted(sizes) and max(map(sum, got)) <= 20
+    assert len(got) == best
+
+
+def test_bins_of_many_pieces():
+    assert len(packing.complete(np.array([9, 8, 5, 4, 4, 4, 2, 2, 2]), 20)) == 2
+    sizes = np.random.default_rng(1).integers(300, 379, 4092)
+    got = packing.complete(sizes, 2048)
+    assert sorted(x for b in got for x in b) == sorted(sizes.tolist()) and max(map(sum, got)) <= 2048
+    assert len(got) == 682                     # no seven pieces share a bin: best-fit gives 733
+
+
 def test_word_lookup_equals_the_tokenizer():
     import random
     r, tok = random.Random(1), packing.Tokens.of(WORDS)

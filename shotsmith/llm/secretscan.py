@@ -9,12 +9,13 @@ three statistics -- chi-squared against the uniform alphabet, Wald-Wolfowitz
 runs of low and high symbols, lag-1 serial correlation -- as normal scores,
 combined to one probability of randomness.
 
-Ordinary words also pass now and then, the more so the shorter they are.  So
-the decision is made per length band against decoys: letter runs of one case
-taken from the same corpus.  A band's threshold is the lowest score (of
-``BINS`` bins) from which the estimated share of false discoveries --
-decoy tail rate times candidates, over the candidates found -- is at most ``q``.
-The histograms cover all documents; their size is BANDS x BINS rows.
+The decision is made per length band with the Benjamini-Hochberg procedure at
+level ``q`` on the battery's own probabilities, so every corpus has what it
+needs: the runs it rejects are not random, the others are ``random`` spans.  Of
+the runs rejected at most a share of about ``q`` are keys.  That is no bound on
+words among the spans; README gives their share for identifiers of program
+code.  Letter runs of one case count as words: never spans, and not counted.
+The histograms cover all documents; their size is BANDS x LEVELS rows.
 
 Null text is empty: no spans.  Positions count code points, ends exclusive.
 """
@@ -36,7 +37,7 @@ PATTERNS = {
 KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 BANDS = (20, 32, 48, 64)                  # lower ends of the length bands
-BINS = 64
+LEVELS = 256                              # eighths of a power of two: level l holds 2**(-l/8) and below
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "lower": "abcdefghijklmnopqrstuvwxyz",
@@ -125,7 +126,7 @@ def _runs(text: Column) -> Column:
     """ARRAY<STRUCT<start, stop, body, encoding>> of the candidate runs."""
     def encoding(b):
         return (F.when(b.rlike("^[A-Z]?[a-z]+$|^[A-Z]+$"), F.lit("lower"))
-                .when(b.rlike("^[0-9a-f]+$"), F.lit("hex"))
+                .when(b.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), F.lit("hex"))
                 .when(b.rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
                 .when(b.rlike("^[A-Z0-9]+$"), F.lit("upper36"))
                 .otherwise(F.lit("base64")))
@@ -141,16 +142,17 @@ def candidates(docs: DataFrame) -> DataFrame:
                      _runs(text).alias("_runs"))
 
     def rate(x):
-        plain = F.when(x["encoding"] == "lower", F.lower(x["body"])).otherwise(x["body"])
+        plain = F.when(x["encoding"].isin("lower", "hex"), F.lower(x["body"])).otherwise(x["body"])
         names = list(ALPHABETS)
         alphabet = F.lit(ALPHABETS[names[-1]])
         for k in names[:-1]:
             alphabet = F.when(x["encoding"] == k, F.lit(ALPHABETS[k])).otherwise(alphabet)
         return F.struct(
             x["start"].alias("start"), x["stop"].alias("stop"),
-            (x["encoding"] == "lower").alias("decoy"),
+            (x["encoding"] == "lower").alias("word"),
             _band(x["stop"] - x["start"]).alias("band"),
-            F.least(F.floor(_battery(plain, alphabet) * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+            F.least(F.floor(-8 * F.log2(F.greatest(_battery(plain, alphabet), F.lit(2.0 ** -LEVELS)))),
+                    F.lit(LEVELS - 1)).cast("int").alias("level"))
 
     return df.withColumn("_runs", F.transform("_runs", rate))
 
@@ -163,24 +165,19 @@ def _band(length: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, q: float) -> dict[int, int]:
-    """Lowest accepted bin of each length band (BINS: none), from histograms
-    over all documents.  At most BANDS x BINS rows reach the driver."""
-    hist = (scored.select(F.explode("_runs").alias("r")).groupBy("r.band", "r.bin")
-            .agg(F.sum(F.when(F.col("r.decoy"), 1).otherwise(0)).alias("decoys"),
-                 F.sum(F.when(F.col("r.decoy"), 0).otherwise(1)).alias("found")))
-    count = {(r["band"], r["bin"]): (r["decoys"], r["found"]) for r in hist.collect()}
+    """Lowest rejected level of each length band (LEVELS: none), from histograms
+    over all documents.  At most BANDS x LEVELS rows reach the driver."""
+    hist = (scored.select(F.explode("_runs").alias("r")).where("NOT r.word")
+            .groupBy("r.band", "r.level").agg(F.count("*").alias("n")))
+    count = {(r["band"], r["level"]): r["n"] for r in hist.collect()}
     out = {}
     for band in range(len(BANDS)):
-        # decoys of this band and all shorter ones: a shorter word passes more easily
-        decoys = [sum(count.get((i, b), (0, 0))[0] for i in range(band + 1)) for b in range(BINS)]
-        found = [count.get((band, b), (0, 0))[1] for b in range(BINS)]
-        out[band] = BINS
-        tail_d = tail_f = 0
-        for b in range(BINS - 1, 0, -1):
-            tail_d, tail_f = tail_d + decoys[b], tail_f + found[b]
-            rate = (tail_d + 1) / (sum(decoys) + 1)
-            if tail_f and rate * sum(found) / tail_f <= q:
-                out[band] = b
+        total = sum(count.get((band, k), 0) for k in range(LEVELS))
+        out[band], tail = LEVELS, 0
+        for k in range(LEVELS - 1, -1, -1):
+            tail += count.get((band, k), 0)
+            if tail and 2 ** (-k / 8) <= q * tail / total:
+                out[band] = k
     return out
 
 
@@ -191,7 +188,7 @@ def scan(docs: DataFrame, q: float = 0.05) -> DataFrame:
     least = thresholds(scored, q)
     limit = lambda band: F.element_at(F.array(*[F.lit(least[i]) for i in range(len(BANDS))]), band + 1)
     base = F.concat("_assign", "_access", "_hex")
-    extra = F.transform(F.filter("_runs", lambda r: ~r["decoy"] & (r["bin"] >= limit(r["band"]))),
+    extra = F.transform(F.filter("_runs", lambda r: ~r["word"] & (r["level"] < limit(r["band"]))),
                         lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"),
                                            r["stop"].alias("stop")))
     return (scored.withColumn("_base", base).withColumn("_extra", extra)

@@ -252,6 +252,24 @@ def test_battery_tells_random_from_words(spark):
     assert not found - set(range(400, 420))
 
 
+def test_keys_are_found_without_long_words(spark):
+    import random
+    r = random.Random(4)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = {"HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": b64}
+    rows = [(1000 * k + i, "".join(r.choice(a) for _ in range(24 if i % 2 else 40)))
+            for k, a in enumerate(kinds.values()) for i in range(20)]
+    plain = ["src/main/python/tests/core", "MAX_NUMBER_OF_ALL_RETRIES", "test_that_all_the_tests_test", "a1" * 16]
+    rows += [(9000 + i, plain[i % 4] + "_" * (i // 4)) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"\u7801 is {x} so") for i, x in rows], "doc_id bigint, text string")
+    found = {x.doc_id for x in secretscan.scan(docs).collect() if any(s.kind == 3 for s in x.spans)}
+    for k in range(len(kinds)):
+        assert len(found & set(range(1000 * k, 1000 * k + 20))) >= 17
+    assert not [i for i in found if i >= 9000]
+    key = docs.where("doc_id = 2001")          # alone in its table it is judged alike
+    assert [s.kind for s in secretscan.scan(key).first().spans] == [3]
+
+
 def test_secret_plan_is_native(spark, corpus):
     plan = secretscan.scan(corpus)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -135,10 +135,10 @@ def _runs(text: Column) -> Column:
         encoding(x["body"]).alias("encoding")))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(row columns without text, base spans, scored runs): one pass over the text."""
+def candidates(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """(``keep``, base spans, scored runs): one pass over the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", *[_spans(text, k).alias(f"_{k}") for k in KINDS[:3]],
+    df = docs.select(keep, *[_spans(text, k).alias(f"_{k}") for k in KINDS[:3]],
                      _runs(text).alias("_runs"))
 
     def rate(x):
@@ -181,10 +181,10 @@ def thresholds(scored: DataFrame, q: float) -> dict[int, int]:
     return out
 
 
-def scan(docs: DataFrame, q: float = 0.05) -> DataFrame:
-    """(doc_id, spans): ARRAY<STRUCT<start, kind, stop>> by start, then kind;
+def scan(docs: DataFrame, q: float = 0.05, keep: str = "doc_id") -> DataFrame:
+    """(``keep``, base, spans): one row per row of ``docs``; spans are ARRAY<STRUCT<start, kind, stop>> by start, then kind;
     ``kind`` indexes KINDS.  A random run that overlaps a base span is not added."""
-    scored = write_once(candidates(docs), "secretruns")
+    scored = write_once(candidates(docs, keep), "secretruns")
     least = thresholds(scored, q)
     limit = lambda band: F.element_at(F.array(*[F.lit(least[i]) for i in range(len(BANDS))]), band + 1)
     base = F.concat("_assign", "_access", "_hex")
@@ -194,7 +194,7 @@ def scan(docs: DataFrame, q: float = 0.05) -> DataFrame:
     return (scored.withColumn("_base", base).withColumn("_extra", extra)
             .withColumn("_extra", F.expr(
                 "filter(_extra, x -> NOT exists(_base, b -> b.start < x.stop AND x.start < b.stop))"))
-            .select("doc_id", F.array_sort("_base").alias("base"),
+            .select(keep, F.array_sort("_base").alias("base"),
                     F.array_sort(F.concat("_base", "_extra")).alias("spans")))
 
 
@@ -215,18 +215,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.05) -> DataFrame:
     """``docs`` with every secret's characters replaced by ``mark`` (for
-    ``assign`` the whole assignment); other columns and clean texts untouched."""
-    found = scan(docs, q).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_secret_doc"), F.col("spans").alias("_secret_spans")).groupBy(
-        "_secret_doc").agg(F.array_distinct(F.flatten(F.collect_list("_secret_spans"))).alias("_secret_spans"))
-    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["_secret_doc"], "left")
+    ``assign`` the whole assignment); other columns and clean texts untouched.
+    The rows are written with their spans, so each is cut by its own, whatever
+    its id."""
+    found = scan(docs.select("text", F.struct(*docs.columns).alias("_row")), q, "_row")
+    text = F.col("_row.text")
     cut = F.aggregate(
-        F.array_sort("_secret_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["stop"]).alias("at"),
             F.when(s["start"] >= a["at"], F.concat(
-                a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
+                a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
             .otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_secret_spans").isNull(), F.col("text")).otherwise(cut)).select(
-        *docs.columns)
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    masked = F.when(F.size("spans") > 0, cut).otherwise(text).alias("text")
+    return found.select(*[masked if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

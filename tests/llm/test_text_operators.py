@@ -283,6 +283,15 @@ def test_mask_leaves_clean_texts(spark, corpus):
     assert secretscan.mask(corpus).columns == corpus.columns
 
 
+def test_mask_cuts_each_row_by_its_own_spans(spark):
+    rows = [(None, "token=abcdefgh1 z", "a"), (None, "all clean here", "b"), (7, "password=abcdefgh1 end", "c"),
+            (7, "clean words, and clean words again", "d"), (7, "xx token: abcdefgh9", "e"), (None, None, "f")]
+    got = secretscan.mask(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted((r.source, r.doc_id, r.text) for r in got) == [
+        ("a", None, "[SECRET] z"), ("b", None, "all clean here"), ("c", 7, "[SECRET] end"),
+        ("d", 7, "clean words, and clean words again"), ("e", 7, "xx [SECRET]"), ("f", None, None)]
+
+
 # --- op9 -----------------------------------------------------------------
 
 def tiktoken_model():

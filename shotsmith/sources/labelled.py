@@ -6,11 +6,12 @@ original CSV gave each row becomes a BIGINT column at ingest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotsmith.functions.labels import normalise_labels
+from shotsmith.session import BROADCAST_ROW_LIMIT
 
 # --- fixed values: texts a pandas CSV read treats as missing (its default
 # na_values); the original pipeline then renders such a cell as "nan" ---
@@ -54,9 +55,23 @@ def read_labelled(spark: SparkSession, path: str, id_col: str = "cand_id",
 
 
 def with_row_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """Positional ids 0..N-1 in file order, computed on the JVM."""
-    from shotsmith.operators.positions import index_in_order
-    return index_in_order(df, id_col)
+    """Positional ids 0..N-1 of a file read, computed on the JVM: files by path,
+    then the rows of a file from its start.  Spark packs splits into partitions
+    by size, so each split is numbered on its own."""
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_mid"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("_file", "_block")
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+               .select("_file", "_block", "_first", "_off"))
+    # a split is the last of its file, or as large as a partition may be
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= BROADCAST_ROW_LIMIT:
+        offsets = F.broadcast(offsets)
+    return (tagged.join(offsets, ["_file", "_block"])
+            .withColumn(id_col, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
+            .drop("_file", "_block", "_mid", "_first", "_off"))
 
 
 def with_model_predictions(pool: DataFrame, predictions: DataFrame, model: str) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,23 @@ def test_row_ids_follow_file_order_across_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r["cand_id"], r["sentence"]) for r in got) == \
         [(i, f"row {i} text") for i in range(3000)]
+
+
+def test_row_ids_follow_the_file_order(spark):
+    for fmt in ("csv", "parquet"):
+        d, want = scratch(), []
+        for k, n in enumerate((3, 4000, 300)):       # Spark scans the largest file first
+            texts = [f"file {k} row {i}" for i in range(n)]
+            want += texts
+            path = os.path.join(d, f"train_{k}.{fmt}")
+            if fmt == "csv":
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write("sentence,label\n" + "".join(f"{t},x\n" for t in texts))
+            else:
+                pd.DataFrame({"sentence": texts, "label": "x"}).to_parquet(path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            got = rows(read_labelled(spark, d, fmt=fmt), "cand_id", "sentence")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == list(enumerate(want))

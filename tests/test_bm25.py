@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF0001, rows
+from shared import SF0001, rows
 from shotsmith.operators import bm25 as B
 from shotsmith.sources import tables
 

@@ -1,5 +1,5 @@
 import __spark_entry__ as E
-from conftest import SF0001
+from shared import SF0001
 
 
 def test_entry_runs_with_stable_schema(spark):

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001, rows
+from shared import SF0001, SF001, rows
 from shotsmith.functions.templates import task_config
 from shotsmith.operators.embed import HashingEncoder, embed
 from shotsmith.operators.prompt import assemble_prompts

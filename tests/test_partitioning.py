@@ -4,7 +4,7 @@ heavy stages keep their task count."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001, rows
+from shared import SF0001, SF001, rows
 from shotsmith.functions.arrays import gather, reorder
 import __spark_entry__ as E
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF0001, rows
+from shared import SF0001, rows
 from shotsmith.operators.sampling import (label_quota, random_neighbours, random_rankings,
                                           stratified_pool)
 from shotsmith.operators.scoring import (decode_label, pandas_vote_scorer, score_prompts,

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from shared import rows
 from shotsmith.sources.labelled import read_labelled
 from shotsmith.sources.rankings import (rankings_from_json, read_rankings, read_rankings_json,
                                         rankings_to_json,

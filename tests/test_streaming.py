@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import SF0001, rows
+from shared import SF0001, rows
 from shotsmith.operators.bm25 import BM25Index
 from shotsmith.sources import tables
 from shotsmith.streaming.retrieval import stream_bm25_rankings

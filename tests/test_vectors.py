@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from shared import SF0001
 from shotsmith.operators.bertscore import bertscore_rank, mmr_rank, token_sentences
 from shotsmith.operators.clusters import interleave_clusters, kmeans_assign, kmeans_rankings
 from shotsmith.operators.cosine import cosine_rank

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotsmith.llm import ann, bpe, chat, covertree, jaccard, linededup, packing, quality, secretscan, substring
+from shotsmith.llm import (
+    ann, bpe, chat, covertree, jaccard, lexical, linededup, merkle, packing, quality, secretscan, substring)
 from shotsmith.llm.common import read
 
 
@@ -74,18 +75,27 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_line_dedup, op5_best_fit_packing,
-    op6_quality_classifier, op7_exact_top_k, op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard)}
+    op6_quality_classifier, op7_exact_top_k, op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard, op12_lexical_search,
+    op13_merkle_manifest)}
 
 _WS = r"[ \t\n\x0b\x0c\r]"
 
 ORACLE = {
     "op7_exact_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
            FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, p.vec_id,
-             CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * p.e[i])) AS BIGINT) AS score
+             CAST(list_sum([q.e[i] * p.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
       FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
              AS rank, vec_id, score FROM s)
@@ -120,4 +130,83 @@ SELECT conv_id, count(*) AS n_turns,
        bool_and((prev, role) IN (('start','system'),('start','user'),('system','user'),('user','assistant'),
                 ('assistant','user')) AND (nxt IS NOT NULL OR role = 'assistant')) AS valid
 FROM o GROUP BY conv_id""",
+    "op12_lexical_search": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM t WHERE len(terms) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (
+        SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM t) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM p, c GROUP BY term),
+s AS (SELECT q.item_id, p.r, p.doc_id, CAST(sum(q.times * w.w * ((1000000000 * p.tf) //
+             (1000 * p.tf + 12 * (100 - 25 + (25 * p.n * n_docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN p ON p.term = q.term JOIN w ON w.term = q.term, c GROUP BY q.item_id, p.r, p.doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS place
+      FROM s WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM k WHERE place <= 20""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE
+crc_table AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)),
+           lambda c, step: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source, lang, n_chars, text,
+         CASE WHEN xor(list_reduce(list_concat([4294967295], list_transform(
+                string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[1 + xor(c, b) % 256])), 4294967295) % 2 = 0
+              THEN replace(text, chr(10), '') ELSE text END AS other
+  FROM documents, crc_table),
+fields AS (
+  SELECT r, doc_id, source,
+         concat_ws('', coalesce(CAST(strlen(CAST(doc_id AS VARCHAR)) AS VARCHAR) || ':' || doc_id, '-'),
+                   coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                   coalesce(CAST(strlen(CAST(n_chars AS VARCHAR)) AS VARCHAR) || ':' || n_chars, '-')) AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(other) || ':' || other, '-') AS tail2
+  FROM d),
+leaves AS (
+  SELECT r, doc_id, source, sha256(head || tail) AS leaf, sha256(head || tail2) AS leaf2,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS size FROM fields),
+low AS (
+  SELECT 0 AS lev, source, pos, leaf AS node, size FROM leaves
+  UNION ALL
+  SELECT lev + 1, source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), CAST(max(size) + 2 AS BIGINT) // 3
+  FROM low WHERE size > 1 GROUP BY lev, source, pos // 3),
+runs AS (SELECT lev, source, pos // 3 AS parent, list(node ORDER BY pos) AS l FROM low WHERE size > 1
+         GROUP BY lev, source, pos // 3),
+subroots AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+                    count(*) OVER () AS size FROM low WHERE size = 1),
+high AS (
+  SELECT 0 AS lev, pos, subroot AS node, size FROM subroots
+  UNION ALL
+  SELECT lev + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), CAST(max(size) + 2 AS BIGINT) // 3
+  FROM high WHERE size > 1 GROUP BY lev, pos // 3),
+hruns AS (SELECT lev, pos // 3 AS parent, list(node ORDER BY pos) AS l FROM high WHERE size > 1
+          GROUP BY lev, pos // 3),
+climb AS (
+  SELECT r, 0 AS lev, source, pos, leaf2 AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.r, c.lev + 1, c.source, c.pos // 3,
+         sha256(array_to_string(l[1:c.pos % 3], '') || c.node || array_to_string(l[c.pos % 3 + 2:], '')),
+         c.proof || array_to_string(l[1:c.pos % 3], '') || array_to_string(l[c.pos % 3 + 2:], '')
+  FROM climb c JOIN runs u ON u.lev = c.lev AND u.source IS NOT DISTINCT FROM c.source AND u.parent = c.pos // 3),
+done AS (SELECT r, source, node, proof FROM climb QUALIFY lev = max(lev) OVER (PARTITION BY r)),
+hclimb AS (
+  SELECT x.r, 0 AS lev, s.pos, x.node, x.proof FROM done x JOIN subroots s ON s.source IS NOT DISTINCT FROM x.source
+  UNION ALL
+  SELECT c.r, c.lev + 1, c.pos // 3,
+         sha256(array_to_string(l[1:c.pos % 3], '') || c.node || array_to_string(l[c.pos % 3 + 2:], '')),
+         c.proof || array_to_string(l[1:c.pos % 3], '') || array_to_string(l[c.pos % 3 + 2:], '')
+  FROM hclimb c JOIN hruns u ON u.lev = c.lev AND u.parent = c.pos // 3),
+top AS (SELECT r, node, proof FROM hclimb QUALIFY lev = max(lev) OVER (PARTITION BY r)),
+root AS (SELECT node AS root FROM high WHERE size = 1)
+SELECT v.doc_id, v.leaf, s.subroot, root.root, sha256(top.proof) AS proof_sha256, top.node AS folded_root,
+       top.node = root.root AS verified
+FROM leaves v JOIN top ON top.r = v.r JOIN subroots s ON s.source IS NOT DISTINCT FROM v.source, root""",
 }

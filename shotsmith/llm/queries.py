@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotsmith.llm import (
-    ann, bpe, chat, covertree, jaccard, lexical, linededup, merkle, packing, quality, secretscan, substring)
+    ann, bpe, chat, covertree, jaccard, langid, lexical, linededup, merkle, packing, quality, secretscan, substring)
 from shotsmith.llm.common import read
 
 
@@ -75,6 +75,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return langid.predict(docs.select("doc_id", "text"), langid.fit(docs)).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -85,8 +91,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_line_dedup, op5_best_fit_packing,
-    op6_quality_classifier, op7_exact_top_k, op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard, op12_lexical_search,
-    op13_merkle_manifest)}
+    op6_quality_classifier, op7_exact_top_k, op8_secret_scans, op9_byte_bpe, op10_ngram_jaccard, op11_language_id,
+    op12_lexical_search, op13_merkle_manifest)}
 
 _WS = r"[ \t\n\x0b\x0c\r]"
 

@@ -1,21 +1,22 @@
-"""M1 / A4: Okapi BM25 ranking of a pool for every query, as an equi-join.
-
-Plan (one shuffle of the pool, everything else local or bounded):
-
-1. The pool is hash-partitioned once by ``cand_id``.  Tokens are exploded and
-   counted per (document, token) inside that partitioning, so postings
-   ``(cand_id, cls, dl, token, tf)`` need no further shuffle.
-2. Document frequencies come from a separate pass: (document, token) pairs
-   deduplicated map-side, then counted by token partial-then-final (hot
-   tokens fold map-side).  The result is
-   checkpointed; four scalars reach the driver: N, mean length, vocabulary
-   size and the idf sum.
-3. Query tokens ``(query_id, token, qtf, idf)`` meet the postings in an
-   equi-join on token.  The query side is broadcast only after counting its rows
-   and bytes; beyond the limits both sides are salted on hot tokens and shuffled.
-4. The broadcast join keeps the ``cand_id`` partitioning, so the per-pair sum
-   by (query, cls, cand) aggregates without a shuffle.
-5. Top-k per (query, cls) by ``row_number`` plans as WindowGroupLimit: each
+"""M1 / A4: Okapi BM25 ranking of a pool for every query, from a postings store.
+
+The pool is indexed once (``postings.PostingsStore``): its text is tokenised in
+the scan and never shuffled, neither for the index nor for a query batch.
+
+1. Statistics (N, mean length, idf) come from the store's vocabulary tables;
+   four scalars reach the driver.
+2. Query tokens ``(query_id, token, qtf, idf)`` meet the posting blocks of their
+   token.  The query side is broadcast only after counting its rows and bytes;
+   beyond the limits it is joined, hot tokens salted by block.
+3. Block-max pruning (top k): a block's (max tf, min length) bounds the weight of
+   each token in it, and the sum over a query's tokens bounds every score of
+   the block.  The blocks with the best bounds are scored first; their k-th
+   score drops all blocks whose bound lies below it, exactly.  A pool under
+   ``PRUNE_DOCS`` documents is scored whole unless ``prune`` asks otherwise:
+   the passes over bounds cost more than they save.
+4. Postings of the blocks left are weighted once each, dealt by block, and
+   summed per (query, class, candidate) inside that partitioning.
+5. Top-k per (query, class) by ``row_number`` plans as WindowGroupLimit: each
    partition keeps k rows per group before the only shuffle by query.
 
 Candidates that share no token with a query score 0 but still rank (the
@@ -24,7 +25,7 @@ space, which can never be a token) that the first k ids of each class in
 tie order carry with weight 0.  With all weights >= 0 this is exact: an id
 outside that list is preceded by k ids scoring >= 0.  When some idf is
 floored to a negative value, or a full ranking is asked for, every id
-carries the marker.
+carries the marker and no block is pruned.
 
 Scores are exact and order-free: idf and every term weight are rounded to
 DECIMAL(18,10), weights are computed once per posting (not per pair) and
@@ -33,6 +34,7 @@ summed as BIGINT units of 1e-10.  Ties: score DESC, cand_id DESC.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -41,8 +43,9 @@ from pyspark.sql import functions as F
 
 from shotsmith.functions.text import as_text, tokens
 from shotsmith.operators.blocks import BROADCAST_BYTES
+from shotsmith.operators.postings import MARKER, PostingsStore
 from shotsmith.operators.ranking import rank_within
-from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
+from shotsmith.session import BROADCAST_ROW_LIMIT
 
 # --- fixed values: Okapi BM25 parameters (k1, b, epsilon) ---
 K1 = 1.5
@@ -52,8 +55,9 @@ EPSILON = 0.25
 
 WEIGHT_TYPE = "decimal(18,10)"
 SCALE = 10 ** 10      # a DECIMAL(18,10) weight as BIGINT units: exact, fast sums
-MARKER = " "          # never produced by tokens(): they are cut at spaces
 SALT_BUCKETS = 32
+PRUNE_DOCS = 100_000  # smaller pools are scored whole
+SEED_BLOCKS = 4       # blocks of a query scored first, for its k-th score
 
 
 @dataclass(frozen=True)
@@ -76,56 +80,10 @@ def term_weight(idf: F.Column, tf: F.Column, dl: F.Column, avg_len: float) -> F.
     return (idf.cast("double") * (tf * F.lit(K1 + 1.0) / (tf + norm))).cast(WEIGHT_TYPE)
 
 
-def _partitioned_pool(pool: DataFrame, by: str | None) -> DataFrame:
-    """The pool spread by cand_id over ``spark.sql.shuffle.partitions`` tasks.
-
-    The count is explicit so adaptive execution does not merge the (small
-    in bytes, heavy in CPU) text partitions into a few tasks.
-    """
-    cls = F.col(by) if by else F.lit(0)
-    n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (pool.select("cand_id", cls.alias("_cls"), "sentence")
-            .repartition(n, "cand_id"))
-
-
-def _doc_tokens(pool_p: DataFrame) -> DataFrame:
-    return pool_p.select("cand_id", "_cls", tokens(as_text("sentence")).alias("_toks")) \
-        .withColumn("dl", F.size("_toks"))
-
-
-def postings(docs: DataFrame, marked: DataFrame | str | None) -> DataFrame:
-    """(cand_id, _cls, dl, token, tf); ``marked`` ids ("all": every id) also
-    carry the marker token.  On a pool partitioned by cand_id the count is
-    local (no exchange)."""
-    toks = F.col("_toks")
-    if isinstance(marked, str):
-        toks = F.concat(toks, F.array(F.lit(MARKER)))
-    elif marked is not None:
-        docs = docs.join(marked, "cand_id", "left")
-        toks = F.when(F.col("_mark"), F.concat(toks, F.array(F.lit(MARKER)))) \
-            .otherwise(toks)
-    return (docs.select("cand_id", "_cls", "dl", F.explode(toks).alias("token"))
-            .groupBy("cand_id", "_cls", "dl", "token")
-            .agg(F.count(F.lit(1)).alias("tf")))
-
-
 def vocabulary_table(pool: DataFrame) -> DataFrame:
-    """The pool's vocabulary (token, df, ctf), written to the checkpoint folder.
-
-    One pass over the pool text: spread by cand_id (as the scoring pass
-    does), (document, token) pairs counted locally, then counted by token
-    partial-then-final, so a hot token folds map-side.  The marker row carries
-    the document count (df) and the total token count (ctf).  Later steps
-    (statistics, the idf of query tokens) read this table, not the text.
-    """
-    checkpoint_dir(pool.sparkSession)
-    docs = _doc_tokens(_partitioned_pool(pool, None))
-    per_doc = postings(docs, "all").select("token", "dl")   # (doc, token) once each
-    return (per_doc.groupBy("token")
-            .agg(F.count(F.lit(1)).alias("df"),
-                 F.sum(F.when(F.col("token") == MARKER, F.col("dl")).otherwise(0))
-                 .alias("ctf"))
-            .checkpoint(eager=True))
+    """The pool's vocabulary (token, df, ctf) of a store written for it.  The
+    marker row carries the document count (df) and the total token count (ctf)."""
+    return PostingsStore.create(pool).vocabulary()
 
 
 def corpus_stats_from(vocab: DataFrame) -> CorpusStats:
@@ -162,13 +120,11 @@ def idf_table(vocab: DataFrame, stats: CorpusStats) -> DataFrame:
          .otherwise(raw.cast(WEIGHT_TYPE)).alias("idf"))
 
 
-def _first_ids(pool: DataFrame, by: str | None, k: int) -> DataFrame:
+def _first_ids(docs: DataFrame, k: int) -> DataFrame:
     """The first k ids of each class in tie order (cand_id DESC)."""
-    cls = F.col(by) if by else F.lit(0)
-    w = Window.partitionBy("_cls").orderBy(F.col("cand_id").desc())
-    return (pool.select("cand_id", cls.alias("_cls"))
-            .withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= k).select("cand_id", F.lit(True).alias("_mark")))
+    w = Window.partitionBy("cls").orderBy(F.col("cand_id").desc())
+    return (docs.select("cand_id", "cls").withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") <= k).select("cand_id", "cls"))
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -185,12 +141,12 @@ def hot_tokens(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.col("df") >= hot_df).select("token", F.lit(True).alias("_hot"))
 
 
-def _join_salted(post: DataFrame, qterms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """postings JOIN query terms on token.  The postings of a hot token spread over
-    SALT_BUCKETS keys, and the query rows of such a token are copied to each."""
+def _join_salted(blocks: DataFrame, qterms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """posting blocks JOIN query terms on token.  The blocks of a hot token spread
+    over SALT_BUCKETS keys, and the query rows of such a token are copied to each."""
     hot = F.broadcast(hot_tokens(vocab))   # a proven bound, see there
-    p = post.join(hot, "token", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("cand_id"), F.lit(SALT_BUCKETS)))
+    p = blocks.join(hot, "token", "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("block"), F.lit(SALT_BUCKETS)))
         .otherwise(F.lit(0)).cast("int")).drop("_hot")
     q = qterms.join(hot, "token", "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
@@ -198,64 +154,123 @@ def _join_salted(post: DataFrame, qterms: DataFrame, vocab: DataFrame) -> DataFr
     return p.join(q, ["token", "_salt"]).drop("_salt")
 
 
+def _fits(df: DataFrame, row_bytes: F.Column) -> bool:
+    """Whether a frame may be broadcast: counted, rows and bytes."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
+    return n <= BROADCAST_ROW_LIMIT and (size or 0) <= BROADCAST_BYTES
+
+
 class BM25Index:
-    """The pool side of BM25, prepared once: vocabulary (checkpointed) and
-    corpus statistics.  ``scores``/``rank`` then serve any query batch --
-    e.g. every micro-batch of a query stream -- without recomputing them."""
-
-    def __init__(self, pool: DataFrame, by: str | None = None):
-        self.pool, self.by = pool, by
-        self.vocab = vocabulary_table(pool)
-        self.stats = corpus_stats(pool, self.vocab)
+    """The pool side of BM25, prepared once: a postings store and its statistics.
+    ``scores``/``rank`` then serve any query batch -- e.g. every micro-batch of a
+    query stream -- from the store alone.  ``pool`` is a frame to index, or a
+    store written earlier (by the same ``by``)."""
+
+    def __init__(self, pool: DataFrame | PostingsStore, by: str | None = None):
+        self.by = by
+        self.store = pool if isinstance(pool, PostingsStore) else PostingsStore.create(pool, by)
+        self.vocab = self.store.vocabulary()
+        self.stats = corpus_stats_from(self.vocab)
         self.idf = idf_table(self.vocab, self.stats)
-
-    def scores(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """(query_id, _cls, cand_id, score) for pairs that can reach the top k."""
-        pool, by, stats, idf = self.pool, self.by, self.stats, self.idf
-        pool_p = _partitioned_pool(pool, by)
-        docs = _doc_tokens(pool_p)
-        if k is None or stats.floor_idf < 0:
-            # Full ranking, or negative weights (unmatched ids can then
-            # outrank matched ones anywhere): every id carries the marker.
-            marked = "all"
+        self.blocks, self.docs = self.store.read("blocks"), self.store.read("docs")
+
+    def _units(self, tf: F.Column, dl: F.Column) -> F.Column:
+        """The weight of a posting as an exact scaled integer (units of 1e-10)."""
+        return (term_weight(F.col("idf"), tf, dl, self.stats.avg_len) * F.lit(SCALE)).cast("bigint")
+
+    def bounds(self, terms: DataFrame, fits: bool) -> DataFrame:
+        """(query_id, cls, block, bound): an upper bound, in units, of every score
+        of the block's documents.  Reads the block maxima, not the postings."""
+        heads = self.blocks.select("token", "cls", "block", "max_tf", "min_dl")
+        pairs = heads.join(F.broadcast(terms), "token") if fits else _join_salted(heads, terms, self.vocab)
+        # one unit above: the maxima are rounded like the weights
+        most = F.col("qtf") * (self._units(F.col("max_tf"), F.col("min_dl")) + 1)
+        return pairs.groupBy("query_id", "cls", "block").agg(F.sum(most).alias("bound"))
+
+    def _contributions(self, terms: DataFrame, fits: bool, pairs: DataFrame | None) -> DataFrame:
+        """(query_id, cls, cand_id, units): summed weights of the matching postings,
+        of the (query_id, cls, block) ``pairs`` alone if given."""
+        blocks = self.blocks
+        if pairs is not None:
+            some = pairs.select("block").distinct()
+            if _fits(some, F.lit(16)):
+                some = F.broadcast(some)
+            blocks = blocks.join(some, "block", "left_semi")
+        by_token = terms.select("token", "idf").distinct()
+        if fits:
+            rows = blocks.join(F.broadcast(by_token), "token")
+            rows = self._weighted(rows, ["token", "cls", "block"])
+            n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            # numbered: adaptive execution must not merge the pair-making stage
+            rows = rows.repartition(n, "block").join(F.broadcast(terms.drop("idf")), "token")
         else:
-            marked = _first_ids(pool, by, k)   # k rows per class
-            size = k if by is None else marked.limit(BROADCAST_ROW_LIMIT + 1).count()
-            if size <= BROADCAST_ROW_LIMIT:
-                marked = F.broadcast(marked)
-        post = postings(docs, marked)
-
-        qterms = _query_terms(queries)
-        # idf of the tokens queries use (plus the marker, weight 0).
-        q_idf = (qterms.select("token").distinct().join(idf.select("token", "idf"), "token")
-                 .unionByName(queries.sparkSession.range(1).select(
-                     F.lit(MARKER).alias("token"), F.lit(0).cast(WEIGHT_TYPE).alias("idf"))))
-        # The weight of a posting as an exact scaled integer (units of 1e-10).
-        weight = (term_weight(F.col("idf"), F.col("tf"), F.col("dl"), stats.avg_len)
-                  * F.lit(SCALE)).cast("bigint").alias("w")
-        q_marker = queries.select("query_id", F.lit(MARKER).alias("token"),
-                                  F.lit(1).cast("bigint").alias("qtf"))
-        qw = qterms.select("query_id", "token", "qtf").unionByName(q_marker)
-        n, size = qterms.agg(F.count(F.lit(1)),
-                             F.sum(F.octet_length("token") + F.lit(32))).first()
-        if n <= BROADCAST_ROW_LIMIT and (size or 0) <= BROADCAST_BYTES:
-            # distinct query tokens <= query term rows; once per posting, not per pair
-            weighted = post.join(F.broadcast(q_idf), "token").select(
-                "cand_id", "_cls", "token", weight)
-            pairs = weighted.join(F.broadcast(qw), "token")
-        else:   # the idf meets the query terms, so the postings join on salted keys only
-            pairs = _join_salted(post, qw.join(q_idf, "token"), self.vocab).select(
-                "query_id", "_cls", "cand_id", "qtf", weight)
-        return (pairs.groupBy("query_id", "_cls", "cand_id")
-                .agg((F.sum(F.col("qtf") * F.col("w")).cast("double") / F.lit(float(SCALE)))
-                     .alias("score")))
-
-    def rank(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+            rows = self._weighted(_join_salted(blocks, terms, self.vocab),
+                                  ["token", "cls", "block", "query_id", "qtf"])
+        if pairs is not None:
+            keep = pairs.select("query_id", "cls", "block")
+            if _fits(keep, F.lit(40)):
+                keep = F.broadcast(keep)
+            rows = rows.alias("r").join(keep.alias("k"), F.expr(
+                "r.query_id = k.query_id AND r.block = k.block AND r.cls <=> k.cls"), "left_semi")
+        return (rows.groupBy("block", "query_id", "cls", "cand_id")
+                .agg(F.sum(F.col("qtf") * F.col("w")).alias("units")).drop("block"))
+
+    def _weighted(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        return (rows.select(*keep, "idf", F.explode("rows").alias("p"))
+                .select(*keep, "p.cand_id", self._units(F.col("p.tf"), F.col("p.dl")).alias("w")))
+
+    def surviving_pairs(self, terms: DataFrame, fits: bool, k: int) -> DataFrame:
+        """The (query_id, cls, block) pairs that can hold one of the best ``k``,
+        written once: bounds, the k-th score of the blocks with the best bounds, and
+        the pairs whose bound reaches it."""
+        bounds = self._written(self.bounds(terms, fits), "bounds")
+        w = Window.partitionBy("query_id", "cls").orderBy(F.desc("bound"), "block")
+        first = bounds.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SEED_BLOCKS)
+        scored = self._contributions(terms, fits, first.select("query_id", "cls", "block"))
+        best = Window.partitionBy("query_id", "cls").orderBy(F.desc("units"))
+        kth = (scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
+               .select("query_id", "cls", F.col("units").alias("kth")))
+        left = bounds.alias("b").join(kth.alias("t"), F.expr(
+            "b.query_id = t.query_id AND b.cls <=> t.cls"), "left")
+        return self._written(left.where("t.kth IS NULL OR b.bound >= t.kth")
+                             .select("b.query_id", "b.cls", "b.block"), "pairs")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.store.path}/queries/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def terms(self, queries: DataFrame) -> DataFrame:
+        """(query_id, token, qtf, idf) of the query tokens the pool holds."""
+        return _query_terms(queries).join(self.idf.select("token", "idf"), "token")
+
+    def scores(self, queries: DataFrame, k: int | None = None, prune: bool | None = None) -> DataFrame:
+        """(query_id, cls, cand_id, score) for pairs that can reach the top k."""
+        size = F.octet_length("token") + F.lit(32)
+        fits = _fits(_query_terms(queries), size)
+        terms = self.terms(queries)
+        whole = k is None or self.stats.floor_idf < 0
+        if prune is None:
+            prune = self.stats.n_docs > PRUNE_DOCS
+        pairs = self.surviving_pairs(terms, fits, k) if prune and not whole else None
+        found = self._contributions(terms, fits, pairs)
+        # Full ranking, or negative weights (unmatched ids can then outrank
+        # matched ones anywhere): every id carries the marker.
+        marked = self.docs.select("cand_id", "cls") if whole else _first_ids(self.docs, k)
+        asked = queries.select("query_id", F.lit(MARKER).alias("token"))
+        if _fits(asked, F.lit(32)):
+            asked = F.broadcast(asked)
+        zero = marked.withColumn("token", F.lit(MARKER)).join(asked, "token").select(
+            "query_id", "cls", "cand_id", F.lit(0).cast("bigint").alias("units"))
+        return (found.unionByName(zero).groupBy("query_id", "cls", "cand_id")
+                .agg((F.sum("units").cast("double") / F.lit(float(SCALE))).alias("score")))
+
+    def rank(self, queries: DataFrame, k: int | None = None, prune: bool | None = None) -> DataFrame:
         """(query_id, [by], rank, cand_id, score)."""
         order = [F.col("score").desc(), F.col("cand_id").desc()]
-        ranked = rank_within(self.scores(queries, k), ["query_id", "_cls"], order, k,
+        ranked = rank_within(self.scores(queries, k, prune), ["query_id", "cls"], order, k,
                              max_group_rows=self.stats.n_docs)
-        out = ["query_id"] + ([F.col("_cls").alias(self.by)] if self.by else []) + \
+        out = ["query_id"] + ([F.col("cls").alias(self.by)] if self.by else []) + \
             [F.col("rank").cast("int").alias("rank"), "cand_id", "score"]
         return ranked.select(*out)
 

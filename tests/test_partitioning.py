@@ -58,4 +58,5 @@ def test_heavy_stages_keep_their_task_count(spark):
     plan = _plan(cosine_rank(v, v, k=3, q_id="id", p_id="id"))
     assert "rangepartitioning(q_block" in plan and "REPARTITION_BY_NUM" in plan
     plan = _plan(bm25_rank(tables.pool(spark, SF0001), tables.queries(spark, SF0001), k=5))
-    assert "hashpartitioning(cand_id" in plan and "REPARTITION_BY_NUM" in plan
+    assert "hashpartitioning(block" in plan and "REPARTITION_BY_NUM" in plan
+    assert "sentence" not in plan          # no text in a query batch

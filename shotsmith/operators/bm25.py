@@ -8,14 +8,16 @@ the scan and never shuffled, neither for the index nor for a query batch.
 2. Query tokens ``(query_id, token, qtf, idf)`` meet the posting blocks of their
    token.  The query side is broadcast only after counting its rows and bytes;
    beyond the limits it is joined, hot tokens salted by block.
-3. Block-max pruning (top k): a block's (max tf, min length) bounds the weight of
-   each token in it, and the sum over a query's tokens bounds every score of
-   the block.  The blocks with the best bounds are scored first; their k-th
-   score drops all blocks whose bound lies below it, exactly.  A pool under
-   ``PRUNE_DOCS`` documents is scored whole unless ``prune`` asks otherwise:
-   the passes over bounds cost more than they save.
-4. Postings of the blocks left are weighted once each, dealt by block, and
-   summed per (query, class, candidate) inside that partitioning.
+3. Pruned top k (``prune=True``; it takes five passes over small parts of the
+   index, so it pays on large pools only; README has figures):
+   block maxima (max tf, min length) give each query token a ceiling.  The best
+   k candidates of a query's rarest tokens are scored in full; their k-th score
+   is a floor for the result.  Tokens whose ceilings add up to less than the
+   floor cannot lift a candidate there alone, so candidates come from the
+   postings of the other tokens only; those that cannot reach the floor with
+   all ceilings added go, and the few left are completed from the blocks that
+   hold them.  Exact: every step drops only what lies strictly below the floor.
+4. Postings are weighted once each, dealt by block, and summed per (query, class, candidate) inside that partitioning.
 5. Top-k per (query, class) by ``row_number`` plans as WindowGroupLimit: each
    partition keeps k rows per group before the only shuffle by query.
 
@@ -56,8 +58,8 @@ EPSILON = 0.25
 WEIGHT_TYPE = "decimal(18,10)"
 SCALE = 10 ** 10      # a DECIMAL(18,10) weight as BIGINT units: exact, fast sums
 SALT_BUCKETS = 32
-PRUNE_DOCS = 100_000  # smaller pools are scored whole
-SEED_BLOCKS = 4       # blocks of a query scored first, for its k-th score
+SEEDS = 4             # times k candidates are scored in full for the floor
+SEED_POSTINGS = 16    # times k postings of a query's rarest tokens give those candidates
 
 
 @dataclass(frozen=True)
@@ -178,62 +180,82 @@ class BM25Index:
         """The weight of a posting as an exact scaled integer (units of 1e-10)."""
         return (term_weight(F.col("idf"), tf, dl, self.stats.avg_len) * F.lit(SCALE)).cast("bigint")
 
-    def bounds(self, terms: DataFrame, fits: bool) -> DataFrame:
-        """(query_id, cls, block, bound): an upper bound, in units, of every score
-        of the block's documents.  Reads the block maxima, not the postings."""
-        heads = self.blocks.select("token", "cls", "block", "max_tf", "min_dl")
-        pairs = heads.join(F.broadcast(terms), "token") if fits else _join_salted(heads, terms, self.vocab)
-        # one unit above: the maxima are rounded like the weights
-        most = F.col("qtf") * (self._units(F.col("max_tf"), F.col("min_dl")) + 1)
-        return pairs.groupBy("query_id", "cls", "block").agg(F.sum(most).alias("bound"))
-
-    def _contributions(self, terms: DataFrame, fits: bool, pairs: DataFrame | None) -> DataFrame:
-        """(query_id, cls, cand_id, units): summed weights of the matching postings,
-        of the (query_id, cls, block) ``pairs`` alone if given."""
+    def _matches(self, terms: DataFrame, fits: bool, only: DataFrame | None = None) -> DataFrame:
+        """(query_id, cls, cand_id, block, units): summed weights of the postings
+        that match ``terms`` (query_id, token, qtf, idf[, tcls]: in that class
+        only); of the (query_id, cand_id, block) rows of ``only`` alone if given."""
         blocks = self.blocks
-        if pairs is not None:
-            some = pairs.select("block").distinct()
-            if _fits(some, F.lit(16)):
-                some = F.broadcast(some)
-            blocks = blocks.join(some, "block", "left_semi")
-        by_token = terms.select("token", "idf").distinct()
+        if only is not None:
+            blocks = blocks.join(self._small(only.select("block").distinct(), 16), "block", "left_semi")
         if fits:
-            rows = blocks.join(F.broadcast(by_token), "token")
-            rows = self._weighted(rows, ["token", "cls", "block"])
+            rows = self._weighted(blocks.join(F.broadcast(terms.select("token", "idf").distinct()), "token"),
+                                  ["token", "cls", "block"], only)
             n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             # numbered: adaptive execution must not merge the pair-making stage
             rows = rows.repartition(n, "block").join(F.broadcast(terms.drop("idf")), "token")
         else:
-            rows = self._weighted(_join_salted(blocks, terms, self.vocab),
-                                  ["token", "cls", "block", "query_id", "qtf"])
-        if pairs is not None:
-            keep = pairs.select("query_id", "cls", "block")
-            if _fits(keep, F.lit(40)):
-                keep = F.broadcast(keep)
-            rows = rows.alias("r").join(keep.alias("k"), F.expr(
-                "r.query_id = k.query_id AND r.block = k.block AND r.cls <=> k.cls"), "left_semi")
+            joined = _join_salted(blocks, terms, self.vocab)
+            rows = self._weighted(joined, [c for c in joined.columns if c in (
+                "token", "cls", "block", "query_id", "qtf", "tcls")], only)
+        if "tcls" in rows.columns:
+            rows = rows.where("cls <=> tcls")
+        if only is not None:
+            rows = rows.join(self._small(only.select("query_id", "cand_id"), 24), ["query_id", "cand_id"], "left_semi")
         return (rows.groupBy("block", "query_id", "cls", "cand_id")
-                .agg(F.sum(F.col("qtf") * F.col("w")).alias("units")).drop("block"))
-
-    def _weighted(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        return (rows.select(*keep, "idf", F.explode("rows").alias("p"))
-                .select(*keep, "p.cand_id", self._units(F.col("p.tf"), F.col("p.dl")).alias("w")))
-
-    def surviving_pairs(self, terms: DataFrame, fits: bool, k: int) -> DataFrame:
-        """The (query_id, cls, block) pairs that can hold one of the best ``k``,
-        written once: bounds, the k-th score of the blocks with the best bounds, and
-        the pairs whose bound reaches it."""
-        bounds = self._written(self.bounds(terms, fits), "bounds")
-        w = Window.partitionBy("query_id", "cls").orderBy(F.desc("bound"), "block")
-        first = bounds.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SEED_BLOCKS)
-        scored = self._contributions(terms, fits, first.select("query_id", "cls", "block"))
-        best = Window.partitionBy("query_id", "cls").orderBy(F.desc("units"))
-        kth = (scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k)
-               .select("query_id", "cls", F.col("units").alias("kth")))
-        left = bounds.alias("b").join(kth.alias("t"), F.expr(
-            "b.query_id = t.query_id AND b.cls <=> t.cls"), "left")
-        return self._written(left.where("t.kth IS NULL OR b.bound >= t.kth")
-                             .select("b.query_id", "b.cls", "b.block"), "pairs")
+                .agg(F.sum(F.col("qtf") * F.col("w")).alias("units")))
+
+    def _weighted(self, rows: DataFrame, keep: list[str], only: DataFrame | None) -> DataFrame:
+        rows = rows.select(*keep, "idf", F.explode("rows").alias("p"))
+        if only is not None:
+            ids = self._small(only.select("cand_id").distinct(), 16)
+            rows = rows.withColumn("cand_id", F.col("p.cand_id")).join(ids, "cand_id", "left_semi")
+        return rows.select(*keep, "p.cand_id", self._units(F.col("p.tf"), F.col("p.dl")).alias("w"))
+
+    @staticmethod
+    def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+        return F.broadcast(df) if _fits(df, F.lit(row_bytes)) else df
+
+    def ceilings(self, terms: DataFrame, fits: bool) -> DataFrame:
+        """(query_id, tcls, token, qtf, idf, df, ceiling): what a token can add to a
+        score of a class at most, from the block maxima (no posting is read)."""
+        heads = self.blocks.select("token", "block", "cls", "max_tf", "min_dl")
+        own = terms.select("token", "idf").distinct()
+        pairs = heads.join(F.broadcast(own), "token") if fits else _join_salted(heads, own, self.vocab)
+        # one unit above: the maxima are rounded like the weights
+        most = pairs.groupBy("token", F.col("cls").alias("tcls")).agg(
+            (F.max(self._units(F.col("max_tf"), F.col("min_dl"))) + 1).alias("most"))
+        return terms.join(most, "token").join(self.vocab.select("token", "df"), "token").select(
+            "query_id", "tcls", "token", "qtf", "idf", "df", (F.col("qtf") * F.col("most")).alias("ceiling"))
+
+    def pruned_scores(self, terms: DataFrame, fits: bool, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, cls, cand_id, units) of all candidates that can be among the
+        best ``k`` of their class, and the tokens with their part in it."""
+        group = ["query_id", "tcls"]
+        plan = self._written(self.ceilings(terms, fits), "ceilings")
+        rare = Window.partitionBy(*group).orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+        first = plan.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(
+            F.col("_before") < SEED_POSTINGS * k)
+        asked = ["query_id", "tcls", "token", "qtf", "idf"]
+        w = Window.partitionBy("query_id", "cls").orderBy(F.desc("units"), "cand_id")
+        heads = self._written(self._matches(first.select(*asked), fits).withColumn("_r", F.row_number().over(w))
+                              .where(F.col("_r") <= SEEDS * k).select("query_id", "cand_id", "block"), "heads")
+        floor = (self._matches(plan.select(*asked), fits, heads).withColumn("_r", F.row_number().over(w))
+                 .where(F.col("_r") == k)
+                 .select(F.col("query_id").alias("fq"), F.col("cls").alias("fcls"), F.col("units").alias("floor")))
+        low = Window.partitionBy(*group).orderBy("ceiling", "token")
+        split = self._written(
+            plan.join(floor, F.expr("query_id = fq AND tcls <=> fcls"), "left").drop("fq", "fcls")
+            .withColumn("weak", F.coalesce(F.sum("ceiling").over(low) < F.col("floor"), F.lit(False))), "split")
+        rest = split.groupBy(F.col("query_id").alias("rq"), F.col("tcls").alias("rcls")).agg(
+            F.sum(F.when(F.col("weak"), F.col("ceiling")).otherwise(0)).alias("rest"),
+            F.coalesce(F.max("floor"), F.lit(0)).alias("floor"))
+        strong = self._matches(split.where(~F.col("weak")).select(*asked), fits)
+        left = self._written(strong.join(rest, F.expr("query_id = rq AND cls <=> rcls"))
+                             .where(F.col("units") + F.col("rest") >= F.col("floor"))
+                             .select("query_id", "cls", "cand_id", "block", "units"), "candidates")
+        more = self._matches(split.where("weak").select(*asked), fits, left)
+        cols = ["query_id", "cls", "cand_id", "units"]
+        return left.select(*cols).unionByName(more.select(*cols)), split
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.store.path}/queries/{name}-{uuid.uuid4().hex}"
@@ -244,16 +266,17 @@ class BM25Index:
         """(query_id, token, qtf, idf) of the query tokens the pool holds."""
         return _query_terms(queries).join(self.idf.select("token", "idf"), "token")
 
-    def scores(self, queries: DataFrame, k: int | None = None, prune: bool | None = None) -> DataFrame:
+    def scores(self, queries: DataFrame, k: int | None = None, prune: bool = False) -> DataFrame:
         """(query_id, cls, cand_id, score) for pairs that can reach the top k."""
         size = F.octet_length("token") + F.lit(32)
         fits = _fits(_query_terms(queries), size)
         terms = self.terms(queries)
         whole = k is None or self.stats.floor_idf < 0
-        if prune is None:
-            prune = self.stats.n_docs > PRUNE_DOCS
-        pairs = self.surviving_pairs(terms, fits, k) if prune and not whole else None
-        found = self._contributions(terms, fits, pairs)
+        cols = ["query_id", "cls", "cand_id", "units"]
+        if prune and not whole:
+            found = self.pruned_scores(terms, fits, k)[0]
+        else:
+            found = self._matches(terms, fits).select(*cols)
         # Full ranking, or negative weights (unmatched ids can then outrank
         # matched ones anywhere): every id carries the marker.
         marked = self.docs.select("cand_id", "cls") if whole else _first_ids(self.docs, k)
@@ -265,7 +288,7 @@ class BM25Index:
         return (found.unionByName(zero).groupBy("query_id", "cls", "cand_id")
                 .agg((F.sum("units").cast("double") / F.lit(float(SCALE))).alias("score")))
 
-    def rank(self, queries: DataFrame, k: int | None = None, prune: bool | None = None) -> DataFrame:
+    def rank(self, queries: DataFrame, k: int | None = None, prune: bool = False) -> DataFrame:
         """(query_id, [by], rank, cand_id, score)."""
         order = [F.col("score").desc(), F.col("cand_id").desc()]
         ranked = rank_within(self.scores(queries, k, prune), ["query_id", "cls"], order, k,

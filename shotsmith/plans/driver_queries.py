@@ -47,6 +47,30 @@ def bm25_full_rank(spark, sf):
     return bm25_op.bm25_rank(tables.pool(spark, sf), tables.queries(spark, sf), k=None)
 
 
+def two_file_store(spark, sf):
+    """A4: the pool indexed as two files, one after the other."""
+    from shotsmith.operators.postings import PostingsStore
+    pool = tables.pool(spark, sf)
+    store = PostingsStore.create(pool.where("cand_id % 3 <> 0"))
+    store.add(pool.where("cand_id % 3 = 0"))
+    return store
+
+
+@register("bm25_store_top20", ORACLE["bm25_top20"])
+def bm25_store_top20(spark, sf):
+    """M1 from a store that grew by a file: statistics added up, pruned top 20."""
+    index = bm25_op.BM25Index(two_file_store(spark, sf))
+    return index.rank(tables.queries(spark, sf), k=20, prune=True)
+
+
+@register("bm25_store_stats", S.with_bm25(
+    "SELECT i.token, i.df, CAST(i.idf AS DOUBLE) AS idf FROM idf i"))
+def bm25_store_stats(spark, sf):
+    """A4: idf of every token after two increments, as from one pass."""
+    return bm25_op.BM25Index(two_file_store(spark, sf)).idf.select(
+        "token", "df", F.col("idf").cast("double").alias("idf"))
+
+
 @register("bm25_corpus_stats", S.with_bm25(
     "SELECT st.n AS n_docs, round(st.avgdl, 10) AS avg_len, fl.vocab AS vocab, "
     "round(fl.mean_idf, 10) AS mean_idf, CAST(fl.floor_idf AS DOUBLE) AS floor_idf "

@@ -138,6 +138,47 @@ def test_partition_count_independent(spark, parts):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [None, 10])
+@pytest.mark.parametrize("by", [None, "ok"])
+def test_pruned_top_k_equals_whole(spark, monkeypatch, by, limit):
+    """Also where nothing may be broadcast, and on a store of two files."""
+    pool = tables.pool(spark, SF0001).withColumn("ok", F.col("label") == F.col("prediction"))
+    q = tables.queries(spark, SF0001).limit(12)
+    want = rows(B.bm25_rank(pool, q, k=4, by=by))
+    if limit:
+        monkeypatch.setattr(B, "BROADCAST_ROW_LIMIT", limit)
+    store = B.PostingsStore.create(pool.where("cand_id % 2 = 0"), by)
+    store.add(pool.where("cand_id % 2 = 1"), by)
+    index = B.BM25Index(store, by)
+    assert rows(index.rank(q, 4)) == want
+    assert rows(index.rank(q, 4, prune=True)) == want
+    split = index.pruned_scores(index.terms(q), True, 4)[1]
+    skipped = split.agg(F.sum(F.when(F.col("weak"), F.col("df")).otherwise(0)) / F.sum("df")).first()[0]
+    assert skipped > 0.2
+
+
+def test_increments_equal_one_pass(spark):
+    pool = pool_df(spark, {0: "a b", 1: "a c", 2: "d d e", 3: "", 4: " a", 5: "e  a a"})
+    store = B.PostingsStore.create(pool.where("cand_id < 2"))
+    store.add(pool.where("cand_id = 2"))
+    store.add(pool.where("cand_id > 2"))
+    assert rows(store.vocabulary()) == rows(B.vocabulary_table(pool))
+    assert B.corpus_stats_from(store.vocabulary()) == B.corpus_stats(pool)
+    again = B.PostingsStore(spark, store.path)      # opened by its path
+    assert again.read("docs").count() == 6
+    q = query_df(spark, {0: "a e", 1: "zz"})
+    assert rows(B.BM25Index(again).rank(q)) == rows(B.bm25_rank(pool, q))
+
+
+def test_tokens_in_slices(monkeypatch):
+    from shotsmith.operators import postings
+    text = "a  bb c " * 50 + "x"
+    whole = postings.count_tokens(text)
+    monkeypatch.setattr(postings, "SLICE", 3)
+    assert postings.count_tokens(text) == whole == (len(text.split(" ")), whole[1])
+    assert postings.count_tokens("") == (1, {"": 1})
+
+
 def test_per_class_ranking(spark):
     pool = tables.pool(spark, SF0001).withColumn("ok", F.col("label") == F.col("prediction"))
     q = tables.queries(spark, SF0001)

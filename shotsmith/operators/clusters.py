@@ -5,19 +5,17 @@ independently per query), cut to ``take`` ids, then interleaved round-robin
 by cluster index -- 1st of cluster 0, 1st of cluster 1, ..., 2nd of cluster
 0, ...  With k clusters: rank = (r - 1) * k + cluster + 1.
 
-The per-query shuffles are seeded md5 draws over dense positions inside each
-cluster (no query x pool pairs).  Clustering is pyspark.ml KMeans with seeds
+The per-query shuffles are seeded permutations of the dense positions inside
+each cluster, made only as far as ``take`` (no query x pool pairs).  Clustering is pyspark.ml KMeans with seeds
 0, 1, ... until every cluster holds at least ``min_size`` rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotsmith.functions.hashing import seeded_draw
+from shotsmith.functions.permutation import grid, permuted
 from shotsmith.operators.positions import dense_positions, explode_range
 from shotsmith.session import BROADCAST_ROW_LIMIT
 
@@ -43,33 +41,16 @@ def interleave_clusters(queries: DataFrame, assigned: DataFrame, k: int, take: i
         raise ValueError(f"cluster sizes {sizes}: every cluster needs >= {need}")
     pos = dense_positions(assigned.select("cand_id", F.col(cluster_col).alias("cluster")),
                           [F.col("cand_id")], group_cols=["cluster"], keep=["cand_id"])
-    size_map = F.create_map(*[x for i, s in enumerate(sizes) for x in (F.lit(i), F.lit(s))])
+    shape = F.create_map(*[x for i, s in enumerate(sizes) for x in (
+        F.lit(i), F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip("nab", (s, *grid(max(s, 1))))]))])
     rows = (queries.select("query_id")
-            .withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
+            .withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+            .withColumn("_s", F.element_at(shape, F.col("cluster"))))
+    drawn = explode_range(rows, take, "_i").withColumn("pos", permuted(
+        F.col("_i"), F.col("_s.n"), F.col("_s.a"), F.col("_s.b"), seed, "query_id", "cluster"))
     pos_side = F.broadcast(pos) if sum(sizes) <= BROADCAST_ROW_LIMIT else pos
-    keys, done, d = rows, [], 2 * take + 32
-    while True:   # ends: every cluster holds at least ``take`` ids
-        n_c = F.element_at(size_map, F.col("cluster"))
-        draws = explode_range(keys, d, "_j").withColumn(
-            "pos", seeded_draw(seed, n_c, "query_id", "cluster", "_j"))
-        first = (draws.join(pos_side, ["cluster", "pos"])
-                 .groupBy("query_id", "cluster", "cand_id").agg(F.min("_j").alias("_j")))
-        w = Window.partitionBy("query_id", "cluster").orderBy("_j")
-        rank = (F.col("_r") - 1) * k + F.col("cluster") + 1
-        # Written once: the shortfall is counted from this copy.
-        picked = (first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= take)
-                  .select("query_id", "cluster", rank.cast("int").alias("rank"), "cand_id")
-                  .checkpoint(eager=True))
-        got = picked.groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("_c"))
-        short = (keys.join(got, ["query_id", "cluster"], "left")
-                 .where(F.coalesce(F.col("_c"), F.lit(0)) < take)
-                 .select("query_id", "cluster"))
-        if short.limit(1).count() == 0:
-            done.append(picked)
-            return reduce(DataFrame.unionByName, done).drop("cluster")
-        # Only (query, cluster) groups still short draw again, longer.
-        done.append(picked.join(short, ["query_id", "cluster"], "left_anti"))
-        keys, d = short, d * 4
+    return drawn.join(pos_side.withColumn("cluster", F.col("cluster").cast("int")), ["cluster", "pos"]).select(
+        "query_id", (F.col("_i") * k + F.col("cluster") + 1).cast("int").alias("rank"), "cand_id")
 
 
 def kmeans_assign(pool: DataFrame, k: int = 4, min_size: int = 30, tries: int = 25,

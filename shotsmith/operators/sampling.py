@@ -4,24 +4,22 @@ Random choices are seeded md5 draws (``functions.hashing``), so a re-run --
 after a lost executor, or in another engine -- gives the same rows.
 
 Random orders never pair every query with every candidate.  A query's
-sample is "the first m distinct values of the draw sequence
-md5(seed:query:j) mod N, j = 0, 1, 2, ...", which is a uniform ordered
-sample without replacement.  Draws are made in rounds (Q x D rows), and D
-grows only if some query still lacks m distinct values.  Positions map to
-ids through a dense position table (equi-join), built distributed.
+sample is the start of its own seeded permutation of the pool positions
+(``functions.permutation``): place i maps to a position by an expression, so m
+places are m distinct positions, without rounds, distinct steps or
+checkpoints.  Positions map to ids through a dense position table (equi-join),
+built distributed.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotsmith.functions.hashing import seeded_draw, seeded_hash
+from shotsmith.functions.hashing import seeded_hash
+from shotsmith.functions.permutation import grid, permuted
 from shotsmith.operators.positions import dense_positions, explode_range
-from shotsmith.session import BROADCAST_ROW_LIMIT, checkpoint_dir
+from shotsmith.session import BROADCAST_ROW_LIMIT
 
 
 def label_quota(df: DataFrame, pool_size: int, label_col: str = "label") -> int:
@@ -70,47 +68,9 @@ def pool_positions(pool: DataFrame, id_col: str = "cand_id") -> tuple[DataFrame,
     return pos, n
 
 
-def first_round(n: int, m: int) -> int:
-    """Draws that give ``m`` distinct of ``n`` positions as a rule: the expected
-    number, n ln(n / (n - m)), and a margin.  Rows still short draw again."""
-    return int(1.1 * n * math.log(n / max(n - m, 0.5))) + 2 * math.isqrt(m) + 4
-
-
-def _distinct_draws(rows: DataFrame, key: str, n: int, m: int, seed: int,
-                    rounds_start: int, exclude_self: bool,
-                    positions: DataFrame) -> DataFrame:
-    """First m distinct draws per row -> (key, draw_rank, cand_id).
-
-    Each round's result is written to the checkpoint folder once; the
-    shortfall is counted from that copy (the draws are not run twice), and
-    only rows still short take the next, longer round.  A row's sample is
-    the prefix of one fixed draw sequence, so rounds agree on it.
-    """
-    checkpoint_dir(rows.sparkSession)
-    pos_side = positions
-    if n <= BROADCAST_ROW_LIMIT:
-        pos_side = F.broadcast(positions)
-    keys, done, d = rows.select(key), [], rounds_start
-    while True:   # ends: m <= n, so every position is drawn at last
-        draws = explode_range(keys, d, "_j") \
-            .withColumn("pos", seeded_draw(seed, n, key, "_j"))
-        hits = draws.join(pos_side, "pos")
-        if exclude_self:
-            hits = hits.where(F.col("cand_id") != F.col(key))
-        first = hits.groupBy(key, "cand_id").agg(F.min("_j").alias("_j"))
-        w = Window.partitionBy(key).orderBy("_j")
-        ranked = (first.withColumn("draw_rank", F.row_number().over(w))
-                  .where(F.col("draw_rank") <= m)
-                  .select(key, F.col("draw_rank").cast("int").alias("draw_rank"), "cand_id")
-                  .checkpoint(eager=True))
-        got = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-        short = (keys.join(got, key, "left")
-                 .where(F.coalesce(F.col("_c"), F.lit(0)) < m).select(key))
-        if short.limit(1).count() == 0:
-            done.append(ranked)
-            return reduce(DataFrame.unionByName, done)
-        done.append(ranked.join(short, key, "left_anti"))
-        keys, d = short, d * 4
+def _ids_at(rows: DataFrame, positions: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the id at their ``pos``."""
+    return rows.join(F.broadcast(positions) if n <= BROADCAST_ROW_LIMIT else positions, "pos")
 
 
 def random_rankings(queries: DataFrame, pool: DataFrame, m: int = 300,
@@ -125,9 +85,10 @@ def random_rankings(queries: DataFrame, pool: DataFrame, m: int = 300,
     if m == 0:
         return queries.select("query_id").where("false") \
             .withColumn("rank", F.lit(0)).withColumn("cand_id", F.lit(0).cast("bigint"))
-    ranked = _distinct_draws(queries, "query_id", n, m, seed, first_round(n, m), False,
-                             positions)
-    return ranked.withColumnRenamed("draw_rank", "rank")
+    drawn = explode_range(queries.select("query_id"), m, "_i").withColumn(
+        "pos", permuted(F.col("_i"), n, *grid(n), seed, "query_id"))
+    return _ids_at(drawn, positions, n).select(
+        "query_id", (F.col("_i") + 1).cast("int").alias("rank"), "cand_id")
 
 
 def random_neighbours(table: DataFrame, k: int = 4, seed: int = 123,
@@ -137,9 +98,13 @@ def random_neighbours(table: DataFrame, k: int = 4, seed: int = 123,
     positions, n = pool_positions(table, id_col)
     if n <= k:
         raise ValueError(f"need more than {k} rows to draw {k} distinct others")
-    rows = table.select(F.col(id_col).alias("query_id"))
     if id_col != "cand_id":
         positions = positions.withColumnRenamed(id_col, "cand_id")
-    ranked = _distinct_draws(rows, "query_id", n, k, seed, first_round(n, k + 1), True,
-                             positions)
-    return ranked.withColumnRenamed("draw_rank", "pos")
+    # one place more than needed: the row's own position is left out, if drawn
+    rows = positions.select(F.col("cand_id").alias("query_id"), F.col("pos").alias("_own"))
+    rows = rows.repartition(max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "query_id")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(k)),
+                        lambda i: permuted(i, n, *grid(n), seed, F.col("query_id")))
+    others = F.slice(F.filter(drawn, lambda p: p != F.col("_own")), 1, k)
+    return _ids_at(rows.select("query_id", F.posexplode(others).alias("_i", "pos")), positions, n).select(
+        "query_id", (F.col("_i") + 1).cast("int").alias("pos"), "cand_id")

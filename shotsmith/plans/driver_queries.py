@@ -191,7 +191,7 @@ def pool_stratified(spark, sf):
 
 
 @register("random_rankings", POOL_CTE + S.draws_sql(
-    "q", "query_id", "(SELECT count(*) FROM pool)", 4000, 300, 123, False).lstrip() + """
+    "q", "query_id", "(SELECT count(*) FROM pool)", 300, 123, False).lstrip() + """
 SELECT query_id, draw_rank AS rank, cand_id FROM drawn
 WHERE draw_rank <= least(300, (SELECT count(*) FROM pool))""")
 def q_random_rankings(spark, sf):
@@ -200,7 +200,7 @@ def q_random_rankings(spark, sf):
 
 NEIGHBOURS_SQL = S.draws_sql(
     "(SELECT cand_id AS query_id FROM pool)", "query_id", "(SELECT count(*) FROM pool)",
-    64, 4, 123, True).lstrip()
+    4, 123, True).lstrip()
 
 
 @register("random_neighbours", POOL_CTE + NEIGHBOURS_SQL + """
@@ -466,17 +466,14 @@ WITH pool AS (SELECT vec_id AS cand_id, label % 4 AS cluster FROM embeddings),
 pp AS (SELECT cand_id, cluster,
               row_number() OVER (PARTITION BY cluster ORDER BY cand_id) - 1 AS pos FROM pool),
 sz AS (SELECT cluster, count(*) AS n FROM pool GROUP BY cluster),
+shape AS ({S.sql_grid("SELECT DISTINCT n FROM sz")}),
 rws AS (SELECT item_id AS query_id, c.cluster FROM benchmark,
         (SELECT unnest(range(0, 4)) AS cluster) c),
-draws AS (SELECT r.query_id, r.cluster, t.j,
-                 {S.seeded(123, 'r.query_id', 'r.cluster', 't.j')} % sz.n AS pos
-          FROM rws r JOIN sz ON sz.cluster = r.cluster, range(0, 400) t(j)),
-hits AS (SELECT d.query_id, d.cluster, pp.cand_id, min(d.j) AS j
-         FROM draws d JOIN pp ON pp.cluster = d.cluster AND pp.pos = d.pos
-         GROUP BY d.query_id, d.cluster, pp.cand_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, cluster ORDER BY j) AS rn FROM hits)
-SELECT query_id, CAST((rn - 1) * 4 + cluster + 1 AS INTEGER) AS rank, cand_id
-FROM r WHERE rn <= 30""")
+draws AS (SELECT r.query_id, r.cluster, t.i,
+                 {S.sql_permuted('t.i', 'shape.n', 'shape.a', 'shape.b', 123, 'r.query_id', 'r.cluster')} AS pos
+          FROM rws r JOIN sz ON sz.cluster = r.cluster JOIN shape ON shape.n = sz.n, range(0, 30) t(i))
+SELECT d.query_id, CAST(d.i * 4 + d.cluster + 1 AS INTEGER) AS rank, pp.cand_id
+FROM draws d JOIN pp ON pp.cluster = d.cluster AND pp.pos = d.pos""")
 def cluster_interleave(spark, sf):
     v = tables.vectors(spark, sf)
     assigned = v.select(F.col("vec_id").alias("cand_id"),
@@ -649,7 +646,7 @@ def prompt_pair(spark, sf):
 # ---------------------------------------------------------------- retrieval job (C3), M6
 
 @register("retrieve_random", POOL_CTE + S.draws_sql(
-    "q", "query_id", "(SELECT count(*) FROM pool)", 4000, 20, 123, False).lstrip() + """
+    "q", "query_id", "(SELECT count(*) FROM pool)", 20, 123, False).lstrip() + """
 SELECT query_id, draw_rank AS rank, cand_id FROM drawn WHERE draw_rank <= 20""")
 def retrieve_random(spark, sf):
     return jobs.retrieve("random_each", tables.pool(spark, sf), tables.queries(spark, sf), k=20)

@@ -8,6 +8,7 @@ BM25 score matrix), so it checks the Spark plans' shortcuts.
 from __future__ import annotations
 
 from shotsmith.functions.hashing import sql_seeded_hash
+from shotsmith.functions.permutation import sql_grid, sql_permuted
 from shotsmith.functions.templates import FEEDBACK, task_config
 from shotsmith.sources.tables import DATASET, SQL_POOL, SQL_QUERIES
 
@@ -146,19 +147,15 @@ def vote_sql(prompt: str, labels) -> str:
     return "[" + ", ".join(parts) + "]"
 
 
-def draws_sql(rows_cte: str, key: str, n_expr: str, d: int, m: int, seed: int,
-              exclude_self: bool) -> str:
-    """First m distinct md5 draws per row over pool positions (CTE bodies)."""
+def draws_sql(rows_cte: str, key: str, n_expr: str, m: int, seed: int, exclude_self: bool) -> str:
+    """The first m places of each row's seeded permutation of the pool positions,
+    one more where the row itself is left out (CTE bodies)."""
     self_cond = f"WHERE pp.cand_id <> d.{key}" if exclude_self else ""
     return f"""
 pp AS (SELECT cand_id, row_number() OVER (ORDER BY cand_id) - 1 AS pos FROM pool),
-nn AS (SELECT {n_expr} AS n),
-draws AS (SELECT r.{key}, t.j,
-                 {seeded(seed, 'r.' + key, 't.j')} % nn.n AS pos
-          FROM {rows_cte} r, range(0, {d}) t(j), nn),
-hits AS (SELECT d.{key}, pp.cand_id, min(d.j) AS j
-         FROM draws d JOIN pp ON pp.pos = d.pos {self_cond}
-         GROUP BY d.{key}, pp.cand_id),
-drawn AS (SELECT {key}, cand_id,
-                 CAST(row_number() OVER (PARTITION BY {key} ORDER BY j) AS INTEGER) AS draw_rank
-          FROM hits)"""
+nn AS ({sql_grid(f"SELECT {n_expr} AS n")}),
+draws AS (SELECT r.{key}, t.i, {sql_permuted('t.i', 'nn.n', 'nn.a', 'nn.b', seed, 'r.' + key)} AS pos
+          FROM {rows_cte} r, range(0, {m + exclude_self}) t(i), nn WHERE t.i < nn.n),
+drawn AS (SELECT d.{key}, pp.cand_id,
+                 CAST(row_number() OVER (PARTITION BY d.{key} ORDER BY d.i) AS INTEGER) AS draw_rank
+          FROM draws d JOIN pp ON pp.pos = d.pos {self_cond})"""

@@ -180,23 +180,26 @@ class BM25Index:
         """The weight of a posting as an exact scaled integer (units of 1e-10)."""
         return (term_weight(F.col("idf"), tf, dl, self.stats.avg_len) * F.lit(SCALE)).cast("bigint")
 
-    def _matches(self, terms: DataFrame, fits: bool, only: DataFrame | None = None) -> DataFrame:
+    def _matches(self, terms: DataFrame, fits: bool, only: DataFrame | None = None,
+                 among: DataFrame | None = None) -> DataFrame:
         """(query_id, cls, cand_id, block, units): summed weights of the postings
         that match ``terms`` (query_id, token, qtf, idf[, tcls]: in that class
-        only); of the (query_id, cand_id, block) rows of ``only`` alone if given."""
-        blocks = self.blocks
+        only); of the (query_id, cand_id, block) rows of ``only`` or of the
+        candidates ``among`` (cand_id) alone if given."""
+        blocks, ids = self.blocks, among
         if only is not None:
+            ids = only.select("cand_id").distinct()
             blocks = blocks.join(self._small(only.select("block").distinct(), 16), "block", "left_semi")
         if fits:
             rows = self._weighted(blocks.join(F.broadcast(terms.select("token", "idf").distinct()), "token"),
-                                  ["token", "cls", "block"], only)
+                                  ["token", "cls", "block"], ids)
             n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             # numbered: adaptive execution must not merge the pair-making stage
             rows = rows.repartition(n, "block").join(F.broadcast(terms.drop("idf")), "token")
         else:
             joined = _join_salted(blocks, terms, self.vocab)
             rows = self._weighted(joined, [c for c in joined.columns if c in (
-                "token", "cls", "block", "query_id", "qtf", "tcls")], only)
+                "token", "cls", "block", "query_id", "qtf", "tcls")], ids)
         if "tcls" in rows.columns:
             rows = rows.where("cls <=> tcls")
         if only is not None:
@@ -204,11 +207,11 @@ class BM25Index:
         return (rows.groupBy("block", "query_id", "cls", "cand_id")
                 .agg(F.sum(F.col("qtf") * F.col("w")).alias("units")))
 
-    def _weighted(self, rows: DataFrame, keep: list[str], only: DataFrame | None) -> DataFrame:
+    def _weighted(self, rows: DataFrame, keep: list[str], ids: DataFrame | None) -> DataFrame:
         rows = rows.select(*keep, "idf", F.explode("rows").alias("p"))
-        if only is not None:
-            ids = self._small(only.select("cand_id").distinct(), 16)
-            rows = rows.withColumn("cand_id", F.col("p.cand_id")).join(ids, "cand_id", "left_semi")
+        if ids is not None:
+            rows = rows.withColumn("cand_id", F.col("p.cand_id")).join(
+                self._small(ids, 16), "cand_id", "left_semi")
         return rows.select(*keep, "p.cand_id", self._units(F.col("p.tf"), F.col("p.dl")).alias("w"))
 
     @staticmethod
@@ -227,7 +230,8 @@ class BM25Index:
         return terms.join(most, "token").join(self.vocab.select("token", "df"), "token").select(
             "query_id", "tcls", "token", "qtf", "idf", "df", (F.col("qtf") * F.col("most")).alias("ceiling"))
 
-    def pruned_scores(self, terms: DataFrame, fits: bool, k: int) -> tuple[DataFrame, DataFrame]:
+    def pruned_scores(self, terms: DataFrame, fits: bool, k: int,
+                      among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(query_id, cls, cand_id, units) of all candidates that can be among the
         best ``k`` of their class, and the tokens with their part in it."""
         group = ["query_id", "tcls"]
@@ -237,7 +241,7 @@ class BM25Index:
             F.col("_before") < SEED_POSTINGS * k)
         asked = ["query_id", "tcls", "token", "qtf", "idf"]
         w = Window.partitionBy("query_id", "cls").orderBy(F.desc("units"), "cand_id")
-        heads = self._written(self._matches(first.select(*asked), fits).withColumn("_r", F.row_number().over(w))
+        heads = self._written(self._matches(first.select(*asked), fits, None, among).withColumn("_r", F.row_number().over(w))
                               .where(F.col("_r") <= SEEDS * k).select("query_id", "cand_id", "block"), "heads")
         floor = (self._matches(plan.select(*asked), fits, heads).withColumn("_r", F.row_number().over(w))
                  .where(F.col("_r") == k)
@@ -249,7 +253,7 @@ class BM25Index:
         rest = split.groupBy(F.col("query_id").alias("rq"), F.col("tcls").alias("rcls")).agg(
             F.sum(F.when(F.col("weak"), F.col("ceiling")).otherwise(0)).alias("rest"),
             F.coalesce(F.max("floor"), F.lit(0)).alias("floor"))
-        strong = self._matches(split.where(~F.col("weak")).select(*asked), fits)
+        strong = self._matches(split.where(~F.col("weak")).select(*asked), fits, None, among)
         left = self._written(strong.join(rest, F.expr("query_id = rq AND cls <=> rcls"))
                              .where(F.col("units") + F.col("rest") >= F.col("floor"))
                              .select("query_id", "cls", "cand_id", "block", "units"), "candidates")
@@ -266,20 +270,24 @@ class BM25Index:
         """(query_id, token, qtf, idf) of the query tokens the pool holds."""
         return _query_terms(queries).join(self.idf.select("token", "idf"), "token")
 
-    def scores(self, queries: DataFrame, k: int | None = None, prune: bool = False) -> DataFrame:
-        """(query_id, cls, cand_id, score) for pairs that can reach the top k."""
+    def scores(self, queries: DataFrame, k: int | None = None, prune: bool = False,
+               among: DataFrame | None = None) -> DataFrame:
+        """(query_id, cls, cand_id, score) for pairs that can reach the top k.  With
+        ``among`` (P2) only its ids are candidates, and no other pair is made; the
+        statistics stay those of the whole pool."""
         size = F.octet_length("token") + F.lit(32)
         fits = _fits(_query_terms(queries), size)
         terms = self.terms(queries)
         whole = k is None or self.stats.floor_idf < 0
         cols = ["query_id", "cls", "cand_id", "units"]
         if prune and not whole:
-            found = self.pruned_scores(terms, fits, k)[0]
+            found = self.pruned_scores(terms, fits, k, among)[0]
         else:
-            found = self._matches(terms, fits).select(*cols)
+            found = self._matches(terms, fits, None, among).select(*cols)
         # Full ranking, or negative weights (unmatched ids can then outrank
         # matched ones anywhere): every id carries the marker.
-        marked = self.docs.select("cand_id", "cls") if whole else _first_ids(self.docs, k)
+        docs = self.docs if among is None else self.docs.join(self._small(among, 16), "cand_id", "left_semi")
+        marked = docs.select("cand_id", "cls") if whole else _first_ids(docs, k)
         asked = queries.select("query_id", F.lit(MARKER).alias("token"))
         if _fits(asked, F.lit(32)):
             asked = F.broadcast(asked)
@@ -288,10 +296,11 @@ class BM25Index:
         return (found.unionByName(zero).groupBy("query_id", "cls", "cand_id")
                 .agg((F.sum("units").cast("double") / F.lit(float(SCALE))).alias("score")))
 
-    def rank(self, queries: DataFrame, k: int | None = None, prune: bool = False) -> DataFrame:
+    def rank(self, queries: DataFrame, k: int | None = None, prune: bool = False,
+             among: DataFrame | None = None) -> DataFrame:
         """(query_id, [by], rank, cand_id, score)."""
         order = [F.col("score").desc(), F.col("cand_id").desc()]
-        ranked = rank_within(self.scores(queries, k, prune), ["query_id", "cls"], order, k,
+        ranked = rank_within(self.scores(queries, k, prune, among), ["query_id", "cls"], order, k,
                              max_group_rows=self.stats.n_docs)
         out = ["query_id"] + ([F.col("cls").alias(self.by)] if self.by else []) + \
             [F.col("rank").cast("int").alias("rank"), "cand_id", "score"]

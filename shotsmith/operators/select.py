@@ -72,9 +72,19 @@ def select_quota(ranking: DataFrame, n: int = 4, wrong: int = 2,
                          "is_correct")
 
 
-def limit_pool(pool: DataFrame, n: int) -> DataFrame:
+def limit_pool(pool: DataFrame, n: int, positional: bool = False) -> DataFrame:
     """The first n pool rows in position (cand_id) order; the pool must
-    hold at least n rows.  Each partition keeps its first n ids (top-n)."""
+    hold at least n rows.
+
+    ``positional``: ids are positions 0..N-1 of a file.  The first n must then be
+    exactly 0..n-1; a gap or a repeated id raises, and nothing is sorted.
+    Otherwise each partition keeps its first n ids (top-n)."""
+    if positional:
+        head = pool.where(F.col("cand_id").between(0, n - 1))
+        rows, ids = head.agg(F.count(F.lit(1)), F.count_distinct("cand_id")).first()
+        if rows != n or ids != n:
+            raise ValueError(f"positions 0..{n - 1}: {rows} rows with {ids} ids")
+        return head
     head = pool.select("cand_id").orderBy("cand_id").limit(n)
     if head.count() != n:
         raise ValueError(f"pool holds fewer than {n} rows")

@@ -228,10 +228,12 @@ SELECT query_id,
        cand_id
 FROM bm25 WHERE cand_id IN (SELECT cand_id FROM prefix)"""))
 def ranking_restricted(spark, sf):
+    """Candidates are restricted before any pair is made; statistics are
+    those of the whole pool."""
     pool = tables.pool(spark, sf)
-    ranking = bm25_op.bm25_rank(pool, tables.queries(spark, sf), k=None)
-    return restrict_rankings(ranking.select("query_id", "rank", "cand_id"),
-                             limit_pool(pool, 300))
+    among = limit_pool(pool, 300).select("cand_id")
+    return bm25_op.BM25Index(pool).rank(tables.queries(spark, sf), among=among).select(
+        "query_id", "rank", "cand_id")
 
 
 # ---------------------------------------------------------------- labels
@@ -678,3 +680,88 @@ def reorder_vectors(spark, sf):
     whole = F.transform(reorder("embedding", order),
                         lambda x: F.floor(256 * x.cast("double")).cast("string"))
     return tables.vectors(spark, sf).select("vec_id", F.array_join(whole, ",").alias("reversed"))
+
+
+# ---------------------------------------------------------------- files
+
+def _folder(spark, name: str) -> str:
+    """A new folder of this session's intermediates."""
+    import uuid
+
+    from shotsmith.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("labelled_csv_pool", f"""
+WITH pool AS ({tables.SQL_POOL}),
+r AS (SELECT row_number() OVER (ORDER BY cand_id) - 1 AS cand_id, cand_id AS doc_id, sentence, label, prediction
+      FROM pool)
+SELECT cand_id, doc_id, sentence, label, prediction, label = prediction AS is_correct
+FROM r WHERE cand_id < 300""")
+def labelled_csv_pool(spark, sf):
+    """S1 + P1: the pool written as several CSV files in id order and read back;
+    positional ids follow the files, and the first 300 are 0..299."""
+    from shotsmith.functions.labels import is_correct
+    from shotsmith.sources.labelled import read_labelled
+    path = _folder(spark, "pool-csv")
+    pool = tables.pool(spark, sf).withColumnRenamed("cand_id", "doc_id")
+    (pool.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("header", True)
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    read = read_labelled(spark, path, multi_line=True)
+    return limit_pool(read, 300, positional=True).select(
+        "cand_id", F.col("doc_id").cast("bigint").alias("doc_id"), "sentence", "label", "prediction",
+        is_correct("label", "prediction").alias("is_correct"))
+
+
+def _top20(spark, sf):
+    return jobs.retrieve("bm25", tables.pool(spark, sf), tables.queries(spark, sf), k=20)
+
+
+@register("rankings_parquet_file", S.with_bm25(
+    "SELECT query_id, rank, cand_id, 'bm25' AS mode FROM bm25 WHERE rank <= 20"))
+def rankings_parquet_file(spark, sf):
+    """C3 bm25 -> S3 -> S4: two runs in one folder, one of them read back."""
+    from shotsmith.sources.rankings import read_rankings, write_rankings
+    path = _folder(spark, "rankings")
+    ranking = _top20(spark, sf).select("query_id", "rank", "cand_id")
+    write_rankings(ranking.where("rank <= 3").withColumn("mode", F.lit("other")), path, ["mode"])
+    write_rankings(ranking.withColumn("mode", F.lit("bm25")), path, ["mode"])
+    return read_rankings(spark, path, mode="bm25")
+
+
+@register("rankings_json_file", S.with_bm25(
+    "SELECT query_id, rank, cand_id FROM bm25 WHERE rank <= 20"))
+def rankings_json_file(spark, sf):
+    """C3 bm25 -> S3 -> S4 through JSON Lines files."""
+    from shotsmith.sources.rankings import read_rankings_json, write_rankings_json
+    path = _folder(spark, "rankings-json")
+    write_rankings_json(_top20(spark, sf).select("query_id", "rank", "cand_id"), path)
+    return read_rankings_json(spark, path)
+
+
+RESULT_FILE_SQL = f"""
+SELECT id, input_all_tokens, label, outputs, 'baseline' AS method, 'sst2' AS dataset
+FROM ({ORACLE["baseline_infer_vote"]})"""
+
+
+def _result_file(spark, sf, fmt: str):
+    from shotsmith.sources.results import write_results
+    path = _folder(spark, f"results-{fmt}")
+    results = baseline_infer_vote(spark, sf)
+    write_results(results, path, fmt, method="baseline", dataset="sst2")
+    read = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    read = read.csv(path) if fmt == "csv" else read.parquet(path)
+    return read.select("id", "input_all_tokens", "label", "outputs", "method", "dataset")
+
+
+@register("results_csv_file", RESULT_FILE_SQL)
+def results_csv_file(spark, sf):
+    """S5 as CSV: prompts with line breaks, quotes and end spaces come back whole."""
+    return _result_file(spark, sf, "csv")
+
+
+@register("results_parquet_file", RESULT_FILE_SQL)
+def results_parquet_file(spark, sf):
+    """S5 as parquet, partitioned by run keys."""
+    return _result_file(spark, sf, "parquet")

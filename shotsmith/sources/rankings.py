@@ -45,10 +45,12 @@ def _id(text: F.Column, what: str) -> F.Column:
         F.lit(f"bad {what} in a ranking: "), F.coalesce(text, F.lit("null")))).cast("bigint")).otherwise(number)
 
 
-def rankings_from_json(lines: DataFrame, col: str = "value") -> DataFrame:
+def rankings_from_json(lines: DataFrame, col: str = "value", spread: int = 0) -> DataFrame:
     """JSON text rows -> (query_id, rank, cand_id); a bad id raises."""
     parsed = lines.select(F.explode(F.from_json(F.col(col), RANKING_JSON_SCHEMA))
                           .alias("_q", "_ids"))
+    if spread:      # one value may hold all queries: deal them out before their ids are opened
+        parsed = parsed.repartition(spread, "_q")
     key = F.split("_q", "@")
     return parsed.select(
         _id(key[0], "query id").alias("query_id"),
@@ -67,9 +69,10 @@ def read_rankings_json(spark: SparkSession, path: str, whole_file: bool = False)
     """JSON Lines files or a single-object file -> ranking table.
 
     ``whole_file`` reads each file as one value (a pretty-printed object
-    spanning lines); one file is then one task.
+    spanning lines); one task parses a file, and its queries are dealt out after.
     """
-    return rankings_from_json(spark.read.text(path, wholetext=whole_file))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) if whole_file else 0
+    return rankings_from_json(spark.read.text(path, wholetext=whole_file), spread=tasks)
 
 
 def write_rankings(ranking: DataFrame, path: str, partition_cols: list[str] = (),

@@ -146,3 +146,26 @@ def test_write_back_refuses_repeated_results(spark):
     res = spark.createDataFrame([("1", "a", "a"), ("1", "a", "b")], "id string, label string, outputs string")
     with pytest.raises(ValueError):
         write_back(pool, res)
+
+
+def test_positional_pool_must_be_contiguous(spark):
+    from shotsmith.operators.select import limit_pool
+    frame = lambda ids: spark.createDataFrame([(i, "x") for i in ids], "cand_id bigint, label string")
+    assert limit_pool(frame([4, 2, 1, 0, 3]), 3, positional=True).count() == 3
+    for ids in ([0, 1, 3, 4], [0, 1, 1, 2], [0, 1], []):
+        with pytest.raises(ValueError):
+            limit_pool(frame(ids), 3, positional=True)
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_candidates_restricted_before_the_pairs(spark, k):
+    from shared import SF0001, rows
+    from shotsmith.operators.bm25 import BM25Index
+    from shotsmith.operators.select import restrict_rankings
+    from shotsmith.sources import tables
+    pool, q = tables.pool(spark, SF0001), tables.queries(spark, SF0001).limit(5)
+    index, among = BM25Index(pool), pool.where("cand_id % 4 = 1").select("cand_id")
+    want = restrict_rankings(index.rank(q).select("query_id", "rank", "cand_id"), among)
+    want = rows(want if k is None else want.where(f"rank <= {k}"), "query_id", "rank", "cand_id")
+    for prune in (False, True):
+        assert rows(index.rank(q, k, prune, among), "query_id", "rank", "cand_id") == want

@@ -59,4 +59,4 @@ def test_heavy_stages_keep_their_task_count(spark):
     assert "rangepartitioning(q_block" in plan and "REPARTITION_BY_NUM" in plan
     plan = _plan(bm25_rank(tables.pool(spark, SF0001), tables.queries(spark, SF0001), k=5))
     assert "hashpartitioning(block" in plan and "REPARTITION_BY_NUM" in plan
-    assert "sentence" not in plan          # no text in a query batch
+    assert "documents.parquet" not in plan      # a query batch reads no pool text

@@ -33,6 +33,7 @@ from shotsmith.llm.common import write_once
 from shotsmith.operators.positions import dense_positions
 
 FANOUT = 3
+CHUNK = 1 << 12         # places of a source in one join key
 INPUTS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<left:string,right:string>>"
 
@@ -151,8 +152,11 @@ def manifest(docs: DataFrame, altered_text: Column | None = None,
         F.when(other.eqNullSafe(text), F.lit(None)).otherwise(leaf(other)).alias("other")), "leaves")
     order = [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("other")]
     placed = write_once(dense_positions(leaves, order, ["grp"], ["doc_id", "leaf", "other"]), "placed")
-    sizes = placed.groupBy("grp").agg(F.count("*").alias("size"))
-    nodes = placed.join(sizes, "grp").select(
+    # sizes meet the rows by source and run of CHUNK places: no key holds more rows
+    run = F.floor(F.col("pos") / CHUNK)
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("size")).withColumn(
+        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / CHUNK))))
+    nodes = placed.withColumn("run", run).join(sizes, ["grp", "run"]).select(
         "grp", "pos", F.col("leaf").alias("node"), "size", F.struct("doc_id", "other").alias("row"))
     pivots, tops = build(nodes, "tree")
 

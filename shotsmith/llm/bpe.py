@@ -25,6 +25,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shotsmith.llm.common import by_chars
 
@@ -337,9 +338,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
             yield pd.DataFrame({"k": pdf["k"], "decoded": [
                 enc.decode([] if i is None else list(i)) for i in pdf["ids"]]})
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return (encoded.selectExpr(f"`{id_col}` AS k", "ids")
-            .mapInPandas(run, f"k {kind}, decoded binary").withColumnRenamed("k", id_col))
+    # ids travel as text: pandas turns a bigint column that holds a null into doubles
+    made = encoded.select(F.col(id_col).cast("string").alias("k"), "ids").mapInPandas(
+        run, "k string, decoded binary")
+    return made.select(F.col("k").cast(encoded.schema[id_col].dataType).alias(id_col), "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -360,5 +362,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n,
                                 "ids_sha256": a, "decoded_sha256": b})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
+        run, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return made.withColumn("doc_id", F.col("doc_id").cast("bigint"))

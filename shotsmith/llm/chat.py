@@ -122,7 +122,7 @@ def _walk(rows: DataFrame, names: list[str], schema: str, start, step, finish) -
         open_id, state, out = None, None, []
         for pdf in batches:
             for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
-                conv = None if pd.isna(conv) else int(conv)
+                conv = None if pd.isna(conv) else conv
                 if state is None or conv != open_id:
                     if state is not None:
                         out.extend(finish(open_id, state))
@@ -139,7 +139,10 @@ def _walk(rows: DataFrame, names: list[str], schema: str, start, step, finish) -
     n = spread(rows.sparkSession)
     dealt = (rows.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
              .repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))
-    return dealt.select("conv_id", "role", "text").mapInPandas(run, schema)
+    # ids travel as text: pandas turns a bigint column that holds a null into doubles
+    out = dealt.select(F.col("conv_id").cast("string"), "role", "text").mapInPandas(
+        run, schema.replace("conv_id bigint", "conv_id string"))
+    return out.withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 class _Machine:

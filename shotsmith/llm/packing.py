@@ -124,7 +124,7 @@ def _pieces(docs: DataFrame, path: str, size: int, keep: bool) -> DataFrame:
         for pdf in batches:
             rows = []
             texts = [t if t is not None else "" for t in pdf["text"]]
-            for key, ids in zip(pdf["doc_id"].tolist(), tok.encode(texts)):
+            for key, ids in zip(pdf["doc_id"], tok.encode(texts)):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at: at + 4 * size]
@@ -133,8 +133,10 @@ def _pieces(docs: DataFrame, path: str, size: int, keep: bool) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return docs.select("doc_id", "text").mapInPandas(run, schema + ", ids array<int>" * keep)
+    schema = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
+    # ids travel as text: pandas turns a bigint column that holds a null into doubles
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema + ", ids array<int>" * keep)
+    return made.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 class _Stock:
@@ -442,8 +444,13 @@ def pack(pieces: DataFrame, size: int = 2048, group: int = GROUP,
         return pdf[cols].assign(sequence_id=seq, offset=off)
 
     keyed = pieces.withColumn("_g", F.pmod(F.xxhash64(*key), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return keyed.groupBy("_g").applyInPandas(solve, schema + ", sequence_id bigint, offset bigint")
+    # 64-bit columns travel as text: pandas turns them into doubles beside a null
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    wide = [c for c, kind in kinds.items() if kind == "bigint" and c != "length"]
+    keyed = keyed.withColumns({c: F.col(c).cast("string") for c in wide})
+    schema = ", ".join(f"`{c}` {'string' if c in wide else kind}" for c, kind in kinds.items())
+    packed = keyed.groupBy("_g").applyInPandas(solve, schema + ", sequence_id bigint, offset bigint")
+    return packed.withColumns({c: F.col(c).cast("bigint") for c in wide})
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:

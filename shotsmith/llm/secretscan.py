@@ -37,6 +37,7 @@ PATTERNS = {
 KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 BANDS = (20, 32, 48, 64)                  # lower ends of the length bands
+END = 2 ** 31 - 1                         # beyond every position
 LEVELS = 256                              # eighths of a power of two: level l holds 2**(-l/8) and below
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -47,27 +48,37 @@ ALPHABETS = {
 }
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once: Spark repeats an
+    expression inside a lambda function wherever it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, best) -> Column:
+    """Running total of an integer array under ``best`` (associative), first to
+    last.  Every pass meets each place with the one twice as far before it as
+    the last pass did, so n places take log2(n) passes and no array grows."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    steps = F.transform(passes, lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, values, lambda done, step: F.transform(
+        done, lambda x, i: best(x, F.get(done, i - step))))
+
+
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     """ARRAY<STRUCT<start, stop, body>> of the matches of ``pattern``, leftmost
-    first.  ``split`` and ``regexp_extract_all`` walk the same matches, so the
-    start of match i is the length of all pieces up to it and matches before."""
+    first.  ``split`` and ``regexp_extract_all`` walk the same matches, so match
+    i ends where the running lengths of pieces and matches up to it do."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     body = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
-    step = F.transform(F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-        F.transform(match, F.length).alias("len"), body.alias("body")),
-        lambda x: F.struct(x["gap"].alias("gap"), F.coalesce(x["len"], F.lit(0)).alias("len"),
+    size = F.transform(match, F.length)
+    gap = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(match))
+    ends = _running(F.zip_with(gap, size, lambda g, n: g + n),
+                    lambda x, before: x + F.coalesce(before, F.lit(0)))
+    walked = F.transform(
+        F.arrays_zip(ends.alias("stop"), size.alias("len"), body.alias("body")),
+        lambda x: F.struct((x["stop"] - x["len"]).alias("start"), x["stop"].alias("stop"),
                            x["body"].alias("body")))
     none = F.expr("array()").cast("array<struct<start:int,stop:int,body:string>>")
-    walked = F.aggregate(
-        step, F.struct(F.lit(0).alias("at"), none.alias("got")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(x["body"].isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"),
-                (acc["at"] + x["gap"] + x["len"]).alias("stop"),
-                x["body"].alias("body"))))).alias("got")),
-        lambda acc: acc["got"])
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
@@ -93,33 +104,43 @@ def _chi_score(x: Column, df: Column) -> Column:
 
 def _battery(body: Column, alphabet: Column) -> Column:
     """Probability that ``body`` is a random draw from ``alphabet``."""
-    size = F.length(alphabet).cast("double")
-    code = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    code = F.filter(code, lambda c: c >= 0)
-    n = F.size(code).cast("double")
-    counts = F.transform(F.split(alphabet, ""), lambda c: (
-        F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi = _chi_score(squares * size / n - n, size - 1)
-    mean = (size - 1) / 2
-    low = F.aggregate(code, F.lit(0.0), lambda a, c: a + F.when(c < size / 2, 1.0).otherwise(0.0))
-    high = n - low
-    walk = F.aggregate(
-        code, F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("prod"),
-                       F.lit(0.0).alias("sq")),
-        lambda a, c: F.struct(
-            c.alias("last"),
-            (a["runs"] + F.when((a["last"] < 0) | ((a["last"] < size / 2) != (c < size / 2)), 1.0)
-             .otherwise(0.0)).alias("runs"),
-            (a["prod"] + F.when(a["last"] < 0, 0.0).otherwise((a["last"] - mean) * (c - mean))).alias("prod"),
-            (a["sq"] + (c - mean) * (c - mean)).alias("sq")))
-    expect = 1 + 2 * low * high / n
-    spread = F.greatest(F.sqrt(F.greatest(2 * low * high * (2 * low * high - n) / (n * n * (n - 1)),
-                                          F.lit(0.0))), F.lit(0.5))
-    runs = (walk["runs"] - expect) / spread
-    serial = walk["prod"] / F.greatest(walk["sq"], F.lit(1e-9)) * F.sqrt(n)
-    total = chi * chi + runs * runs + serial * serial
-    return F.when(n >= 8, 1 - _phi(_chi_score(total, F.lit(3.0)))).otherwise(F.lit(0.0))
+    def coded(x):
+        code = F.transform(F.split(x["body"], ""), lambda c: F.instr(x["alphabet"], c).cast("double") - 1)
+        counts = F.transform(F.split(x["alphabet"], ""), lambda c: (
+            F.length(x["body"]) - F.length(F.replace(x["body"], c, F.lit("")))).cast("double"))
+        return F.struct(F.length(x["alphabet"]).cast("double").alias("size"),
+                        F.filter(code, lambda c: c >= 0).alias("code"),
+                        F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"))
+
+    def tallied(x):
+        size, mean = x["size"], (x["size"] - 1) / 2
+        low = F.aggregate(x["code"], F.lit(0.0), lambda a, c: a + F.when(c < size / 2, 1.0).otherwise(0.0))
+        walk = F.aggregate(
+            x["code"], F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("prod"),
+                                F.lit(0.0).alias("sq")),
+            lambda a, c: F.struct(
+                c.alias("last"),
+                (a["runs"] + F.when((a["last"] < 0) | ((a["last"] < size / 2) != (c < size / 2)), 1.0)
+                 .otherwise(0.0)).alias("runs"),
+                (a["prod"] + F.when(a["last"] < 0, 0.0).otherwise((a["last"] - mean) * (c - mean))).alias("prod"),
+                (a["sq"] + (c - mean) * (c - mean)).alias("sq")))
+        return F.struct(size.alias("size"), x["squares"].alias("squares"), low.alias("low"), walk.alias("walk"),
+                        F.size(x["code"]).cast("double").alias("n"))
+
+    def combined(x):
+        size, n, low, walk = x["size"], x["n"], x["low"], x["walk"]
+        high = n - low
+        chi = _chi_score(x["squares"] * size / n - n, size - 1)
+        expect = 1 + 2 * low * high / n
+        spread = F.greatest(F.sqrt(F.greatest(2 * low * high * (2 * low * high - n) / (n * n * (n - 1)),
+                                              F.lit(0.0))), F.lit(0.5))
+        serial = walk["prod"] / F.greatest(walk["sq"], F.lit(1e-9)) * F.sqrt(n)
+        scores = F.struct(chi.alias("chi"), ((walk["runs"] - expect) / spread).alias("runs"), serial.alias("serial"))
+        total = _let(scores, lambda z: z["chi"] * z["chi"] + z["runs"] * z["runs"] + z["serial"] * z["serial"])
+        return F.when(n >= 8, 1 - _let(_chi_score(total, F.lit(3.0)), _phi)).otherwise(F.lit(0.0))
+
+    given = F.struct(body.alias("body"), alphabet.alias("alphabet"))
+    return _let(given, lambda x: _let(coded(x), lambda y: _let(tallied(y), combined)))
 
 
 def _runs(text: Column) -> Column:
@@ -191,11 +212,22 @@ def scan(docs: DataFrame, q: float = 0.05, keep: str = "doc_id") -> DataFrame:
     extra = F.transform(F.filter("_runs", lambda r: ~r["word"] & (r["level"] < limit(r["band"]))),
                         lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"),
                                            r["stop"].alias("stop")))
-    return (scored.withColumn("_base", base).withColumn("_extra", extra)
-            .withColumn("_extra", F.expr(
-                "filter(_extra, x -> NOT exists(_base, b -> b.start < x.stop AND x.start < b.stop))"))
-            .select(keep, F.array_sort("_base").alias("base"),
-                    F.array_sort(F.concat("_base", "_extra")).alias("spans")))
+    return scored.select(keep, F.sort_array(base).alias("base"),
+                         _apart(F.sort_array(F.concat(base, extra))).alias("spans"))
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted ``spans`` without the random ones that overlap a base span: one
+    that starts no later must have ended, the next must not have begun."""
+    def kept(all_):
+        stops = F.transform(all_, lambda s: F.when(s["kind"] < 3, s["stop"]).otherwise(0))
+        starts = F.transform(F.reverse(all_), lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(END))
+        return F.filter(
+            F.arrays_zip(all_.alias("span"), _running(stops, F.greatest).alias("early"),
+                         F.reverse(_running(starts, F.least)).alias("late")),
+            lambda x: (x["span"]["kind"] < 3)
+            | (x["early"] <= x["span"]["start"]) & (x["late"] >= x["span"]["stop"]))
+    return F.transform(_let(spans, kept), lambda x: x["span"])
 
 
 def span_text(spans: Column) -> Column:
@@ -220,13 +252,22 @@ def mask(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.05) -> DataFrame:
     its id."""
     found = scan(docs.select("text", F.struct(*docs.columns).alias("_row")), q, "_row")
     text = F.col("_row.text")
-    cut = F.aggregate(
-        F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(
-                a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
-            .otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    ends = _running(F.transform("spans", lambda s: s["stop"]), F.greatest)
+    # a span that starts inside earlier ones only lengthens them
+    cuts = F.filter(F.transform(
+        F.arrays_zip(F.col("spans").alias("span"), F.concat(F.array(F.lit(0)), ends).alias("at")),
+        lambda x: F.struct(x["at"].alias("at"), x["span"]["start"].alias("start"))),
+        lambda x: x["start"].isNull() | (x["start"] >= x["at"]))
+    cut = _let(F.encode(text, "UTF-32"), lambda code: F.array_join(
+        F.transform(cuts, lambda x: _piece(code, x["at"], x["start"])), mark))
     masked = F.when(F.size("spans") > 0, cut).otherwise(text).alias("text")
     return found.select(*[masked if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _piece(code: Column, start: Column, stop: Column) -> Column:
+    """Code points ``start`` to ``stop`` (null: the end) of a text in UTF-32,
+    four bytes each, so that a piece is reached without walking the text.  The
+    order mark in front keeps one that belongs to the text."""
+    stop = F.coalesce(stop, F.floor(F.octet_length(code) / 4).cast("int"))
+    piece = F.substring(code, start * 4 + 1, (stop - start) * 4)
+    return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), piece), "UTF-32")

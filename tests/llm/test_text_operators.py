@@ -292,6 +292,45 @@ def test_mask_cuts_each_row_by_its_own_spans(spark):
         ("d", 7, "clean words, and clean words again"), ("e", 7, "xx [SECRET]"), ("f", None, None)]
 
 
+def mixed_text(r, n):
+    """``n`` secrets of every kind, some overlapping, between words."""
+    pick = [lambda: "".join(r.choice("0123456789abcdef") for _ in range(32)), lambda: "AKIA" + "AB12" * 4,
+            lambda: "token=" + "".join(r.choice("abcXYZ019") for _ in range(9)), lambda: "\u7801\U0001f389",
+            lambda: "password: " + "".join(r.choice("0123456789abcdef") for _ in range(40)),
+            lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))]
+    return " ".join(r.choice(pick)() for _ in range(n))
+
+
+def cut(text, spans, mark="[SECRET]"):
+    out, at = [], 0
+    for start, _, stop in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+def test_spans_and_mask_of_many_matches(spark):
+    import random
+    import time
+    r = random.Random(8)
+    texts = [mixed_text(r, n) for n in (1, 2, 3, 5, 17, 64, 65, 1000)]
+    texts += ["\ufefftoken=abcdefgh1\ufeff token=abcdefgh1", "token=abcdefgh1" * 40]
+    texts.append(" ".join("%032x" % r.getrandbits(128) for _ in range(100_000)))      # 3.3 MB, one row
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    found = {x.doc_id: x for x in secretscan.scan(docs).collect()}
+    masked = {x.doc_id: x.text for x in secretscan.mask(docs).collect()}
+    assert time.time() - began < 120
+    for i, text in enumerate(texts):
+        base, spans = [tuple(s) for s in found[i].base], [tuple(s) for s in found[i].spans]
+        assert base == base_spans(text) and [s for s in spans if s[1] < 3] == base and spans == sorted(spans)
+        if len(base) < 2000:
+            assert not [(s, b) for s in spans if s[1] == 3 for b in base if b[0] < s[2] and s[0] < b[2]]
+        assert masked[i] == cut(text, spans)
+    assert any(s.kind == 3 for s in found[7].spans)
+
+
 # --- op9 -----------------------------------------------------------------
 
 def tiktoken_model():

@@ -28,12 +28,33 @@ SEED = 20_11
 CELLS = 200_000      # queries x rows counted at a time
 
 
+def unit(*vectors: np.ndarray) -> float:
+    """A power of two that brings every component to at most 1, so that no
+    projection overflows; scaling by it changes no digit."""
+    top = max(float(np.abs(v).max(initial=0.0)) for v in vectors)
+    return 2.0 ** -min(max(int(np.frexp(top)[1]), -1000), 1024)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; where squares leave the range of a double,
+    rows are scaled first (infinite only if the distance itself is too large)."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = a - b
+        out = np.sqrt((diff * diff).sum(axis=1))
+        odd = np.flatnonzero(~((out > 1e-140) & (out < 1e140)))
+        half = a[odd] / 2 - b[odd] / 2
+        big = np.abs(half).max(axis=1, initial=0.0)
+        part = half / np.where(big > 0, big, 1.0)[:, None]
+        out[odd] = 2 * (big * np.sqrt((part * part).sum(axis=1)))
+    return out
+
+
 class Index:
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, scale: float = 1.0):
         rng = np.random.default_rng(SEED)
-        self.points = points
+        self.points, self.scale = points, scale
         self.lines = rng.standard_normal((points.shape[1], PROJECTIONS))
-        at = points @ self.lines
+        at = (points * scale) @ self.lines
         self.order = np.argsort(at, axis=0, kind="stable").T.copy()     # line x place -> row
         self.value = np.take_along_axis(at.T, self.order, axis=1)
         self.start = max(float(at.std(axis=0).mean()) * 0.5, 1e-12)
@@ -43,7 +64,7 @@ class Index:
         ``skip`` (-1: none) takes no part.  All queries widen their windows
         together; a finished query keeps its windows."""
         n, m = len(self.points), len(queries)
-        centre = queries @ self.lines
+        centre = (queries * self.scale) @ self.lines
         count = np.zeros(m * n, np.int16)
         seen = np.zeros((m, n), bool)
         own = np.flatnonzero(skip >= 0)
@@ -73,13 +94,12 @@ class Index:
             seen[q, r] = True
             d = np.empty(len(q))
             for i in range(0, len(q), 100_000):
-                diff = self.points[r[i:i + 100_000]] - queries[q[i:i + 100_000]]
-                d[i:i + 100_000] = np.sqrt((diff * diff).sum(axis=1))
+                d[i:i + 100_000] = distances(self.points[r[i:i + 100_000]], queries[q[i:i + 100_000]])
             who.append(q)
             rows.append(r)
             dist.append(d)
             every_q, every_d = np.concatenate(who), np.concatenate(dist)
-            near = np.bincount(every_q[every_d <= radius], minlength=m)
+            near = np.bincount(every_q[every_d * self.scale <= radius], minlength=m)
             open_ &= (near < k) & ~seen.all(axis=1)
             radius *= GROWTH
         who, rows, dist = np.concatenate(who), np.concatenate(rows), np.concatenate(dist)
@@ -92,7 +112,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): neighbours of the rows whose id is
     divisible by ``every``; score is the Euclidean distance."""
     def meet(qid, queries, pid, points):
-        index = Index(points)
+        index = Index(points, unit(points, queries))
         at = np.minimum(np.searchsorted(pid, qid), len(pid) - 1)
         skip = np.where(pid[at] == qid, at, -1)
         step = max(1, CELLS // len(points))

@@ -12,7 +12,8 @@ bounds every product between them, and the pair is pruned when the bound is
 below the worst kth score of all queries in the query node.  Equal bounds are
 kept, so ties are decided exactly.
 
-Components are floor(256 x); products are integers and exact.
+Components are floor(256 x); products are integers and exact.  Vectors without
+components meet each other only, with product 0.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ class Search:
     def __init__(self, queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
         """``own``: for each query its row among ``points``, or -1."""
         self.q, self.p, self.ids, self.own, self.k = Tree(queries), Tree(points), ids, own, k
-        big = max(float(np.abs(queries).max()), 1.0) * max(float(np.abs(points).max()), 1.0) * queries.shape[1]
+        top = [max(float(np.abs(v).max(initial=0)), 1.0) for v in (queries, points)]
+        big = top[0] * top[1] * queries.shape[1]
         kind = np.float64 if big < 2 ** 53 else np.int64 if big < 2 ** 62 else object
         self.qv = queries[self.q.order].astype(kind)
         self.pv = points[self.p.order].astype(kind)

@@ -62,6 +62,28 @@ def test_top_products_are_exact(spark, vectors):
     assert covertree.top_products(vectors.limit(0)).count() == 0
 
 
+def test_empty_vectors(spark):
+    """Only null or non-finite ones stay out: without components products are 0."""
+    rows = [(i, [], "e") for i in (0, 3, 50, 51, 60, 70, 71)] + [(100, [1.0], "e"), (101, [2.0], "e")]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string")
+    got = sorted(map(tuple, covertree.top_products(docs, 50, 5).collect()))
+    assert got == ([(0, k + 1, i, 0) for k, i in enumerate((3, 50, 51, 60, 70))]
+                   + [(50, k + 1, i, 0) for k, i in enumerate((0, 3, 51, 60, 70))] + [(100, 1, 101, 256 * 512)])
+    assert [tuple(r) for r in ann.nearest(docs, 100, 5).collect()] == [(100, 1, 101, 1.0)]
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e308, 1e308]), (1, [-1e308, 0.0]), (2, [9e307, 1e308]), (3, [1e-200, 0.0]), (100, [3e-200, 0.0]),
+            (4, [1.0, 2.0]), (200, [1.0, 2.5])]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(docs, 100, 3).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got[0][0] == (2, pytest.approx(1e307)) and len(got[0]) == 3
+    assert got[100][0] == (3, pytest.approx(2e-200)) and got[200][0] == (4, 0.5)
+    assert np.array_equal(ann.distances(np.array([[3.0, 4.0]]), np.array([[0.0, 0.0]])), [5.0])
+
+
 def test_dual_tree_prunes_clusters():
     r = np.random.default_rng(0)
     centres = r.standard_normal((20, 8)) * 400

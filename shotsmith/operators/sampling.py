@@ -21,6 +21,8 @@ from shotsmith.functions.permutation import grid, permuted
 from shotsmith.operators.positions import dense_positions, explode_range
 from shotsmith.session import BROADCAST_ROW_LIMIT
 
+LABEL_WINDOW = 1000     # labels numbered and broadcast in one task; more go by distributed positions
+
 
 def label_quota(df: DataFrame, pool_size: int, label_col: str = "label") -> int:
     """A3: pool_size // number of distinct labels (integer division)."""
@@ -50,11 +52,11 @@ def stratified_pool(df: DataFrame, pool_size: int = 300, seed: int = 75,
         raise ValueError(f"labels {[r[label_col] for r in short]} have fewer than {quota} rows")
     w = Window.partitionBy(label_col).orderBy(seeded_hash(seed, id_col), F.col(id_col))
     picked = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quota)
-    # a label's place among the labels is numbered by distributed positions, not on the driver
-    place = dense_positions(counts.select(F.col(label_col).alias("_label")), [F.col("_label")],
-                            keep=["_label"])
-    if n_labels <= BROADCAST_ROW_LIMIT:
-        place = F.broadcast(place)
+    names = counts.select(F.col(label_col).alias("_label"))
+    if n_labels <= LABEL_WINDOW:        # few labels: one window numbers them
+        place = F.broadcast(names.withColumn("pos", F.row_number().over(Window.orderBy("_label")).cast("bigint") - 1))
+    else:
+        place = dense_positions(names, [F.col("_label")], keep=["_label"])
     columns = picked.columns
     return (picked.join(place, picked[label_col] == place["_label"])
             .withColumn("pool_id", F.col("pos") * quota + F.col("_r") - 1)

@@ -436,6 +436,21 @@ def cosine_top5(spark, sf):
     return cosine_rank(v, v, k=5, exclude_self=True, q_id="vec_id", p_id="vec_id")
 
 
+@register("cosine_pruned_top5", ORACLE["cosine_top5"])
+def cosine_pruned_top5(spark, sf):
+    from shotsmith.operators.pruned import pruned_cosine_rank
+    v = tables.vectors(spark, sf)
+    return pruned_cosine_rank(v, v, k=5, exclude_self=True, q_id="vec_id", p_id="vec_id")[0]
+
+
+@register("cosine_lsh_recall", None)
+def cosine_lsh_recall(spark, sf):
+    from shotsmith.operators.lsh import cosine_lsh, recall
+    v = tables.vectors(spark, sf)
+    found = cosine_lsh(v, v, k=5, exclude_self=True, q_id="vec_id", p_id="vec_id")
+    return recall(found, cosine_top5(spark, sf))
+
+
 @register("l2_norms", "WITH" + VEC_SQL + """
 SELECT vec_id, round(sqrt(list_dot_product(e, e)), 9) AS norm FROM v""")
 def l2_norms(spark, sf):

@@ -5,7 +5,7 @@
    ``FREQUENT`` hashes, estimated on one document in ``SAMPLE``; only the order
    depends on it, never the result).  Two documents that link share a shingle
    among the first ``n - ceil(0.75 n) + 1`` of each.
-2. Documents with the same set become one class; its smallest id stands for it.
+2. Rows with the same set become one class, with its smallest id.
 3. Shingles held by at most ``SMALL`` classes pair them (sizes within 4:3), and
    a pair goes on only if it shares as many leading shingles as the overlap
    needs.  A shingle held by more classes ties them all to one tile instead.
@@ -20,8 +20,11 @@ cannot meet it, or that are connected already.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; fewer than five words
 make one shingle of the whole sequence; no words (or null text): empty set, no
-links.  Documents without an id are left out.  Rows repeating an id are one
-document: the union of their sets.
+links.  Rows repeating an id stay rows of their own sets, linked to each other
+by definition (a row without words is linked with nothing, whatever its id); the
+result has a row for each.  A row without an id links with nothing: its
+component and class are null.  Classes are numbered once, in a written table, so
+no step takes an id for the key of a set.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shotsmith.llm.common import by_chars, mix, windows, word_spans, write_once
+from shotsmith.llm.common import mix, windows, with_columns, word_spans, write_once
 from shotsmith.llm.components import components
 
 SHINGLE = 5
@@ -73,8 +76,10 @@ def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~hot], s[hot]))
 
 
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): ``key`` tells texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn(
+        "key", F.xxhash64("text"))
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -85,28 +90,28 @@ def frequent(docs: DataFrame) -> np.ndarray:
             if part:
                 yield pd.DataFrame({"h": np.concatenate(part).view(np.int64)})
 
-    rows = (_one_per_id(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    rows = (docs.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
             .select("text").mapInPandas(run, "h bigint").groupBy("h").count()
             .where(F.col("count") > max(2, SMALL // SAMPLE)).orderBy(F.desc("count"), "h").limit(FREQUENT))
     return np.sort(np.array([r["h"] for r in rows.collect()], np.int64).view(np.uint64))
 
 
-def sets(docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, lead): set size, set digest, packed leading shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)    # at most FREQUENT hashes
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def run(batches):
-        for pdf in batches:
-            ids = pdf["doc_id"].tolist()
-            for a, b in by_chars([t or "" for t in pdf["text"]], 8_000_000):
-                rows = []
-                for key, text in zip(ids[a:b], pdf["text"].iloc[a:b]):
-                    s = shingles(text)
-                    rows.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                                 _ordered(s, sent.value)[: lead(len(s)) if len(s) else 0].tobytes()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "sig", "lead"])
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, sig binary, lead binary")
+def sets(rows: DataFrame, order: np.ndarray) -> DataFrame:
+    """(doc_id, key, n, sig, lead): set size, set digest, packed leading shingles."""
+    sent = rows.sparkSession.sparkContext.broadcast(order)    # at most FREQUENT hashes
+
+    def run(texts):
+        made = []
+        for text in texts:
+            s = shingles(text)
+            made.append((len(s), digest(s), _ordered(s, sent.value)[: lead(len(s)) if len(s) else 0].tobytes()))
+        return tuple(zip(*made)) if made else ((), (), ())
+
+    return with_columns(rows, ["text"], run, {"n": "bigint", "sig": "binary", "lead": "binary"}, drop=("text",))
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -210,37 +215,59 @@ def tiles(members: DataFrame) -> DataFrame:
     return small.unionByName(first).unionByName(second)
 
 
+def same_id(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) between the classes of rows that repeat an id."""
+    held = every.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "sig")
+    low = held.groupBy("doc_id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high")
+    ties = held.join(low.select("doc_id", "low"), "doc_id").where("sig <> low").select("sig", "low").distinct()
+    return (ties.join(classes.select("sig", F.col("rep").alias("u")), "sig")
+            .join(classes.select(F.col("sig").alias("low"), F.col("rep").alias("v")), "low").select("u", "v"))
+
+
 def link_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every document."""
-    docs = _one_per_id(docs)
+    """(doc_id, n_shingles, component_id, class_id) of every row."""
+    docs = _rows(docs)
     every = write_once(sets(docs, frequent(docs)), "sets")
-    rep = every.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size"))
-    classes = every.join(rep.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id",
-                         "left_semi").select(F.col("doc_id").alias("rep"), "n", "lead").where("n > 0")
-    found = components(candidate_edges(classes))
-    members = write_once(found.withColumnRenamed("id", "rep").join(
-        every.select(F.col("doc_id").alias("rep"), "n"), "rep"), "members")
+    # equal sets have equal leading shingles, so any member's serve the class
+    classes = write_once(
+        every.where("doc_id IS NOT NULL AND n > 0").groupBy("sig")
+        .agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("n").alias("n"), F.min("lead").alias("lead"))
+        .select("sig", "first.doc_id", "first.key", "n", "lead", F.monotonically_increasing_id().alias("rep")),
+        "classes")
+    found = components(candidate_edges(classes.select("rep", "n", "lead")))
+    members = write_once(found.withColumnRenamed("id", "rep").join(classes.select("rep", "n"), "rep"), "members")
     routed = write_once(tiles(members), "tiles")
 
     def solve(pdf):
-        pdf = pdf.drop_duplicates("rep")
         arrays = [shingles(t) for t in pdf["text"]]
-        order = np.lexsort((pdf["rep"].to_numpy(), [len(a) for a in arrays]))
-        got = link_tile(pdf["rep"].to_numpy()[order].tolist(), [arrays[i] for i in order],
-                        pdf["left"].to_numpy(bool)[order], pdf["right"].to_numpy(bool)[order])
+        reps = pdf["rep"].tolist()
+        # one row a class: rows may repeat, and another text of the id may have the key
+        own = {r: i for i, r in enumerate(reps) if digest(arrays[i]) == pdf["sig"].iat[i]}
+        at = np.array(sorted(own.values(), key=lambda i: (len(arrays[i]), reps[i])), np.int64)
+        got = link_tile([reps[i] for i in at], [arrays[i] for i in at],
+                        pdf["left"].to_numpy(bool)[at], pdf["right"].to_numpy(bool)[at])
         return pd.DataFrame(got, columns=["u", "v"], dtype="int64")
 
-    wanted = routed.groupBy("rep").agg(F.collect_list(F.struct("tile", "left", "right")).alias("t"))
-    texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["rep"]).select(
-        "rep", "text", F.explode("t").alias("t")).select("rep", "text", "t.tile", "t.left", "t.right")
-    links = write_once(texts.groupBy("tile").applyInPandas(solve, "u bigint, v bigint"), "links")
-    joined = components(links)
-    classed = rep.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "sig", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    wanted = (routed.groupBy("rep").agg(F.collect_list(F.struct("tile", "left", "right")).alias("t"))
+              .join(classes.select("rep", "doc_id", "key", "sig"), "rep"))
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "key"]).select("rep", "sig", "t", "text")
+    if every.count() > every.select("doc_id", "key").distinct().count():
+        # rows repeated whole: one of them is enough, chosen before anything is shuffled
+        texts = texts.groupBy("rep", "sig", "text").agg(F.first("t").alias("t"))
+    texts = texts.select("rep", "sig", "text", F.explode("t").alias("t")).select(
+        "rep", "sig", "text", "t.tile", "t.left", "t.right")
+    links = texts.groupBy("tile").applyInPandas(solve, "u bigint, v bigint")
+    joined = components(links.unionByName(same_id(every, classes)))
+    numbered = classes.select("sig", "rep", F.col("doc_id").alias("class_id")).join(
+        joined.withColumnRenamed("id", "rep"), "rep", "left")
+    least = numbered.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("least"))
+    classed = numbered.join(least, "component", "left").select(
+        "sig", "class_id", F.coalesce("least", "class_id").alias("component_id"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return every.join(classed, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -406,9 +406,11 @@ def brute_components(rows):
 def test_jaccard_join(corpus, no_rows, monkeypatch, small, block):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    rows = corpus.dropDuplicates(["doc_id", "text"])
+    rows = corpus
     expect = brute_components(rows.collect())
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(rows).collect()}
+    found = jaccard.link_components(rows).collect()
+    assert len(found) == rows.count()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None}
     assert got == expect and len({c for _, c in expect.values()}) < len(expect) - 5
     if small == 48:
         kept = jaccard.keep_one(rows)

@@ -3,8 +3,9 @@
 Alternating large-star and small-star steps: every step links neighbours to
 the smallest id they see.  Each round is written once to the shared folder, so
 a lost executor never replays earlier rounds, and the loop ends by itself when
-a round changes nothing.  Hot vertices are aggregated map-side and joined, never
-gathered.
+a round changes nothing.  The edges of a vertex are dealt to SALTS parts: each
+part is aggregated and joined on its own, and only one row a part meets by vertex,
+so a hot vertex is spread over the tasks.
 """
 
 from __future__ import annotations
@@ -15,14 +16,19 @@ from pyspark.sql import functions as F
 from shotsmith.llm.common import write_once
 
 
+SALTS = 32      # parts of one vertex's edges
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of every vertex to the smallest of its star."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    out = both.join(low, "u")
+    both = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    part = both.groupBy("u", "s").agg(F.min("v").alias("least"))
+    low = part.groupBy("u").agg(F.least(F.min("least"), F.col("u")).alias("low"))
+    out = both.join(part.select("u", "s").join(low, "u"), ["u", "s"])
     if large:
         out = out.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:

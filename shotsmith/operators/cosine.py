@@ -1,7 +1,7 @@
 """Cosine ranking of a vector pool for every query vector.
 
-Vectors are L2-normalised once per block in numpy (norm clamped so a zero
-vector scores 0), then every block pair is one numpy matmul (``blocks``).
+Vectors are L2-normalised once per cell in numpy (norm clamped so a zero
+vector scores 0), then every tile of a cell is one numpy matmul (``blocks``).
 Scores are rounded to 6 decimals before ranking; ties go to the smaller id.
 """
 
@@ -11,10 +11,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotsmith.operators.blocks import (BLOCK_ROWS, block_pairs, run_blocks, topk_rows,
-                                        unit_rows)
+from shotsmith.operators.blocks import (BLOCK_ROWS, TopRows, grid_shape, ids_of, matrix_of,
+                                        run_cells, tiles, to_cells, topk_rows, unit_rows)
 from shotsmith.operators.ranking import rank_within
 
+TILE = (256, 1024)      # query and pool rows of one product
+
+
+def cosine_cell(k: int | None, exclude_self: bool):
+    """The kernel of one cell."""
+    def kernel(queries, pool):
+        qi, pi = ids_of(queries), ids_of(pool)
+        with np.errstate(all="ignore"):
+            qm, pm = unit_rows(matrix_of(queries.column("v"))), unit_rows(matrix_of(pool.column("v")))
+            if k is None:
+                return topk_rows(qm @ pm.T, qi, pi, k, exclude_self)
+            best = TopRows(qi, pi, k, exclude_self)
+            for p_at in tiles(len(pi), TILE[1]):
+                part = pm[p_at].T
+                for q_at in tiles(len(qi), TILE[0]):
+                    best.offer(q_at, p_at, qm[q_at] @ part)
+        return best.frame()
+    return kernel
+
 
 def cosine_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
                 exclude_self: bool = False, q_id: str = "query_id", p_id: str = "cand_id",
@@ -23,20 +42,10 @@ def cosine_rank(queries: DataFrame, pool: DataFrame, k: int | None = 5,
     dbl = "array<double>"
     q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast(dbl).alias("v"))
     p = pool.select(F.col(p_id).alias("cand_id"), F.col(vec).cast(dbl).alias("v"))
-    # One pass over the pool: its row count and vector length.
-    probe = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    dim = max(int(probe["d"] or 0), 1)
-    pairs, n_pool = block_pairs(q, p, "query_id", "cand_id", "v", row_bytes=8 * dim + 16,
-                                block_rows=block_rows, n_pool=int(probe["n"]))
-
-    def kernel(row):
-        qm = unit_rows(np.asarray(list(row["q_vals"]), dtype=np.float64))
-        pm = unit_rows(np.asarray(list(row["p_vals"]), dtype=np.float64))
-        qi = np.asarray(row["q_ids"], dtype=np.int64)
-        pi = np.asarray(row["p_ids"], dtype=np.int64)
-        return topk_rows(qm @ pm.T, qi, pi, k, exclude_self)
-
-    scored = run_blocks(pairs, kernel)
+    n_q, n_pool = q.count(), p.count()
+    cores = max(1, queries.sparkSession.sparkContext.defaultParallelism)
+    cells = to_cells(q, p, "query_id", "cand_id", "v", *grid_shape(n_q, n_pool, cores, k, block_rows))
+    scored = run_cells(cells, cosine_cell(k, exclude_self))
     ranked = rank_within(scored, ["query_id"],
                          [F.col("score").desc(), F.col("cand_id").asc()], k,
                          max_group_rows=n_pool)

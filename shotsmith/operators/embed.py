@@ -57,9 +57,27 @@ class HashingTokenEncoder(HashingEncoder):
         return tokens
 
 
+ENCODE_CHARS = 1 << 17      # characters a token encoder gets at a time
+ENCODE_ROWS = 512           # texts an encoder gets at a time
+
+
+def text_slices(texts: list[str], rows: int = ENCODE_ROWS) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive texts: ``rows`` and ENCODE_CHARS at most, but a
+    text at least, so that vectors in memory do not grow with the Arrow batch."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at >= rows or size + len(t) > ENCODE_CHARS):
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 class PooledEncoder:
     """A sentence encoder from a token encoder: the masked mean (A5) is taken in
-    the batch that made the token vectors, so these never leave the task."""
+    the slice of texts that made the token vectors, so these never leave the task
+    and only a slice's are held."""
 
     def __init__(self, tokens):
         self.tokens = tokens
@@ -68,7 +86,8 @@ class PooledEncoder:
         encode = self.tokens.load()
 
         def pooled(texts: list[str]) -> list[np.ndarray]:
-            return [mask @ vecs / max(mask.sum(), MASK_CLAMP) for vecs, mask in encode(texts)]
+            return [mask @ vecs / max(mask.sum(), MASK_CLAMP) for at, end in text_slices(texts)
+                    for vecs, mask in encode(texts[at:end])]
         return pooled
 
 
@@ -78,9 +97,10 @@ def embed_tokens(df: DataFrame, encoder, id_col: str, text_col: str = "sentence"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder.load()
         for pdf in batches:
-            got = encode(pdf[text_col].fillna("nan").astype(str).tolist())
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                "toks": [vecs[mask > 0].tolist() for vecs, mask in got]})
+            texts = pdf[text_col].fillna("nan").astype(str).tolist()
+            for at, end in text_slices(texts):
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[at:end],
+                                    "toks": [vecs[mask > 0].tolist() for vecs, mask in encode(texts[at:end])]})
     ship_package(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.select(id_col, text_col).mapInPandas(
@@ -100,9 +120,10 @@ def embed(df: DataFrame, encoder, id_col: str, text_col: str = "sentence",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder.load()
         for pdf in batches:
-            vecs = encode(pdf[text_col].fillna("nan").astype(str).tolist())
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                out_col: [v.astype(np_type).tolist() for v in vecs]})
+            texts = pdf[text_col].fillna("nan").astype(str).tolist()
+            for at, end in text_slices(texts):
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[at:end],
+                                    out_col: [v.astype(np_type) for v in encode(texts[at:end])]})
     ship_package(df.sparkSession)
     np_type = np.float32 if dtype == "float" else np.float64
     out = df.select(F.col(id_col), F.col(text_col)).mapInPandas(

@@ -10,9 +10,13 @@ the triangle inequality no member of it is nearer to a query than
 2. Clusters whose bound is below the floor are dropped for the query before any
    vector is shipped; the query meets the rest.
 
-Clusters are cut to blocks of ``block_rows`` and so are the queries that meet
-one; every pair of blocks has a key of its own, so a hot cluster is spread over
-the tasks.  Zero and non-finite vectors have no angle: they form a cluster that
+The clusters are laid out on the columns of a grid (``blocks``), small ones side
+by side, a large one over several; queries are hashed to its rows.  A query row
+is shipped once to each column that holds a cluster it must meet (not once a
+cluster), a pool row once to each grid row, and inside a cell a query meets its
+clusters only.  Which clusters a query meets travels as a bit string.
+
+Zero and non-finite vectors have no angle: they form a cluster that
 is never dropped.  Rows without a vector take no part.  The rows equal those of
 ``cosine_rank``; how much is dropped depends on the data (nothing, where vectors
 have no clusters).
@@ -27,13 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotsmith.operators.blocks import BLOCK_ROWS, run_blocks, topk_rows, unit_rows
+from shotsmith.operators.blocks import (BLOCK_ROWS, TopRows, grid_shape, ids_of, matrix_of,
+                                        run_cells, tiles, unit_rows)
+from shotsmith.operators.cosine import TILE
 from shotsmith.operators.ranking import rank_within
 from shotsmith.session import checkpoint_dir, ship_package
 
 CENTRE_BYTES = 32 * 1024 * 1024     # the centres sent to every task
 ANGLE_SLACK = 1e-7                  # rounding of arccos near 1
 SCORE_SLACK = 2e-6                  # scores are rounded to 6 decimals
+MIX = np.uint64(0x9E3779B97F4A7C15)      # spreads ids over a cluster's slices
 STEP_CELLS = 4_000_000              # query x centre cells of one numpy step
 
 
@@ -89,8 +96,9 @@ def _place(pool: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def _choose(queries: DataFrame, centres: np.ndarray, radius: np.ndarray, held: np.ndarray,
             k: int, first: bool) -> DataFrame:
-    """``queries`` (query_id, v[, floor]) with the clusters to meet: those of best
-    bound (``first``), or all others the floor leaves."""
+    """(query_id, v, clusters, met): ``queries`` (query_id, v[, floor]) with the bits
+    of the clusters to meet, those of best bound (``first``) or all others the
+    floor leaves, and the rows these hold."""
     sent = queries.sparkSession.sparkContext.broadcast((centres, radius, held))
 
     def run(batches):
@@ -111,46 +119,92 @@ def _choose(queries: DataFrame, centres: np.ndarray, radius: np.ndarray, held: n
                 keep[:, -1] = ~seeds[:, -1]
             keep &= count > 0
             yield pd.DataFrame({"query_id": part["query_id"], "v": part["v"],
-                                "clusters": [np.flatnonzero(r).astype(np.int32) for r in keep]})
-
-    return queries.mapInPandas(run, "query_id bigint, v array<double>, clusters array<int>")
-
-
-def _meet(chosen: DataFrame, placed: DataFrame, k: int, exclude_self: bool,
-          block_rows: int) -> DataFrame:
-    """(query_id, cand_id, score): each query's best k of each block it meets."""
-    tasks = max(1, int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    visits = chosen.select("query_id", "v", F.explode("clusters").alias("cluster"))
-
-    def slices(rows: DataFrame, name: str) -> DataFrame:     # one row per cluster
-        return F.broadcast(rows.groupBy("cluster").agg(
-            F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)))
-
-    q_cut, p_cut = slices(visits, "q_cut"), slices(placed, "p_cut")
-
-    def blocks(rows: DataFrame, key: str, side: str, own: DataFrame, other: DataFrame,
-               cut: str, other_cut: str) -> DataFrame:
-        return (rows.join(own, "cluster")
-                .groupBy("cluster", F.pmod(F.xxhash64(key), F.col(cut)).cast("int").alias(side + "_slice"))
-                .agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias("r"))
-                .join(other, "cluster")
-                .select("cluster", side + "_slice", F.col("r.id").alias(side + "_ids"),
-                        F.col("r.v").alias(side + "_vals"),
-                        F.explode(F.sequence(F.lit(0), F.col(other_cut) - 1)).alias(
-                            ("p" if side == "q" else "q") + "_slice")))
-
-    keys = ["cluster", "q_slice", "p_slice"]
-    q = blocks(visits, "query_id", "q", q_cut, p_cut, "q_cut", "p_cut").repartition(tasks, *keys)
-    p = blocks(placed, "cand_id", "p", p_cut, q_cut, "p_cut", "q_cut").repartition(tasks, *keys)
-
-    def kernel(row):
+                                "clusters": [r.tobytes() for r in np.packbits(keep, axis=1)],
+                                "met": keep @ count})
+
+    return queries.mapInPandas(run, "query_id bigint, v array<double>, clusters binary, met bigint").where("met > 0")
+
+
+class _Layout:
+    """Which grid columns hold which clusters: column ``first[c] + i`` has slice i of
+    cluster c's ``slices[c]``."""
+
+    def __init__(self, held: np.ndarray, n_cols: int):
+        size = max(1, math.ceil(held.sum() / n_cols))
+        self.slices = np.maximum(1, np.ceil(held / size)).astype(np.int64)
+        # a large cluster has columns of its own, the others share them in turn
+        self.first, col, used = np.zeros(len(held), np.int64), 0, 0
+        for c, n in enumerate(held):
+            if used and used + n > size:
+                col, used = col + 1, 0
+            self.first[c] = col
+            if self.slices[c] > 1:
+                col, used = col + int(self.slices[c]), 0
+            else:
+                used += n
+        self.n_cols = col + 1 if used or not col else col
+
+    def of_clusters(self, keep: np.ndarray) -> list[np.ndarray]:
+        """The columns each row of cluster flags needs."""
+        need = np.zeros((len(keep), self.n_cols), bool)
+        for c in np.flatnonzero(keep.any(axis=0)):
+            need[:, self.first[c]: self.first[c] + self.slices[c]] |= keep[:, c, None]
+        return [np.flatnonzero(r).astype(np.int32) for r in need]
+
+
+def _flags(bits, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1, count=n).astype(bool)
+
+
+def _meet(chosen: DataFrame, n_chosen: int, placed: DataFrame, held: np.ndarray, k: int,
+          exclude_self: bool, block_rows: int) -> DataFrame:
+    """(query_id, cand_id, score): each query's best k of each cell it meets."""
+    spark = chosen.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    n_rows, n_cols = grid_shape(n_chosen, int(held.sum()), cores, k, block_rows)
+    layout = _Layout(held, n_cols)
+    sent = spark.sparkContext.broadcast(layout)     # a number or two a cluster
+    clusters = len(held)
+
+    def deal(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["query_id"], "v": pdf["v"], "clusters": pdf["clusters"],
+                                "cols": sent.value.of_clusters(_flags(pdf["clusters"], clusters))})
+
+    def place(batches):
+        for pdf in batches:
+            c = pdf["cluster"].to_numpy()
+            mixed = pdf["cand_id"].to_numpy().astype(np.uint64) * MIX >> np.uint64(33)
+            yield pd.DataFrame({"id": pdf["cand_id"], "v": pdf["v"], "cluster": pdf["cluster"],
+                                "p_block": (sent.value.first[c] + mixed.astype(np.int64) % sent.value.slices[c]).astype(np.int32)})
+
+    none = F.lit(None)
+    q = (chosen.mapInPandas(deal, "id bigint, v array<double>, clusters binary, cols array<int>")
+         .select(F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("q_block"),
+                 F.explode("cols").alias("p_block"), F.lit(False).alias("of_pool"), "id", "v", "clusters",
+                 none.cast("int").alias("cluster")))
+    p = (placed.mapInPandas(place, "id bigint, v array<double>, cluster int, p_block int")
+         .select(F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("q_block"), "p_block",
+                 F.lit(True).alias("of_pool"), "id", "v", none.cast("binary").alias("clusters"), "cluster"))
+    cells = q.unionByName(p).repartitionByRange(n_rows * layout.n_cols, "q_block", "p_block")
+
+    def kernel(queries, pool):
+        qi, pi = ids_of(queries), ids_of(pool)
+        flags = _flags(queries.column("clusters").to_pylist(), clusters)
+        cluster = pool.column("cluster").to_numpy()
+        best = TopRows(qi, pi, k, exclude_self)
         with np.errstate(all="ignore"):
-            qm = unit_rows(np.asarray(list(row["q_vals"]), dtype=np.float64))
-            pm = unit_rows(np.asarray(list(row["p_vals"]), dtype=np.float64))
-            return topk_rows(qm @ pm.T, np.asarray(row["q_ids"], dtype=np.int64),
-                             np.asarray(row["p_ids"], dtype=np.int64), k, exclude_self)
+            qm, pm = unit_rows(matrix_of(queries.column("v"))), unit_rows(matrix_of(pool.column("v")))
+            order = np.argsort(cluster, kind="stable")      # ids ascend inside a cluster
+            for members in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+                rows = np.flatnonzero(flags[:, cluster[members[0]]])
+                for p_at in tiles(len(members), TILE[1]):
+                    part = pm[members[p_at]].T
+                    for q_at in tiles(len(rows), TILE[0]):
+                        best.offer(rows[q_at], members[p_at], qm[rows[q_at]] @ part)
+        return best.frame()
 
-    return run_blocks(q.join(p, keys), kernel)
+    return run_cells(cells, kernel)
 
 
 def pruned_cosine_rank(queries: DataFrame, pool: DataFrame, k: int = 5,
@@ -180,18 +234,17 @@ def pruned_cosine_rank(queries: DataFrame, pool: DataFrame, k: int = 5,
     placed = placed.drop("angle")
 
     start = _choose(q, centres, radius, held, k, first=True).checkpoint(eager=True)
-    found = _meet(start, placed, k, exclude_self, block_rows).checkpoint(eager=True)
+    found = _meet(start, start.count(), placed, held, k, exclude_self, block_rows).checkpoint(eager=True)
     order = [F.col("score").desc(), F.col("cand_id").asc()]
-    floor = rank_within(found, ["query_id"], order, k).where(F.col("rank") == k).select(
+    found = rank_within(found, ["query_id"], order, k)
+    floor = found.where(F.col("rank") == k).select(
         F.col("query_id").alias("_q"), F.col("score").alias("_s"))
     floored = q.join(floor, q["query_id"] == F.col("_q"), "left").select(
         "query_id", "v", F.coalesce("_s", F.lit(float("-inf"))).alias("floor"))
-    rest = _choose(floored, centres, radius, held, k, first=False).where(
-        F.size("clusters") > 0).checkpoint(eager=True)
-    found = found.unionByName(_meet(rest, placed, k, exclude_self, block_rows))
+    rest = _choose(floored, centres, radius, held, k, first=False).checkpoint(eager=True)
+    found = found.drop("rank").unionByName(
+        _meet(rest, rest.count(), placed, held, k, exclude_self, block_rows))
     ranked = rank_within(found, ["query_id"], order, k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "cand_id", "score")
-
-    sizes = F.broadcast(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))    # one row per cluster
-    met = start.unionByName(rest).select("query_id", F.explode("clusters").alias("cluster")).join(sizes, "cluster")
-    return ranked, met.groupBy("query_id").agg(F.sum("n").cast("bigint").alias("met"))
+    met = start.select("query_id", "met").unionByName(rest.select("query_id", "met"))
+    return ranked, met.groupBy("query_id").agg(F.sum("met").cast("bigint").alias("met"))

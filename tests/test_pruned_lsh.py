@@ -80,3 +80,41 @@ def test_recall_of_a_worse_ranking(spark):
     exact = spark.createDataFrame([(1, 1, 5, 0.9), (1, 2, 6, 0.8)], "query_id bigint, rank int, cand_id bigint, score double")
     found = spark.createDataFrame([(1, 1, 5, 0.9), (1, 2, 7, 0.7)], exact.schema)
     assert recall(found, exact).first()["recall"] == pytest.approx(0.5)
+
+
+def test_cells_equal_one_block_over_several_rows_and_columns(spark, monkeypatch):
+    """Grids of several rows and columns, copies, ties and repeated ids."""
+    from shotsmith.operators import blocks
+    from shotsmith.operators.blocks import topk_rows, unit_rows
+    monkeypatch.setattr(blocks, "CELL_BLOCKS", 3)
+    rng = np.random.default_rng(6)
+    vecs = np.vstack([rng.integers(-1, 2, size=(170, 4)), np.ones((60, 4)), np.zeros((9, 4))]).astype(float)
+    ids = np.arange(len(vecs)) * 50
+    ids[5] = ids[6]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vecs)], "id bigint, embedding array<double>")
+    u = unit_rows(vecs)
+    want = topk_rows(u @ u.T, ids, ids, 4, True)
+    first = {q: sorted(zip(-g["score"], g["cand_id"])) for q, g in want.groupby("query_id")}
+    assert blocks.grid_shape(239, 239, 8, 4, 16) [1] == 5
+    for rank in (cosine_rank(df, df, block_rows=16, **ARGS), pruned_cosine_rank(df, df, block_rows=16, **ARGS)[0]):
+        got = {}
+        for r in rank.collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["cand_id"]))
+        assert {q: sorted(x) for q, x in got.items()} == {q: x[:4] for q, x in first.items()}
+
+
+def test_lsh_cells_score_the_pairs_of_the_bucket_join(spark):
+    vecs = list(clustered(200, 8, 6, seed=7)) + [np.ones(8)] * 30 + [np.zeros(8), None]
+    df = frame(spark, vecs)
+    for bucket, tables in ((0.3, 6), (0.02, 2)):
+        joined = rows(cosine_lsh(df, df, bucket=bucket, tables=tables, dense=False, **ARGS))
+        assert rows(cosine_lsh(df, df, bucket=bucket, tables=tables, dense=True, **ARGS)) == joined
+
+
+def test_wide_buckets_make_no_pair_rows(spark):
+    """A pair that shares many buckets is scored in a cell, not joined a table."""
+    from shotsmith.operators.lsh import _score_met
+    df = spark.createDataFrame([(i, [1.0, float(i)], [0.0] * 10, [i]) for i in range(300)],
+                               "n bigint, u array<double>, buckets array<double>, ids array<bigint>")
+    plan = _score_met(df.drop("ids"), df, 5, None)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(q_block" in plan and "Join" not in plan

@@ -54,59 +54,86 @@ class Index:
         rng = np.random.default_rng(SEED)
         self.points, self.scale = points, scale
         self.lines = rng.standard_normal((points.shape[1], PROJECTIONS))
-        at = (points * scale) @ self.lines
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()     # line x place -> row
-        self.value = np.take_along_axis(at.T, self.order, axis=1)
+        self.scaled = points * scale
+        self.square = (self.scaled * self.scaled).sum(axis=1)
+        at = self.scaled @ self.lines
+        order = np.argsort(at, axis=0, kind="stable").T
+        self.value = np.take_along_axis(at.T, order, axis=1)
+        # line x row -> place on the line, in the narrowest type that holds n
+        self.place = np.empty(order.shape, np.uint16 if len(points) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(points), dtype=self.place.dtype)[None], axis=1)
         self.start = max(float(at.std(axis=0).mean()) * 0.5, 1e-12)
 
+    def _collisions(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(query, row): on how many lines the row's place is in the query's window
+        of ``size`` places from ``lo`` on."""
+        kind = self.place.dtype
+        out = np.zeros((lo.shape[1], len(self.points)), np.uint8)
+        for place, first, length in zip(self.place, lo.astype(kind), size.astype(kind)):
+            out += place[None, :] - first[:, None] < length[:, None]     # places below wrap round
+        return out
+
     def query(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (rows, distances) of its k nearest found; its row
         ``skip`` (-1: none) takes no part.  All queries widen their windows
-        together; a finished query keeps its windows."""
-        n, m = len(self.points), len(queries)
-        centre = (queries * self.scale) @ self.lines
-        count = np.zeros(m * n, np.int16)
-        seen = np.zeros((m, n), bool)
+        together; a finished query keeps its windows.
+
+        Squared distances come from one matrix product, with a bound of their
+        rounding; where that leaves a comparison open, and for the rows that can
+        be among the k nearest, the true distance decides."""
+        m = len(queries)
+        near = queries * self.scale
+        centre = near @ self.lines
+        norm = (near * near).sum(axis=1)
+        both = norm[:, None] + self.square[None, :]
+        rough = both - 2 * (near @ self.scaled.T)
+        far = np.sqrt(2 * both)                             # no distance is larger
+        grain = np.finfo(float).smallest_subnormal * 8 * self.scale
+        slack = both * (16 * (queries.shape[1] + 8) * np.finfo(float).eps) + (2 * far + grain) * grain + 1e-280
+        slack[far >= 1e308 * self.scale] = np.inf           # the distance itself may overflow
+        seen = np.zeros((m, len(self.points)), bool)
         own = np.flatnonzero(skip >= 0)
         seen[own, skip[own]] = True
-        lo = np.zeros((PROJECTIONS, m), np.int64)
-        hi = lo
-        open_ = np.ones(m, bool)
+        rough[own, skip[own]], slack[own, skip[own]] = np.inf, 0
         least = int(np.ceil(SHARE * PROJECTIONS))
-        who, rows, dist = [], [], []
-        near = np.zeros(m, np.int64)
-        radius, first = self.start, True
-        while open_.any():
+        open_ = np.arange(m)
+        radius = self.start
+        while len(open_):
             half = WIDTH * radius / 2
-            new_lo = np.stack([np.searchsorted(v, c - half, "left") for v, c in zip(self.value, centre.T)])
-            new_hi = np.stack([np.searchsorted(v, c + half, "right") for v, c in zip(self.value, centre.T)])
-            if first:
-                lo, hi, first = new_lo, new_lo, False
-            for a, b in ((new_lo, lo), (hi, new_hi)):       # what the windows gained, left and right
-                size = np.where(open_, b - a, 0).ravel()
-                total = int(size.sum())
-                if total:
-                    line, q = np.divmod(np.repeat(np.arange(size.size), size), m)
-                    place = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a.ravel(), size)
-                    count += np.bincount(q * n + self.order[line, place], minlength=m * n).astype(np.int16)
-            lo, hi = new_lo, new_hi
-            q, r = np.nonzero((count.reshape(m, n) >= least) & ~seen & open_[:, None])
-            seen[q, r] = True
-            d = np.empty(len(q))
-            for i in range(0, len(q), 100_000):
-                d[i:i + 100_000] = distances(self.points[r[i:i + 100_000]], queries[q[i:i + 100_000]])
-            who.append(q)
-            rows.append(r)
-            dist.append(d)
-            every_q, every_d = np.concatenate(who), np.concatenate(dist)
-            near = np.bincount(every_q[every_d * self.scale <= radius], minlength=m)
-            open_ &= (near < k) & ~seen.all(axis=1)
+            c = centre[open_].T
+            lo = np.stack([np.searchsorted(v, x - half, "left") for v, x in zip(self.value, c)])
+            hi = np.stack([np.searchsorted(v, x + half, "right") for v, x in zip(self.value, c)])
+            got = seen[open_] | (self._collisions(lo, hi - lo) >= least)
+            seen[open_] = got
+            off = rough[open_] - radius * radius
+            edge = slack[open_]
+            close = (got & (off < -edge)).sum(axis=1)
+            q, r = np.nonzero(got & (np.abs(off) <= edge))
+            if len(q):
+                d = self._true(queries, open_[q], r)
+                close += np.bincount(q[d * self.scale <= radius], minlength=len(open_))
+            open_ = open_[(close < k) & ~got.all(axis=1)]
             radius *= GROWTH
-        who, rows, dist = np.concatenate(who), np.concatenate(rows), np.concatenate(dist)
+        # rows that can be among the k nearest of those seen
+        rough[~seen] = np.inf
+        slack[~seen] = 0
+        top = rough + slack
+        if len(self.points) > k:
+            limit = np.partition(top, k - 1, axis=1)[:, k - 1]
+        else:
+            limit = np.full(m, np.inf)
+        who, rows = np.nonzero((rough - slack <= limit[:, None]) & (rough < np.inf))
+        dist = self._true(queries, who, rows)
         best = np.lexsort((rows, dist, who))
         edge = np.searchsorted(who[best], np.arange(m + 1))
         return [(rows[best[a:b][:k]], dist[best[a:b][:k]]) for a, b in zip(edge[:-1], edge[1:])]
 
+    def _true(self, queries: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = np.empty(len(q))
+        for i in range(0, len(q), 100_000):
+            out[i:i + 100_000] = distances(self.points[rows[i:i + 100_000]], queries[q[i:i + 100_000]])
+        return out
+
 
 def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): neighbours of the rows whose id is

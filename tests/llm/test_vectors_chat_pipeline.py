@@ -84,6 +84,27 @@ def test_neighbours_of_very_large_and_small_vectors(spark):
     assert np.array_equal(ann.distances(np.array([[3.0, 4.0]]), np.array([[0.0, 0.0]])), [5.0])
 
 
+@pytest.mark.parametrize("size", [1.0, 1e-320, 1e300])
+def test_true_distances_only_near_the_best(monkeypatch, size):
+    """Vectors without clusters collide nearly everywhere; the true distance is taken of
+    the few pairs that a bound leaves open.  Scores are true distances, in order."""
+    r = np.random.default_rng(4)
+    points = r.standard_normal((1500, 16)) * size
+    done = []
+    true = ann.distances
+    monkeypatch.setattr(ann, "distances", lambda a, b: done.append(len(a)) or true(a, b))
+    got = ann.Index(points, ann.unit(points)).query(points[:100], 5, np.arange(100))
+    assert size < 1e-300 or sum(done) < 0.05 * 100 * len(points)
+    found = 0
+    for q, (rows, dist) in enumerate(got):
+        d = true(points, np.repeat(points[q:q + 1], 1500, axis=0))
+        assert np.array_equal(dist, d[rows]) and q not in rows
+        assert list(zip(dist, rows)) == sorted(zip(dist, rows)) and len(rows) == 5
+        d[q] = np.inf
+        found += (dist <= np.sort(d)[4]).sum()
+    assert found >= 0.9 * 500
+
+
 def test_dual_tree_prunes_clusters():
     r = np.random.default_rng(0)
     centres = r.standard_normal((20, 8)) * 400

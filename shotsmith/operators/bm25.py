@@ -17,7 +17,10 @@ the scan and never shuffled, neither for the index nor for a query batch.
    postings of the other tokens only; those that cannot reach the floor with
    all ceilings added go, and the few left are completed from the blocks that
    hold them.  Exact: every step drops only what lies strictly below the floor.
-4. Postings are weighted once each, dealt by block, and summed per (query, class, candidate) inside that partitioning.
+4. Postings are weighted once each, dealt by candidate (in parts of at most about
+   ``PART_DOCS``), and summed per (query, class, candidate) inside that partitioning;
+   candidates without a shared token come from the same postings, so pairs are
+   not shuffled to be summed.
 5. Top-k per (query, class) by ``row_number`` plans as WindowGroupLimit: each
    partition keeps k rows per group before the only shuffle by query.
 
@@ -58,6 +61,7 @@ EPSILON = 0.25
 WEIGHT_TYPE = "decimal(18,10)"
 SCALE = 10 ** 10      # a DECIMAL(18,10) weight as BIGINT units: exact, fast sums
 SALT_BUCKETS = 32
+PART_DOCS = 8192      # documents whose pairs are summed in one task
 SEEDS = 4             # times k candidates are scored in full for the floor
 SEED_POSTINGS = 16    # times k postings of a query's rarest tokens give those candidates
 
@@ -270,6 +274,33 @@ class BM25Index:
         """(query_id, token, qtf, idf) of the query tokens the pool holds."""
         return _query_terms(queries).join(self.idf.select("token", "idf"), "token")
 
+    def _pairs(self, terms: DataFrame, queries: DataFrame, k: int | None,
+               among: DataFrame | None) -> DataFrame:
+        """(query_id, cls, cand_id, units) of all candidates that share a token with a
+        query or carry the marker, summed once; ``terms`` and ``queries`` fit a broadcast."""
+        marker = queries.select("query_id", F.lit(MARKER).alias("token"), F.lit(1).cast("bigint").alias("qtf"),
+                                F.lit(0).cast(WEIGHT_TYPE).alias("idf"))
+        terms = self._written(terms.select("query_id", "token", "qtf", "idf"), "terms")
+        own = terms.select("token", "idf").distinct()
+        if k is None:
+            own = own.unionByName(own.sparkSession.range(1).select(
+                F.lit(MARKER).alias("token"), F.lit(0).cast(WEIGHT_TYPE).alias("idf")))
+        rows = self._weighted(self.blocks.join(F.broadcast(own), "token"), ["token", "cls"], among)
+        if k is not None:
+            rows = rows.unionByName(_first_ids(self._among(among), k).select(
+                F.lit(MARKER).alias("token"), "cls", "cand_id", F.lit(0).cast("bigint").alias("w")))
+        spark = rows.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.stats.n_docs // PART_DOCS))
+        # numbered: adaptive execution must not merge the pair-making stage
+        rows = rows.withColumn("block", F.xxhash64("cand_id")).repartition(n, "block")
+        pairs = rows.join(F.broadcast(terms.drop("idf").unionByName(marker.drop("idf"))), "token")
+        return (pairs.groupBy("block", "query_id", "cls", "cand_id")
+                .agg(F.sum(F.col("qtf") * F.col("w")).alias("units")).drop("block"))
+
+    def _among(self, among: DataFrame | None) -> DataFrame:
+        """The documents, of the ids ``among`` alone if given."""
+        return self.docs if among is None else self.docs.join(self._small(among, 16), "cand_id", "left_semi")
+
     def scores(self, queries: DataFrame, k: int | None = None, prune: bool = False,
                among: DataFrame | None = None) -> DataFrame:
         """(query_id, cls, cand_id, score) for pairs that can reach the top k.  With
@@ -278,15 +309,19 @@ class BM25Index:
         size = F.octet_length("token") + F.lit(32)
         fits = _fits(_query_terms(queries), size)
         terms = self.terms(queries)
+        # Full ranking, or negative weights (unmatched ids can then outrank
+        # matched ones anywhere): every id carries the marker.
         whole = k is None or self.stats.floor_idf < 0
+        score = (F.col("units").cast("double") / F.lit(float(SCALE))).alias("score")
+        if fits and not (prune and not whole) and _fits(queries.select("query_id"), F.lit(32)):
+            return self._pairs(terms, queries, None if whole else k, among).select(
+                "query_id", "cls", "cand_id", score)
         cols = ["query_id", "cls", "cand_id", "units"]
         if prune and not whole:
             found = self.pruned_scores(terms, fits, k, among)[0]
         else:
             found = self._matches(terms, fits, None, among).select(*cols)
-        # Full ranking, or negative weights (unmatched ids can then outrank
-        # matched ones anywhere): every id carries the marker.
-        docs = self.docs if among is None else self.docs.join(self._small(among, 16), "cand_id", "left_semi")
+        docs = self._among(among)
         marked = docs.select("cand_id", "cls") if whole else _first_ids(docs, k)
         asked = queries.select("query_id", F.lit(MARKER).alias("token"))
         if _fits(asked, F.lit(32)):
@@ -294,7 +329,7 @@ class BM25Index:
         zero = marked.withColumn("token", F.lit(MARKER)).join(asked, "token").select(
             "query_id", "cls", "cand_id", F.lit(0).cast("bigint").alias("units"))
         return (found.unionByName(zero).groupBy("query_id", "cls", "cand_id")
-                .agg((F.sum("units").cast("double") / F.lit(float(SCALE))).alias("score")))
+                .agg(F.sum("units").alias("units")).select("query_id", "cls", "cand_id", score))
 
     def rank(self, queries: DataFrame, k: int | None = None, prune: bool = False,
              among: DataFrame | None = None) -> DataFrame:

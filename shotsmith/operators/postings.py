@@ -2,22 +2,23 @@
 
 Layout under one folder, one sub-folder ``gen=<i>`` per added pool file:
 
+* ``blocks`` (token, cls, block, max_tf, min_dl, df, ctf, rows) -- postings of
+  one token in one document block.  The marker token holds every document of
+  the block (tf 0; its ctf is the block's total length);
 * ``docs``   (cand_id, cls, dl) -- one row per document;
 * ``vocab``  (token, df, ctf) -- statistics of that file alone.  They add up, so
   N, mean length and idf of the whole pool come from the vocabulary tables and
   never need the earlier text again (``stats``).  The marker row holds N and
-  the total length;
-* ``blocks`` (token, cls, block, max_tf, min_dl, rows) -- postings of one token
-  in one document block, range-partitioned and sorted by (token, block), so a
-  scan reads the row groups of the tokens it asks for, and a hot token is
-  spread over many files.
-
-Text is tokenised where it is scanned: only (cand_id, token, tf) rows are
-shuffled, once, into their (token, block) order.  A document block holds about
-``BLOCK_DOCS`` documents of nearly equal length (quarter octaves of ``dl``, cut
-by hash).  Hence ``max_tf`` and ``min_dl`` bound every weight of the block
-closely, whatever statistics later files bring: block maxima stay valid and
-nothing is rewritten when the pool grows.
+  the total length.
+
+Blocks are made where the text is scanned: a task tokenises its documents, and
+groups about ``CHUNK`` postings at a time by token and block.  Neither text nor
+single postings are shuffled; a hot token is spread over the files of all tasks.
+A document block holds at most ``BLOCK_DOCS`` documents of one class and of nearly
+equal length (quarter octaves of ``dl``, cut in order of length).  Hence ``max_tf``
+and ``min_dl`` bound every weight of the block closely, whatever statistics
+later files bring: block maxima stay valid and nothing is rewritten when the
+pool grows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from shotsmith.functions.text import TOKEN_SEPARATOR, as_text
 from shotsmith.session import checkpoint_dir, ship_package
@@ -35,7 +37,9 @@ from shotsmith.session import checkpoint_dir, ship_package
 MARKER = " "          # never a token: tokens are cut at spaces
 BLOCK_DOCS = 128
 SLICE = 1 << 20       # characters tokenised at a time
-BATCH = 200_000       # rows of one output batch
+BATCH = 200_000       # postings kept as Python values
+CHUNK = 2_000_000     # postings grouped at a time
+GIVE = 20_000         # rows of one output batch
 
 
 def count_tokens(text: str) -> tuple[int, Counter]:
@@ -51,38 +55,104 @@ def count_tokens(text: str) -> tuple[int, Counter]:
         at = end + 1
 
 
-def _scan_postings(pool: DataFrame, by: str | None) -> DataFrame:
-    """(cls, cand_id, dl, token, tf), and per document a marker row (tf 0)."""
+def _group(table, first_block: int):
+    """Posting blocks of ``table`` (cls, cand_id, dl, token, tf; the marker row of each
+    document among them) in token order, numbered from ``first_block`` on, and
+    the number of blocks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    dl, tf = table["dl"].to_numpy(), table["tf"].to_numpy()
+    token, cls = (table[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("token", "cls"))
+    # documents by class, quarter octave of length and length; runs of at most BLOCK_DOCS
+    at = np.flatnonzero(tf == 0)
+    doc = np.cumsum(tf == 0) - 1                    # a marker row begins its document
+    part, size = cls.indices.to_numpy()[at], dl[at]
+    band = np.floor(4 * np.log2(size)).astype(np.int64)
+    order = np.lexsort((size, band, part))
+    new = np.r_[True, (np.diff(part[order]) != 0) | (np.diff(band[order]) != 0)]
+    start = np.flatnonzero(new)
+    inside = np.arange(len(at)) - start[np.cumsum(new) - 1]
+    block = np.empty(len(at), np.int64)
+    block[order] = np.cumsum(inside % BLOCK_DOCS == 0) - 1
+    blocks = int(block.max(initial=-1)) + 1
+    # postings by token, then block
+    rank = np.empty(len(token.dictionary), np.int64)
+    rank[pc.sort_indices(token.dictionary).to_numpy()] = np.arange(len(rank))
+    key = rank[token.indices.to_numpy()] * blocks + block[doc]
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    dl, tf = dl[order], tf[order]
+    head = pa.array(order[start])
+    marker = pc.equal(token.dictionary, MARKER).to_numpy(zero_copy_only=False)[token.indices.to_numpy()[order]]
+    edge = np.r_[start, len(order)]
+    rows = pa.StructArray.from_arrays(
+        [table["cand_id"].combine_chunks().take(pa.array(order)), pa.array(tf), pa.array(dl)],
+        names=["cand_id", "tf", "dl"])
+    return pa.RecordBatch.from_arrays(
+        [table["token"].combine_chunks().take(head), table["cls"].combine_chunks().take(head),
+         pa.array(first_block + block[doc[order[start]]]), pa.array(np.maximum.reduceat(tf, start)),
+         pa.array(np.minimum.reduceat(dl, start)), pa.array(np.diff(edge)),
+         pa.array(np.add.reduceat(np.where(marker, dl, tf), start)),
+         pa.ListArray.from_arrays(pa.array(edge, pa.int32()), rows)],
+        names=["token", "cls", "block", "max_tf", "min_dl", "df", "ctf", "rows"]), blocks
+
+
+def _scan_blocks(pool: DataFrame, by: str | None, gen: int) -> DataFrame:
+    """The posting blocks of ``pool``, a marker block of every document block among them."""
     import pyarrow as pa
     ship_package(pool.sparkSession)
     cls = F.col(by) if by else F.lit(0)
     rows = pool.select(cls.alias("cls"), F.col("cand_id").cast("bigint").alias("cand_id"),
                        as_text("sentence").alias("text"))
-    schema = StructType([rows.schema["cls"], StructField("cand_id", LongType()), StructField("dl", LongType()),
-                         StructField("token", StringType()), StructField("tf", LongType())])
+    posting = StructType([StructField(c, LongType()) for c in ("cand_id", "tf", "dl")])
+    schema = StructType([StructField("token", StringType()), rows.schema["cls"]]
+                        + [StructField(c, LongType()) for c in ("block", "max_tf", "min_dl", "df", "ctf")]
+                        + [StructField("rows", ArrayType(posting))])
 
     def run(batches):
+        from pyspark import TaskContext
+        block = (gen << 44) + (TaskContext.get().partitionId() << 24)
+        held, n = [], 0
+
+        def give():
+            nonlocal block
+            out, blocks = _group(pa.Table.from_batches(held), block)
+            block += blocks
+            held.clear()
+            for i in range(0, out.num_rows, GIVE):
+                yield out.slice(i, GIVE)
+
         for batch in batches:
             at, dl, token, tf = [], [], [], []
 
-            def give():
+            def hold():
                 ids = pa.array(at, pa.int64())
-                return pa.RecordBatch.from_arrays(
+                held.append(pa.RecordBatch.from_arrays(
                     [batch.column(0).take(ids), batch.column(1).take(ids), pa.array(dl, pa.int64()),
-                     pa.array(token, pa.string()), pa.array(tf, pa.int64())], names=schema.names)
+                     pa.array(token, pa.string()), pa.array(tf, pa.int64())],
+                    names=["cls", "cand_id", "dl", "token", "tf"]))
+                for part in (at, dl, token, tf):
+                    part.clear()
 
             for i in range(batch.num_rows):
-                n, seen = count_tokens(batch.column(2)[i].as_py())
-                seen[MARKER] = 0
-                at += [i] * len(seen)
-                dl += [n] * len(seen)
-                token += seen.keys()
+                length, seen = count_tokens(batch.column(2)[i].as_py())
+                size = len(seen) + 1
+                at += [i] * size
+                dl += [length] * size
+                token.append(MARKER)
+                token += seen
+                tf.append(0)
                 tf += seen.values()
+                n += size
                 if len(at) >= BATCH:
-                    yield give()
-                    at, dl, token, tf = [], [], [], []
+                    hold()
+                    if n >= CHUNK:
+                        yield from give()
+                        n = 0
             if at:
-                yield give()
+                hold()
+        if held:
+            yield from give()
 
     return rows.mapInArrow(run, schema)
 
@@ -114,29 +184,12 @@ class PostingsStore:
         gen = self._generations()
         spark = self.spark
         at = lambda kind: f"{self.path}/{kind}/gen={gen}"
-        raw = f"{self.path}/scan/gen={gen}"
-        scanned = _scan_postings(pool, by)
-        scanned.write.mode("overwrite").parquet(raw)
-        scanned = spark.read.schema(scanned.schema).parquet(raw)
-        marker = F.col("token") == MARKER
-        (scanned.groupBy("token").agg(
-            F.count(F.lit(1)).alias("df"),
-            F.sum(F.when(marker, F.col("dl")).otherwise(F.col("tf"))).alias("ctf"))
+        _scan_blocks(pool, by, gen).write.mode("overwrite").parquet(at("blocks"))
+        blocks = spark.read.parquet(at("blocks"))
+        (blocks.groupBy("token").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
          .write.mode("overwrite").parquet(at("vocab")))
-        band = F.floor(4 * F.log2(F.col("dl"))).cast("int")
-        # quarter octaves of a length: at most 4 * 63 rows
-        slices = (scanned.where(marker).groupBy(band.alias("band"))
-                  .agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("slices")))
-        block = (F.shiftleft(F.col("band").cast("bigint"), 32)
-                 + F.pmod(F.xxhash64("cand_id"), F.col("slices")) + F.lit(gen) * F.lit(1 << 42))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (scanned.where(~marker).withColumn("band", band).join(F.broadcast(slices), "band")
-         .withColumn("block", block)
-         .repartitionByRange(n, "token", "block").groupBy("token", "block", "cls")
-         .agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-              F.collect_list(F.struct("cand_id", "tf", "dl")).alias("rows"))
-         .sortWithinPartitions("token", "block").write.mode("overwrite").parquet(at("blocks")))
-        (scanned.where(marker).select("cand_id", "cls", "dl").write.mode("overwrite").parquet(at("docs")))
+        (blocks.where(F.col("token") == MARKER).select("cls", F.explode("rows").alias("p"))
+         .select("p.cand_id", "cls", "p.dl").write.mode("overwrite").parquet(at("docs")))
 
     def read(self, kind: str) -> DataFrame:
         """One of the tables over all complete files."""

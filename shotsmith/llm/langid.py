@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,9 @@ SMOOTH = 0.1
 SLICE = 1 << 18
 UNKNOWN = "und"
 EDGE = " "               # marks both ends of a word in its n-grams
-CACHE = 1 << 22          # numbers kept of words already looked up, per task
+CACHE = 1 << 20          # numbers kept of words already looked up, per task
+HELD = 200_000           # counts a task holds before it gives them away
+GIVE = 20_000            # rows of one output batch
 
 # A word: a run of letters.  [^\W\d_] also holds the few numerals that are not
 # decimal digits; words with one are cut at it (``clean``).
@@ -85,6 +88,16 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out()).select("lang", "text")
 
 
+def given(keys: list, part: dict[str, int], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
+    """``part`` as batches of at most GIVE rows (``keys``, key, n)."""
+    rest = iter(part.items())
+    while some := list(islice(rest, GIVE)):
+        words, counts = zip(*some)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k] * len(some), kind) for k, kind in zip(keys, kinds)]
+            + [pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=names + ["key", "n"])
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """(lang, key, n) of the words of (lang, text)."""
     def run(batches):
@@ -92,10 +105,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
         def give():
             for lang, part in total.items():
-                part = clean(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part), pa.string()), pa.array(list(part), pa.string()),
-                     pa.array(list(part.values()), pa.int64())], names=["lang", "key", "n"])
+                yield from given([lang], clean(part), ["lang"], [pa.string()])
             total.clear()
 
         held = 0
@@ -107,7 +117,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                     held -= len(part)
                     part.update(words)
                     held += len(part)
-                    if held > 500_000:
+                    if held > HELD:
                         yield from give()
                         held, part = 0, Counter()
                         total[batch.column(0)[i].as_py()] = part
@@ -120,26 +130,23 @@ def count_words(rows: DataFrame) -> DataFrame:
 def count_grams(words: DataFrame) -> DataFrame:
     """(level, lang, key, n): level 0 holds the words, level g their g-grams."""
     def run(batches):
-        total: dict[tuple, Counter] = {}
+        total: dict[tuple, dict[str, int]] = {}
 
         def give():
             for (level, lang), part in total.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([level] * len(part), pa.int32()), pa.array([lang] * len(part), pa.string()),
-                     pa.array(list(part), pa.string()), pa.array(list(part.values()), pa.int64())],
-                    names=["level", "lang", "key", "n"])
+                yield from given([level, lang], part, ["level", "lang"], [pa.int32(), pa.string()])
             total.clear()
 
         for batch in batches:
-            for lang, key, n in zip(*[c.to_pylist() for c in batch.columns]):
+            for j, (lang, key, n) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
                 padded = EDGE + key + EDGE
                 for g in range(1, min(GRAMS, len(padded)) + 1):
-                    part = total.setdefault((g, lang), Counter())
+                    part = total.setdefault((g, lang), {})
                     for i in range(g == 1, len(padded) - g + 1 - (g == 1)):     # no bare mark
                         gram = padded[i: i + g]
                         part[gram] = part.get(gram, 0) + n
-            if sum(map(len, total.values())) > 500_000:
-                yield from give()
+                if j % 256 == 0 and sum(map(len, total.values())) > HELD:
+                    yield from give()
         yield from give()
 
     schema = "level int, lang string, key string, n bigint"

@@ -195,6 +195,45 @@ def test_terms_in_slices(monkeypatch):
 
 # --- op11 ----------------------------------------------------------------
 
+@pytest.mark.parametrize("count", ["count_words", "count_grams"])
+def test_counts_leave_a_task_in_bounded_batches(spark, monkeypatch, count):
+    """A task holds about HELD counts, whatever an Arrow batch holds, and gives GIVE at a time."""
+    import pyarrow as pa
+    monkeypatch.setattr(langid, "HELD", 3000, raising=False)
+    monkeypatch.setattr(langid, "GIVE", 100, raising=False)
+    words = ["".join(chr(97 + int(c)) for c in f"{i:06d}") for i in range(6000)]
+
+    class Caught(Exception):
+        pass
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def unionByName(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            raise Caught(run)
+
+    if count == "count_words":
+        columns = [pa.array(["x"] * 60), pa.array([" ".join(words[i: i + 100]) for i in range(0, 6000, 100)])]
+        want = Counter(words)
+    else:
+        columns = [pa.array(["x"] * 6000), pa.array(words), pa.array([2] * 6000)]
+        want = Counter(g for w in words for n in range(1, 6) for i in range(9 - n) for g in [f" {w} "[i: i + n]]
+                       if g != " ")
+        want = {k: 2 * v for k, v in want.items()}
+    with pytest.raises(Caught) as caught:
+        getattr(langid, count)(Frame())
+    got, largest = Counter(), 0
+    for batch in caught.value.args[0]([pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n"][: len(columns)])]):
+        largest = max(largest, batch.num_rows)
+        for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()):
+            got[key] += n
+    assert got == want and largest <= 100
+
+
 def plain_words(text):
     out = []
     for run in re.findall(r"[^\W\d_]+", (text or "").lower()):

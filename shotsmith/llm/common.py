@@ -35,15 +35,26 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy.written_at = path
+    return copy
+
+
+def drop_copy(copy: DataFrame) -> None:
+    """Remove the files of a table that ``write_once`` returned, when every
+    step that reads them has been written itself."""
+    _delete(copy.sparkSession, copy.written_at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_run_folder(spark: SparkSession) -> None:
     """Remove every intermediate of this session.  The owner of the session
     calls it once the results that still read them are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, run_folder(spark))
 
 
 def spread(spark: SparkSession) -> int:

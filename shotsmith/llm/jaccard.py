@@ -320,18 +320,24 @@ def block_pairs(large: DataFrame) -> DataFrame:
     return large.join(sides[0].unionByName(sides[1]), ["component", "band", "slice"]).select("rep", "tile", "left")
 
 
-def _some_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose (doc_id, key) is not in ``wanted``: a bitmap
-    of hashed pairs, at most 16 MB, is sent to the scan, so that few texts are shuffled
-    for nothing."""
+def _flagged(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` with ``_maybe``: false for most rows whose ``keys`` are not in ``wanted``,
+    true for all others.  A bitmap of hashed keys, at most 16 MB, is sent to the scan, so
+    that few texts are shuffled for nothing."""
     bits = min(1 << 27, 1 << max(15, (16 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id", "key"), F.lit(bits))
-    chunk, at = F.floor(place / 32768).alias("_chunk"), (place % 32768 + 1).alias("_at")
-    maps = wanted.select(chunk, at).groupBy("_chunk").agg(
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    chunk, at = F.floor(place / 32768), place % 32768
+    maps = wanted.select(chunk.alias("_chunk"), (at + 1).alias("_at")).groupBy("_chunk").agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_map"))
-    held = docs.withColumns({"_chunk": F.floor(place / 32768), "_bit": place % 32768}).join(F.broadcast(maps), "_chunk")
     byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).select(*docs.columns)
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
+    return (docs.withColumns({"_chunk": chunk, "_bit": at}).join(F.broadcast(maps), "_chunk", "left")
+            .select(*docs.columns, F.coalesce(bit, F.lit(False)).alias("_maybe")))
+
+
+def _some_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose (doc_id, key) is not in ``wanted``."""
+    return _flagged(docs, wanted, ["doc_id", "key"]).where("_maybe").drop("_maybe")
 
 
 def same_id(every: DataFrame, classes: DataFrame) -> DataFrame:
@@ -434,5 +440,14 @@ def link_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the smallest id.  Rows
     without an id stay."""
-    go = link_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(go.hint("shuffle_hash"), docs["doc_id"] == go["_gone"], "left_anti")
+    go = write_once(link_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
+    return without(docs, go)
+
+
+def without(docs: DataFrame, go: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``go`` (_gone).  Only rows that may go are shuffled."""
+    marked = _flagged(docs.withColumn("_id", F.col("doc_id").cast("bigint")),
+                      go.select(F.col("_gone").alias("_id")), ["_id"]).drop("_id")
+    some = marked.where("_maybe")
+    some = some.join(go.hint("shuffle_hash"), some["doc_id"] == go["_gone"], "left_anti")
+    return marked.where("NOT _maybe").unionByName(some).drop("_maybe")

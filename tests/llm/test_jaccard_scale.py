@@ -114,3 +114,15 @@ def test_components_at_once_and_in_rounds(spark, monkeypatch, few):
     got = components.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect()
     assert sorted(map(tuple, got)) == sorted(root.items())
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(None if i % 40 == 0 else i % 900, f"t{i}") for i in range(4000)], SCHEMA)
+    go = spark.createDataFrame([(i,) for i in range(3, 900, 90)] * 2, "_gone bigint")
+    kept = jaccard.without(docs, go)
+    assert kept.columns == docs.columns
+    gone = set(range(3, 900, 90))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        ((r.doc_id, r.text) for r in docs.collect() if r.doc_id not in gone), key=str)
+    marked = jaccard._flagged(docs, go.withColumnRenamed("_gone", "doc_id"), ["doc_id"])
+    assert marked.where("_maybe").count() < 400 and marked.where("doc_id = 93 AND NOT _maybe").count() == 0
